@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, substring_dedup
+from . import line_dedup, quality_rules, source_mixing, substring_dedup
 from .common import settle, table
 
 
@@ -24,8 +24,23 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("removed").cast("long").alias("n_intervals"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, names = source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", *(F.col(n).alias(c) for c, n in names.items() if c in ("size", "source_size", "target", "taken")))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, names = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", *(F.col(n).alias(c) for c, n in names.items()), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_source_mixing": op4_source_mixing,
+    "op9_line_dedup": op9_line_dedup,
+}
+ORACLE: dict[str, str] = {
+    "op4_source_mixing": source_mixing.sql(),
+    "op9_line_dedup": line_dedup.sql(),
 }
-ORACLE: dict[str, str] = {}
