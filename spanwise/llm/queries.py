@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, source_mixing, substring_dedup
+from . import line_dedup, quality_rules, sequence_packing, source_mixing, substring_dedup
 from .common import settle, table
 
 
@@ -29,6 +29,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(n).alias(c) for c, n in names.items() if c in ("size", "source_size", "target", "taken")))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, names = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *(F.col(n).alias(c) for c, n in names.items()), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
 }
 ORACLE: dict[str, str] = {
