@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality_rules, sequence_packing, source_mixing, substring_dedup
+from . import line_dedup, pii, quality_rules, sequence_packing, source_mixing, substring_dedup, url_filters
 from .common import settle, table
 
 
@@ -29,6 +29,17 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(n).alias(c) for c, n in names.items() if c in ("size", "source_size", "target", "taken")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.col("spans").getField(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return out.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("all")).alias("spans"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, names = url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", *(F.col(n).alias(c) for c, n in names.items()))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_source_mixing": op4_source_mixing,
+    "op5_pii": op5_pii,
+    "op6_url_filters": op6_url_filters,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
 }
