@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, pii, quality_rules, sequence_packing, source_mixing, substring_dedup, url_filters
+from . import line_dedup, near_dedup, pii, quality_rules, sequence_packing, source_mixing, substring_dedup, url_filters
 from .common import settle, table
 
 
@@ -49,6 +49,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *(F.col(n).alias(c) for c, n in names.items()), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filters": op6_url_filters,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLE: dict[str, str] = {
     "op4_source_mixing": source_mixing.sql(),
