@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, pii, quality_rules, sequence_packing, source_mixing, substring_dedup, url_filters
+from . import line_dedup, media_webp, near_dedup, pii, quality_rules, sequence_packing, source_mixing, substring_dedup, url_filters
 from .common import settle, table
 
 
@@ -24,6 +24,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("removed").cast("long").alias("n_intervals"))
 
 
+def op3_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_webp.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, names = source_mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", *(F.col(n).alias(c) for c, n in names.items() if c in ("size", "source_size", "target", "taken")))
@@ -56,6 +60,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_media_webp": op3_media_webp,
     "op4_source_mixing": op4_source_mixing,
     "op5_pii": op5_pii,
     "op6_url_filters": op6_url_filters,
