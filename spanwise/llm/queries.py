@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media_webp, near_dedup, pii, quality_rules, sequence_packing, source_mixing, substring_dedup, url_filters
+from . import line_dedup, media_webp, near_dedup, pii, quality_rules, sequence_packing, source_mixing, substring_dedup, toxicity, url_filters
 from .common import settle, table
 
 
@@ -48,6 +48,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, names = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *(F.col(n).alias(c) for c, n in names.items()), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_url_filters": op6_url_filters,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
 }

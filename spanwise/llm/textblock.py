@@ -18,6 +18,11 @@ MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[32, 9, 10, 11, 12, 13]] = True
+#: For words of letters only: every ASCII byte that is no letter stands between words.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -78,16 +83,23 @@ def _offsets(array: pa.Array) -> np.ndarray:
 
 
 class Block:
-    """Words and lines of the texts of an Arrow string array; null counts as the empty text."""
+    """Words and lines of the texts of an Arrow string array; null counts as the empty text.
 
-    def __init__(self, texts: pa.Array):
+    blank: which bytes stand between words; fold: lower ASCII and Latin-1 letters first."""
+
+    def __init__(self, texts: pa.Array, blank: np.ndarray = _IS_BLANK, fold: bool = False):
         texts = texts.fill_null("")
         offsets = _offsets(texts).astype(np.int64)
         data = texts.buffers()[2] if len(texts) else None
         self.n = len(texts)
         self.bytes = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         self.doc_at = offsets - offsets[0]
-        blank = _IS_BLANK[self.bytes]
+        if fold and len(self.bytes):
+            low = _LOWER[self.bytes]
+            tail = low[1:]
+            tail[(low[:-1] == 0xC3) & (tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)] += 0x20
+            self.bytes = low
+        blank = blank[self.bytes]
         self.blank = blank
         size = len(self.bytes)
         edge = np.zeros(size + 1, bool)  # a document starts (or the block ends) here
