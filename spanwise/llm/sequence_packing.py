@@ -17,10 +17,11 @@ give many pieces; repeated rows are packed each; null ids stay null; an empty ta
 
 from __future__ import annotations
 
+import bisect
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ LENGTH, END, GROUP = 4096, 1, 20_000
 #: Tokens, documents, attention cost: what a sequence holds, and how much each counts in the score.
 CAPACITY = (LENGTH, LENGTH, LENGTH * LENGTH)
 SCALES = (1.0, 0.001, 0.001)
-KNOWN = 250_000  # words in a generation
+KNOWN = 800_000  # words in a generation
 
 
 def word_file() -> str:
@@ -79,46 +80,56 @@ class WordIds:
         return out
 
     def learn(self, words: set[str]) -> None:
+        """Make words known; they stand in the young generation afterwards."""
         if len(self.young) > KNOWN:
             self.young, self.old = {}, self.young
-        missing = words.difference(self.young)
-        again = missing.intersection(self.old)
-        self.young.update((w, self.old[w]) for w in again)
-        split = []
-        for w in missing - again:
+        young, old, split = self.young, self.old, []
+        for w in words:
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+                continue
             # A run of points and commas after a letter is a token group of its own; ASCII letters are lowered anyway.
             core = w.rstrip(".,")
             if not core or not core[-1].isalpha():
                 core = w
             split.append((w, core.lower() if core.isascii() and core.isalpha() else core, w[len(core) :]))
         wanted = {p for x in split for p in x[1:] if p}
-        known = {p: self.young[p] for p in wanted if p in self.young}
+        known = {p: young[p] for p in wanted if p in young}
         known |= self._encode([p for p in wanted if p not in known])
         known[""] = b""
-        self.young.update((w, known[core] + known[tail]) for w, core, tail in split)
+        for w, core, tail in split:
+            young[w] = known[core] + known[tail] if tail else known[core]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        words = set(chain.from_iterable(split))
-        words.discard("")
-        self.learn(words)
+        words = list(chain.from_iterable(split))
         self.young[""] = b""
-        get = self.young.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        found = list(map(self.young.get, words))
+        if missing := {w for w, ids in zip(words, found, strict=True) if ids is None}:
+            self.learn(missing)
+            get = self.young.get
+            found = [ids if ids is not None else get(w) for w, ids in zip(words, found, strict=True)]
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(found[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
 
 
 _loaded: dict[str | None, WordIds] = {}
 
 
+def word_ids(tokenizer: str | None) -> WordIds:
+    """The process' own; a worker keeps it from task to task."""
+    if tokenizer not in _loaded:
+        _loaded[tokenizer] = WordIds(tokenizer)
+    return _loaded[tokenizer]
+
+
 def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, row): whole texts, cut only where longer than a sequence."""
     small_batches(docs.sparkSession)
     last, step = np.array([end], "<u4").tobytes(), 4 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _loaded:
-            _loaded[tokenizer] = WordIds(tokenizer)
-        words = _loaded[tokenizer]
+        words = word_ids(tokenizer)
         row = TaskContext.get().partitionId() << 33
         for part in all_blocks(batches):
             out: dict[str, list[int]] = {"doc": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
@@ -148,36 +159,52 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
 def best_fit(lengths: np.ndarray, capacity: tuple[int, ...] = CAPACITY, scales: tuple[float, ...] = SCALES, score: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each item, by vector best-fit in order of decreasing length.
 
-    An item that no empty bin can hold (its attention cost, say) gets a bin to itself."""
+    Open bins are kept by residual tokens. The search starts where tokens fit best and ends when no
+    other bin's tokens can outdo the best score found, so few bins are looked at. An item that no empty
+    bin can hold (its attention cost, say) gets a bin to itself."""
     if score not in ("norm", "dot"):
         raise ValueError(f"score is norm or dot, not {score}")
-    full = np.array(capacity, float)
-    weight = np.array(scales, float)
-    left = np.zeros((len(lengths), len(full)))  # residual capacity of each bin
-    used = np.zeros(len(lengths), np.int64)
-    bins, offsets, count = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
-    order = np.argsort(-lengths, kind="stable")
-    least = lengths.min(initial=0)
-    open_bins = np.zeros(0, np.int64)
-    for at, i in enumerate(order.tolist()):
-        item = np.array([lengths[i], 1, lengths[i] * lengths[i]], float)
-        if at % 256 == 0:  # bins that nothing fits any more need no look
-            open_bins = open_bins[left[open_bins, 0] >= least]
-        rest = left[open_bins] - item
-        fits = np.flatnonzero((rest >= 0).all(axis=1))
-        if len(fits):
+    c0, c1, c2 = map(float, capacity)
+    w0, w1, w2 = scales
+    left: list[tuple[int, int, int]] = []  # residuals of each bin
+    used: list[int] = []
+    by_tokens: list[tuple[int, int]] = []  # (residual tokens, bin), ascending
+    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    least = int(lengths.min(initial=0))
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n = int(lengths[i])
+        cost = n * n
+        first = bisect.bisect_left(by_tokens, (n, -1))
+        best, chosen = None, -1
+        for k in range(first, len(by_tokens)) if score == "norm" else range(len(by_tokens) - 1, first - 1, -1):
+            tokens, b = by_tokens[k]
+            if score == "norm":
+                bound = w0 * ((tokens - n) / c0) ** 2
+            else:
+                bound = -(w0 * n * tokens / (c0 * c0) + w1 / c1 + w2 * cost / c2)
+            if best is not None and bound >= best:
+                break
+            _, docs, attention = left[b]
+            if docs < 1 or attention < cost:
+                continue
             if score == "norm":
-                points = ((rest[fits] / full) ** 2) @ weight
+                points = bound + w1 * ((docs - 1) / c1) ** 2 + w2 * ((attention - cost) / c2) ** 2
             else:
-                points = -((left[open_bins[fits]] / full) * (item / full)) @ weight
-            b = int(open_bins[fits[np.argmin(points)]])
+                points = -(w0 * n * tokens / (c0 * c0) + w1 * docs / (c1 * c1) + w2 * cost * attention / (c2 * c2))
+            if best is None or points < best:
+                best, chosen = points, k
+        if chosen >= 0:
+            tokens, b = by_tokens.pop(chosen)
+            _, docs, attention = left[b]
         else:
-            b, count = count, count + 1
-            left[b] = full
-            open_bins = np.append(open_bins, b)
+            b, (tokens, docs, attention) = len(left), capacity
+            left.append(capacity)
+            used.append(0)
         bins[i], offsets[i] = b, used[b]
-        used[b] += lengths[i]
-        left[b] -= item
+        used[b] += n
+        left[b] = (tokens - n, docs - 1, attention - cost)
+        if tokens - n >= least and docs > 1:
+            bisect.insort(by_tokens, (tokens - n, b))
     return bins, offsets
 
 
