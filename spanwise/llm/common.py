@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +42,12 @@ def settle(df: DataFrame, what: str = "step") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts: at most 8 MB or 1,000 rows, for executors with little memory."""
+    """Arrow batches of whole texts: at most 8 MB or 1,000 rows, for executors with little memory.
+    Python workers also get this package's folder, as when it was not installed but put on sys.path."""
+    here = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if here not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, here]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
