@@ -1,10 +1,7 @@
-"""Registered queries over the reference tables and their SQL; filled by the modules in plans/."""
+"""Registered queries over the reference tables, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans.catalogue import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
