@@ -9,10 +9,11 @@ ICWS draws one shingle per hash function with probability in proportion to weigh
 agree with the chance of their weighted Jaccard similarity. Its (r, c, beta) triples come from a fixed
 pool of 2**16 that a hash of the shingle and the function points into. ROWS values make a band; in a
 band's bucket every member is paired with the smallest document of the bucket and verified by the
-exact weighted Jaccard similarity. Members that fail are paired with each other and with those near
-them in distance (a metric, so the triangle inequality rules the rest out), unless they are in one
-class already; in buckets of more than SMALL such members a second band must agree as well. Verified
-links form classes by alternating large-star and small-star steps.
+exact weighted Jaccard similarity. Verified links form classes by alternating large-star and small-star
+steps. Members of one bucket that are in different classes still are then compared with each other:
+every pair is examined, unless the triangle inequality (the distance is a metric) or the weights rule a
+link out. In buckets of up to SMALL members these are rows, at most SMALL a member; larger buckets are
+compared in square blocks of bounded size that return links only, so rows are members and blocks there.
 
 Texts that are equal are one node. Bucket minima and classes are aggregates joined back: no bucket's
 members are gathered or all paired.
@@ -28,13 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, small_batches
 from .textblock import WORD_BASE, Block, all_blocks, mixed, span_hashes
 
-SHINGLE, LEAST, BANDS, ROWS, BUCKETS, SMALL = 5, 0.8, 12, 4, 1 << 16, 64
+SHINGLE, LEAST, BANDS, ROWS, BUCKETS = 5, 0.8, 12, 4, 1 << 16
+#: Members, and bytes of their texts, of a block in which classes of one bucket are compared; buckets of
+#: up to SMALL members are compared as pairs.
+BLOCK, BLOCK_BYTES, SMALL = 128, 1 << 24, 24
+#: Ids of texts in shared buckets go to every executor up to so many (8 MB); more are joined by a shuffle.
+FEW = 1_000_000
 _POOL = 1 << 16
 
 
@@ -186,10 +193,9 @@ class Verifier:
         return settle(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, s double"), what)
 
 
-def links(texts: DataFrame, idf: np.ndarray, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(a, b, s) with a < b and similarity s >= least, from (doc_id, text) with one row a distinct text, and word_idf().
-
-    Enough for classes: links inside a class already found may be left out."""
+def links(texts: DataFrame, heads: DataFrame, idf: np.ndarray, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(a, b) with a < b and similarity of at least `least`, between the heads (doc_id) of texts (doc_id, text), by
+    word_idf(). Enough for classes: links inside a class already found may be left out."""
     small_batches(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(idf)
 
@@ -200,55 +206,99 @@ def links(texts: DataFrame, idf: np.ndarray, least: float = LEAST, bands: int =
                 own, values = signatures(doc, found, weight, bands * rows)
                 keys = band_keys(values, rows)
                 arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(own)), arrays], names=["doc_id", "keys"])
+                size = pa.array(np.asarray(pa.compute.binary_length(part.column("text")))[own].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(own)), arrays, size], names=["doc_id", "keys", "size"])
 
-    signed = settle(texts.mapInArrow(sign, "doc_id long, keys array<long>"), "bands")
-    member = signed.select(F.col("doc_id").alias("b"), F.explode("keys").alias("key"))
+    # Signed where they lie, without a shuffle of texts; copies of a head's text are left out after that.
+    signed = settle(texts.mapInArrow(sign, "doc_id long, keys array<long>, size long").join(heads, "doc_id", "left_semi"), "bands")
+    member = signed.select(F.col("doc_id").alias("b"), F.posexplode("keys").alias("band", "key"))
     leader = member.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    inside = settle(member.join(leader, "key").where("a <> b"), "inside")
+    inside = settle(member.join(leader, "key"), "inside")
+    # Texts that share a bucket are all that is read from here on.
+    met = settle(inside.select(F.col("b").alias("doc_id")).distinct(), "met")
+    texts = settle(texts.join(F.broadcast(met) if met.count() <= FEW else met, "doc_id", "left_semi"), "texts")
     verify = Verifier(texts, idf)
-    first = verify(inside.select("a", "b").distinct(), "first")
-    good = first.where(F.col("s") >= least)
-
-    # Members that failed, with those they may still link to: distances to the leader differ by 1 - least at most.
-    state = inside.join(first, ["a", "b"]).select("key", "b", (1 - F.col("s")).alias("d"), (F.col("s") < least).alias("failed"))
-    edge = state.where("failed").groupBy("key").agg(F.min("d").alias("near"))
-    left = state.join(edge, "key").where(F.col("failed") | (F.col("d") > F.col("near") - (1 - least) - 1e-9))
-    roots = components(good.select("a", "b"))
-    left = left.join(roots, left["b"] == roots["id"], "left").select("key", "b", "d", "failed", F.coalesce("root", "b").alias("root"))
-    left = settle(left, "left")
-    sizes = left.groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("root").alias("roots")).where("roots > 1")
-    left = left.join(sizes.select("key", "n"), "key")
-    few = left.where(F.col("n") <= SMALL)
-    # In large remainders a second band has to agree.
-    many = left.where(F.col("n") > SMALL).join(signed.withColumnRenamed("doc_id", "b"), "b").withColumn("other", F.explode("keys")).where("other <> key")
-    many = many.select(F.xxhash64("key", "other").alias("key"), "b", "d", "failed", "root")
-    pool = settle(few.select("key", "b", "d", "failed", "root").unionByName(many), "pool")
+    done = verify(inside.where("a <> b").select("a", "b").distinct(), "first")
+    # A member's distance to its bucket's smallest document, for the triangle inequality below.
+    near = inside.join(done, ["a", "b"], "left").select("key", "band", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(1 - F.col("s")).alias("d"))
+    near = settle(near, "near")
+    good = done.where(F.col("s") >= least).select("a", "b")
+    roots = components(good)
+    now = near.join(roots, near["b"] == roots["id"], "left").select("key", "band", "b", "d", F.coalesce("root", "b").alias("root"))
+    now = settle(now.join(signed.select(F.col("doc_id").alias("b"), "keys", "size"), "b"), "now")
+    sized = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks")
+    parts = now.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("key").agg(sized, F.sum("n").alias("n"), F.count("*").alias("roots"))
+    left = settle(now.join(parts.where("roots > 1").select("key", "n", "blocks"), "key").drop("size"), "left")
+
+    # Small buckets: at most SMALL pairs a member, each in its first common band only.
+    pool = left.where(F.col("n") <= SMALL)
     x, y = pool.alias("x"), pool.alias("y")
-    may = (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - least + 1e-9) & (F.col("x.failed") | F.col("y.failed")) & (F.col("x.root") != F.col("y.root"))
-    more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.b") < F.col("y.b")) & may)
-    more = more.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    return good.unionByName(verify(more, "second").where(F.col("s") >= least))
+    may = (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - least + 1e-9) & (F.col("x.root") != F.col("y.root"))
+    alike = F.zip_with(F.slice("x.keys", F.lit(1), F.col("x.band")), F.slice("y.keys", F.lit(1), F.col("x.band")), lambda a, b: a == b)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.b") < F.col("y.b")) & may & ~F.exists(alike, lambda k: k))
+    pairs = pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).join(done.select("a", "b"), ["a", "b"], "left_anti")
+    good = good.unionByName(verify(pairs, "second").where(F.col("s") >= least).select("a", "b"))
+
+    # Larger ones are compared in square blocks of bounded size; rows are members, not pairs.
+    left = left.where(F.col("n") > SMALL).withColumn("block", F.pmod(F.xxhash64("b", "key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "b", "d", "root", "keys")
+    tasks = left.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").groupBy("key", "i", "j")
+    more = tasks.applyInArrow(lambda group: compare_block(group, shared.value, least), "a long, b long")
+    return settle(good.unionByName(more).distinct(), "links")
+
+
+def compare_block(group: pa.Table, idf: np.ndarray, least: float) -> pa.Table:
+    """Links (a, b) between members of one block pair that are in different classes; links inside a class
+    that these links have joined already are left out."""
+    ids, roots, band = (np.asarray(group.column(c)) for c in ("b", "root", "band"))
+    distance, block = np.asarray(group.column("d")), np.asarray(group.column("block"))
+    across = group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    keys = np.stack(group.column("keys").to_pylist())
+    sets: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in all_blocks(group.select(["text"]).combine_chunks().to_batches()):
+        doc, found, weight = shingles(Block(batch.column("text")), idf)
+        at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        sets += [(found[x:y], weight[x:y]) for x, y in zip(at, at[1:], strict=False)]
+    total = np.array([w.sum() for _, w in sets])
+    own = np.unique(roots, return_inverse=True)[1]  # class numbers, joined as links are found
+    out: list[tuple[int, int]] = []
+    for i in range(len(ids)):
+        rest = slice(i + 1, None)
+        may = (own[rest] != own[i]) & (np.abs(distance[rest] - distance[i]) <= 1 - least + 1e-9)
+        may &= np.minimum(total[rest], total[i]) >= least * np.maximum(total[rest], total[i]) * (1 - 1e-9)
+        if across:
+            may &= block[rest] != block[i]
+        some = np.flatnonzero(may) + i + 1
+        # Of a pair's common buckets only the first compares it.
+        some = some[~(keys[some, : band[i]] == keys[i, : band[i]]).any(axis=1)]
+        for j in some.tolist():
+            if own[j] != own[i] and weighted_jaccard(sets[i], sets[j]) >= least:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                own[own == own[j]] = own[i]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """(doc_id, class_id, n_links) for every row: the smallest id of its near-duplicate class, and to how
-    many different texts its text has a verified link."""
-    with_words = F.col(text).rlike(r"[^\x20\x09-\x0D]")
+    """(doc_id, class_id) for every row: the smallest id of its near-duplicate class."""
     small_batches(docs.sparkSession)
+    with_words = F.col(text).rlike(r"[^\x20\x09-\x0D]")
     own = settle(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.when(with_words, F.sha2(text, 256)).alias("sha")), "shas")
     known = own.where("doc_id is not null and sha is not null")
     heads = settle(known.groupBy("sha").agg(F.min("doc_id").alias("head")), "heads")
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # One row for each head: rows that share an id but not the text keep their own head's text.
-    chosen = texts.withColumn("sha", F.sha2("text", 256)).join(heads.select("sha", F.col("head").alias("doc_id")), ["sha", "doc_id"], "left_semi").select("doc_id", "text")
-    found = settle(links(chosen, word_idf(docs, text), least), "links")
-    roots = components(found.select("a", "b"))
-    degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-    of_head = heads.join(roots.withColumnRenamed("id", "head"), "head", "left").join(degree.withColumnRenamed("id", "head"), "head", "left")
-    of_head = of_head.select(F.col("sha").alias("s"), F.coalesce("root", "head").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n_links"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    repeated = settle(own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        # Ids of several rows keep the text that they head, once.
+        chosen = heads.groupBy("head").agg(F.min("sha").alias("sha")).withColumnRenamed("head", "doc_id").join(repeated, "doc_id", "left_semi")
+        several = texts.join(chosen, "doc_id").where(F.sha2("text", 256) == F.col("sha")).select("doc_id", "text").dropDuplicates(["doc_id"])
+        texts = texts.join(repeated, "doc_id", "left_anti").unionByName(several)
+    found = links(texts, heads.select(F.col("head").alias("doc_id")).distinct(), word_idf(docs, text), least)
+    # Rows that share an id are one document: its texts' heads link.
+    same = own.where("sha is not null").join(repeated, "doc_id", "left_semi").join(heads, "sha").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    roots = components(found.unionByName(same))
+    of_head = heads.join(roots.withColumnRenamed("id", "head"), "head", "left").select(F.col("sha").alias("s"), F.coalesce("root", "head").alias("class_id"))
     joined = own.join(of_head, own["sha"] == of_head["s"], "left")
-    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
