@@ -82,7 +82,7 @@ def normalise_cues(cues: DataFrame, by: Sequence[str], voices: Sequence[str], to
 
 def merge_rules(base: Column, extra: Column) -> Column:
     """Rules of both lists, base first, each once; blank ones go."""
-    bare = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    bare = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_distinct(F.concat(bare(base), bare(extra)))
 
 
