@@ -7,12 +7,16 @@ and distinct contexts do not grow in proportion to a corpus, so ordinary documen
 shards of about the toxic class' size and their distinct contexts are averaged over shards (a bit mask
 an n-gram): every document counts, and neither class looks richer for being larger.
 
-What goes to executors is bounded by relative frequency, not by the corpus: words of at least WORD_FLOOR
-of a class (at most 2 / WORD_FLOOR), word pairs of at least PAIR_FLOOR (at most 2 / PAIR_FLOOR). Rarer
-ones say nothing by themselves: they get the shared backoff in both classes.
+Every word and every pair that was counted is in the model, a Spark table of n-gram hashes. Documents meet
+it in two ways that give the same sums: n-grams of at least WORD_FLOOR or PAIR_FLOOR of a class (at most
+2 / floor of them) are sent to executors and looked up there, which also takes the hot keys out of the
+join; all others are exploded by document and joined with the table. A bitmap of fixed size keeps n-grams
+that the table does not hold out of that shuffle; where it is full it only keeps out fewer.
 
 A document's log-likelihood ratio a word, the share of it from telling words, and its deviation from
-chance enter a logistic calibration, fitted on held-back training rows (at most CALIBRATE, by hash).
+chance enter a logistic calibration, fitted on held-back training rows (about CALIBRATE, by hash, half of
+them of each class, weighted back to the classes' shares; all training rows where a class has none there).
+Log ratios are whole millionths, so that sums do not depend on the order of rows.
 
 Defined results: null, empty and wordless texts get the score of a document without evidence; ids are
 never inputs; repeated rows score alike; without labelled rows of both classes the score is the share of
@@ -23,7 +27,7 @@ gives none.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +40,16 @@ from .textblock import NO_LETTER, Block, all_blocks
 WORD_FLOOR, PAIR_FLOOR, SHARDS, CALIBRATE, TELLING = 4e-5, 1e-5, 32, 20_000, 2.0
 #: Labelled tables of up to so many rows go to every executor; larger ones are joined by a shuffle.
 FEW = 500_000
+#: Bits of the bitmap of the joined n-grams (16 MB), and the unit of log ratios.
+BITS, UNIT = 27, 1e6
 
 
 @dataclass
 class Model:
-    """words: sorted hashes of frequent words; word: their log ratio; context: log ratio of the weights
-    they leave to the backoff; pairs: sorted codes place * len(words) + place; pair: their log ratio."""
+    """The frequent n-grams: words, sorted hashes of words; word: their log ratio; context: log ratio of the
+    weights they leave to the backoff; pairs: sorted hashes of pairs; pair: by how much their log ratio
+    differs from their backoff's; pair_telling: by how much their telling excess does. Ratios are in UNITs.
+    rest: (code, value, telling, context) of all other n-grams; bitmap: where their codes fall."""
 
     words: np.ndarray
     word: np.ndarray
@@ -49,30 +57,71 @@ class Model:
     pairs: np.ndarray
     pair: np.ndarray
     weights: np.ndarray | None = None
+    pair_telling: np.ndarray | None = None
+    bitmap: np.ndarray | None = None
+    rest: DataFrame | None = None
 
-    def features(self, texts: pa.Array) -> np.ndarray:
-        """Of each text: mean log ratio a word, its deviation, the mean over telling words' excess, 1."""
+    def local(self) -> Model:
+        """What executors need."""
+        return replace(self, rest=None)
+
+    def sums(self, texts: pa.Array) -> np.ndarray:
+        """Of each text: words, and the frequent n-grams' log ratios and telling excess."""
         b = Block(texts, NO_LETTER, fold=True)
-        place = _places(b.word_hashes(), self.words)
-        ratio = np.zeros(len(place))
+        hashes, doc = b.word_hashes(), b.word_doc()
+        value, telling = np.zeros(len(hashes)), np.zeros(len(hashes))
+        place = _places(hashes, self.words)
         known = place >= 0
-        ratio[known] = self.word[place[known]]
-        if len(place) > 1:
-            doc = b.word_doc()
-            after = np.flatnonzero((place[:-1] >= 0) & (doc[1:] == doc[:-1])) + 1
-            ratio[after] += self.context[place[after - 1]]
-            both = after[place[after] >= 0]
-            at = _places(place[both - 1] * len(self.words) + place[both], self.pairs)
-            ratio[both[at >= 0]] = self.pair[at[at >= 0]]
-        n = np.maximum(np.diff(b.word_at), 1)
-        sums = np.concatenate([[0.0], np.cumsum(ratio)])
-        extra = np.concatenate([[0.0], np.cumsum(np.maximum(ratio - TELLING, 0))])
-        total, telling = sums[b.word_at[1:]] - sums[b.word_at[:-1]], extra[b.word_at[1:]] - extra[b.word_at[:-1]]
-        return np.stack([total / n, total / np.sqrt(n), telling / n, telling / np.sqrt(n), np.ones(b.n)], axis=1)
+        value[known] = self.word[place[known]]
+        telling[known] = np.maximum(value[known] - TELLING * UNIT, 0)
+        starts, codes = b.windows(hashes, 2)
+        leaves = known[starts]
+        value[starts[leaves]] += self.context[place[starts[leaves]]]
+        at = _places(codes, self.pairs)
+        value[starts[at >= 0]] += self.pair[at[at >= 0]]
+        if self.pair_telling is not None:
+            telling[starts[at >= 0]] += self.pair_telling[at[at >= 0]]
+        add = lambda x: np.bincount(doc, x, minlength=b.n)
+        return np.stack([np.diff(b.word_at), add(value), add(telling)], axis=1)
+
+    def others(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
+        """(document, code, times, times before a word) of the n-grams that may be in rest."""
+        b = Block(texts, NO_LETTER, fold=True)
+        hashes, doc = b.word_hashes(), b.word_doc()
+        starts, codes = b.windows(hashes, 2)
+        before = np.zeros(len(hashes), np.int64)
+        before[starts] = 1
+        found = []
+        for of, code, leads, table in ((doc, hashes, before, self.words), (doc[starts], codes, np.zeros(len(codes), np.int64), self.pairs)):
+            take = np.flatnonzero(_in_bitmap(code, self.bitmap))
+            take = take[_places(code[take], table) < 0]
+            of, code, leads = of[take], code[take], leads[take]
+            order = np.lexsort((code, of))
+            of, code, leads = of[order], code[order], leads[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (code[1:] != code[:-1])])) if len(of) else np.zeros(0, int)
+            times = np.diff(np.append(first, len(of)))
+            found.append((of[first], code[first], times, np.add.reduceat(leads, first) if len(first) else leads))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        x = self.features(texts) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+        """Scores by the frequent n-grams alone."""
+        return _logistic(_features(self.sums(texts)) @ self.weights)
+
+
+def _features(sums: np.ndarray) -> np.ndarray:
+    """Mean log ratio a word, its deviation, the mean of telling words' excess, its deviation, 1."""
+    n = np.maximum(sums[:, 0], 1)
+    total, telling = sums[:, 1] / UNIT, sums[:, 2] / UNIT
+    return np.stack([total / n, total / np.sqrt(n), telling / n, telling / np.sqrt(n), np.ones(len(n))], axis=1)
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
+
+
+def _in_bitmap(codes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    slot = codes & np.uint64((1 << BITS) - 1)
+    return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _places(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -109,91 +158,145 @@ def _count_words(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "w long, t long, o long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-def _count_pairs(train: DataFrame, words: np.ndarray, shards: int) -> DataFrame:
-    table = train.sparkSession.sparkContext.broadcast(words)  # at most 2 / WORD_FLOOR
-
+def _count_pairs(train: DataFrame, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in all_blocks(batches):
+        for part in all_blocks(batches, limit=4 << 20):
             b = Block(part.column("text"), NO_LETTER, fold=True)
-            doc = b.word_doc()
-            place = _places(b.word_hashes(), table.value)
-            if len(place) < 2:
-                continue
-            after = np.flatnonzero((place[:-1] >= 0) & (place[1:] >= 0) & (doc[1:] == doc[:-1])) + 1
-            codes, of = np.unique(place[after - 1] * len(table.value) + place[after], return_inverse=True)
-            toxic = np.asarray(part.column("toxic"))[doc[after]] == 1
+            doc, hashes = b.word_doc(), b.word_hashes()
+            starts, found = b.windows(hashes, 2)
+            codes, at, of = np.unique(found, return_index=True, return_inverse=True)
+            toxic = np.asarray(part.column("toxic"))[doc[starts]] == 1
             mask = np.zeros(len(codes), np.int64)
-            shard = np.asarray(part.column("shard"))[doc[after]]
+            shard = np.asarray(part.column("shard"))[doc[starts]]
             np.bitwise_or.at(mask, of[~toxic], np.left_shift(1, shard[~toxic]))
             counts = [np.bincount(of[m], minlength=len(codes)) for m in (toxic, ~toxic)]
-            yield pa.RecordBatch.from_arrays([pa.array(codes), *map(pa.array, counts), pa.array(mask)], names=["code", "t", "o", "mask"])
+            keys = (codes, hashes[starts[at]], hashes[starts[at] + 1])
+            yield pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in keys), *map(pa.array, counts), pa.array(mask)], names=["code", "v", "w", "t", "o", "mask"])
 
     dealt = train.select("text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
-    rows = dealt.mapInArrow(run, "code long, t long, o long, mask long").groupBy("code")
+    rows = dealt.mapInArrow(run, "code long, v long, w long, t long, o long, mask long").groupBy("code", "v", "w")
     return rows.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.bit_count(F.bit_or("mask")).cast("long").alias("m"))
 
 
-def _columns(df: DataFrame, names: list[str]) -> dict[str, np.ndarray]:
-    rows = df.select(*names).collect()  # callers bound the rows
-    return {n: np.array([r[i] for r in rows]) for i, n in enumerate(names)}
+def _frequent(grams: DataFrame, kind: str) -> dict[str, np.ndarray]:
+    got = grams.where("often").where(F.col("kind") == kind).select("code", "value", "telling", "context").toArrow()  # at most 2 / floor rows
+    columns = {n: got.column(n).to_numpy() for n in got.column_names}
+    columns["code"] = columns["code"].astype(np.int64).view(np.uint64)
+    order = np.argsort(columns["code"])
+    return {n: c[order] for n, c in columns.items()}
 
 
-def learn(train: DataFrame) -> Model | None:
-    """The model of (doc_id, text, toxic), or None unless both classes have words."""
+def _bitmap(rest: DataFrame) -> np.ndarray:
+    slot = F.col("code").bitwiseAND((1 << BITS) - 1)
+    bits = rest.groupBy(F.shiftrightunsigned(slot, 5).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(code & 31 as int))")).alias("bits"))
+    got = bits.toArrow()  # at most 2**BITS / 32 rows
+    found = np.zeros(1 << (BITS - 5), "<u4")
+    found[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype("<u4")
+    return found.view(np.uint8)
+
+
+def grams(train: DataFrame) -> DataFrame | None:
+    """(code, kind, often, value, telling, context) of every word and pair of (doc_id, text, toxic), settled, or
+    None unless both classes have words."""
     counted = settle(_count_words(train), "words")
-    toxic, ordinary = counted.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0))).first()
+    toxic, ordinary, size = counted.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0)), F.count("*")).first()
     if not toxic or not ordinary:
         return None
-    frequent = counted.where((F.col("t") >= WORD_FLOOR * toxic) | (F.col("o") >= WORD_FLOOR * ordinary)).where("t + o > 1")
-    words = np.sort(_columns(frequent, ["w"])["w"].astype(np.int64).view(np.uint64))
-    size = max(len(words), 1)
     shards = int(min(SHARDS, max(1, round(ordinary / toxic))))
-    pairs = settle(_count_pairs(train, words, shards), "pairs")
-
-    ones = pairs.agg(*(F.count(F.when(F.col("t") == n, 1)) for n in (1, 2))).first()
-    discount = ones[0] / (ones[0] + 2 * ones[1]) if ones[0] and ones[1] else 0.75
-    sides = pairs.select("t", "o", "m", F.expr(f"inline(array(struct(0 as side, code div {size} as id), struct(1 as side, code % {size} as id)))"))
-    totals = sides.groupBy("side", "id").agg(
-        F.sum("t").alias("t"), F.sum("o").alias("o"), F.sum("m").alias("m"),
-        F.count(F.when(F.col("t") > 0, 1)).alias("n"), F.count("*").alias("any"),
-    )
-    got = _columns(totals, ["side", "id", "t", "o", "m", "n", "any"])  # at most two rows a frequent word
-    by = {k: np.zeros((2, size)) for k in ("t", "o", "m", "n", "any")}
-    for k, grid in by.items():
-        if len(got["side"]):
-            grid[got["side"].astype(int), got["id"].astype(int)] = got[k]
+    pairs = settle(_count_pairs(train, shards), "pairs")
+    once, twice, n_toxic, n_ordinary, n_pairs = pairs.agg(
+        *(F.count(F.when(F.col("t") == n, 1)) for n in (1, 2)), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0)), F.count("*")
+    ).first()
+    discount = once / (once + 2 * twice) if once and twice else 0.75
+    some = [F.count(F.when(F.col("t") > 0, 1)).cast("double"), (F.sum("m") / shards).cast("double")]
+    after = pairs.groupBy("w").agg(some[0].alias("n_t"), some[1].alias("n_o"), F.count("*").cast("double").alias("any"))
+    before = pairs.groupBy(F.col("v").alias("w")).agg(some[0].alias("c_t"), F.sum("m").cast("double").alias("c_o"), F.sum("t").cast("double").alias("s_t"), F.sum("o").cast("double").alias("s_o"))
+    words = settle(counted.join(after, "w", "left").join(before, "w", "left").na.fill(0.0), "vocabulary")
+
+    taken = lambda c: F.least(F.col(c), F.lit(discount))
+    sums = words.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for c in ("n_t", "n_o") for x in (F.col(c), taken(c)))).first()
+    # Half a context for every word: a word between rare ones only has none.
+    common = (F.col("any") + 0.5) / F.lit(n_pairs + 0.5 * size)
 
-    def unigram(contexts: np.ndarray) -> np.ndarray:
+    def unigram(c: str, whole: float, given: float) -> Column:
         """Class continuation probability: discounted distinct contexts, the rest by the shared ones."""
-        whole = max(contexts.sum(), 1.0)
-        taken = np.minimum(contexts, discount)
-        return (contexts - taken + taken.sum() * common) / whole
+        return F.greatest((F.col(c) - taken(c) + given * common) / max(whole, 1.0), 1e-3 * common)
 
-    # Half a context for every word: a word between rare ones only has none.
-    common = (by["any"][1] + 0.5) / (by["any"][1] + 0.5).sum()
-    p_toxic, p_ordinary = unigram(by["n"][1]), unigram(by["m"][1] / shards)
-    p_toxic, p_ordinary = (np.maximum(p, 1e-3 * common) for p in (p_toxic, p_ordinary))
-
-    def left(contexts: np.ndarray, total: np.ndarray) -> np.ndarray:
-        return np.where(total > 0, np.clip(discount * contexts / np.maximum(total, 1e-9), 1e-6, 1), 1.0)
-
-    left_toxic, left_ordinary = left(by["n"][0], by["t"][0]), left(by["m"][0], by["o"][0])
-    n_pairs = [max(1.0, by[k][0].sum()) for k in ("t", "o")]
-    often = pairs.where((F.col("t") >= PAIR_FLOOR * n_pairs[0]) | (F.col("o") >= PAIR_FLOOR * n_pairs[1])).where("t + o > 1")
-    some = _columns(often, ["code", "t", "o", "m"])  # at most 2 / PAIR_FLOOR rows
-    order = np.argsort(some["code"]) if len(some["code"]) else np.zeros(0, int)
-    code, t, o, m = (some[k].astype(np.int64)[order] for k in ("code", "t", "o", "m"))
-    v, w = code // size, code % size
-    pair_toxic = np.maximum(t - discount, 0) / np.maximum(by["t"][0][v], 1e-9) + left_toxic[v] * p_toxic[w]
-    pair_ordinary = np.maximum(o - discount * m, 0) / np.maximum(by["o"][0][v], 1e-9) + left_ordinary[v] * p_ordinary[w]
-    return Model(words, np.log(p_toxic / p_ordinary), np.log(left_toxic / left_ordinary), code, np.log(pair_toxic / pair_ordinary))
-
-
-def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    def left(c: str, total: str) -> Column:
+        share = discount * F.col(c) / F.greatest(F.col(total), F.lit(1e-9))
+        return F.when(F.col(total) > 0, F.least(F.greatest(share, F.lit(1e-6)), F.lit(1.0))).otherwise(1.0)
+
+    words = words.select(
+        "w", "t", "o", "s_t", "s_o", unigram("n_t", sums[0], sums[1]).alias("p_t"), unigram("n_o", sums[2], sums[3]).alias("p_o"),
+        left("c_t", "s_t").alias("l_t"), left("c_o", "s_o").alias("l_o"),
+    )
+    excess = lambda x: F.greatest(x - int(TELLING * UNIT), F.lit(0))
+    ratio = lambda x, y: F.round(F.log(x / y) * UNIT).cast("long")
+    words = settle(words.withColumns({"value": ratio(F.col("p_t"), F.col("p_o")), "context": ratio(F.col("l_t"), F.col("l_o"))}), "words")
+
+    leads = words.select(F.col("w").alias("v"), "s_t", "s_o", "l_t", "l_o", F.col("context").alias("leaves"))
+    ends = words.select("w", "p_t", "p_o", F.col("value").alias("backoff"))
+    met = pairs.join(ends, "w").join(leads, "v")
+    p_t = F.greatest(F.col("t") - discount, F.lit(0.0)) / F.greatest(F.col("s_t"), F.lit(1e-9)) + F.col("l_t") * F.col("p_t")
+    p_o = F.greatest(F.col("o") - discount * F.col("m"), F.lit(0.0)) / F.greatest(F.col("s_o"), F.lit(1e-9)) + F.col("l_o") * F.col("p_o")
+    whole = met.withColumn("whole", ratio(p_t, p_o))
+
+    def often(floor: float, of_toxic: int, of_ordinary: int) -> Column:
+        return ((F.col("t") >= floor * max(1, of_toxic)) | (F.col("o") >= floor * max(1, of_ordinary))).alias("often")
+
+    one = words.select(F.col("w").alias("code"), F.lit("word").alias("kind"), often(WORD_FLOOR, toxic, ordinary), "value", excess(F.col("value")).alias("telling"), "context")
+    two = whole.select(
+        "code", F.lit("pair").alias("kind"), often(PAIR_FLOOR, n_toxic, n_ordinary), (F.col("whole") - F.col("backoff") - F.col("leaves")).alias("value"),
+        (excess(F.col("whole")) - excess(F.col("backoff"))).alias("telling"), F.lit(0).cast("long").alias("context"),
+    )
+    return settle(one.unionByName(two), "grams")
+
+
+def learn(train: DataFrame) -> Model | None:
+    """The model of (doc_id, text, toxic), or None unless both classes have words."""
+    every = grams(train)
+    if every is None:
+        return None
+    word, pair = _frequent(every, "word"), _frequent(every, "pair")
+    rest = every.where("not often").select("code", "value", "telling", "context")
+    return Model(word["code"], word["value"], word["context"], pair["code"], pair["value"], None, pair["telling"], _bitmap(rest), rest)
+
+
+def summed(rows: DataFrame, model: Model) -> DataFrame:
+    """rows of (.., text) with their text replaced by sums: array of words, log ratios and telling excess."""
+    kept = [c for c in rows.columns if c != "text"]
+    rows = rows.select(F.xxhash64(*kept, "text").alias("key"), F.struct(*kept).alias("row"), "text")
+    table = rows.sparkSession.sparkContext.broadcast(model.local())
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in all_blocks(batches):
+            sums = table.value.sums(part.column("text")).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("row"), *(pa.array(c) for c in sums.T)], names=["key", "row", "n", "a", "b"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in all_blocks(batches):
+            of, code, times, leads = table.value.others(part.column("text"))
+            key = np.asarray(part.column("key"))[of]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(code.view(np.int64)), pa.array(times.astype(np.int32)), pa.array(leads.astype(np.int32))], names=["key", "code", "times", "leads"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    near = rows.mapInArrow(frequent, f"key long, row {kind}, n long, a long, b long")
+    met = rows.select("key", "text").mapInArrow(others, "key long, code long, times int, leads int").join(model.rest, "code")
+    a, b = F.col("times") * F.col("value") + F.col("leads") * F.col("context"), F.col("times") * F.col("telling")
+    far = met.groupBy("key").agg(F.sum(a).alias("far_a"), F.sum(b).alias("far_b"))
+    # Equal rows share a key, and their sums: each gets its part.
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))
+    far = far.join(copies, "key").select("key", *((F.col(c) / F.col("copies")).cast("long").alias(c) for c in ("far_a", "far_b")))
+    joined = near.join(far, "key", "left").na.fill(0, ["far_a", "far_b"])
+    return joined.select("row.*", F.array("n", F.col("a") + F.col("far_a"), F.col("b") + F.col("far_b")).alias("sums"))
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, drawn: np.ndarray | None = None) -> np.ndarray:
     """Ridge logistic regression by Newton's method on scaled features. The rarer class weighs more, by the
     root of the classes' ratio: a score of 0.5 then stands between even odds and equal error rates."""
-    rare = y.mean()
-    weight = np.where(y == 1, ((1 - rare) / rare) ** 0.5, 1.0)
+    drawn = np.ones(len(y)) if drawn is None else drawn  # how many rows each one stands for
+    rare = (y * drawn).sum() / drawn.sum()
+    weight = np.where(y == 1, ((1 - rare) / rare) ** 0.5, 1.0) * drawn
     scale = np.maximum(np.abs(x).max(axis=0), 1e-9)
     x = x / scale
     w = np.zeros(x.shape[1])
@@ -215,38 +318,40 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = labelled(docs, labels, doc_id, text, label)
     fold = fold_of(F.col("doc_id"))
     model = learn(rows.where(fold != 4))
-    # Calibration rows come from a fold that the counts have not seen.
-    back = rows.where(fold == 4).select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)).alias("draw"))
-    seen, ones = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    seen, ones, ones_back, seen_back = rows.agg(
+        F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0)), F.count(F.when((fold == 4) & (F.col("toxic") == 1), 1)), F.count(F.when(fold == 4, 1))
+    ).first()
     share = ones / seen if seen else 0.0
     if model is None:
         return None, share
-    part = min(1.0, CALIBRATE / max(1.0, seen / 4))
-    table = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in all_blocks(batches):
-            x = table.value.features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("toxic")], names=["x", "y"])
-
-    got = back.where(F.col("draw") < part * (1 << 30)).drop("draw").mapInArrow(run, "x array<double>, y int").collect()  # about CALIBRATE rows
-    if len({r.y for r in got}) < 2:
+    # Calibration rows come from a fold that the counts have not seen, where it has rows of both classes.
+    apart = 0 < ones_back < seen_back
+    back = rows.where(fold == 4) if apart else rows
+    of_class = (seen_back - ones_back, ones_back) if apart else (seen - ones, ones)
+    parts = [min(1.0, CALIBRATE / 2 / n) for n in of_class]
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < F.when(F.col("toxic") == 1, parts[1]).otherwise(parts[0]) * (1 << 30)
+    got = sorted((r.toxic, *r.sums) for r in summed(back.where(draw).select("doc_id", "toxic", "text"), model).collect())  # about CALIBRATE rows
+    y, sums = np.array([r[0] for r in got], float), np.array([r[1:] for r in got], float).reshape(len(got), 3)
+    if len(set(y)) < 2:
         return None, share
-    model.weights = calibrate(np.array([r.x for r in got]), np.array([r.y for r in got], float))
+    model.weights = calibrate(_features(sums), y, drawn=np.where(y == 1, 1 / parts[1], 1 / parts[0]))
     return model, share
 
 
 def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     model, share = train(docs, labels, doc_id, text, label)
-    table = docs.sparkSession.sparkContext.broadcast((model, share))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if model is None:
+        out = rows.select("doc_id", F.lit(float(share)).alias("score"))
+    else:
+        weights = model.weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, share = table.value
-        for part in all_blocks(batches):
-            score = model.score(part.column("text")) if model is not None else np.full(part.num_rows, share)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                sums = part.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, 3).astype(float)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_logistic(_features(sums) @ weights))], names=["doc_id", "score"])
 
-    out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+        out = summed(rows, model).mapInArrow(run, "doc_id long, score double")
     held_out = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

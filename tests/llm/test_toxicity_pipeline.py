@@ -53,6 +53,18 @@ def test_toxicity_edges(spark):
     assert model.score(pa.array([None, "", "x y"])).tolist() == [0.5] * 3
 
 
+def test_rare_words_count(spark, monkeypatch):
+    """Words and pairs below the floors count as the others do: the floors only say where they are looked up."""
+    rows, labels = labelled_corpus(600)
+    rows = [(i, text + (f" slur{'abcdefghij'[i % 10]}" if labels[i][2] else ""), *more) for i, text, *more in rows]
+    docs, of = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    near = {r.doc_id: r.score for r in t.scored(docs, of).collect()}
+    monkeypatch.setattr(t, "WORD_FLOOR", 2.0)
+    monkeypatch.setattr(t, "PAIR_FLOOR", 2.0)
+    far = {r.doc_id: r.score for r in t.scored(docs, of).collect()}
+    assert near == far and len(set(far.values())) > 500
+
+
 def test_pipeline(spark, tmp_path):
     rows = corpus(3, 60)
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
