@@ -3,16 +3,16 @@
 Four kinds are found by pattern (email, ip, card, phone) with their positions, in SQL: a text is split
 at a pattern, and running lengths of the pieces and the matches give code point offsets.
 
-On top of that, information-theoretic sanitisation. A protected entity is a value found above. Terms
-within `reach` words of its mentions are counted over the whole corpus (a repeated text counts once,
-so copies prove nothing). An entity's information is -log2 p(entity); a term reveals as much of it as
-their pointwise mutual information says. A term that occurs beside an entity at least `support` times
-in different texts, and reveals at least `threshold` of its information, discloses it: the term is
-listed as a span of kind "term" wherever it stands beside a mention of that entity, and sanitise()
-generalises it to <TERM>, as it does found values to their kind.
+On top of that, information-theoretic sanitisation. A protected entity is a value found above. The
+distinct terms of every text that mentions it are counted with it over the whole corpus (a repeated text
+counts once, so copies prove nothing). An entity's information is -log2 p(entity); a term reveals as much
+of it as their pointwise mutual information says, with one added to the counts of entity and term, so that
+the evidence of few texts weighs less. A term that reveals at least `threshold` of an entity's information
+discloses it: the term is listed as a span of kind "term" wherever it stands, in any text, outside of
+found values, and sanitise() generalises it to <TERM>, as it does found values to their kind.
 
-Terms are counted by distinct words: one partial aggregate per task before any shuffle. Pairs are at
-most 2 * reach for each mention, never all pairs of a document.
+Terms go by their hash. They are counted by one partial aggregate per task before any shuffle; only texts
+with a mention give pairs, and only texts with a telling term are read for positions.
 
 Defined results: null texts count as empty (no spans); very long texts are read whole, with possessive
 patterns that run in linear time and constant stack; repeated rows are each reported; null ids stay;
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, settle
+from .common import BLANKS, WORD, settle
 
 #: Possessive forms of the kinds' patterns: they match the same spans, and each run of characters is
 #: scanned once (a match starts where its run starts, or where the last match ended).
@@ -34,9 +34,9 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-REACH, SUPPORT, THRESHOLD = 5, 3, 0.75
-#: How many characters on either side of a mention are looked at for its REACH words.
-NEAR = 100
+THRESHOLD = 0.75
+#: Up to so many telling terms (8 bytes each) go to every executor; more are joined by a shuffle.
+FEW = 1_000_000
 _ORDER = {k: i for i, k in enumerate([*KINDS, "term"])}
 _BLOCK = 256
 
@@ -61,8 +61,8 @@ def _blocks(lengths: Column) -> Column:
     return F.transform(numbers, lambda b: _sum(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
 
 
-def _matches(text: Column, pattern: str, near: int = 0) -> Column:
-    """Array of struct(start, end, value, left, right): matches with code point offsets, and the text around."""
+def _matches(text: Column, pattern: str, wanted=lambda value: F.lit(True)) -> Column:
+    """Array of struct(start, end, value): the wanted matches with code point offsets."""
 
     def of(pieces: Column) -> Column:
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -72,10 +72,10 @@ def _matches(text: Column, pattern: str, near: int = 0) -> Column:
 
             def one(lengths: Column, blocks: Column, v: Column, i: Column) -> Column:
                 start = _before(lengths, blocks, i) + F.length(F.get(pieces, i))
-                around = [F.right(F.get(pieces, i), F.lit(near)), F.left(F.get(pieces, i + 1), F.lit(near))] if near else []
-                return F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"), *(c.alias(n) for c, n in zip(around, ("left", "right"), strict=False)))
+                return F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("value"))
 
-            return let(steps, lambda lengths: let(_blocks(lengths), lambda blocks: F.transform(found, lambda v, i: one(lengths, blocks, v, i))))
+            some = F.filter(F.transform(found, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda x: wanted(x["v"]))
+            return let(steps, lambda lengths: let(_blocks(lengths), lambda blocks: F.transform(some, lambda x: one(lengths, blocks, x["v"], x["i"]))))
 
         return let(values, placed)
 
@@ -108,11 +108,11 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> dict[str, Column]:
-    """kind -> array of struct(start, end, value, left, right); empty where there is none."""
+    """kind -> array of struct(start, end, value); empty where there is none."""
     text = F.coalesce(text, F.lit(""))
     hints = {"email": text.contains("@"), "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][\x20-]?[0-9]"), "phone": text.contains("+")}
-    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
-    return {k: F.coalesce(F.when(hints[k], F.filter(_matches(text, p, NEAR), lambda s: _valid(k, s["value"]))), none) for k, p in KINDS.items()}  # noqa: B023
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return {k: F.coalesce(F.when(hints[k], F.filter(_matches(text, p), lambda s: _valid(k, s["value"]))), none) for k, p in KINDS.items()}  # noqa: B023
 
 
 def _entity(kind: Column, value: Column) -> Column:
@@ -123,56 +123,47 @@ def _term(word: Column) -> Column:
     return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}]", ""))
 
 
-def _near_terms(mention: Column) -> Column:
-    """Array of struct(term, start, end): the REACH words on either side of a mention, in the text's offsets."""
+def _terms(text: Column) -> Column:
+    """Hashes of the distinct terms of a text."""
+    words = F.transform(F.split(F.coalesce(text, F.lit("")), BLANKS), _term)
+    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 2), lambda w: F.xxhash64(w)))
 
-    def words(side: Column, at: Column) -> Column:
-        placed = F.coalesce(_matches(side, r"[^\x20\x09-\x0D]+"), F.array().cast("array<struct<start:int,end:int,value:string>>"))
-        return F.transform(placed, lambda w: F.struct(_term(w["value"]).alias("term"), (at + w["start"]).alias("start"), (at + w["end"]).alias("end")))
 
-    # A word that the look cuts, or that touches the mention, is none.
-    left = F.regexp_replace(mention["left"], r"[^\x20\x09-\x0D]+$", "")
-    left = F.when(F.length(mention["left"]) >= NEAR, F.regexp_replace(left, r"^[^\x20\x09-\x0D]+", "")).otherwise(left)
-    lost = F.length(mention["left"]) - F.length(F.regexp_replace(mention["left"], r"^[^\x20\x09-\x0D]+", ""))
-    begin = mention["start"] - F.length(mention["left"]) + F.when(F.length(mention["left"]) >= NEAR, lost).otherwise(0)
-    right = F.regexp_replace(mention["right"], r"^[^\x20\x09-\x0D]+", "")
-    skipped = F.length(mention["right"]) - F.length(right)
-    right = F.when(F.length(mention["right"]) >= NEAR, F.regexp_replace(right, r"[^\x20\x09-\x0D]+$", "")).otherwise(right)
-    before = let(words(left, begin), lambda w: F.slice(w, F.greatest(F.size(w) - REACH, F.lit(0)) + 1, REACH))
-    after = F.slice(words(right, mention["end"] + skipped), 1, REACH)
-    return F.filter(F.concat(before, after), lambda w: F.length(w["term"]) > 2)
+def _keys(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text, F.length(text)).alias("t2")]
 
 
 def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, t1, t2, spans: struct of an array a kind), settled; t1 and t2 are hashes of the text."""
     spans = F.struct(*(c.alias(k) for k, c in base_spans(F.col(text)).items()))
-    keys = [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text, F.length(text)).alias("t2")]
-    return settle(docs.select(F.col(doc_id).alias("doc_id"), *keys, spans.alias("spans")), "spans")
+    return settle(docs.select(F.col(doc_id).alias("doc_id"), *_keys(text), spans.alias("spans")), "spans")
 
 
-def disclosing(docs: DataFrame, spans: DataFrame, text: str = "text", support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+def disclosing(docs: DataFrame, spans: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(t1, t2, terms: array of struct(start, end)): the disclosing terms of each text that has any."""
-    tagged = F.concat(*(F.transform(F.col("spans").getField(k), lambda s: F.struct(F.lit(k).alias("kind"), s.alias("s"))) for k in KINDS))  # noqa: B023
-    mentions = spans.where(" or ".join(f"size(spans.{k}) > 0" for k in KINDS)).select("t1", "t2", F.explode(tagged).alias("m"))
-    mentions = mentions.select("t1", "t2", _entity(F.col("m.kind"), F.col("m.s.value")).alias("entity"), F.explode_outer(_near_terms(F.col("m.s"))).alias("w"))
-    mentions = settle(mentions.select("t1", "t2", "entity", "w.*").distinct(), "mentions")
-    texts = F.count_distinct("t1", "t2")
-    of_entity = mentions.groupBy("entity").agg(texts.alias("n_entity")).where(F.col("n_entity") >= support)
-    pairs = mentions.where("term is not null").groupBy("entity", "term").agg(texts.alias("n_both")).where(F.col("n_both") >= support)
+    tagged = F.concat(*(F.transform(F.col("spans").getField(k), lambda s: _entity(F.lit(k), s["value"])) for k in KINDS))  # noqa: B023
+    some = " or ".join(f"size(spans.{k}) > 0" for k in KINDS)
+    mentions = spans.where(some).select("t1", "t2", F.array_distinct(F.transform(tagged, lambda e: F.xxhash64(e))).alias("entities"))
+    mentions = settle(mentions.dropDuplicates(["t1", "t2"]), "mentions")
+    texts = docs.select(*_keys(text), F.col(text).alias("text"))
+    # The terms of texts with a mention, once a text: the others' are only counted.
+    beside = texts.join(mentions, ["t1", "t2"]).select("t1", "t2", "entities", _terms(F.col("text")).alias("hs")).dropDuplicates(["t1", "t2"])
+    of_entity = mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = beside.select(F.explode("entities").alias("entity"), "hs").select("entity", F.explode("hs").alias("h")).groupBy("entity", "h").agg(F.count("*").alias("n_both"))
     pairs = settle(pairs.join(of_entity, "entity"), "pairs")
-    candidates = pairs.select("term").distinct()
     total = spans.count()
-    if candidates.isEmpty():
-        return mentions.where("false").select("t1", "t2", F.array(F.struct("start", "end")).alias("terms"))
-    terms = F.array_distinct(F.transform(F.split(F.coalesce(text, F.lit("")), BLANKS), _term))
     # Counted before the join, with a partial aggregate in each task: what is shuffled are distinct words.
-    spread = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    known = pairs.join(spread, "term")
+    spread = texts.select(F.explode(_terms(F.col("text"))).alias("h")).groupBy("h").agg(F.count("*").alias("n_term"))
     information = -F.log2(F.col("n_entity") / total)
-    revealed = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    telling = known.where((information > 0) & (revealed >= threshold * information)).select("entity", "term")
-    hits = mentions.join(telling, ["entity", "term"])
-    return hits.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    revealed = F.log2(F.col("n_both") * F.lit(float(total)) / ((F.col("n_entity") + 1) * (F.col("n_term") + 1)))
+    telling = pairs.join(spread, "h").where((information > 0) & (revealed >= threshold * information)).select("h").distinct()
+    telling = settle(telling, "telling")
+    if telling.count() <= FEW:
+        telling = F.broadcast(telling)
+    held = texts.select("t1", "t2", F.explode(_terms(F.col("text"))).alias("h")).join(telling, "h").groupBy("t1", "t2").agg(F.collect_set("h").alias("told"))
+    told = _matches(F.col("text"), WORD, lambda w: F.array_contains("told", F.xxhash64(_term(w))))
+    hits = texts.join(settle(held, "told"), ["t1", "t2"])
+    return hits.select("t1", "t2", F.transform(told, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("terms")).dropDuplicates(["t1", "t2"])
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -186,7 +177,8 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -
 
     base = F.array_sort(F.concat(*(listed(k, F.col("spans").getField(k)) for k in KINDS)))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    every = F.array_sort(F.concat("base", listed("term", F.coalesce("terms", none))))
+    outside = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    every = F.array_sort(F.concat("base", listed("term", outside)))
     return joined.withColumn("base", base).withColumn("all", every).drop("terms")
 
 

@@ -70,6 +70,16 @@ def test_disclosing_terms(spark):
     assert clean[0] == "report 0 filed today by <TERM> at <EMAIL> for the team number 0" and clean[100] == rows[5][1]
 
 
+def test_disclosing_terms_of_one_text(spark):
+    """A name seen once with an address discloses it, however far from it, and goes in other texts too."""
+    filler = " ".join(["report about the team number filed today for nobody at all"] * 20)
+    rows = [(0, f"Zoltan said so. {filler} one@far.example", None, None, None), (1, "the team asked Zoltan, about nobody", None, None, None)]
+    rows += [(100 + i, f"report about the team number {i} filed today for nobody at all", None, None, None) for i in range(3000)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(frame(spark, rows)).collect()}
+    assert clean[0].startswith("<TERM> ") and clean[0].endswith("all <EMAIL>")
+    assert clean[1] == "the team asked <TERM> about nobody" and clean[100] == rows[2][1]
+
+
 def test_pii_edges(spark):
     assert pii.report(frame(spark, empty=True)).count() == 0
     rows = [(None, None, None, None, None), (1, "🙂 a@b.c", None, None, None), (1, "🙂 a@b.c", None, None, None)]
