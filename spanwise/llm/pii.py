@@ -35,7 +35,7 @@ KINDS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 THRESHOLD = 0.75
-#: Up to so many telling terms (8 bytes each) go to every executor; more are joined by a shuffle.
+#: Up to so many telling terms or repeated texts (8 or 24 bytes each) go to every executor; more are joined by a shuffle.
 FEW = 1_000_000
 _ORDER = {k: i for i, k in enumerate([*KINDS, "term"])}
 _BLOCK = 256
@@ -151,9 +151,16 @@ def disclosing(docs: DataFrame, spans: DataFrame, text: str = "text", threshold:
     of_entity = mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = beside.select(F.explode("entities").alias("entity"), "hs").select("entity", F.explode("hs").alias("h")).groupBy("entity", "h").agg(F.count("*").alias("n_both"))
     pairs = settle(pairs.join(of_entity, "entity"), "pairs")
-    total = spans.count()
+    copies = settle(spans.groupBy("t1", "t2").agg(F.count("*").alias("copies")), "copies")
+    total = copies.count()
+    # Each copy of a text counts for its part, so that a text counts once in all.
+    repeated = settle(copies.where("copies > 1"), "repeated")
+    if repeated.count() <= FEW:
+        repeated = F.broadcast(repeated)
+    part = 1.0 / F.coalesce(F.col("copies"), F.lit(1))
+    counted = texts.join(repeated, ["t1", "t2"], "left").select(part.alias("part"), F.explode(_terms(F.col("text"))).alias("h"))
     # Counted before the join, with a partial aggregate in each task: what is shuffled are distinct words.
-    spread = texts.select(F.explode(_terms(F.col("text"))).alias("h")).groupBy("h").agg(F.count("*").alias("n_term"))
+    spread = counted.groupBy("h").agg(F.round(F.sum("part")).alias("n_term"))
     information = -F.log2(F.col("n_entity") / total)
     revealed = F.log2(F.col("n_both") * F.lit(float(total)) / ((F.col("n_entity") + 1) * (F.col("n_term") + 1)))
     telling = pairs.join(spread, "h").where((information > 0) & (revealed >= threshold * information)).select("h").distinct()

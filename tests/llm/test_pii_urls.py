@@ -80,6 +80,15 @@ def test_disclosing_terms_of_one_text(spark):
     assert clean[1] == "the team asked <TERM> about nobody" and clean[100] == rows[2][1]
 
 
+def test_copies_do_not_hide_a_term(spark):
+    """A text with a telling term may have any number of copies."""
+    rows = [(i, f"report {min(i, 4)} filed today by Zoltan at boss@corp.example", None, None, None) for i in range(200)]
+    rows += [(1000 + i, f"report about the team number {i} filed today", None, None, None) for i in range(400)]
+    out = {r.doc_id: r.s for r in pii.report(frame(spark, rows)).select("doc_id", pii.written(F.col("all")).alias("s")).collect()}
+    at = rows[0][1].index("Zoltan")
+    assert all(f"term:{at}:{at + 6}" in out[i] for i in range(200))
+
+
 def test_pii_edges(spark):
     assert pii.report(frame(spark, empty=True)).count() == 0
     rows = [(None, None, None, None, None), (1, "🙂 a@b.c", None, None, None), (1, "🙂 a@b.c", None, None, None)]
