@@ -4,8 +4,8 @@ Rules name a host (with all its subdomains) and a path prefix; the longest that
 that a rule decides are the labelled ones: trees are fitted on a bounded sample of them (MAX_TRAIN
 rows, chosen by hash) and give every other URL a probability of being blocked. Features are computed
 in SQL from the text of the URL alone: lengths, depth, shares of digits and marks, entropy of its
-characters, parameter counts, and for its host suffixes the blocked share among labelled URLs. That
-table has one row a suffix of the sample, so its size is bounded by MAX_TRAIN.
+characters, parameter counts, and for its host suffixes the blocked share among all labelled URLs. That
+table has one row a suffix, and is joined; only the trees' fit uses the sample.
 
 Defined results: null URLs and URLs without :// have an empty host and path and no rule; the trees
 judge them too; repeated rows get equal verdicts; without labelled URLs of both classes the verdict of
@@ -114,7 +114,7 @@ def judge(df: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] =
     overall = ones / total
     suffixes = {}
     for name, suffix in _suffixes(F.col("host")).items():
-        grouped = sample.groupBy(suffix.alias(name)).agg(((F.sum("label") + SMOOTH * overall) / (F.count("*") + SMOOTH)).alias(f"{name}_rate"))
+        grouped = labelled.groupBy(suffix.alias(name)).agg(((F.sum("label") + SMOOTH * overall) / (F.count("*") + SMOOTH)).alias(f"{name}_rate"))
         suffixes[name] = settle(grouped, "suffixes")
 
     def with_suffixes(rows: DataFrame, of: Column) -> DataFrame:

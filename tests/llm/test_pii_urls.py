@@ -134,6 +134,15 @@ def test_url_trees_learn(spark):
     assert sum(got[2000 + i] == "block" for i in range(50)) >= 45 and sum(got[3000 + i] == "allow" for i in range(50)) >= 45
 
 
+def test_url_suffixes_of_all_labelled(spark, monkeypatch):
+    """The suffix shares cover every labelled URL, not only the sample that the trees are fitted on."""
+    rows = [(i, f"http://a.h{i}.{'com/en' if i % 2 else 'net/de'}/{i}") for i in range(200)]
+    made, settle = [], url_filters.settle
+    monkeypatch.setattr(url_filters, "settle", lambda df, what: made.append((what, settle(df, what))) or made[-1][1])
+    url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"), max_train=60)
+    assert [df.count() for what, df in made if what == "suffixes"] == [2, 200]
+
+
 def test_url_edges(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filters.judge(empty)[0].count() == 0
