@@ -37,7 +37,7 @@ LENGTH, END, GROUP = 4096, 1, 20_000
 #: Tokens, documents, attention cost: what a sequence holds, and how much each counts in the score.
 CAPACITY = (LENGTH, LENGTH, LENGTH * LENGTH)
 SCALES = (1.0, 0.001, 0.001)
-KNOWN = 800_000  # words in a generation
+KNOWN, KNOWN_CHARS = 800_000, 16_000_000  # words in a generation, and their characters
 
 
 def word_file() -> str:
@@ -46,6 +46,12 @@ def word_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _stays_a_letter(char: str) -> bool:
+    """Whether the tokenizer's normal form ends in a letter too where a word ends in this one: the Latin letters
+    do but for U+0130, which is lowered to two characters. Of others nothing is assumed."""
+    return char.isalpha() and char < "\u0250" and char != "\u0130"
+
+
 class WordIds:
     """Little-endian 32-bit ids of words, by a BPE file that marks word ends with </w>."""
 
@@ -59,6 +65,7 @@ class WordIds:
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.chars = 0  # of the young generation's words
 
     def _one_by_one(self, parts: list[str]) -> dict[str, bytes]:
         got = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
@@ -81,8 +88,9 @@ class WordIds:
 
     def learn(self, words: set[str]) -> None:
         """Make words known; they stand in the young generation afterwards."""
-        if len(self.young) > KNOWN:
-            self.young, self.old = {}, self.young
+        if len(self.young) > KNOWN or self.chars > KNOWN_CHARS:
+            self.young, self.old, self.chars = {}, self.young, 0
+        self.chars += sum(map(len, words))
         young, old, split = self.young, self.old, []
         for w in words:
             if (ids := old.get(w)) is not None:
@@ -90,7 +98,7 @@ class WordIds:
                 continue
             # A run of points and commas after a letter is a token group of its own; ASCII letters are lowered anyway.
             core = w.rstrip(".,")
-            if not core or not core[-1].isalpha():
+            if not core or not _stays_a_letter(core[-1]):
                 core = w
             split.append((w, core.lower() if core.isascii() and core.isalpha() else core, w[len(core) :]))
         wanted = {p for x in split for p in x[1:] if p}

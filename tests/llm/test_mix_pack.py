@@ -1,4 +1,5 @@
 import collections
+import random
 import zlib
 
 import numpy as np
@@ -74,6 +75,34 @@ def test_word_ids_equal_the_tokenizer():
     assert words.ids(odd) == want == words.ids(odd)
 
 
+def test_word_ids_equal_the_tokenizer_on_random_strings():
+    """Letters of many scripts, marks, digits, points, blanks of all kinds, and any other code point."""
+    rnd = random.Random(7)
+    often = "abcXYZ.,.,  \n\t'0129!?-<|>éÉßİıǅΣσςאبกकা가나日本ﬁﷺ\u0301\u0307\u200d\u00a0\u2028🙂𝒜½²Ⅷ"
+
+    def char() -> str:
+        if rnd.random() < 0.9:
+            return rnd.choice(often)
+        while 0xD800 <= (c := rnd.randrange(1, 0x110000)) < 0xE000:
+            pass
+        return chr(c)
+
+    texts = ["İ.", "aİ,.", *("".join(char() for _ in range(rnd.randint(1, 12))) for _ in range(100_000))]
+    words = p.WordIds()
+    for i in range(0, len(texts), 5000):
+        some = texts[i : i + 5000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert words.ids(some) == want
+
+
+def test_long_words_do_not_fill_the_cache(monkeypatch):
+    monkeypatch.setattr(p, "KNOWN_CHARS", 5000)
+    words = p.WordIds()
+    for i in range(20):
+        words.ids([f"{i}" + "x" * 1000])
+    assert sum(map(len, words.young)) + sum(map(len, words.old)) < 15_000
+
+
 def test_pack(spark):
     rows = corpus()
     got = p.pack(frame(spark)).collect()
