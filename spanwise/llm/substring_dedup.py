@@ -3,8 +3,8 @@
 Rabin-Karp prefix sums give the hash of every window of `width` words. To shuffle few of them, each
 window names an anchor: the smallest hash of the shorter spans inside it, chosen by content alone, so
 equal windows name equal anchors. Anchors (about 1 word in 14) are counted first; only windows whose
-anchor occurs in two different texts can repeat, and only those are hashed with 128 bits, counted and
-joined to their first document. Repeated windows merge into maximal removal intervals.
+anchor occurs in two different texts can repeat, and only those are hashed with 128 bits (two hashes,
+each over its own word hashes), counted and joined to their first document. Repeated windows merge into maximal removal intervals.
 
 Exact copies are recognised by a digest of the whole text first and judged once. No step gathers a
 key's rows: counts are aggregated on the map side, then joined back, where adaptive execution splits
@@ -12,7 +12,8 @@ a hot key.
 
 Defined results: null and empty texts, and texts of fewer words than a window, lose nothing; two
 windows of one document do not count against each other; rows with a null id are returned unchanged;
-rows that share an id count as one document and are each judged; an empty table gives none.
+rows that share an id count as one document, so they do not count against each other either, and each
+text of them is judged for itself; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, small_batches
-from .textblock import WORD_BASE, WORD_BASE_2, Block, all_blocks
+from .textblock import BYTE_BASE_2, WORD_BASE, WORD_BASE_2, Block, all_blocks
 
 WIDTH, SPAN = 50, 25
 
@@ -48,11 +49,9 @@ def anchors(b: Block, hashes: np.ndarray, width: int, span: int) -> tuple[np.nda
     if len(hashes) < width:
         return (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     starts, _ = b.windows(hashes, width)
-    last = np.repeat(b.word_at[1:], np.diff(b.word_at))
     every = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
     span_starts, span_hash = b.windows(hashes, span)
     every[span_starts] = span_hash
-    del last
     best, at = smallest(every, width - span + 1)
     return starts, best[starts], at[starts]
 
@@ -67,8 +66,8 @@ def intervals(words: int, starts: np.ndarray, width: int) -> list[tuple[int, int
 
 
 def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, span: int = SPAN) -> DataFrame:
-    """(doc_id, at: first words of the windows that an earlier document has too). Documents without any are absent.
-    Exact copies of an earlier text are listed with at = null: all their windows repeat."""
+    """(doc_id, tx: xxhash64 of the text, at: first words of the windows that an earlier document has too). Texts
+    without any are absent. Exact copies of an earlier text are listed with at = null: all their windows repeat."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
 
@@ -86,12 +85,13 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     known = docs.select("doc_id", F.xxhash64("text").alias("tx"), F.sha2("text", 256).alias("sha"))
     copies = settle(
         known.join(known.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "sha")
-        .where("doc_id > first").select("doc_id"), "copies",
+        .where("doc_id > first").select("doc_id", "tx").distinct(), "copies",
     )
     marks = settle(docs.select("doc_id", "text", F.xxhash64("text").alias("tx")).mapInArrow(find, "h long, doc_id long, tx long"), "anchors")
     common = marks.groupBy("h").agg(F.min("tx").alias("a"), F.max("tx").alias("z")).where("a <> z").select("h")
-    wanted = marks.join(common, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-    suspects = docs.join(wanted.join(copies, "doc_id", "left_anti"), "doc_id")
+    own = ["doc_id", "tx"]
+    wanted = marks.join(common, "h").groupBy(*own).agg(F.collect_set("h").alias("hs"))
+    suspects = docs.withColumn("tx", F.xxhash64("text")).join(wanted.join(copies, own, "left_anti"), own).select(*own, "text", "hs")
 
     def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in all_blocks(batches):
@@ -109,22 +109,23 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
             starts = starts[take]
             if len(starts):
                 _, one = b.windows(hashes, width, WORD_BASE)
-                _, two = b.windows(hashes, width, WORD_BASE_2)
+                _, two = b.windows(b.word_hashes(BYTE_BASE_2), width, WORD_BASE_2)
                 doc = b.word_doc()[starts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(one[take].view(np.int64)),
                         pa.array(two[take].view(np.int64)),
                         part.column("doc_id").take(pa.array(doc)),
+                        part.column("tx").take(pa.array(doc)),
                         pa.array((starts - b.word_at[doc]).astype(np.int32)),
                     ],
-                    names=["h1", "h2", "doc_id", "at"],
+                    names=["h1", "h2", "doc_id", "tx", "at"],
                 )
 
-    windows = settle(suspects.mapInArrow(hash_windows, "h1 long, h2 long, doc_id long, at int"), "windows")
+    windows = settle(suspects.mapInArrow(hash_windows, "h1 long, h2 long, doc_id long, tx long, at int"), "windows")
     firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
     later = windows.join(firsts, ["h1", "h2"]).where("doc_id > first")
-    return later.groupBy("doc_id").agg(F.collect_set("at").alias("at")).unionByName(copies.distinct().select("doc_id", F.lit(None).cast("array<int>").alias("at")))
+    return later.groupBy(*own).agg(F.collect_set("at").alias("at")).unionByName(copies.select(*own, F.lit(None).cast("array<int>").alias("at")))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -132,7 +133,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     found = removals(docs, doc_id, text, width)
     whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # "copy" tells an exact copy (at is null) from a document without a removal.
-    joined = whole.join(found.select("doc_id", "at", F.col("at").isNull().alias("copy")), "doc_id", "left")
+    found = found.select("doc_id", "tx", "at", F.col("at").isNull().alias("copy"))
+    joined = whole.withColumn("tx", F.xxhash64("text")).join(found, ["doc_id", "tx"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in all_blocks(batches):

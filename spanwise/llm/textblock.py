@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: The odd multipliers of the byte and the word polynomials, and of the finaliser.
-BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
+BYTE_BASE, WORD_BASE, WORD_BASE_2, BYTE_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 _IS_BLANK = np.zeros(256, bool)
@@ -115,9 +115,9 @@ class Block:
     def word_doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.n), np.diff(self.word_at))
 
-    def word_hashes(self) -> np.ndarray:
+    def word_hashes(self, base: int = BYTE_BASE) -> np.ndarray:
         values = self.bytes.astype(np.uint64) + np.uint64(1)
-        return span_hashes(values, self.starts, self.ends, BYTE_BASE)
+        return span_hashes(values, self.starts, self.ends, base)
 
     def line_spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document of every \\n-split line."""
