@@ -1,115 +1,211 @@
 """Toxicity: class-conditional Kneser-Ney models, compared by length-normalised log-likelihood.
 
-Words are runs of letters, lowered. Bigram models of the toxic and the ordinary class are counted in
-Spark over all labelled training documents; both back off to class continuation counts, and these to
-continuation counts shared by the classes, which smooth rare expressions. The classes differ in size,
-and distinct contexts do not grow in proportion to a corpus, so ordinary documents are dealt into
-shards of about the toxic class' size and their distinct contexts are averaged over shards (a bit mask
-an n-gram): every document counts, and neither class looks richer for being larger.
-
-Every word and every pair that was counted is in the model, a Spark table of n-gram hashes. Documents meet
-it in two ways that give the same sums: n-grams of at least WORD_FLOOR or PAIR_FLOOR of a class (at most
-2 / floor of them) are sent to executors and looked up there, which also takes the hot keys out of the
-join; all others are exploded by document and joined with the table. A bitmap of fixed size keeps n-grams
-that the table does not hold out of that shuffle; where it is full it only keeps out fewer.
-
-A document's log-likelihood ratio a word, the share of it from telling words, and its deviation from
+A text is its words of letters, lowered, one blank behind each and ORDER - 1 before the first, as UTF-8
+bytes; its n-grams are up to ORDER of these, so an n-gram's code is the bytes themselves. They are counted
+in Spark by class over all labelled training documents. Orders above SHARED have a model for each class,
+interpolated with the next lower order's continuation counts; the orders up to SHARED are continuation counts
+of both classes together, so that expressions rare in both are smoothed alike and say little. The classes
+differ in size, and distinct contexts do not grow in proportion to a corpus, so the ordinary class counts as
+an average sample of the toxic class' size: o / S occurrences, of which 1 - (1 - 1/S)**o distinct, S being the
+classes' ratio. Every document counts, and neither class looks richer for being larger.
+
+Every n-gram that was counted is in the model, a Spark table, and scores. Documents meet it in two ways that
+give the same sums. Up to GRAMS entries, those counted most often, are sent to executors (16 bytes each) and
+looked up there. Where the table has more, the documents' other n-grams are exploded and joined with it; a
+bitmap of fixed size keeps n-grams that the table does not hold out of that shuffle. With counts come all
+shorter and preceding n-grams, so a lookup stops at the longest one it knows.
+
+A document's log-likelihood ratio a character, the share of it from telling places, and its deviation from
 chance enter a logistic calibration, fitted on held-back training rows (about CALIBRATE, by hash, half of
 them of each class, weighted back to the classes' shares; all training rows where a class has none there).
 Log ratios are whole millionths, so that sums do not depend on the order of rows.
 
 Defined results: null, empty and wordless texts get the score of a document without evidence; ids are
-never inputs; repeated rows score alike; without labelled rows of both classes the score is the share of
-toxic ones (0 if there are none); rows without a label or id are not learned from; an empty table
-gives none.
+never inputs; repeated rows score alike; a document labelled both 0 and 1 counts for both; without labelled
+rows of both classes the score is the share of toxic ones (0 if there are none); rows without a label or id
+are not learned from; very long texts are read whole, in slices; an empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import discard, settle, small_batches
 from .textblock import NO_LETTER, Block, all_blocks
 
-WORD_FLOOR, PAIR_FLOOR, SHARDS, CALIBRATE, TELLING = 4e-5, 1e-5, 32, 20_000, 2.0
+ORDER, SHARED, CALIBRATE, TELLING = 6, 3, 20_000, 2.0
+#: Entries of the model that go to every executor, at most.
+GRAMS = 1_000_000
 #: Labelled tables of up to so many rows go to every executor; larger ones are joined by a shuffle.
 FEW = 500_000
 #: Bits of the bitmap of the joined n-grams (16 MB), and the unit of log ratios.
 BITS, UNIT = 27, 1e6
+#: Places of a text, or n-grams of a task, that are held at a time.
+SLICE, HELD = 1 << 20, 1 << 21
+_BLANK = 32
+
+
+def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at], and 0 where at is -1."""
+    return np.where(at >= 0, values[at], 0).astype(float) if len(values) else np.zeros(len(at))
+
+
+def _low(n: int) -> np.uint64:
+    """The bits of the last n bytes of a code."""
+    return np.uint64((1 << 8 * n) - 1)
+
+
+class Codes:
+    """The n-grams of ORDER that end at each place of the texts, slice by slice."""
+
+    def __init__(self, texts: pa.Array):
+        b = Block(texts, NO_LETTER, fold=True)
+        letters = b.ends - b.starts
+        solid = np.flatnonzero(~b.blank)
+        words = np.diff(b.word_at)
+        ahead = np.cumsum(letters + 1) - letters - 1 + (ORDER - 1) * (b.word_doc() + 1)
+        self.places = np.bincount(b.word_doc(), letters + 1, minlength=b.n).astype(np.int64) if len(words) else np.zeros(b.n, np.int64)
+        self.ends = np.cumsum(self.places + ORDER - 1)
+        self.symbols = np.full(int(self.ends[-1]) if b.n else 0, _BLANK, np.uint8)
+        self.symbols[solid + np.repeat(ahead - b.starts, letters)] = b.bytes[solid]
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(document, code) of the places, in order."""
+        first = self.ends - self.places  # of each document
+        for at in range(0, max(0, len(self.symbols) - ORDER + 1), SLICE):
+            x = self.symbols[at : at + SLICE + ORDER - 1].astype(np.uint64)
+            two = x[:-1] << np.uint64(8) | x[1:]
+            four = two[:-2] << np.uint64(16) | two[2:]
+            code = four[:-2] << np.uint64(16) | two[4:]
+            place = np.arange(at + ORDER - 1, at + ORDER - 1 + len(code))
+            doc = self._docs(place)
+            inside = place >= first[doc]
+            yield doc[inside], code[inside]
+
+    def _docs(self, place: np.ndarray) -> np.ndarray:
+        """Document of each of the consecutive places."""
+        cuts = np.searchsorted(place, self.ends)
+        return np.repeat(np.arange(len(self.ends)), np.diff(np.concatenate([[0], cuts])))
+
+
+class Lookup:
+    """Places of keys (not 0) in an array, by open addressing over a table of at most half load."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, (2 * len(keys)).bit_length())
+        self.keys, self.at = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[todo[free]]
+            won = free & (self.keys[slot] == keys[todo])
+            self.at[slot[won]] = todo[won]
+            todo, slot = todo[~won], (slot[~won] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.at[slot], -1)
+        todo = np.flatnonzero((held != keys) & (held != 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.at[slot[todo[hit]]]
+            todo = todo[~hit & (held != 0)]
+        return out
 
 
 @dataclass
 class Model:
-    """The frequent n-grams: words, sorted hashes of words; word: their log ratio; context: log ratio of the
-    weights they leave to the backoff; pairs: sorted hashes of pairs; pair: by how much their log ratio
-    differs from their backoff's; pair_telling: by how much their telling excess does. Ratios are in UNITs.
-    rest: (code, value, telling, context) of all other n-grams; bitmap: where their codes fall."""
+    """codes: of the n-grams that are looked up; value: their log ratio; context: log ratio of the weights that they,
+    as contexts, leave to the next lower order. Ratios are in UNITs. rest: (code, value, telling, context) of all other
+    n-grams, value and telling being what the n-gram adds to its backoff; bitmap: where their codes fall."""
 
-    words: np.ndarray
-    word: np.ndarray
+    codes: np.ndarray
+    value: np.ndarray
     context: np.ndarray
-    pairs: np.ndarray
-    pair: np.ndarray
     weights: np.ndarray | None = None
-    pair_telling: np.ndarray | None = None
     bitmap: np.ndarray | None = None
     rest: DataFrame | None = None
+    _find: Lookup | None = field(default=None, repr=False)
 
     def local(self) -> Model:
         """What executors need."""
-        return replace(self, rest=None)
+        return replace(self, rest=None, _find=None)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        if self._find is None:
+            self._find = Lookup(self.codes)
+        return self._find(codes)
 
     def sums(self, texts: pa.Array) -> np.ndarray:
-        """Of each text: words, and the frequent n-grams' log ratios and telling excess."""
-        b = Block(texts, NO_LETTER, fold=True)
-        hashes, doc = b.word_hashes(), b.word_doc()
-        value, telling = np.zeros(len(hashes)), np.zeros(len(hashes))
-        place = _places(hashes, self.words)
-        known = place >= 0
-        value[known] = self.word[place[known]]
-        telling[known] = np.maximum(value[known] - TELLING * UNIT, 0)
-        starts, codes = b.windows(hashes, 2)
-        leaves = known[starts]
-        value[starts[leaves]] += self.context[place[starts[leaves]]]
-        at = _places(codes, self.pairs)
-        value[starts[at >= 0]] += self.pair[at[at >= 0]]
-        if self.pair_telling is not None:
-            telling[starts[at >= 0]] += self.pair_telling[at[at >= 0]]
-        add = lambda x: np.bincount(doc, x, minlength=b.n)
-        return np.stack([np.diff(b.word_at), add(value), add(telling)], axis=1)
+        """Of each text: places, and the looked up n-grams' log ratios and telling excess."""
+        every = Codes(texts)
+        out = np.zeros((len(texts), 3))
+        out[:, 0] = every.places
+        for doc, code in every:
+            at = self.find(code)
+            value = _taken(self.value, at)
+            telling = np.maximum(value - TELLING * UNIT, 0)
+            todo = np.flatnonzero(at < 0)
+            for n in range(ORDER, SHARED, -1):  # the n-gram is not known: its context's weight, and the next shorter one
+                own = code[todo]
+                leaves = self.find((own & _low(n)) >> np.uint64(8))
+                value[todo] += _taken(self.context, leaves)
+                if n - 1 > SHARED:
+                    shorter = self.find(own & _low(n - 1))
+                    ratio = _taken(self.value, shorter)
+                    value[todo] += ratio
+                    telling[todo] = np.maximum(ratio - TELLING * UNIT, 0)
+                    todo = todo[shorter < 0]
+            for column, x in ((1, value), (2, telling)):
+                out[:, column] += np.bincount(doc, x, minlength=len(texts))
+        return out
 
     def others(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
-        """(document, code, times, times before a word) of the n-grams that may be in rest."""
-        b = Block(texts, NO_LETTER, fold=True)
-        hashes, doc = b.word_hashes(), b.word_doc()
-        starts, codes = b.windows(hashes, 2)
-        before = np.zeros(len(hashes), np.int64)
-        before[starts] = 1
-        found = []
-        for of, code, leads, table in ((doc, hashes, before, self.words), (doc[starts], codes, np.zeros(len(codes), np.int64), self.pairs)):
+        """(document, code, times, times as a context) of the n-grams that may be in rest."""
+        found: list[tuple[np.ndarray, np.ndarray, int]] = []
+        for doc, code in Codes(texts):
+            todo = np.flatnonzero(self.find(code) < 0)
+            for n in range(ORDER, SHARED, -1):
+                own = code[todo] & _low(n)
+                found += [(doc[todo], own, 0), (doc[todo], own >> np.uint64(8), 1)]
+                todo = todo[self.find(own & _low(n - 1)) < 0]
+        docs, codes, leads = [], [], []
+        for doc, code, lead in found:
             take = np.flatnonzero(_in_bitmap(code, self.bitmap))
-            take = take[_places(code[take], table) < 0]
-            of, code, leads = of[take], code[take], leads[take]
-            order = np.lexsort((code, of))
-            of, code, leads = of[order], code[order], leads[order]
-            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (code[1:] != code[:-1])])) if len(of) else np.zeros(0, int)
-            times = np.diff(np.append(first, len(of)))
-            found.append((of[first], code[first], times, np.add.reduceat(leads, first) if len(first) else leads))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            if lead:
+                take = take[self.find(code[take]) < 0]
+            docs.append(doc[take])
+            codes.append(code[take])
+            leads.append(np.full(len(take), lead))
+        if not docs:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+        doc, code, lead = map(np.concatenate, (docs, codes, leads))
+        order = np.lexsort((code, doc))
+        doc, code, lead = doc[order], code[order], lead[order]
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])) if len(doc) else np.zeros(0, np.int64)
+        led = np.add.reduceat(lead, first) if len(first) else lead
+        return doc[first], code[first], np.diff(np.append(first, len(doc))) - led, led
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        """Scores by the frequent n-grams alone."""
+        """Scores by the looked up n-grams alone."""
         return _logistic(_features(self.sums(texts)) @ self.weights)
 
 
 def _features(sums: np.ndarray) -> np.ndarray:
-    """Mean log ratio a word, its deviation, the mean of telling words' excess, its deviation, 1."""
+    """Mean log ratio a character, its deviation, the mean of telling places' excess, its deviation, 1."""
     n = np.maximum(sums[:, 0], 1)
     total, telling = sums[:, 1] / UNIT, sums[:, 2] / UNIT
     return np.stack([total / n, total / np.sqrt(n), telling / n, telling / np.sqrt(n), np.ones(len(n))], axis=1)
@@ -119,17 +215,32 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
+#: Spreads codes over the bitmap; a fixed odd number below 2**31, so that the product of it and 32 bits fits in a long.
+_SPREAD = 0x5851F42D
+
+
+def _slots(codes: np.ndarray) -> np.ndarray:
+    folded = (codes ^ codes >> np.uint64(24)) & np.uint64((1 << 32) - 1)
+    return folded * np.uint64(_SPREAD) >> np.uint64(30) & np.uint64((1 << BITS) - 1)
+
+
+def _slots_sql(code: str) -> Column:
+    folded = F.expr(f"({code} ^ shiftrightunsigned({code}, 24)) & {(1 << 32) - 1}L")
+    return F.shiftrightunsigned(folded * F.lit(_SPREAD).cast("long"), 30).bitwiseAND((1 << BITS) - 1)
+
+
 def _in_bitmap(codes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    slot = codes & np.uint64((1 << BITS) - 1)
+    slot = _slots(codes)
     return (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def _places(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Place of each key in a sorted table, or -1."""
-    if not len(table):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
+def _bitmap(rest: DataFrame) -> np.ndarray:
+    slots = rest.select(_slots_sql("code").alias("slot"))
+    bits = slots.groupBy(F.shiftrightunsigned("slot", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits"))
+    got = bits.toArrow()  # at most 2**BITS / 32 rows
+    found = np.zeros(1 << (BITS - 5), "<u4")
+    found[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype("<u4")
+    return found.view(np.uint8)
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -146,126 +257,140 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     return rows.join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
 
 
-def _count_words(train: DataFrame) -> DataFrame:
+def counted(train: DataFrame) -> DataFrame:
+    """(code, t, o): how often each n-gram of ORDER occurs in toxic and in ordinary texts. A task counts its own first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times, held = [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            found, of = np.unique(np.concatenate(keys), return_inverse=True)
+            return found, np.bincount(of, np.concatenate(times)).astype(np.int64)
+
+        def rows(found: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+            code, first = np.unique(found >> np.uint64(1), return_index=True)
+            sums = [np.add.reduceat(np.where(found & np.uint64(1) == side, times, 0), first) for side in (1, 0)]
+            return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *map(pa.array, sums)], names=["code", "t", "o"])
+
         for part in all_blocks(batches):
-            b = Block(part.column("text"), NO_LETTER, fold=True)
-            toxic = np.asarray(part.column("toxic"))[b.word_doc()] == 1
-            words, of = np.unique(b.word_hashes(), return_inverse=True)
-            counts = [np.bincount(of[m], minlength=len(words)) for m in (toxic, ~toxic)]
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *map(pa.array, counts)], names=["w", "t", "o"])
+            toxic = np.asarray(part.column("toxic")).astype(np.uint64)
+            for doc, code in Codes(part.column("text")):
+                some, n = np.unique(code << np.uint64(1) | toxic[doc], return_counts=True)
+                keys, times, held = [*keys, some], [*times, n], held + len(some)
+                if held > HELD:
+                    some, n = merged()
+                    keys, times, held = [some], [n], len(some)
+                    if held > HELD // 2:
+                        yield rows(some, n)
+                        keys, times, held = [], [], 0
+        if held:
+            yield rows(*merged())
 
-    return train.mapInArrow(run, "w long, t long, o long").groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    return train.mapInArrow(run, "code long, t long, o long").groupBy("code").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
 
-def _count_pairs(train: DataFrame, shards: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in all_blocks(batches, limit=4 << 20):
-            b = Block(part.column("text"), NO_LETTER, fold=True)
-            doc, hashes = b.word_doc(), b.word_hashes()
-            starts, found = b.windows(hashes, 2)
-            codes, at, of = np.unique(found, return_index=True, return_inverse=True)
-            toxic = np.asarray(part.column("toxic"))[doc[starts]] == 1
-            mask = np.zeros(len(codes), np.int64)
-            shard = np.asarray(part.column("shard"))[doc[starts]]
-            np.bitwise_or.at(mask, of[~toxic], np.left_shift(1, shard[~toxic]))
-            counts = [np.bincount(of[m], minlength=len(codes)) for m in (toxic, ~toxic)]
-            keys = (codes, hashes[starts[at]], hashes[starts[at] + 1])
-            yield pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in keys), *map(pa.array, counts), pa.array(mask)], names=["code", "v", "w", "t", "o", "mask"])
-
-    dealt = train.select("text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
-    rows = dealt.mapInArrow(run, "code long, v long, w long, t long, o long, mask long").groupBy("code", "v", "w")
-    return rows.agg(F.sum("t").alias("t"), F.sum("o").alias("o"), F.bit_count(F.bit_or("mask")).cast("long").alias("m"))
-
-
-def _frequent(grams: DataFrame, kind: str) -> dict[str, np.ndarray]:
-    got = grams.where("often").where(F.col("kind") == kind).select("code", "value", "telling", "context").toArrow()  # at most 2 / floor rows
-    columns = {n: got.column(n).to_numpy() for n in got.column_names}
-    columns["code"] = columns["code"].astype(np.int64).view(np.uint64)
-    order = np.argsort(columns["code"])
-    return {n: c[order] for n, c in columns.items()}
+def _discount(grams: DataFrame, k: str) -> float:
+    one, two = grams.agg(F.count(F.when(F.col(k) == 1, 1)), F.count(F.when(F.col(k) == 2, 1))).first()
+    return one / (one + 2 * two) if one and two else 0.75
 
 
-def _bitmap(rest: DataFrame) -> np.ndarray:
-    slot = F.col("code").bitwiseAND((1 << BITS) - 1)
-    bits = rest.groupBy(F.shiftrightunsigned(slot, 5).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(code & 31 as int))")).alias("bits"))
-    got = bits.toArrow()  # at most 2**BITS / 32 rows
-    found = np.zeros(1 << (BITS - 5), "<u4")
-    found[got.column("at").to_numpy()] = got.column("bits").to_numpy().astype("<u4")
-    return found.view(np.uint8)
+def _left(discount: float, distinct: Column, total: Column) -> Column:
+    """The weight that a context leaves to the next lower order."""
+    share = F.least(F.greatest(discount * distinct / F.greatest(total, F.lit(1e-9)), F.lit(1e-6)), F.lit(1.0))
+    return F.when(total > 0, share).otherwise(1.0)
 
 
 def grams(train: DataFrame) -> DataFrame | None:
-    """(code, kind, often, value, telling, context) of every word and pair of (doc_id, text, toxic), settled, or
-    None unless both classes have words."""
-    counted = settle(_count_words(train), "words")
-    toxic, ordinary, size = counted.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0)), F.count("*")).first()
+    """The model of (.., text, toxic): (code, n, times, value, context, more, telling) of every n-gram of SHARED to ORDER,
+    settled, or None unless both classes have words. more and telling are what the n-gram adds to its backoff's ratio
+    and telling excess; times, its occurrences, are no fewer for its parts."""
+    top = settle(counted(train), "grams")
+    toxic, ordinary = top.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0))).first()
     if not toxic or not ordinary:
         return None
-    shards = int(min(SHARDS, max(1, round(ordinary / toxic))))
-    pairs = settle(_count_pairs(train, shards), "pairs")
-    once, twice, n_toxic, n_ordinary, n_pairs = pairs.agg(
-        *(F.count(F.when(F.col("t") == n, 1)) for n in (1, 2)), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("o"), F.lit(0)), F.count("*")
-    ).first()
-    discount = once / (once + 2 * twice) if once and twice else 0.75
-    some = [F.count(F.when(F.col("t") > 0, 1)).cast("double"), (F.sum("m") / shards).cast("double")]
-    after = pairs.groupBy("w").agg(some[0].alias("n_t"), some[1].alias("n_o"), F.count("*").cast("double").alias("any"))
-    before = pairs.groupBy(F.col("v").alias("w")).agg(some[0].alias("c_t"), F.sum("m").cast("double").alias("c_o"), F.sum("t").cast("double").alias("s_t"), F.sum("o").cast("double").alias("s_o"))
-    words = settle(counted.join(after, "w", "left").join(before, "w", "left").na.fill(0.0), "vocabulary")
-
-    taken = lambda c: F.least(F.col(c), F.lit(discount))
-    sums = words.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for c in ("n_t", "n_o") for x in (F.col(c), taken(c)))).first()
-    # Half a context for every word: a word between rare ones only has none.
-    common = (F.col("any") + 0.5) / F.lit(n_pairs + 0.5 * size)
-
-    def unigram(c: str, whole: float, given: float) -> Column:
-        """Class continuation probability: discounted distinct contexts, the rest by the shared ones."""
-        return F.greatest((F.col(c) - taken(c) + given * common) / max(whole, 1.0), 1e-3 * common)
-
-    def left(c: str, total: str) -> Column:
-        share = discount * F.col(c) / F.greatest(F.col(total), F.lit(1e-9))
-        return F.when(F.col(total) > 0, F.least(F.greatest(share, F.lit(1e-6)), F.lit(1.0))).otherwise(1.0)
-
-    words = words.select(
-        "w", "t", "o", "s_t", "s_o", unigram("n_t", sums[0], sums[1]).alias("p_t"), unigram("n_o", sums[2], sums[3]).alias("p_o"),
-        left("c_t", "s_t").alias("l_t"), left("c_o", "s_o").alias("l_o"),
-    )
-    excess = lambda x: F.greatest(x - int(TELLING * UNIT), F.lit(0))
-    ratio = lambda x, y: F.round(F.log(x / y) * UNIT).cast("long")
-    words = settle(words.withColumns({"value": ratio(F.col("p_t"), F.col("p_o")), "context": ratio(F.col("l_t"), F.col("l_o"))}), "words")
-
-    leads = words.select(F.col("w").alias("v"), "s_t", "s_o", "l_t", "l_o", F.col("context").alias("leaves"))
-    ends = words.select("w", "p_t", "p_o", F.col("value").alias("backoff"))
-    met = pairs.join(ends, "w").join(leads, "v")
-    p_t = F.greatest(F.col("t") - discount, F.lit(0.0)) / F.greatest(F.col("s_t"), F.lit(1e-9)) + F.col("l_t") * F.col("p_t")
-    p_o = F.greatest(F.col("o") - discount * F.col("m"), F.lit(0.0)) / F.greatest(F.col("s_o"), F.lit(1e-9)) + F.col("l_o") * F.col("p_o")
-    whole = met.withColumn("whole", ratio(p_t, p_o))
-
-    def often(floor: float, of_toxic: int, of_ordinary: int) -> Column:
-        return ((F.col("t") >= floor * max(1, of_toxic)) | (F.col("o") >= floor * max(1, of_ordinary))).alias("often")
-
-    one = words.select(F.col("w").alias("code"), F.lit("word").alias("kind"), often(WORD_FLOOR, toxic, ordinary), "value", excess(F.col("value")).alias("telling"), "context")
-    two = whole.select(
-        "code", F.lit("pair").alias("kind"), often(PAIR_FLOOR, n_toxic, n_ordinary), (F.col("whole") - F.col("backoff") - F.col("leaves")).alias("value"),
-        (excess(F.col("whole")) - excess(F.col("backoff"))).alias("telling"), F.lit(0).cast("long").alias("context"),
-    )
-    return settle(one.unionByName(two), "grams")
-
-
-def learn(train: DataFrame) -> Model | None:
-    """The model of (doc_id, text, toxic), or None unless both classes have words."""
+    ratio = max(1.0, ordinary / toxic)
+    sampled = lambda o: 1 - F.pow(F.lit(1 - 1 / ratio), F.col(o))
+    orders = {ORDER: top}
+    for n in range(ORDER - 1, 0, -1):
+        suffix = F.col("code").bitwiseAND(int(_low(n)))
+        some = [F.sum(F.when(F.col("t") > 0, 1.0).otherwise(0.0)).alias("n_t"), F.sum(sampled("o")).alias("n_o"), F.count("*").cast("double").alias("n_any")]
+        orders[n] = settle(orders[n + 1].groupBy(suffix.alias("code")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"), *some), "grams")
+
+    # Shared orders: continuation counts of both classes.
+    whole, size = orders[1].agg(F.sum("n_any"), F.count("*")).first()
+    below = orders[1].select("code", ((F.col("n_any") + 0.5) / F.lit(whole + 0.5 * size)).alias("p"))
+    for n in range(2, SHARED + 1):
+        discount = _discount(orders[n], "n_any")
+        own = orders[n].select("code", "n_any", F.shiftright("code", 8).alias("lead"), F.col("code").bitwiseAND(int(_low(n - 1))).alias("suffix"))
+        leads = own.groupBy("lead").agg(F.sum("n_any").alias("s"), F.count("*").alias("c"))
+        met = own.join(leads, "lead").join(below.withColumnRenamed("code", "suffix"), "suffix")
+        p = F.greatest(F.col("n_any") - discount, F.lit(0.0)) / F.col("s") + _left(discount, F.col("c"), F.col("s")) * F.col("p")
+        below = settle(met.select("code", p.alias("p")), "shared")
+
+    millionths = lambda x: F.round(F.log(x) * UNIT).cast("long")
+    excess = lambda x: F.greatest(F.col(x) - int(TELLING * UNIT), F.lit(0))
+    times = (F.col("t") + F.col("o")).alias("times")
+    below = below.select("code", F.col("p").alias("q_t"), F.col("p").alias("q_o"), F.lit(0).cast("long").alias("under"))
+    entries = orders[SHARED].select("code", times, F.lit(0).cast("long").alias("value"), F.lit(0).cast("long").alias("more"), F.lit(0).cast("long").alias("telling"))
+    contexts, done = None, [(entries, SHARED)]
+    for n in range(SHARED + 1, ORDER + 1):
+        if n == ORDER:
+            counts = [F.col("t").cast("double"), F.col("o") / F.lit(ratio), F.when(F.col("t") > 0, 1.0).otherwise(0.0), sampled("o")]
+        else:
+            counts = [F.col("n_t"), F.col("n_o"), F.when(F.col("n_t") > 0, 1.0).otherwise(0.0), F.least("n_o", F.lit(1.0))]
+        own = orders[n].select("code", times, *(c.alias(a) for c, a in zip(counts, ("k_t", "k_o", "d_t", "d_o"), strict=True)))
+        discount = _discount(own, "k_t")
+        own = own.withColumns({"lead": F.shiftright("code", 8), "suffix": F.col("code").bitwiseAND(int(_low(n - 1)))})
+        leads = own.groupBy("lead").agg(*(F.sum(c).alias(f"s_{c}") for c in ("k_t", "k_o", "d_t", "d_o")), F.sum("times").alias("led"))
+        left = {c: _left(discount, F.col(f"s_d_{c}"), F.col(f"s_k_{c}")) for c in "to"}
+        leads = settle(leads.select("lead", "s_k_t", "s_k_o", left["t"].alias("l_t"), left["o"].alias("l_o"), "led").withColumn("context", millionths(F.col("l_t") / F.col("l_o"))), "leads")
+        met = own.join(leads, "lead").join(below.withColumnRenamed("code", "suffix"), "suffix")
+        p = {c: F.greatest(F.col(f"k_{c}") - discount * F.col(f"d_{c}"), F.lit(0.0)) / F.greatest(f"s_k_{c}", F.lit(1e-9)) + F.col(f"l_{c}") * F.col(f"q_{c}") for c in "to"}
+        made = met.select("code", "times", p["t"].alias("q_t"), p["o"].alias("q_o"), "under", "context").withColumn("value", millionths(F.col("q_t") / F.col("q_o")))
+        made = settle(made, "order")
+        # A context that is no n-gram itself (the blanks before a text) has an entry for its weight alone.
+        held, under = done[-1]
+        leads = leads.select(F.col("lead").alias("code"), "led", "context")
+        whole = held.join(leads, "code", "full").select("code", F.coalesce("times", "led").alias("times"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("value", "context", "more", "telling")))
+        contexts = whole.withColumn("n", F.lit(under)) if contexts is None else contexts.unionByName(whole.withColumn("n", F.lit(under)))
+        done.append((made.select("code", "times", "value", (F.col("value") - F.col("under") - F.col("context")).alias("more"), (excess("value") - excess("under")).alias("telling")), n))
+        below = made.select("code", "q_t", "q_o", F.col("value").alias("under"))
+    every = contexts.unionByName(done[-1][0].withColumns({"context": F.lit(0).cast("long"), "n": F.lit(ORDER)}))
+    every = settle(every, "model")
+    discard(*orders.values())
+    return every
+
+
+def learn(train: DataFrame, most: int | None = None) -> Model | None:
+    """The model of (.., text, toxic), or None unless both classes have words. most: GRAMS."""
+    most = GRAMS if most is None else most
     every = grams(train)
     if every is None:
         return None
-    word, pair = _frequent(every, "word"), _frequent(every, "pair")
-    rest = every.where("not often").select("code", "value", "telling", "context")
-    return Model(word["code"], word["value"], word["context"], pair["code"], pair["value"], None, pair["telling"], _bitmap(rest), rest)
+    # The least count, a power of two, of which no more than `most` entries are; 0 if that is all.
+    least = 0
+    if every.count() > most:
+        sizes = dict(every.groupBy((F.length(F.bin("times")) - 1).alias("k")).agg(F.count("*")).collect())  # at most 64 rows
+        held = 0
+        for k in sorted(sizes, reverse=True):
+            held += sizes[k]
+            if held > most:
+                least = 1 << (k + 1)
+                break
+    got = every.where(F.col("times") >= least).select("code", "value", "context").toArrow()  # at most `most` rows
+    columns = [got.column(c).to_numpy() for c in ("code", "value", "context")]
+    model = Model(columns[0].astype(np.int64).view(np.uint64), *(c.astype(np.int32) for c in columns[1:]))
+    if least:
+        model.rest = every.where(F.col("times") < least).select("code", F.col("more").alias("value"), "telling", "context")
+        model.bitmap = _bitmap(model.rest)
+    return model
 
 
 def summed(rows: DataFrame, model: Model) -> DataFrame:
-    """rows of (.., text) with their text replaced by sums: array of words, log ratios and telling excess."""
+    """rows of (.., text) with their text replaced by sums: array of places, log ratios and telling excess."""
     kept = [c for c in rows.columns if c != "text"]
-    rows = rows.select(F.xxhash64(*kept, "text").alias("key"), F.struct(*kept).alias("row"), "text")
+    key = F.xxhash64(*kept, "text") if model.rest is not None else F.lit(0).cast("long")
+    rows = rows.select(key.alias("key"), F.struct(*kept).alias("row"), "text")
     table = rows.sparkSession.sparkContext.broadcast(model.local())
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +406,8 @@ def summed(rows: DataFrame, model: Model) -> DataFrame:
 
     kind = rows.schema["row"].dataType.simpleString()
     near = rows.mapInArrow(frequent, f"key long, row {kind}, n long, a long, b long")
+    if model.rest is None:
+        return near.select("row.*", F.array("n", "a", "b").alias("sums"))
     met = rows.select("key", "text").mapInArrow(others, "key long, code long, times int, leads int").join(model.rest, "code")
     a, b = F.col("times") * F.col("value") + F.col("leads") * F.col("context"), F.col("times") * F.col("telling")
     far = met.groupBy("key").agg(F.sum(a).alias("far_a"), F.sum(b).alias("far_b"))
