@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WORD, settle
+from .common import BLANKS, WORD, fresh, join_hot, settle
 
 #: Possessive forms of the kinds' patterns: they match the same spans, and each run of characters is
 #: scanned once (a match starts where its run starts, or where the last match ended).
@@ -134,50 +134,83 @@ def _keys(text: str) -> list[Column]:
 
 
 def found(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, t1, t2, spans: struct of an array a kind), settled; t1 and t2 are hashes of the text."""
+    """(doc_id, t1, t2, who, spans: struct of an array a kind, hs: terms of a text with a span), settled; t1 and t2 are
+    hashes of the text, who is one of the id."""
     spans = F.struct(*(c.alias(k) for k, c in base_spans(F.col(text)).items()))
-    return settle(docs.select(F.col(doc_id).alias("doc_id"), *_keys(text), spans.alias("spans")), "spans")
+    every = docs.select(F.col(doc_id).alias("doc_id"), *_keys(text), _who(doc_id), F.col(text).alias("text"), spans.alias("spans"))
+    some = F.expr(" or ".join(f"size(spans.{k}) > 0" for k in KINDS))
+    return settle(every.select("doc_id", "t1", "t2", "who", "spans", F.when(some, _terms(F.col("text"))).alias("hs")), "spans")
 
 
-def disclosing(docs: DataFrame, spans: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(t1, t2, terms: array of struct(start, end)): the disclosing terms of each text that has any."""
+def _who(doc_id: str) -> Column:
+    return F.xxhash64(doc_id).alias("who")
+
+
+def copies_of(spans: DataFrame) -> DataFrame:
+    """(t1, t2, copies, who): the rows of each text, and one of them, settled."""
+    return settle(spans.groupBy("t1", "t2").agg(F.count("*").alias("copies"), F.min("who").alias("who")), "copies")
+
+
+def term_pairs(spans: DataFrame) -> DataFrame:
+    """(entity, h, n_both, n_entity) by distinct texts: of the texts that mention the entity, and those that hold the term too."""
     tagged = F.concat(*(F.transform(F.col("spans").getField(k), lambda s: _entity(F.lit(k), s["value"])) for k in KINDS))  # noqa: B023
-    some = " or ".join(f"size(spans.{k}) > 0" for k in KINDS)
-    mentions = spans.where(some).select("t1", "t2", F.array_distinct(F.transform(tagged, lambda e: F.xxhash64(e))).alias("entities"))
-    mentions = settle(mentions.dropDuplicates(["t1", "t2"]), "mentions")
-    texts = docs.select(*_keys(text), F.col(text).alias("text"))
-    # The terms of texts with a mention, once a text: the others' are only counted.
-    beside = texts.join(mentions, ["t1", "t2"]).select("t1", "t2", "entities", _terms(F.col("text")).alias("hs")).dropDuplicates(["t1", "t2"])
+    mentions = spans.where("hs is not null").select("t1", "t2", F.array_distinct(F.transform(tagged, lambda e: F.xxhash64(e))).alias("entities"), "hs")
+    mentions = settle(mentions.groupBy("t1", "t2").agg(F.first("entities").alias("entities"), F.first("hs").alias("hs")), "mentions")
     of_entity = mentions.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = beside.select(F.explode("entities").alias("entity"), "hs").select("entity", F.explode("hs").alias("h")).groupBy("entity", "h").agg(F.count("*").alias("n_both"))
-    pairs = settle(pairs.join(of_entity, "entity"), "pairs")
-    copies = settle(spans.groupBy("t1", "t2").agg(F.count("*").alias("copies")), "copies")
+    pairs = mentions.select(F.explode("entities").alias("entity"), "hs").select("entity", F.explode("hs").alias("h")).groupBy("entity", "h").agg(F.count("*").alias("n_both"))
+    return settle(pairs.join(of_entity, "entity"), "pairs")
+
+
+def disclosing(docs: DataFrame, spans: DataFrame, copies: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(t1, t2, terms: array of struct(start, end)): the disclosing terms of each text that has any."""
+    pairs = term_pairs(spans)
+    texts = docs.select(*_keys(text), _who(doc_id), F.col(text).alias("text"))
     total = copies.count()
     # Each copy of a text counts for its part, so that a text counts once in all.
-    repeated = settle(copies.where("copies > 1"), "repeated")
+    repeated = settle(copies.where("copies > 1").select("t1", "t2", "copies"), "repeated")
     if repeated.count() <= FEW:
         repeated = F.broadcast(repeated)
     part = 1.0 / F.coalesce(F.col("copies"), F.lit(1))
     counted = texts.join(repeated, ["t1", "t2"], "left").select(part.alias("part"), F.explode(_terms(F.col("text"))).alias("h"))
     # Counted before the join, with a partial aggregate in each task: what is shuffled are distinct words.
-    spread = counted.groupBy("h").agg(F.round(F.sum("part")).alias("n_term"))
+    spread = settle(counted.groupBy("h").agg(F.round(F.sum("part")).cast("long").alias("n_term")), "spread")
     information = -F.log2(F.col("n_entity") / total)
     revealed = F.log2(F.col("n_both") * F.lit(float(total)) / ((F.col("n_entity") + 1) * (F.col("n_term") + 1)))
     telling = pairs.join(spread, "h").where((information > 0) & (revealed >= threshold * information)).select("h").distinct()
     telling = settle(telling, "telling")
+    words = texts.select("t1", "t2", F.explode(_terms(F.col("text"))).alias("h"))
     if telling.count() <= FEW:
         telling = F.broadcast(telling)
-    held = texts.select("t1", "t2", F.explode(_terms(F.col("text"))).alias("h")).join(telling, "h").groupBy("t1", "t2").agg(F.collect_set("h").alias("told"))
-    told = _matches(F.col("text"), WORD, lambda w: F.array_contains("told", F.xxhash64(_term(w))))
-    hits = texts.join(settle(held, "told"), ["t1", "t2"])
-    return hits.select("t1", "t2", F.transform(told, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("terms")).dropDuplicates(["t1", "t2"])
+    else:
+        # Telling terms are rare: the commonest others, up to FEW of them, are kept out of the shuffle.
+        words = words.join(F.broadcast(_commonest(spread, FEW).join(telling, "h", "left_anti")), "h", "left_anti")
+    told = words.join(telling, "h").groupBy("t1", "t2").agg(F.collect_set("h").alias("told"))
+    # One row of each text is read again; with its id in the key, copies do not meet in a task.
+    told = settle(told.join(copies.select("t1", "t2", "who"), ["t1", "t2"]), "told")
+    hits = texts.hint("merge").join(told.hint("merge"), ["t1", "t2", "who"]).dropDuplicates(["t1", "t2", "who"])
+    places = _matches(F.col("text"), WORD, lambda w: F.array_contains("told", F.xxhash64(_term(w))))
+    return settle(hits.select("t1", "t2", F.transform(places, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("terms")), "terms")
+
+
+def _commonest(spread: DataFrame, most: int) -> DataFrame:
+    """(h): at most `most` terms, those of the highest powers of two of n_term."""
+    power = F.length(F.bin(F.greatest("n_term", F.lit(1))))
+    sizes = dict(spread.groupBy(power.alias("k")).agg(F.count("*")).collect())  # at most 64 rows
+    held, least = 0, 65
+    for k in sorted(sizes, reverse=True):
+        held += sizes[k]
+        if held > most:
+            break
+        least = k
+    return spread.where(power >= least).select("h")
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """(doc_id, t1, t2, spans, all: sorted array of struct(start, rank, end, kind)) for every row."""
     spans = found(docs, doc_id, text)
-    extra = settle(disclosing(docs, spans, text, **how), "terms").withColumnsRenamed({"t1": "u1", "t2": "u2"})
-    joined = spans.join(extra, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")), "left").drop("u1", "u2")
+    copies = copies_of(spans)
+    extra = disclosing(docs, spans, copies, doc_id, text, **how)
+    joined = join_hot(spans.select("doc_id", "t1", "t2", "spans"), extra, ["t1", "t2"], copies, "copies", spans.count(), "left")
 
     def listed(kind: str, spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(_ORDER[kind]).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
@@ -196,15 +229,17 @@ def written(spans: Column) -> Column:
 
 def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """df with every span of its text generalised to its kind, as <EMAIL>; of overlapping spans the first, longest stays."""
-    of_text = report(df, doc_id, text, **how).select("t1", "t2", "all").where("size(all) > 0").dropDuplicates(["t1", "t2"])
-    keys = (F.xxhash64(text) == F.col("t1")) & (F.xxhash64(F.lit(1), text, F.length(text)) == F.col("t2"))
+    every, one, two = (fresh(df, f"sanitise_{c}") for c in ("all", "t1", "t2"))
+    of_text = report(df, doc_id, text, **how).select(F.col("t1").alias(one), F.col("t2").alias(two), F.col("all").alias(every))
+    of_text = of_text.where(F.size(every) > 0).dropDuplicates([one, two])
+    keys = (F.xxhash64(text) == F.col(one)) & (F.xxhash64(F.lit(1), text, F.length(text)) == F.col(two))
     joined = df.join(of_text, keys, "left")
 
     def apart(state: Column, s: Column) -> Column:
         return F.when(s["start"] >= F.coalesce(F.try_element_at(state, F.lit(-1))["end"], F.lit(0)), F.concat(state, F.array(s))).otherwise(state)
 
-    ordered = F.array_sort("all", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    spans = F.aggregate(ordered, F.slice("all", 1, 0), apart)
+    ordered = F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    spans = F.aggregate(ordered, F.slice(every, 1, 0), apart)
 
     def written_over(chars: Column, spans: Column) -> Column:
         def part(s: Column, i: Column) -> Column:
@@ -216,5 +251,5 @@ def sanitise(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -
 
     # split("") gives the characters, with surrogate pairs kept together by the pattern.
     chars = F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))
-    clean = F.when(F.size("all") > 0, let(chars, lambda c: let(spans, lambda s: written_over(c, s)))).otherwise(F.col(text))
+    clean = F.when(F.size(every) > 0, let(chars, lambda c: let(spans, lambda s: written_over(c, s)))).otherwise(F.col(text))
     return joined.select(*(clean.alias(c) if c == text else F.col(c) for c in df.columns))

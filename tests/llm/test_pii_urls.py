@@ -1,11 +1,15 @@
+import collections
 import hashlib
+import math
+import random
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spanwise.llm import pii, url_filters
+from spanwise.llm import common, pii, url_filters
 
 from .data import frame
 
@@ -89,11 +93,67 @@ def test_copies_do_not_hide_a_term(spark):
     assert all(f"term:{at}:{at + 6}" in out[i] for i in range(200))
 
 
+def brute_all(rows, threshold=0.75):
+    """doc_id -> all spans, by the definitions: mutual information over distinct texts, every standing of a telling term."""
+    term = lambda w: "".join(c for c in w if c.isalnum()).lower()
+    words = lambda t: [(m.start(), m.end(), term(m[0])) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+    texts = {t for _, t, *_ in rows}
+    terms = {t: {w for _, _, w in words(t) if len(w) > 2} for t in texts}
+    mentions = {}
+    for t in texts:
+        for kind, pattern in PATTERNS.items():
+            for m in re.finditer(pattern, t or ""):
+                if valid(kind, m[0]):
+                    mentions.setdefault(t, set()).add((kind, re.sub("[^0-9]", "", m[0]) if kind in ("card", "phone") else m[0].lower()))
+    of_term, of_entity, both = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in texts:
+        of_term.update(terms[t])
+        of_entity.update(mentions.get(t, ()))
+        both.update((e, w) for e in mentions.get(t, ()) for w in terms[t])
+    told = set()
+    for (e, w), n in both.items():
+        information = -math.log2(of_entity[e] / len(texts))
+        if information > 0 and math.log2(n * len(texts) / ((of_entity[e] + 1) * (of_term[w] + 1))) >= threshold * information:
+            told.add(w)
+    out = []
+    for i, t, *_ in rows:
+        base = [(m.start(), n, m.end(), k) for n, (k, p) in enumerate(PATTERNS.items()) for m in re.finditer(p, t or "") if valid(k, m[0])]
+        spans = base + [(a, 4, z, "term") for a, z, w in words(t) if w in told and not any(s < z and a < e for s, _, e, _ in base)]
+        out.append((i, ",".join(f"{k}:{a}:{z}" for a, _, z, k in sorted(spans))))
+    return out, told
+
+
+@pytest.mark.parametrize("few, hot", [(10**6, 1000), (20, 4), (0, 10**9)])
+def test_spans_against_brute_force(spark, monkeypatch, few, hot):
+    """Whether telling terms and copies are joined by broadcasts or by shuffles, and texts hot or not."""
+    monkeypatch.setattr(pii, "FEW", few)
+    monkeypatch.setattr(common, "HOT_KEYS", hot)
+    rnd = random.Random(9)
+    common_words = [f"word{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        words = [rnd.choice(common_words) for _ in range(rnd.randint(3, 40))]
+        if i % 4 == 0:
+            words.insert(rnd.randrange(len(words)), rnd.choice(["x@y.org", "(Anna@b.com)", f"u{i}@c.net", "+49 30 1234567", f"10.0.{i % 7}.{i % 250}"]))
+            words.insert(rnd.randrange(len(words)), rnd.choice(["Zoltán,", f"Name{i}", "QUIXOTE", "quixote!"]))
+        rows.append((i, " ".join(words), None, None, None))
+    rows += [(1000 + i, rows[rnd.choice([0, 4, 8])][1], None, None, None) for i in range(60)]
+    rows += [(2000, None, None, None, None), (None, rows[0][1], None, None, None), (4, rows[0][1], None, None, None), (4, rows[0][1], None, None, None), (2001, "", None, None, None)]
+    want, told = brute_all(rows)
+    assert len(told) > 30
+    got = [tuple(r) for r in pii.report(frame(spark, rows)).select("doc_id", pii.written(F.col("all")).alias("s")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_pii_edges(spark):
     assert pii.report(frame(spark, empty=True)).count() == 0
     rows = [(None, None, None, None, None), (1, "🙂 a@b.c", None, None, None), (1, "🙂 a@b.c", None, None, None)]
-    clash = frame(spark, rows).withColumns({"all": F.lit(1), "t1": F.lit(2)})
-    assert sorted(str(r.text) for r in pii.sanitise(clash.drop("all", "t1")).collect()) == ["None", "🙂 <EMAIL>", "🙂 <EMAIL>"]
+    clash = frame(spark, rows).withColumns({c: F.lit(1) for c in ("all", "t1", "t2", "who", "spans", "hs", "base", "sanitise_all")})
+    out = pii.sanitise(clash)
+    assert out.columns == clash.columns and sorted(str(r.text) for r in out.collect()) == ["None", "🙂 <EMAIL>", "🙂 <EMAIL>"]
+    long = "Quixote " + "word " * 30_000 + "q@long.example"
+    got = pii.report(frame(spark, [(1, long, None, None, None), *((i, f"word {i}", None, None, None) for i in range(2, 400))])).where("doc_id = 1").select(pii.written(F.col("all"))).first()[0]
+    assert got == f"term:0:7,email:{len(long) - 14}:{len(long)}"
     assert hashlib.sha256(b"").hexdigest() == pii.report(frame(spark, rows)).where("doc_id is null").select(F.sha2(pii.written(F.col("base")), 256)).first()[0]
 
 
