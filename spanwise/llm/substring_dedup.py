@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import join_hot, settle, small_batches
 from .textblock import BYTE_BASE_2, WORD_BASE, WORD_BASE_2, Block, all_blocks
 
 WIDTH, SPAN = 50, 25
@@ -82,15 +82,15 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
                     [pa.array(best[new].view(np.int64)), part.column("doc_id").take(pa.array(doc)), part.column("tx").take(pa.array(doc))], names=["h", "doc_id", "tx"]
                 )
 
-    known = docs.select("doc_id", F.xxhash64("text").alias("tx"), F.sha2("text", 256).alias("sha"))
-    copies = settle(
-        known.join(known.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "sha")
-        .where("doc_id > first").select("doc_id", "tx").distinct(), "copies",
-    )
+    known = settle(docs.select("doc_id", F.xxhash64("text").alias("tx"), F.sha2("text", 256).alias("sha")), "known")
+    shas = settle(known.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "shas")
+    copies = join_hot(known, shas.drop("n"), ["sha"], shas, "n", known.count())
+    copies = settle(copies.where("doc_id > first").select("doc_id", "tx").distinct(), "copies")
     marks = settle(docs.select("doc_id", "text", F.xxhash64("text").alias("tx")).mapInArrow(find, "h long, doc_id long, tx long"), "anchors")
-    common = marks.groupBy("h").agg(F.min("tx").alias("a"), F.max("tx").alias("z")).where("a <> z").select("h")
+    common = marks.groupBy("h").agg(F.min("tx").alias("a"), F.max("tx").alias("z"), F.count("*").alias("n")).where("a <> z").select("h", "n")
+    common = settle(common, "common")
     own = ["doc_id", "tx"]
-    wanted = marks.join(common, "h").groupBy(*own).agg(F.collect_set("h").alias("hs"))
+    wanted = join_hot(marks, common.select("h"), ["h"], common, "n", marks.count()).groupBy(*own).agg(F.collect_set("h").alias("hs"))
     suspects = docs.withColumn("tx", F.xxhash64("text")).join(wanted.join(copies, own, "left_anti"), own).select(*own, "text", "hs")
 
     def hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +123,9 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
                 )
 
     windows = settle(suspects.mapInArrow(hash_windows, "h1 long, h2 long, doc_id long, tx long, at int"), "windows")
-    firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    later = windows.join(firsts, ["h1", "h2"]).where("doc_id > first")
+    firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
+    firsts = settle(firsts, "firsts")
+    later = join_hot(windows, firsts.select("h1", "h2", "first"), ["h1", "h2"], firsts, "n", windows.count()).where("doc_id > first")
     return later.groupBy(*own).agg(F.collect_set("at").alias("at")).unionByName(copies.select(*own, F.lit(None).cast("array<int>").alias("at")))
 
 
