@@ -11,8 +11,8 @@ Budgets: sources weigh by their place in code point order (null last), cyclicall
 weight (water-filling). A target of more than one source size repeats whole epochs first.
 
 Defined results: null texts have size 0 and are taken 0 times; a null source is a source of its own; a
-null id has a key too; equal keys are ordered by id, size and text, and rows equal in all of these get
-one verdict each (all of them the cut document's, if they are it); an empty table gives none. Columns
+null id has a key too; equal keys are ordered by id, size and text, and rows equal in all of these share
+evenly, rounded down, what the cut takes of them, if they are it; an empty table gives none. Columns
 of the input pass through; new names avoid them.
 """
 
@@ -66,7 +66,9 @@ def cuts(slim: DataFrame, goals: DataFrame, rows: int = ROWS) -> DataFrame:
     last = dealt.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).where("start <= rest and rest < start + total")
     inside = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
     run = last.withColumn("before", F.col("start") + F.coalesce(inside, F.lit(0)))
-    cut = run.where("before <= rest and rest < before + size").select(F.col("source").alias("s"), F.col("place").alias("cut"), (F.col("rest") - F.col("before")).alias("part"))
+    # Rows equal in their place cannot be told apart: they share evenly what the cut takes of them.
+    same = run.groupBy("source", "place", "rest", "size").agg(F.min("before").alias("before"), F.count("*").alias("n"))
+    cut = same.where("before <= rest and rest < before + n * size").select(F.col("source").alias("s"), F.col("place").alias("cut"), F.expr("(rest - before) div n").alias("part"))
     return goals.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rows", "rest", "buckets")
 
 
@@ -76,13 +78,14 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     place = F.struct(_key(F.col(doc_id)).alias("key"), F.col(doc_id).alias("id"), n_words(F.col(text)).alias("size"), F.xxhash64(text).alias("text"))
     slim = settle(df.select(F.col(source).alias("source"), n_words(F.col(text)).alias("size"), place.alias("place")), "sizes")
     cut = settle(cuts(slim, targets(slim, **how)), "cuts")
-    cut = cut.select(F.col("source").alias(names["source"]), *(F.col(c).alias(f"_{c}") for c in ("source_size", "target", "epochs", "cut", "part")))
+    of = {c: fresh(df, f"mix_of_{c}") for c in ("source_size", "target", "epochs", "cut", "part")}
+    cut = cut.select(F.col("source").alias(names["source"]), *(F.col(c).alias(n) for c, n in of.items()))
     full = df.withColumn(names["place"], place).withColumn(names["size"], F.col(names["place"]).getField("size"))
     full = full.join(cut, F.col(source).eqNullSafe(F.col(names["source"])), "left")
     size, at = F.col(names["size"]), F.col(names["place"])
-    more = F.when(F.col("_cut").isNull(), 0).when(at < F.col("_cut"), size).when(at == F.col("_cut"), F.col("_part")).otherwise(0)
-    taken = F.col("_epochs") * size + more
-    new = [size, F.col("_source_size").alias(names["source_size"]), F.col("_target").alias(names["target"]), taken.cast("long").alias(names["taken"])]
+    more = F.when(F.col(of["cut"]).isNull(), 0).when(at < F.col(of["cut"]), size).when(at == F.col(of["cut"]), F.col(of["part"])).otherwise(0)
+    taken = F.col(of["epochs"]) * size + more
+    new = [size, F.col(of["source_size"]).alias(names["source_size"]), F.col(of["target"]).alias(names["target"]), taken.cast("long").alias(names["taken"])]
     return full.select(*df.columns, *new), names
 
 

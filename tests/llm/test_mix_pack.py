@@ -65,6 +65,17 @@ def test_mix_edges(spark):
     assert {(r.doc_id, r[names["size"]]) for r in out.collect()} == {(1, 0), (2, 0), (None, 2)}
 
 
+def test_equal_rows_share_the_cut(spark):
+    rows = [(7, "a b c d e f g h i j", None, "a", None)] * 10 + [(i, "x y", None, "b", None) for i in range(1000)]
+    clash = frame(spark, rows).withColumns({c: F.lit(1) for c in ("_cut", "mix_size", "mix_of_cut", "key", "place", "size", "target", "cut")})
+    out, names = s.mix(clash)
+    got = [(r.source, r[names["taken"]], r[names["target"]]) for r in out.collect()]
+    taken = [x for source, x, _ in got if source == "a"]
+    target = next(x for source, _, x in got if source == "a")
+    assert len(set(taken)) == 1 and target - 10 < sum(taken) <= target
+    assert s.mixed(clash).columns == clash.columns
+
+
 def test_word_ids_equal_the_tokenizer():
     words = p.WordIds()
     odd = [
