@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, small_batches
+from .common import fresh, settle, small_batches
 from .textblock import WORD_BASE, Block, all_blocks, mixed, span_hashes
 
 SHINGLE, LEAST, BANDS, ROWS, BUCKETS = 5, 0.8, 12, 4, 1 << 16
@@ -303,5 +303,6 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """df without the documents whose class has a smaller id; columns as before."""
-    gone = settle(classes(df, doc_id, text, least).where("class_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return df.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    name = fresh(df, "near_dedup_gone")
+    gone = settle(classes(df, doc_id, text, least).where("class_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return df.join(gone, F.col(doc_id) == F.col(name), "left_anti")

@@ -46,6 +46,13 @@ def test_substring_dedup_edges(spark):
     assert got[1].n_removed == 0 and got[2].n_words - got[2].n_removed <= 2
 
 
+def test_substring_dedup_hot_keys(spark, monkeypatch):
+    want = sorted((r.doc_id, r.kept_sha256) for r in substring_dedup.dedup(frame(spark)).collect())
+    for keys in (3, 10**9):
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        assert sorted((r.doc_id, r.kept_sha256) for r in substring_dedup.dedup(frame(spark)).collect()) == want
+
+
 def test_minimisers_are_leftmost():
     values = np.array([3, 1, 1, 2, 0, 5], np.uint64)
     best, at = substring_dedup.smallest(values, 3)
@@ -202,7 +209,7 @@ def test_near_dedup_edges(spark):
     rows = [(None, "a b c d e f", None, None, None), (3, "a b c d e f", None, None, None), (3, "a b c d e f", None, None, None), (4, None, None, None, None), (5, "", None, None, None)]
     got = sorted(near_dedup.classes(frame(spark, rows)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
     assert [(r.doc_id, r.class_id) for r in got] == [(None, None), (3, 3), (3, 3), (4, 4), (5, 5)]
-    clash = frame(spark, rows).withColumn("class_id", F.lit(0))
+    clash = frame(spark, rows).withColumns({c: F.lit(0) for c in ("class_id", "_gone", "near_dedup_gone", "sha", "head", "root")})
     assert near_dedup.one_of_each(clash).columns == clash.columns
 
 
