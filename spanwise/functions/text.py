@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def normalise(text: Column) -> Column:
-    """Without [a~b] time marks, and of the rest only digits, Latin letters and Hangul."""
-    return F.regexp_replace(F.regexp_replace(text, r"\[[^\]]*~[^\]]*\]", ""), r"[^0-9A-Za-z\x{AC00}-\x{D7A3}]", "")
+    """Without [a~b] or [a-b] time marks, and of the rest only digits, Latin letters and Hangul."""
+    marks = r"(?U)\[\s*\d+(?:\.\d+)?\s*[~-]\s*\d+(?:\.\d+)?\s*\]"
+    return F.regexp_replace(F.regexp_replace(text, marks, " "), r"[^0-9A-Za-z\x{AC00}-\x{D7A3}]", "")
 
 
 def strip_speaker(text: Column) -> Column:
@@ -56,16 +57,8 @@ def cut_title(text: Column, most: int = 20) -> Column:
 
 def wrap(text: Column, width: int) -> Column:
     """Array of lines of at most `width` characters, filled word by word; longer words have their own."""
-
-    def add(lines: Column, word: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        fits = F.length(last) + 1 + F.length(word) <= width
-        return F.when(last.isNull() | ~fits, F.concat(lines, F.array(word))).otherwise(
-            F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(F.concat_ws(" ", last, word)))
-        )
-
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.aggregate(words, F.array().cast("array<string>"), add)
+    words = F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
+    return F.regexp_extract_all(words, F.lit(rf"([^\n]{{1,{width}}}|[^ ]+)(?: |$)"), F.lit(1))
 
 
 def alike(a: Column, b: Column) -> Column:

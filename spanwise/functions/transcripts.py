@@ -1,4 +1,4 @@
-"""Transcripts: notation rules, misplaced quotes, sentence splits, key terms, credits, summaries."""
+"""Transcripts: notation rules, sentence splits, key terms, credits, summaries."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.intervals import clusters
-from .text import normalise
-
-#: Sino-Korean tens and units that stand for digits before a counted noun.
-TENS = {"십": 10, "이십": 20, "삼십": 30, "사십": 40, "오십": 50, "육십": 60, "칠십": 70, "팔십": 80, "구십": 90}
-
 
 def restore_notation(text: Column, rules: dict[str, str]) -> tuple[Column, Column]:
     """Text with whole words replaced by rule, longest first, and an array `from→to` of the rules used."""
@@ -24,28 +19,6 @@ def restore_notation(text: Column, rules: dict[str, str]) -> tuple[Column, Colum
     return text, F.concat(*used) if used else F.array().cast("array<string>")
 
 
-def quotes(df: DataFrame, keys: Sequence[str], least: int = 10) -> DataFrame:
-    """(keys, quote_idx, quote): normalised quotes of a candidate's transcript and array `lines`."""
-    every = F.concat(F.array(F.coalesce("transcript", F.lit(""))), F.coalesce("lines", F.array().cast("array<string>")))
-    return df.select(*keys, F.posexplode(F.transform(every, normalise)).alias("quote_idx", "quote")).where(F.length("quote") >= least)
-
-
-def misplaced(candidates: DataFrame, segments: DataFrame, keys: Sequence[str], slack: int = 5000, share: float = 0.6) -> DataFrame:
-    """keys with `problem`: the first quote that a segment holds lies outside the candidate by more than `slack`.
-
-    A quote's leading `share` (10 characters at least) is searched in segments of the same source; candidates
-    and segments meet on the ten characters it starts with."""
-    q = quotes(candidates, keys).withColumn("part", F.left("quote", F.greatest(F.lit(10), F.floor(F.length("quote") * share)).cast("int")))
-    q = q.withColumn("head", F.left("quote", F.lit(10)))
-    s = segments.select("source_id", "start_ms", normalise(F.col("text")).alias("n"))
-    heads = F.array_distinct(F.regexp_extract_all("n", F.lit("(?=(.{10}))"), F.lit(1)))
-    s = s.select("source_id", F.col("start_ms").alias("at_ms"), "n", F.explode(heads).alias("head"))
-    hits = q.join(s, ["source_id", "head"]).where(F.expr("position(part in n) > 0"))
-    hits = hits.join(candidates.select(*keys, "start_ms", "end_ms"), list(keys)).withColumn("near", F.col("at_ms").between(F.col("start_ms") - slack, F.col("end_ms") + slack))
-    first = hits.groupBy(*keys, "quote_idx").agg(F.bool_or("near").alias("near")).groupBy(*keys).agg(F.min_by("near", "quote_idx").alias("near"))
-    return candidates.select(*keys).join(first, list(keys), "left").select(*keys, (~F.coalesce("near", F.lit(True))).alias("problem"))
-
-
 def split_sentences(words: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     """Words to sentences: each ends with a word that ends in . ! or ?"""
     w = Window.partitionBy(*by).orderBy(order)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .channels import last_wins
-from .intervals import edit_axis, overlap, overlap_join, union
+from .intervals import HOUR, absorb_short, edit_axis, overlap, overlap_join, union
 
 KEY = ("chunk_index", "candidate_index")
 
@@ -92,19 +92,29 @@ def choose(name: Column, known: dict[str, str], default: str | None = None) -> C
 
 @dataclass(frozen=True)
 class SilenceProfile:
-    """Which gaps are protected. Two presets."""
+    """Which gaps are cut and which protected. gap_level: each gap for itself, not the clip as a whole; cap: how
+    much of a protected gap stays (None: all). Fixed values: two presets."""
 
-    widest: int = 800
+    gap_level: bool = False
+    widest: int = 400
     pad: int = 150
     least: int = 300
     keep_unknown: bool = True
     keep_action: bool = True
     keep_edges: bool = True
     keep_speaker_change: bool = True
+    cap: int | None = None
 
 
 CONSERVATIVE = SilenceProfile()
-AGGRESSIVE = SilenceProfile(300, 120, 300, False, False, False, True)
+AGGRESSIVE = SilenceProfile(True, 300, 120, 300, False, False, False, True, 1000)
+
+
+def silence_profile(name: str | None) -> SilenceProfile:
+    """A preset by name; the conservative one for an unknown name or none."""
+    return {"aggressive": AGGRESSIVE}.get((name or "").strip().lower(), CONSERVATIVE)
+
+
 NARRATION = "[내레이션]"
 #: Words of a description that mark a visual beat.
 ACTIONS = (
@@ -128,21 +138,62 @@ def gap_is_safe(known: Column, essential: Column, description: Column, before: C
     return rule.otherwise(F.lit(True))
 
 
+def with_candidates(clips: DataFrame, found: DataFrame) -> DataFrame:
+    """clips with known, essential and description of their candidate; found: lookup()'s rows, one a (chunk, candidate)."""
+    own = found.select("chunk_index", "candidate_index", F.lit(True).alias("known"), F.col("visual_essential").alias("essential"), "description")
+    return clips.join(own, ["chunk_index", "candidate_index"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def cut_clips(clips: DataFrame, segments: DataFrame, by: Sequence[str], key: str, profile: SilenceProfile = CONSERVATIVE) -> DataFrame:
-    """Clip-level silence cut: pieces (by, key, island, start_ms, end_ms) of each clip. A clip with a wide gap
-    that is not safe, or without speech, stays whole. clips: known, visual_essential, description besides times."""
-    s = segments.select(*by, F.col("seg_idx"), F.col("text"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
-    met = overlap_join(clips, s, by)
-    order = Window.partitionBy(*by, key).orderBy("r_start", "seg_idx")
-    safe = gap_is_safe(F.col("known"), F.col("visual_essential"), F.col("description"), F.col("text"), F.lead("text").over(order), profile)
+    """Silence cut aware of the story: pieces (by, key, piece, start_ms, end_ms) of each clip, by the profile's level.
+
+    A clip that is visual_essential itself, or has no speech, stays whole. At clip level one wide gap that is not safe
+    keeps the whole clip, else every gap beyond the pads goes. At gap level safe wide gaps go, protected ones stay, or
+    keep half the cap on either side; a gap is measured from the farthest end so far, and no piece starts before the
+    last one's end. Short pieces join the one before. clips: known, essential, description, visual_essential besides times."""
+    s = segments.select(*by, "seg_idx", "text", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    met = overlap_join(clips.where(~F.coalesce("visual_essential", F.lit(False))), s, by)
+    pieces = (_gap_level if profile.gap_level else _clip_level)(met, [*by, key], profile)
+    cut = absorb_short(pieces.where("end_ms > start_ms"), [*by, key], profile.least)
+    whole = clips.join(cut.select(*by, key).distinct(), [*by, key], "left_anti")
+    return cut.unionByName(whole.select(*by, key, F.lit(1).cast("long").alias("piece"), "start_ms", "end_ms"))
+
+
+def _padded(profile: SilenceProfile) -> tuple[Column, Column]:
+    return F.greatest("start_ms", F.col("r_start") - profile.pad), F.least("end_ms", F.col("r_end") + profile.pad)
+
+
+def _clip_level(met: DataFrame, keys: list[str], profile: SilenceProfile) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("r_start", "seg_idx")
+    safe = gap_is_safe(F.col("known"), F.col("essential"), F.col("description"), F.col("text"), F.lead("text").over(order), profile)
     wide = F.lead("r_start").over(order) - F.col("r_end") >= profile.widest
-    held = met.withColumn("_held", F.coalesce(wide & ~safe, F.lit(False))).groupBy(*by, key).agg(F.bool_or("_held").alias("held"))
-    padded = met.join(held.where("not held"), [*by, key]).select(
-        *by, key, F.greatest("start_ms", F.col("r_start") - profile.pad).alias("a"), F.least("end_ms", F.col("r_end") + profile.pad).alias("z")
-    )
-    cut = union(padded, [*by, key], "a", "z").select(*by, key, "island", F.col("a").alias("start_ms"), F.col("z").alias("end_ms"))
-    whole = clips.join(held.where("not held"), [*by, key], "left_anti").select(*by, key, F.lit(1).cast("long").alias("island"), "start_ms", "end_ms")
-    return cut.unionByName(whole)
+    held = met.withColumn("_held", F.coalesce(wide & ~safe, F.lit(False))).groupBy(*keys).agg(F.bool_or("_held").alias("held"))
+    a, z = _padded(profile)
+    padded = met.join(held.where("not held"), keys).select(*keys, a.alias("a"), z.alias("z"))
+    return union(padded, keys, "a", "z").select(*keys, F.col("a").alias("start_ms"), F.col("z").alias("end_ms"))
+
+
+def _gap_level(met: DataFrame, keys: list[str], profile: SilenceProfile) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("r_start", "seg_idx")
+    so_far = F.max("r_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.col("r_start") - F.col("_far")
+    safe = gap_is_safe(F.col("known"), F.col("essential"), F.col("description"), F.lag("text").over(order), F.col("text"), profile)
+    a, z = _padded(profile)
+    rows = met.withColumns({"_far": so_far, "_a": a, "_z": z, "_safe": safe})
+    rows = rows.withColumn("_cut", F.coalesce((gap >= profile.widest) & F.col("_safe"), F.lit(False)))
+    capped = F.lit(False) if profile.cap is None else F.coalesce(~F.col("_cut") & (gap > profile.cap), F.lit(False))
+    rows = rows.withColumn("_capped", capped)
+    half = (profile.cap or 0) // 2
+    rows = rows.withColumn("_piece", F.sum(F.when(F.col("_cut") | F.col("_capped"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min_by(F.struct("_a", "_far", "_capped", "r_start", "start_ms", "end_ms"), F.struct("r_start", "seg_idx")).alias("first")
+    islands = rows.groupBy(*keys, "_piece").agg(first, F.max("_z").alias("_end"))
+    at = Window.partitionBy(*keys).orderBy("_piece")
+    # How far a capped gap leaves the piece before it, and what it leaves of itself.
+    ahead = F.lead("first").over(at)
+    reach = F.when(F.coalesce(ahead["_capped"], F.lit(False)), F.greatest("_end", F.least(ahead["end_ms"], ahead["_far"] + half))).otherwise(F.col("_end"))
+    own = F.when(F.col("first._capped"), F.least(F.col("first._a"), F.greatest(F.col("first.start_ms"), F.col("first.r_start") - half))).otherwise(F.col("first._a"))
+    closed = islands.withColumns({"_reach": reach, "_own": own})
+    return closed.select(*keys, F.greatest("_own", F.coalesce(F.lag("_reach").over(at), F.col("_own"))).alias("start_ms"), F.col("_reach").alias("end_ms"))
 
 
 def removed(clips: DataFrame, pieces: DataFrame, by: Sequence[str], key: str) -> DataFrame:
@@ -163,10 +214,13 @@ def snap_edges(clips: DataFrame, segments: DataFrame, by: Sequence[str], order:
     after it; the last one's end to the latest sentence end (plus `tail`) from `near` before to `far` after."""
     w = Window.partitionBy(*by)
     marked = clips.withColumns({"_first": F.col(order) == F.min(order).over(w), "_last": F.col(order) == F.max(order).over(w)})
-    heads = marked.where("_first").select(*by, "start_ms").join(segments.select(*by, (F.col("start_ms") - lead).alias("t")), list(by))
-    heads = heads.where(F.col("t").between(F.col("start_ms") - far, F.col("start_ms") + near)).groupBy(*by).agg(F.min(F.struct(F.abs(F.col("t") - F.col("start_ms")), "t"))["t"].alias("_head"))
-    tails = marked.where("_last").select(*by, "end_ms").join(segments.select(*by, (F.col("end_ms") + tail).alias("t")), list(by))
-    tails = tails.where(F.col("t").between(F.col("end_ms") - near, F.col("end_ms") + far)).groupBy(*by).agg(F.max("t").alias("_tail"))
+    near_to = lambda rows, points, at, before, after: overlap_join(
+        rows.withColumns({"_from": F.col(at) - before, "_to": F.col(at) + after + 1}), points.select(*by, "t", F.col("t").alias("_p"), (F.col("t") + 1).alias("_q")), by, far + near, "inner", "_from", "_to", "_p", "_q"
+    )
+    heads = near_to(marked.where("_first").select(*by, "start_ms"), segments.select(*by, (F.col("start_ms") - lead).alias("t")), "start_ms", far, near)
+    heads = heads.groupBy(*by).agg(F.min(F.struct(F.abs(F.col("t") - F.col("start_ms")), "t"))["t"].alias("_head"))
+    tails = near_to(marked.where("_last").select(*by, "end_ms"), segments.select(*by, (F.col("end_ms") + tail).alias("t")), "end_ms", near, far)
+    tails = tails.groupBy(*by).agg(F.max("t").alias("_tail"))
     joined = marked.join(heads, list(by), "left").join(tails, list(by), "left")
     start = F.greatest(F.lit(0), F.coalesce("_head", "start_ms"))
     moves = lambda flag, new, old: F.when(F.col(flag) & (F.abs(new - F.col(old)) > still), new).otherwise(F.col(old))
@@ -206,9 +260,12 @@ def place_cues(cues: DataFrame, clips: DataFrame, by: Sequence[str], cue: str, t
     """Cues (source_ms, dur_ms, chunk_index, candidate_index) on the edit axis: in the piece that holds their
     time (one of the same candidate first), else at the next piece of their candidate, else near the end of
     its last one; others go, as does what is too short. clips: clip_idx, c_chunk, c_cand, times, edit_start."""
-    joined = cues.join(clips, list(by))
-    own = (F.col("chunk_index") == F.col("c_chunk")) & (F.col("candidate_index") == F.col("c_cand"))
     t = F.col("source_ms")
+    own = (F.col("chunk_index") == F.col("c_chunk")) & (F.col("candidate_index") == F.col("c_cand"))
+    points = cues.withColumns({"_p": t, "_q": t + 1})
+    holding = overlap_join(points, clips, by, HOUR, "inner", "_p", "_q", "start_ms", "end_ms").where((F.col("start_ms") <= t) & (t < F.col("end_ms")))
+    same = points.join(clips.withColumns({"chunk_index": F.col("c_chunk"), "candidate_index": F.col("c_cand")}), [*by, "chunk_index", "candidate_index"])
+    joined = holding.unionByName(same.select(*holding.columns))
     inside = (F.col("start_ms") <= t) & (t < F.col("end_ms"))
     tier = F.when(inside & own, 1).when(inside, 2).when(own & (F.col("start_ms") >= t), 3).when(own, 4)
     tie = F.when(F.col("_tier") <= 2, F.col("clip_idx")).when(F.col("_tier") == 3, F.col("start_ms")).otherwise(-F.col("end_ms"))
@@ -224,8 +281,9 @@ def place_subtitles(subs: DataFrame, clips: DataFrame, by: Sequence[str], sub: s
     one up to `slop` away; orphans have none, or keep under `least`."""
     w = Window.partitionBy(*by)
     spans = edit_axis(clips, by, ["clip_idx"]).withColumn("_total", F.sum(F.col("end_ms") - F.col("start_ms")).over(w))
-    joined = subs.join(spans.select(*by, "clip_idx", "start_ms", "end_ms", "edit_start", "_total"), list(by))
     t = F.col("source_ms")
+    near = subs.withColumns({"_from": t - slop, "_to": t + slop + 1})
+    joined = overlap_join(near, spans.select(*by, "clip_idx", "start_ms", "end_ms", "edit_start", "_total", (F.col("end_ms") + 1).alias("_end")), by, HOUR, "inner", "_from", "_to", "start_ms", "_end")
     inside = (F.col("start_ms") <= t) & (t < F.col("end_ms"))
     away = F.least(F.abs(t - F.col("start_ms")), F.abs(t - F.col("end_ms")))
     near = (t >= F.col("start_ms") - slop) & (t <= F.col("end_ms") + slop)

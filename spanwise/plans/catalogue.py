@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import folds, graph, intervals, ranking
+from ..operators import folds, graph, intervals, quotes, ranking
 from .views import CANDIDATES, SEGMENTS, candidates, segments, table
 
 QUERIES: dict = {}
@@ -62,7 +62,7 @@ def event_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("source_id", "a_idx", "b_idx", intervals.overlap(*spans).alias("overlap_ms"), F.floor(intervals.iou(*spans) * 1000).cast(LONG).alias("iou_permille"))
 
 
-ZONES = "zones as (select source_id, start_ms as r_start, start_ms + 10800000 as r_end from candidates where cand_idx % 5 = 0)"
+ZONES = "zones as (select source_id, start_ms as r_start, start_ms + 10800000 as r_end from candidates where kind = 'signup')"
 
 
 @query(f"""with {CANDIDATES}, {ZONES}
@@ -71,32 +71,32 @@ select source_id, cand_idx, start_ms, end_ms from candidates c where not exists
     and (least(c.end_ms, z.r_end) - greatest(c.start_ms, z.r_start)) >= 0.5::double * (c.end_ms - c.start_ms))""")
 def event_exclusion_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
-    zones = c.where("cand_idx % 5 = 0").select("source_id", F.col("start_ms").alias("r_start"), (F.col("start_ms") + 10_800_000).alias("r_end"))
+    zones = c.where("kind = 'signup'").select("source_id", F.col("start_ms").alias("r_start"), (F.col("start_ms") + 10_800_000).alias("r_end"))
     return intervals.without_excluded(c, zones, BY).select("source_id", "cand_idx", "start_ms", "end_ms")
 
 
-@query(f"""with {CANDIDATES}, old as (select * from candidates where cand_idx % 2 = 0), new as (select * from candidates where cand_idx % 2 = 1),
+@query(f"""with {CANDIDATES}, old as (select * from candidates where kind in ('view', 'click')), new as (select * from candidates where kind not in ('view', 'click')),
 met as (select n.source_id, n.cand_idx, o.cand_idx as old_idx, o.kind as old_kind,
           row_number() over (partition by n.source_id, n.cand_idx order by least(n.end_ms, o.end_ms) - greatest(n.start_ms, o.start_ms) desc, o.cand_idx) as rn
         from new n join old o on n.source_id = o.source_id and n.start_ms < o.end_ms and n.end_ms > o.start_ms)
 select n.source_id, n.cand_idx, m.old_idx, m.old_kind from new n left join met m on m.source_id = n.source_id and m.cand_idx = n.cand_idx and m.rn = 1""")
 def event_best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
-    new = c.where("cand_idx % 2 = 1").select("source_id", "cand_idx", "start_ms", "end_ms")
-    old = c.where("cand_idx % 2 = 0").select("source_id", F.col("cand_idx").alias("old_idx"), F.col("kind").alias("old_kind"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    new = c.where("kind not in ('view', 'click')").select("source_id", "cand_idx", "start_ms", "end_ms")
+    old = c.where("kind in ('view', 'click')").select("source_id", F.col("cand_idx").alias("old_idx"), F.col("kind").alias("old_kind"), F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
     return intervals.best_overlap(new, old, BY, "cand_idx", "old_idx", ["old_idx", "old_kind"]).select("source_id", "cand_idx", "old_idx", "old_kind")
 
 
 @query(f"""with {CANDIDATES}, met as (
   select a.source_id, a.cand_idx, b.start_ms as near_ms, b.cand_idx as near_idx,
          row_number() over (partition by a.source_id, a.cand_idx order by abs(a.start_ms - b.start_ms), b.cand_idx desc) as rn
-  from candidates a join candidates b on a.source_id = b.source_id and a.cand_idx % 2 = 1 and b.cand_idx % 2 = 0 and abs(a.start_ms - b.start_ms) <= 7200000)
+  from candidates a join candidates b on a.source_id = b.source_id and a.kind <> 'view' and b.kind = 'view' and abs(a.start_ms - b.start_ms) <= 7200000)
 select a.source_id, a.cand_idx, m.near_ms, m.near_idx from candidates a
-left join met m on a.source_id = m.source_id and a.cand_idx = m.cand_idx and m.rn = 1 where a.cand_idx % 2 = 1""")
+left join met m on a.source_id = m.source_id and a.cand_idx = m.cand_idx and m.rn = 1 where a.kind <> 'view'""")
 def event_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
-    rows = c.where("cand_idx % 2 = 1").select("source_id", "cand_idx", "start_ms")
-    points = c.where("cand_idx % 2 = 0").select("source_id", F.col("start_ms").alias("near_ms"), F.col("cand_idx").alias("near_idx"))
+    rows = c.where("kind <> 'view'").select("source_id", "cand_idx", "start_ms")
+    points = c.where("kind = 'view'").select("source_id", F.col("start_ms").alias("near_ms"), F.col("cand_idx").alias("near_idx"))
     return intervals.nearest(rows, points, BY, "cand_idx", "start_ms", "near_ms", "near_idx", 7_200_000).select("source_id", "cand_idx", "near_ms", "near_idx")
 
 
@@ -128,9 +128,9 @@ def event_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.coherence(candidates(spark, sf_dir), BY, ("start_ms", "cand_idx"), 86_400_000).select("source_id", "cand_idx", "jumps", "collides")
 
 
-@query(f"""with {CANDIDATES}, clips as (select * from candidates where cand_idx % 3 = 0 and end_ms > start_ms),
+@query(f"""with {CANDIDATES}, clips as (select * from candidates where kind = 'view' and end_ms > start_ms),
 inside as (select c.source_id, c.cand_idx, c.start_ms as c0, c.end_ms as c1, greatest(c.start_ms, d.start_ms) as a, least(c.end_ms, d.end_ms) as z
-  from clips c join candidates d on c.source_id = d.source_id and d.cand_idx % 3 = 1 and c.start_ms < d.end_ms and c.end_ms > d.start_ms),
+  from clips c join candidates d on c.source_id = d.source_id and d.kind <> 'view' and c.start_ms < d.end_ms and c.end_ms > d.start_ms),
 m as (select *, case when pm is null or a > pm then 1 else 0 end as fresh from (
   select *, max(z) over (partition by source_id, cand_idx order by a, z rows between unbounded preceding and 1 preceding) as pm from inside)),
 g as (select source_id, cand_idx, c0, c1, island, min(a) as a, max(z) as z from (
@@ -142,17 +142,17 @@ parts as (
 select source_id, cand_idx, start_ms, end_ms from parts where end_ms > start_ms""")
 def event_subtract(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
-    drops = c.where("cand_idx % 3 = 1").select("source_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
-    return intervals.subtract(c.where("cand_idx % 3 = 0 and end_ms > start_ms"), drops, BY, "cand_idx")
+    drops = c.where("kind <> 'view'").select("source_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    return intervals.subtract(c.where("kind = 'view' and end_ms > start_ms"), drops, BY, "cand_idx")
 
 
-@query(f"""with {CANDIDATES}, points as (select source_id, start_ms as p from candidates where cand_idx % 2 = 0),
+@query(f"""with {CANDIDATES}, points as (select source_id, start_ms as p from candidates where kind = 'view'),
 near as (select c.source_id, c.cand_idx, p.p, row_number() over (partition by c.source_id, c.cand_idx order by abs(c.end_ms - p.p), p.p) as rn
   from candidates c join points p on c.source_id = p.source_id and abs(c.end_ms - p.p) <= 3600000)
 select c.source_id, c.cand_idx, coalesce(n.p, c.end_ms) as end_ms from candidates c left join near n on c.source_id = n.source_id and c.cand_idx = n.cand_idx and n.rn = 1""")
 def event_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
-    points = c.where("cand_idx % 2 = 0").select("source_id", F.col("start_ms").alias("p"))
+    points = c.where("kind = 'view'").select("source_id", F.col("start_ms").alias("p"))
     return intervals.snap(c.select("source_id", "cand_idx", "end_ms"), points, BY, "cand_idx", "end_ms", "p", 3_600_000)
 
 
@@ -362,24 +362,36 @@ def doc_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.repeats(F.col("text")).alias("repeats"))
 
 
-@query(r"""with d as (select doc_id, regexp_replace(text, '[^0-9A-Za-z]', '', 'g') as n from documents), b as (select item_id, left(regexp_replace(text, '[^0-9A-Za-z]', '', 'g'), 30) as q from benchmark)
-select doc_id, item_id, strpos(n, q) as found_at from d join b on strpos(n, q) > 0 where length(q) >= 10""")
+MARKS = r"regexp_replace(regexp_replace({}, '\[\s*\d+(?:\.\d+)?\s*[~-]\s*\d+(?:\.\d+)?\s*\]', ' ', 'g'), '[^0-9A-Za-z\x{{AC00}}-\x{{D7A3}}]', '', 'g')"
+
+
+@query(f"""with d as (select doc_id, {MARKS.format("text")} as n from documents), b as (select item_id, {MARKS.format("text")} as q from benchmark),
+w as (select item_id, q[1:greatest(10, cast(floor(length(q) * 0.6::double) as bigint))] as q from b where length(q) >= 10),
+m as (select doc_id, item_id, list_filter(range(0, length(n)), lambda i: n[i + 1:i + length(q)] = q) as places from d join w on contains(n, q))
+select doc_id, item_id, unnest(places) as found_at from m""")
 def doc_normalise_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bare = lambda c: F.regexp_replace(c, "[^0-9A-Za-z]", "")
-    docs = table(spark, sf_dir, "documents").select("doc_id", bare("text").alias("n"))
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.left(bare("text"), F.lit(30)).alias("q")).where(F.length("q") >= 10)
-    # A quote can only lie where its first ten characters do: an equi-join on these, then the whole quote.
-    every = F.regexp_extract_all("n", F.lit("(?=(.{10}))"), F.lit(1))
-    grams = docs.select("doc_id", "n", F.explode(F.array_distinct(every)).alias("head"))
-    met = grams.join(quotes.withColumn("head", F.left("q", F.lit(10))), "head")
-    return met.select("doc_id", "item_id", F.expr("position(q in n)").cast(LONG).alias("found_at")).where("found_at > 0")
+    docs = table(spark, sf_dir, "documents").select("doc_id", tx.normalise(F.col("text")).alias("n"))
+    wanted = table(spark, sf_dir, "benchmark").select("item_id", quotes.needle(tx.normalise(F.col("text"))).alias("needle"))
+    return quotes.occurrences(docs, wanted, ["doc_id"]).select("doc_id", "item_id", F.col("at").cast(LONG).alias("found_at"))
 
 
-@query("""select a.doc_id, cast(levenshtein(left(regexp_replace(a.text, '[^ -~]', '', 'g'), 60), left(regexp_replace(b.text, '[^ -~]', '', 'g'), 60)) as int) as edits from documents a join documents b on b.doc_id = a.doc_id + 1""")
+@query()
 def doc_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = table(spark, sf_dir, "documents").select("doc_id", F.left(F.regexp_replace("text", "[^ -~]", ""), F.lit(60)).alias("t"))
-    after = head.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
-    return head.join(after, "doc_id").select("doc_id", F.levenshtein("t", "u").alias("edits"))
+    """Edits between neighbouring documents, whole texts; -1 for more than 200 (the distance is banded)."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    after = texts.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("next"))
+    return texts.join(after, "doc_id").select("doc_id", F.levenshtein("text", "next", 200).alias("edits"))
+
+
+RATES = f"""{SEGMENTS}, n as (select source_id, seg_idx, {MARKS.format("text")} as n from segments), p as (select *, lag(n) over (partition by source_id order by seg_idx) as ref from n)"""
+
+
+@query(f"with {RATES} select source_id, seg_idx, cast(levenshtein(ref, n) as int) as edits, cast(case when length(ref) > 0 then floor(levenshtein(ref, n) * 1000 / length(ref)) end as bigint) as permille from p")
+def turn_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ref = F.lag("text").over(Window.partitionBy("source_id").orderBy("seg_idx"))
+    s = segments(spark, sf_dir).withColumn("ref", ref)
+    edits = F.levenshtein(tx.normalise(F.col("ref")), tx.normalise(F.col("text")))
+    return s.select("source_id", "seg_idx", edits.alias("edits"), F.floor(tx.error_rate(F.col("ref"), F.col("text")) * 1000).cast(LONG).alias("permille"))
 
 
 @query(r"select page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as text from pages")
@@ -398,16 +410,20 @@ def doc_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.cut_title(F.replace(F.col("text"), F.lit("\n"), F.lit(" "))).alias("title"))
 
 
-@query()
+@query(r"""select doc_id, regexp_extract_all(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')), '([^\n]{1,44}|[^ ]+)(?: |$)', 1) as lines from documents""")
 def doc_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.wrap(F.left("text", F.lit(300)), 44).alias("lines"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.wrap(F.col("text"), 44).alias("lines"))
 
 
-@query("""select benchmark.item_id, count(*) as n from benchmark join documents on documents.lang = 'en' and length(documents.text) > length(benchmark.text) and documents.doc_id % 40 = benchmark.item_id group by 1""")
+@query("""select benchmark.item_id, count(documents.doc_id) as n from benchmark left join documents on length(documents.text) > length(benchmark.text) group by 1""")
 def item_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select((F.col("doc_id") % 40).alias("item_id"), F.length("text").alias("dn"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("n0"))
-    return docs.join(items, "item_id").where("dn > n0").groupBy("item_id").agg(F.count("*").alias("n"))
+    """How many documents are longer than each item: by lengths counted first, in two levels."""
+    lengths = table(spark, sf_dir, "documents").where("text is not null").groupBy(F.length("text").alias("len")).agg(F.count("*").alias("n")).withColumn("cell", F.floor(F.col("len") / 1000))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("own")).withColumn("cell", F.floor(F.col("own") / 1000))
+    cells = lengths.select("cell", "n").unionByName(items.select("cell", F.lit(0).cast(LONG).alias("n"))).groupBy("cell").agg(F.sum("n").alias("n"))
+    beyond = cells.select("cell", F.coalesce(F.sum("n").over(Window.orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("beyond"))  # a row a thousand characters
+    inside = items.join(lengths.select("cell", "len", "n"), "cell").where("len > own").groupBy("item_id").agg(F.sum("n").alias("inside"))
+    return items.join(beyond, "cell").join(inside, "item_id", "left").select("item_id", (F.col("beyond") + F.coalesce("inside", F.lit(0))).cast(LONG).alias("n"))
 
 
 # Vectors.
@@ -422,14 +438,15 @@ def vec_nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     mean = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("c"))
     refs = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("c")).select(F.col("label").alias("ref"), F.col("c.c").alias("c"))
-    # References are one row a label; every vector meets each of them through one array column.
-    every = refs.agg(F.collect_list(F.struct("ref", "c")).alias("refs"))
+    # References are a stated set; every vector meets them in blocks of up to 256.
+    blocks = -(-refs.count() // 256)
+    dealt = refs.groupBy(F.pmod(F.xxhash64("ref"), F.lit(max(1, blocks))).alias("block")).agg(F.collect_list(F.struct("ref", "c")).alias("refs"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda a: F.sqrt(dot(a, a))
     scored = F.transform("refs", lambda r: F.struct(F.when(norm(F.col("v")) * norm(r["c"]) > 0, dot(F.col("v"), r["c"]) / (norm(F.col("v")) * norm(r["c"]))).otherwise(0.0).alias("sim"), (-r["ref"]).alias("ref")))
-    best = F.array_max(scored)
-    met = e.join(F.broadcast(every)).select("vec_id", "label", best.alias("b"))
-    return met.select("vec_id", "label", F.when(F.col("b.sim") < 0.4, -1).otherwise(-F.col("b.ref")).cast("int").alias("nearest"))
+    met = e.withColumn("block", F.explode(F.sequence(F.lit(0).cast(LONG), F.lit(max(0, blocks - 1)).cast(LONG)))).join(dealt, "block")
+    best = met.groupBy("vec_id").agg(F.first("label").alias("label"), F.max(F.array_max(scored)).alias("b"))
+    return best.select("vec_id", "label", F.when(F.col("b.sim") < 0.4, -1).otherwise(-F.col("b.ref")).cast("int").alias("nearest"))
 
 
 # Dimensions, ranking, sets.

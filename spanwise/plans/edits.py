@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import transcripts
-from ..operators import checks, clips, documents, ranking
+from ..operators import checks, clips, documents, quotes, ranking
 from ..sources import subtitles
-from .catalogue import BY, LONG, query
+from .catalogue import BY, LONG, MARKS, query
 from .views import CANDIDATES, SEGMENTS, candidates, segments, table
 
 DAY = 86_400_000
@@ -59,22 +59,22 @@ def clip_at_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.at_speed(candidates(spark, sf_dir).select("source_id", "cand_idx", "start_ms", "end_ms"), 1.25)
 
 
-@query(f"""with {CANDIDATES}, doubt as (select source_id, start_ms as r_start, start_ms + 3600000 as r_end from candidates where cand_idx % 7 = 0)
+@query(f"""with {CANDIDATES}, doubt as (select source_id, start_ms as r_start, start_ms + 3600000 as r_end from candidates where kind = 'error')
 select source_id, cand_idx, exists (select 1 from doubt d where d.source_id = c.source_id and c.start_ms < d.r_end and c.end_ms > d.r_start
   and least(c.end_ms, d.r_end) - greatest(c.start_ms, d.r_start) >= 50) as uncertain from candidates c""")
 def clip_uncertain(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).select("source_id", "cand_idx", "start_ms", "end_ms")
-    doubt = c.where("cand_idx % 7 = 0").select("source_id", F.col("start_ms").alias("r_start"), (F.col("start_ms") + 3_600_000).alias("r_end"))
+    doubt = candidates(spark, sf_dir).where("kind = 'error'").select("source_id", F.col("start_ms").alias("r_start"), (F.col("start_ms") + 3_600_000).alias("r_end"))
     return clips.flag_uncertain(c, doubt, BY, "cand_idx").select("source_id", "cand_idx", "uncertain")
 
 
-@query(f"""with {CANDIDATES}, map as (select source_id, cand_idx as old_idx, row_number() over (partition by source_id order by cand_idx) - 1 as new_idx from candidates where cand_idx % 3 <> 0)
+@query(f"""with {CANDIDATES}, map as (select source_id, cand_idx as old_idx, row_number() over (partition by source_id order by cand_idx) - 1 as new_idx from candidates where kind <> 'error')
 select c.source_id, m.new_idx as cand_idx, c.start_ms from candidates c join map m on c.source_id = m.source_id and c.cand_idx = m.old_idx""")
 def cue_remap_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir).select("source_id", F.col("cand_idx").cast(LONG).alias("cand_idx"), "start_ms")
+    c = candidates(spark, sf_dir).select("source_id", F.col("cand_idx").cast(LONG).alias("cand_idx"), "start_ms", "kind")
     place = F.row_number().over(Window.partitionBy("source_id").orderBy("cand_idx")) - 1
-    mapping = c.where("cand_idx % 3 <> 0").select("source_id", F.col("cand_idx").alias("old_idx"), place.alias("new_idx"))
-    return clips.remap_index(c, mapping, BY, "cand_idx")
+    mapping = c.where("kind <> 'error'").select("source_id", F.col("cand_idx").alias("old_idx"), place.alias("new_idx"))
+    return clips.remap_index(c.drop("kind"), mapping, BY, "cand_idx")
 
 
 @query(f"""with {CANDIDATES}, t as (select *, cand_idx % 4 as part, end_ms > start_ms as filled from candidates),
@@ -138,11 +138,11 @@ def subtitle_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {CANDIDATES}, near as (select c.source_id, c.cand_idx, s.start_ms as t, row_number() over (partition by c.source_id, c.cand_idx order by abs(s.start_ms - c.end_ms), s.start_ms, s.cand_idx) as rn
-  from candidates c join candidates s on c.source_id = s.source_id and s.cand_idx % 2 = 0 and abs(s.start_ms - c.end_ms) <= 7200000)
+  from candidates c join candidates s on c.source_id = s.source_id and s.kind = 'view' and abs(s.start_ms - c.end_ms) <= 7200000)
 select c.source_id, c.cand_idx, n.t from candidates c left join near n on c.source_id = n.source_id and c.cand_idx = n.cand_idx and n.rn = 1""")
 def clip_nearest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).select("source_id", "cand_idx", "start_ms", "end_ms")
-    samples = c.where("cand_idx % 2 = 0").select("source_id", F.col("start_ms").alias("t"), F.col("cand_idx").alias("x"), F.lit(0).alias("y"))
+    samples = candidates(spark, sf_dir).where("kind = 'view'").select("source_id", F.col("start_ms").alias("t"), F.col("cand_idx").alias("x"), F.lit(0).alias("y"))
     return clips.nearest_sample(c, samples, BY, "cand_idx", "end_ms", 7_200_000).select("source_id", "cand_idx", "t")
 
 
@@ -151,11 +151,56 @@ def crop_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.crop_curve(candidates(spark, sf_dir), BY, "start_ms", "score", 40)
 
 
-@query()
+#: Clips of four turns, every fifth a visual beat; turns of the assistant are narrated, and clips of an odd number
+#: have a candidate, those of 3, 7, .. with a moving description.
+SILENT = f"""{SPEECH_CLIPS}, good as (select *, clip_idx % 5 = 4 as beat, clip_idx % 2 = 1 as known, clip_idx % 4 = 3 as moving from clips where end_ms > start_ms),
+said as (select source_id, seg_idx, start_ms as s0, end_ms as s1, speaker = 'assistant' as narrated from segments),
+met as (select g.source_id, clip_idx, start_ms as c0, end_ms as c1, known, moving, seg_idx, s0, s1, narrated, lag(narrated) over w as before, lead(narrated) over w as after,
+  lag(s1) over w as p1, lead(s0) over w as n0, max(s1) over (partition by g.source_id, clip_idx order by s0, seg_idx rows between unbounded preceding and 1 preceding) as far
+  from good g join said using (source_id) where s0 < end_ms and s1 > start_ms and not beat window w as (partition by g.source_id, clip_idx order by s0, seg_idx))"""
+ABSORBED = """numbered as (select *, sum(k) over (partition by source_id, clip_idx order by a, z rows between unbounded preceding and current row) as piece from (
+  select *, case when row_number() over (partition by source_id, clip_idx order by a, z) = 1 or z - a >= 300 then 1 else 0 end as k from islands where z > a)),
+cut as (select source_id, clip_idx, piece, min(a) as start_ms, arg_max(z, (a, z)) as end_ms from numbered group by 1, 2, 3),
+pieces as (select * from cut union all select source_id, clip_idx, 1, start_ms, end_ms from good where (source_id, clip_idx) not in (select (source_id, clip_idx) from cut))"""
+PIECES_OUT = "select source_id, clip_idx, cast(piece as bigint) as piece, cast(start_ms as bigint) as start_ms, cast(end_ms as bigint) as end_ms from pieces"
+
+
+def _silent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = _speech_clips(spark, sf_dir).where("end_ms > start_ms")
+    c = c.withColumns({"visual_essential": F.expr("clip_idx % 5 = 4"), "known": F.expr("clip_idx % 2 = 1"), "essential": F.lit(False), "description": F.when(F.expr("clip_idx % 4 = 3"), "문이 열리고 달려든다").otherwise("복도")})
+    s = segments(spark, sf_dir).withColumn("text", F.when(F.col("speaker") == "assistant", F.concat(F.lit(f" {clips.NARRATION}"), "text")).otherwise(F.col("text")))
+    return c, s
+
+
+@query(f"""with {SILENT}, held as (select source_id, clip_idx, bool_or(coalesce(n0 - s1 >= 400 and (not known or moving or narrated <> after), false)) as held from met group by 1, 2),
+pad as (select source_id, clip_idx, greatest(c0, s0 - 150) as a, least(c1, s1 + 150) as z from met join held using (source_id, clip_idx) where not held),
+fresh as (select *, case when pm is null or a > pm then 1 else 0 end as f from (
+  select *, max(z) over (partition by source_id, clip_idx order by a, z rows between unbounded preceding and 1 preceding) as pm from pad where z > a)),
+islands as (select source_id, clip_idx, island, min(a) as a, max(z) as z from (
+  select *, sum(f) over (partition by source_id, clip_idx order by a, z rows between unbounded preceding and current row) as island from fresh) group by 1, 2, 3), {ABSORBED} {PIECES_OUT}""")
+def clip_silence_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clips.cut_clips(*_silent(spark, sf_dir), BY, "clip_idx", clips.CONSERVATIVE)
+
+
+GAPS = f"""{SILENT}, decided as (select *, coalesce(s0 - far >= 300 and (not known or narrated = before), false) as cuts, greatest(c0, s0 - 120) as a0, least(c1, s1 + 120) as z0 from met),
+capped as (select *, coalesce(not cuts and s0 - far > 1000, false) as capped from decided),
+parts as (select *, sum(case when cuts or capped then 1 else 0 end) over (partition by source_id, clip_idx order by s0, seg_idx rows between unbounded preceding and current row) as part from capped),
+rough as (select source_id, clip_idx, part, max(z0) as z0, arg_min({{'a': a0, 'far': far, 'capped': capped, 's0': s0, 'c0': c0, 'c1': c1}}, (s0, seg_idx)) as f from parts group by 1, 2, 3),
+ended as (select *, case when coalesce(lead(f.capped) over w, false) then greatest(z0, least(f.c1, lead(f.far) over w + 500)) else z0 end as z,
+  case when f.capped then least(f.a, greatest(f.c0, f.s0 - 500)) else f.a end as own from rough window w as (partition by source_id, clip_idx order by part)),
+islands as (select source_id, clip_idx, greatest(own, coalesce(lag(z) over (partition by source_id, clip_idx order by part), own)) as a, z from ended), {ABSORBED}"""
+
+
+@query(f"with {GAPS} {PIECES_OUT}")
+def clip_silence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clips.cut_clips(*_silent(spark, sf_dir), BY, "clip_idx", clips.AGGRESSIVE)
+
+
+@query(f"""with {GAPS}, kept as (select source_id, clip_idx, sum(end_ms - start_ms) as kept from pieces group by 1, 2)
+select source_id, clip_idx, cast(greatest(0, end_ms - start_ms - coalesce(kept, 0)) as bigint) as removed_ms from good left join kept using (source_id, clip_idx)""")
 def clip_silence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _speech_clips(spark, sf_dir).where("end_ms > start_ms").withColumns({"known": F.lit(True), "visual_essential": F.col("clip_idx") % 5 == 0, "description": F.lit("")})
-    cut = clips.cut_clips(c, segments(spark, sf_dir), BY, "clip_idx", clips.AGGRESSIVE)
-    return clips.removed(c, cut, BY, "clip_idx")
+    c, s = _silent(spark, sf_dir)
+    return clips.removed(c, clips.cut_clips(c, s, BY, "clip_idx", clips.AGGRESSIVE), BY, "clip_idx")
 
 
 @query(f"""with {CANDIDATES}, cut as (select source_id, cand_idx, start_ms, start_ms + (end_ms - start_ms) // 2 as end_ms from candidates),
@@ -272,13 +317,27 @@ def doc_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.credits(segments(spark, sf_dir), BY, ["the", "you"], 30_000, 3)
 
 
-@query()
+#: Turns claim what they and the next turn say, odd ones a minute too late.
+CLAIMS = f"""{SEGMENTS}, n as (select *, {MARKS.format("text")} as n from segments),
+line as (select *, coalesce(sum(length(n)) over (partition by source_id order by start_ms, seg_idx rows between unbounded preceding and 1 preceding), 0) as off from n where n <> ''),
+whole as (select source_id, string_agg(n, '' order by start_ms, seg_idx) as t from line group by 1),
+claims as (select source_id, seg_idx, start_ms + (seg_idx % 2) * 60000 as c0, end_ms + (seg_idx % 2) * 60000 as c1, n || coalesce(lead(n) over (partition by source_id order by seg_idx), '') as q from n),
+wanted as (select *, q[1:greatest(10, cast(floor(length(q) * 0.6::double) as bigint))] as x from claims where length(q) >= 10),
+hits as (select source_id, seg_idx, c0, c1, lx, unnest(places) as pos from (
+  select w.source_id, seg_idx, c0, c1, length(x) as lx, list_filter(range(0, length(t)), lambda i: t[i + 1:i + length(x)] = x) as places from wanted w join whole using (source_id))),
+timed as (select h.source_id, h.seg_idx, c0, c1, pos, a.start_ms as s, b.end_ms as e from hits h
+  join line a on a.source_id = h.source_id and a.off <= pos and pos < a.off + length(a.n) join line b on b.source_id = h.source_id and b.off <= pos + lx - 1 and pos + lx - 1 < b.off + length(b.n))"""
+
+
+@query(f"""with {CLAIMS}, j as (select source_id, seg_idx, not bool_or(s between c0 - 5000 and c1 + 5000 or e between c0 - 5000 and c1 + 5000) as problem, arg_min(s, pos) as s, arg_min(e, pos) as e from timed group by 1, 2)
+select n.source_id, n.seg_idx, coalesce(problem, false) as problem, case when problem then s end as found_s, case when problem then e end as found_e from n left join j using (source_id, seg_idx)""")
 def quotes_misplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
-    told = s.select("source_id", "seg_idx", F.col("text").alias("transcript"), F.lit(None).cast("array<string>").alias("lines"),
-                    F.when(F.col("seg_idx") % 2 == 0, F.col("start_ms")).otherwise(F.col("start_ms") + 60_000).alias("start_ms"),
-                    F.when(F.col("seg_idx") % 2 == 0, F.col("end_ms")).otherwise(F.col("end_ms") + 60_000).alias("end_ms"))
-    return transcripts.misplaced(told, s, ["source_id", "seg_idx"])
+    ahead = F.lead("text").over(Window.partitionBy("source_id").orderBy("seg_idx"))
+    late = (F.col("seg_idx") % 2) * 60_000
+    told = s.select("source_id", "seg_idx", F.concat("text", F.lit(" [1.5~2] "), F.coalesce(ahead, F.lit(""))).alias("transcript"), F.lit(None).cast("array<string>").alias("lines"),
+                    (F.col("start_ms") + late).alias("start_ms"), (F.col("end_ms") + late).alias("end_ms"))
+    return quotes.misplaced(told, s, BY, "seg_idx")
 
 
 @query(f"""with {CANDIDATES} select source_id, cand_idx, greatest(start_ms, 0) as start_ms, least(end_ms, 1800000000000) as end_ms from candidates
