@@ -22,8 +22,8 @@ def strip_emoji(text: Column) -> Column:
 
 
 def repeats(text: Column, average: Column | None = None) -> Column:
-    """Any stretch of 2 to 20 characters three times in a row; or far longer than the average."""
-    squeezed = F.regexp_replace(text, r"(?U)\s+", "")
+    """Any stretch of 2 to 20 characters, not all blank, three times in a row (blanks count as one); or far longer than the average."""
+    squeezed = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     again = squeezed.rlike(r"(?s)(.{2,20})\1{2}")
     return again if average is None else again | ((F.length(text) > 5 * average) & (F.length(text) > 80))
 

@@ -9,14 +9,46 @@ from pyspark.sql import functions as F
 
 from ..operators.intervals import clusters
 
-def restore_notation(text: Column, rules: dict[str, str]) -> tuple[Column, Column]:
-    """Text with whole words replaced by rule, longest first, and an array `from→to` of the rules used."""
-    used = []
-    for old in sorted(rules, key=lambda k: (-len(k), k)):
-        pattern = rf"(?<![\p{{L}}\p{{N}}])\Q{old}\E(?![\p{{L}}\p{{N}}])"
-        used.append(F.when(text.rlike(pattern), F.array(F.lit(f"{old}→{rules[old]}"))).otherwise(F.array().cast("array<string>")))
-        text = F.regexp_replace(text, pattern, rules[old].replace("\\", "\\\\").replace("$", "\\$"))
-    return text, F.concat(*used) if used else F.array().cast("array<string>")
+#: Words to their usual notation, and what may follow a number between ten and ninety-nine.
+NOTATION = {
+    "에스케이텔레콤": "SK텔레콤", "에스케이 텔레콤": "SK텔레콤", "엔씨소프트": "NC소프트", "엔씨 소프트": "NC소프트",
+    "씨티오": "CTO", "시티오": "CTO", "아이티 업계": "IT업계", "아이티업계": "IT업계",
+}
+DIGITS = "일이삼사오육칠팔구"
+UNITS = ("년", "년대", "년간", "개월", "개", "명", "원", "월", "일", "시간", "분", "초", "번", "살", "층", "위", "배", "대", "주년", "퍼센트", "킬로", "미터", "인분", "회")
+PARTICLES = ("은", "는", "이", "가", "을", "를", "에", "의", "도", "만", "과", "와", "으로", "로", "부터", "까지", "이나", "나", "씩", "째", "에서", "이다", "다")
+
+
+def restore_notation(text: Column, rules: dict[str, str] | None = None) -> Column:
+    """struct(text, used): whole tokens (between blanks), and runs of them, replaced by rule, rules of more tokens first;
+    and a number word of ten to ninety-nine with a unit, and a particle maybe, in digits. used: `from→to` for each."""
+    rules = NOTATION if rules is None else rules
+    longest = lambda words: "|".join(sorted(words, key=len, reverse=True))
+    number = f"^([{DIGITS}]?)십([{DIGITS}]?)({longest(UNITS)})({longest(PARTICLES)})?$"
+
+    def step(tokens: Column, state: Column, i: Column) -> Column:
+        token = F.get(tokens, i)
+        digit = lambda k: F.instr(F.lit(DIGITS), F.regexp_extract(token, number, k))
+        tens = F.when(F.regexp_extract(token, number, 1) == "", 1).otherwise(digit(1))
+        ones = F.when(F.regexp_extract(token, number, 2) == "", 0).otherwise(digit(2))
+        figures = F.concat((tens * 10 + ones).cast("string"), F.regexp_extract(token, number, 3), F.regexp_extract(token, number, 4))
+        hit = lambda new, n, old: F.struct(new.alias("new"), F.lit(n).alias("n"), F.array(F.concat_ws("→", old, new)).alias("used"))
+        chosen = F.when(token.rlike(number), hit(figures, 1, token)).otherwise(F.struct(token.alias("new"), F.lit(1).alias("n"), F.array().cast("array<string>").alias("used")))
+        for old, new in sorted(rules.items(), key=lambda r: len(r[0].split(" "))):  # those of more tokens are asked first
+            size = len(old.split(" "))
+            chosen = F.when(F.array_join(F.slice(tokens, i + 1, size), " ") == old, hit(F.lit(new), size, F.lit(old))).otherwise(chosen)
+        grown = F.struct(F.concat(state["out"], F.array(chosen["new"])).alias("out"), (i + chosen["n"]).alias("next"), F.concat(state["used"], chosen["used"]).alias("used"))
+        return F.when(i < state["next"], state).otherwise(grown)
+
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), F.lit(0).alias("next"), none.alias("used"))
+    scanned = lambda tokens: F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, lambda state, i: step(tokens, state, i), lambda w: F.struct(F.array_join(w["out"], " ").alias("text"), w["used"].alias("used")))
+    return F.when(text.isNotNull(), F.transform(F.array(F.split(text, " ", -1)), scanned)[0])
+
+
+def rules_used(rows: DataFrame, used: str = "used") -> DataFrame:
+    """(rule, n): how often each notation rule was used."""
+    return rows.select(F.explode(used).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
 def split_sentences(words: DataFrame, by: Sequence[str], order: str) -> DataFrame:

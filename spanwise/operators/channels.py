@@ -40,3 +40,24 @@ def restore(rows: DataFrame, known: DataFrame, key: Sequence[str], fields: Seque
     """rows with the fields of the known row of their key; without one they stay as they are."""
     joined = rows.join(known.select(*key, *(F.col(c).alias(f"_known_{c}") for c in fields)), list(key), "left")
     return joined.select(*(F.coalesce(f"_known_{c}", c).alias(c) if c in fields else F.col(c) for c in rows.columns))
+
+
+def first_of(rows: DataFrame, key: str, value: object, order: str) -> DataFrame:
+    """At most one row with a key's value, the first in order."""
+    return rows.where(F.col(key) == value).orderBy(order).limit(1)
+
+
+def allowed_channel(requests: DataFrame, keys: DataFrame, key: str = "key_hash") -> DataFrame:
+    """requests with channel and verdict: an admin's key may name any channel, a user's only its own; without one it is
+    that. Unknown or inactive keys are refused. keys: key_hash, role, own, status."""
+    joined = requests.join(keys.select(key, "role", "own", "status"), key, "left")
+    verdict = (
+        F.when(F.col("role").isNull(), "unknown key").when(F.col("status") != "ACTIVE", "inactive key")
+        .when((F.col("role") != "ADMIN") & F.col("wanted").isNotNull() & (F.col("wanted") != F.col("own")), "not its channel").otherwise("ok")
+    )
+    return joined.withColumns({"verdict": verdict, "channel": F.when(verdict == "ok", F.coalesce("wanted", "own"))}).drop("role", "own", "status")
+
+
+def key_hashes(keys: DataFrame, plain: str = "plain", key: str = "key_hash") -> DataFrame:
+    """Keys as their SHA-256; the plain ones go."""
+    return keys.withColumn(key, F.sha2(plain, 256)).drop(plain)

@@ -59,3 +59,26 @@ def fill_index(df: DataFrame, by: Sequence[str], index: str, order: str) -> Data
     place = F.sum(F.when(F.col(index).isNull(), 1).otherwise(0)).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     top = F.coalesce(F.max(index).over(w), F.lit(-1))
     return df.withColumn(index, F.coalesce(F.col(index), (top + place).cast(df.schema[index].dataType)))
+
+
+def clean_beats(beats: Column, shift: Column) -> Column:
+    """Beats (structs of start_sec and end_sec as text, and more) with times in ms, shifted; those without a length go."""
+    ms = lambda c: F.floor(c.try_cast("double") * 1000 + 0.5).cast("long") + shift
+    timed = F.transform(beats, lambda b: b.withField("start_ms", ms(b["start_sec"])).withField("end_ms", ms(b["end_sec"])).dropFields("start_sec", "end_sec"))
+    return F.filter(timed, lambda b: b["end_ms"] > b["start_ms"])
+
+
+def without_intro(moments: DataFrame, flag: str = "is_intro_credits") -> DataFrame:
+    """Moments that are not marked as intro or credits."""
+    return moments.where(~F.coalesce(F.col(flag), F.lit(False)))
+
+
+def output_reason(seconds: Column, least: float, most: float, peak_db: Column, black_s: Column, loudest: float = -1.0, blackest: float = 0.5) -> Column:
+    """ok, or the first thing a finished file breaks: its length, its peak, a black run."""
+    return F.when(~F.coalesce(seconds.between(least, most), F.lit(False)), "length").when(peak_db > loudest, "peak").when(black_s > blackest, "black").otherwise("ok")
+
+
+def editorial_reason(document: Column, known: Sequence[str] = ("avoid", "rules", "prefer", "tone")) -> Column:
+    """ok, or what is wrong with an editorial guide; keys that start with _ are notes."""
+    extra = F.filter(unknown_keys(document, known), lambda k: ~k.startswith("_"))
+    return F.when(F.json_object_keys(document).isNull(), "not an object").when(F.size(extra) > 0, F.concat(F.lit("unknown key "), F.array_min(extra))).otherwise("ok")

@@ -112,8 +112,8 @@ def usage(df: DataFrame, by: Sequence[str], seconds: str, flag: str, rate: int,
 
 def silence_ratio(files: DataFrame, arm: str = "arm") -> DataFrame:
     """Of each arm: files, plain mean of the silence share and the mean by length, in permille."""
-    share = F.col("silent_ms") / F.col("total_ms")
-    return files.where("total_ms > 0").groupBy(arm).agg(F.count("*").alias("files"), F.floor(F.avg(share) * 1000).alias("mean"), F.floor(F.sum("silent_ms") / F.sum("total_ms") * 1000).alias("weighted"))
+    share = F.expr("silent_ms * 1000 div total_ms")  # whole permille of a file, so that no sum depends on order
+    return files.where("total_ms > 0").groupBy(arm).agg(F.count("*").alias("files"), F.floor(F.avg(share)).alias("mean"), F.floor(F.sum("silent_ms") / F.sum("total_ms") * 1000).alias("weighted"))
 
 
 def score_floor(ranked: DataFrame, by: Sequence[str], rank: str, score: str, least: float = 0.4) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Order-dependent scans: each source's rows, in order, through a small state.
+"""Order-dependent scans: rows in order through a small state.
 
-Windows cannot express these (a kept row changes what later rows are compared with), so a source is one
-Arrow-backed group. Sources are the unit of parallelism; a source's rows are one video's, not a corpus'.
+Windows cannot express these (a kept row changes what later rows are compared with). Where a stretch of
+time without rows ends every influence, a source is split there first by a window and the results are
+numbered anew by another; so a busy source is many small groups. The others (diverse, smooth, fit_length, push_apart, trim_beats) run through a whole
+source, whose rows are one video's, not a corpus'.
 """
 
 from __future__ import annotations
@@ -9,7 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import repeats
+from .intervals import islands
 
 
 def _fold(df: DataFrame, by: Sequence[str], order: Sequence[str], scan: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
@@ -27,6 +33,20 @@ def _schema(df: DataFrame, columns: Sequence[str], *more: str) -> str:
     return ", ".join([*(f"{c} {kinds[c]}" for c in columns), *more])
 
 
+def _split(df: DataFrame, by: Sequence[str], key: str, slack: int = 0, rows: int = 256) -> tuple[DataFrame, list[str]]:
+    """df with the part each row is in, and the columns that name one. Rows of later parts start after all that came
+    before have ended, by more than `slack`; a part is as many islands of time as start within `rows` rows."""
+    w = Window.partitionBy(*by).orderBy("start_ms", "end_ms", key)
+    parted = islands(df, by, order=(key,), slack=slack).withColumn("_row", F.row_number().over(w))
+    first = F.min("_row").over(Window.partitionBy(*by, "island"))
+    return parted.withColumn("_island", F.floor(first / rows)).drop("_row", "island"), [*by, "_island"]
+
+
+def _numbered(df: DataFrame, by: Sequence[str], name: str, *order: str | Column) -> DataFrame:
+    """df with name, from 0, in order over a source's islands."""
+    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("int"))
+
+
 def _iou(a: dict, b: dict) -> float:
     both = max(0, min(a["end_ms"], b["end_ms"]) - max(a["start_ms"], b["start_ms"]))
     x, y = a["end_ms"] - a["start_ms"], b["end_ms"] - b["start_ms"]
@@ -47,8 +67,10 @@ def greedy_dedup(df: DataFrame, by: Sequence[str], key: str, least: float = 0.7)
                 kept[at] = r
         return [r | {"slot": i} for i, r in enumerate(kept)]
 
-    shape = _schema(df, [*by, key, "start_ms", "end_ms", "score"], "slot int")
-    return _fold(df, by, ("start_ms", "end_ms", key), scan, shape)
+    columns = [*by, key, "start_ms", "end_ms", "score"]
+    parted, island = _split(df.select(*columns), by, key)
+    scanned = _fold(parted, island, ("start_ms", "end_ms", key), scan, _schema(parted, [*columns, "_island"], "slot int"))
+    return _numbered(scanned, by, "slot", "_island", "slot").select(*columns, "slot")
 
 
 def cover_dedup(df: DataFrame, by: Sequence[str], key: str, least: int = 1500) -> DataFrame:
@@ -84,10 +106,11 @@ def cover_dedup(df: DataFrame, by: Sequence[str], key: str, least: int = 1500) -
                 else:
                     merged.append((x, y))
             covered = merged
-        return [r | {"new_idx": i} for i, r in enumerate(out)]
+        return out
 
-    shape = _schema(df, [*by, key, "start_ms", "end_ms"], "new_idx int")
-    return _fold(df, by, (key,), scan, shape)
+    columns = [*by, key, "start_ms", "end_ms"]
+    parted, island = _split(df.select(*columns), by, key)
+    return _numbered(_fold(parted, island, (key,), scan, _schema(df, columns)), by, "new_idx", key)
 
 
 def diverse(df: DataFrame, by: Sequence[str], rank: str, group: str, phase: str, most: int) -> DataFrame:
@@ -153,19 +176,29 @@ def pack_words(df: DataFrame, by: Sequence[str], order: str, gap: int = 500, mos
                 flush()
                 cue = None
         flush()
-        return [c | {"cue_idx": i} for i, c in enumerate(out)]
+        return out
+
+    # A word `gap` after all before it starts a cue whatever the state is.
+    w = Window.partitionBy(*by).orderBy(order)
+    far = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(far.isNull() | (F.col("start_ms") - far >= gap), 1).otherwise(0)
+    parted = df.withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    cues = _fold(parted, [*by, "_island"], (order,), lambda rows: [c | {"_at": i} for i, c in enumerate(scan(rows))], _schema(parted, [*by, "_island", "start_ms", "end_ms", "text"], "words int", "_at int"))
+    return _numbered(cues, by, "cue_idx", "_island", "_at").drop("_island", "_at")
 
-    return _fold(df, by, (order,), scan, _schema(df, [*by, "start_ms", "end_ms", "text"], "words int", "cue_idx int"))
+
+#: Characters and syllables that end a sentence.
+SENTENCE_ENDS = tuple(".!?…\"」』)") + ("다", "요", "죠", "네", "까", "야", "어", "지", "군", "니", "오")
 
 
 def pack_segments(df: DataFrame, by: Sequence[str], order: str = "seg_idx", gap: int = 250, most: int = 44, longest: int = 6000) -> DataFrame:
-    """Subtitle merge: equal texts that overlap become one, runs of equal text collapse (3 or 4) or go (5
-    and more), then neighbours up to `gap` apart are joined while they stay short; an open sentence may
-    grow to 1.3 times `most`, and a flash under 600 ms is joined whatever its sentence."""
+    """Subtitle merge: blank texts, repetitions and repeats of the same time and text go; equal texts that overlap become
+    one, runs of equal text collapse (3 or 4) or go (5 and more), then neighbours up to `gap` apart are joined while
+    they stay short; an open sentence may grow to 1.3 times `most`, and a flash under 600 ms is joined whatever its length."""
 
     def scan(rows: list[dict]) -> list[dict]:
         kept: list[dict] = []
-        for r in sorted((r for r in rows if (r["text"] or "").strip()), key=lambda r: (r["start_ms"], r["end_ms"])):
+        for r in sorted(rows, key=lambda r: (r["start_ms"], r["end_ms"])):
             same = next((k for k in kept if k["text"] == r["text"] and k["start_ms"] < r["end_ms"] and r["start_ms"] < k["end_ms"]), None)
             if same is None:
                 kept.append(dict(r))
@@ -184,49 +217,77 @@ def pack_segments(df: DataFrame, by: Sequence[str], order: str = "seg_idx", gap:
                 calm.append(kept[i] | {"end_ms": kept[j - 1]["end_ms"]})
             i = j
         out: list[dict] = []
-        for r in calm:
+        for r in sorted(calm, key=lambda r: (r["start_ms"], r["end_ms"])):
             cur = out[-1] if out else None
             if cur is not None:
                 apart = max(0, r["start_ms"] - cur["end_ms"])
                 size = len(cur["text"]) + 1 + len(r["text"])
-                limit = most if cur["text"].rstrip()[-1:] in tuple(".!?…\"」』)") else int(1.3 * most)
+                limit = most if cur["text"].endswith(SENTENCE_ENDS) else int(1.3 * most)
                 short = cur["end_ms"] - cur["start_ms"] < 600
-                if apart <= gap and size <= limit and (short or r["end_ms"] - cur["start_ms"] <= longest):
+                if apart <= gap and size <= limit and (short or max(r["end_ms"], cur["end_ms"]) - cur["start_ms"] <= longest):
                     cur |= {"text": f"{cur['text']} {r['text']}", "end_ms": max(cur["end_ms"], r["end_ms"])}
                     continue
             out.append(dict(r))
-        return [c | {"cue_idx": i} for i, c in enumerate(out)]
-
-    return _fold(df, by, (order,), scan, _schema(df, [*by, "start_ms", "end_ms", "text"], "cue_idx int"))
-
-
-def fit_length(df: DataFrame, by: Sequence[str], key: str, least: int, most: int, floor: int = 3000) -> DataFrame:
-    """Clips to a total of at most `most`: the lowest-scored builds go first (one is only cut if its loss
-    would undershoot `least`), then all shrink in proportion: payoffs keep their end, builds their middle,
-    others their start; none below `floor`. Columns role and score are read."""
+        return [c | {"_at": i} for i, c in enumerate(out)]
+
+    said = df.withColumn("text", F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))).where("text <> ''")
+    said = said.withColumn("_mean", F.avg(F.length("text")).over(Window.partitionBy(*by))).where(~repeats(F.col("text"), F.col("_mean")))
+    # Times are keys in hundredths of a second; of equal keys the first row stays.
+    hundredths = [F.floor((F.col(c) + 5) / 10).alias(f"_{c}") for c in ("start_ms", "end_ms")]
+    once = said.select(*by, order, "start_ms", "end_ms", "text", *hundredths)
+    once = once.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_start_ms", "_end_ms", "text").orderBy(order))).where("_n = 1").drop("_n", "_start_ms", "_end_ms")
+    parted, island = _split(once, by, order, gap)
+    # Neighbouring islands with a text in common stay together: a run of equal texts may reach from one into the other.
+    texts = parted.groupBy(*island).agg(F.collect_set("text").alias("_texts"))
+    w = Window.partitionBy(*by).orderBy("_island")
+    joins = F.coalesce(F.arrays_overlap("_texts", F.lag("_texts").over(w)), F.lit(False))
+    texts = texts.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parted = parted.join(texts.select(*island, "_part"), island)
+    cues = _fold(parted, [*by, "_part"], (order,), scan, _schema(parted, [*by, "_part", "start_ms", "end_ms", "text"], "_at int"))
+    return _numbered(cues, by, "cue_idx", "_part", "_at").drop("_part", "_at")
+
+
+def fit_length(df: DataFrame, by: Sequence[str], key: str, least: int, most: int, floor: int = 3000, pinned: bool = False) -> DataFrame:
+    """Clips to a total between `least` and `most`. Over it, the lowest-scored builds go first (not of pinned clips; one is
+    only cut if its loss would undershoot `least`), then all shrink in proportion: payoffs keep their end, builds their
+    middle, others their start; none below `floor`. Under it, the last clip grows to its candidate's end (cand_end), then
+    the first one to its candidate's start (cand_start, both null without a candidate), as far as is missing.
+    Columns role and score are read. fits: whether the total is in the band after that."""
 
     def scan(rows: list[dict]) -> list[dict]:
         rows = [dict(r) for r in rows]
         length = lambda r: r["end_ms"] - r["start_ms"]
         total = lambda: sum(map(length, rows))
-        while total() > most and (builds := [r for r in rows if r["role"] == "build"]):
-            worst = min(builds, key=lambda r: r["score"] or 0)
-            if total() - length(worst) < least:
-                over = total() - most
-                if over < length(worst):
-                    worst["end_ms"] -= over
-                break
-            rows.remove(worst)
-        if (now := total()) > most:
-            for r in rows:
-                new = max(floor, length(r) * most // now)
-                cut = max(0, length(r) - new)
-                head = {"payoff": cut, "build": cut // 2}.get(r["role"], 0)
-                r["start_ms"] += head
-                r["end_ms"] -= cut - head
-        return rows
-
-    return _fold(df, by, (key,), scan, _schema(df, [*by, key, "role", "start_ms", "end_ms", "score"]))
+        if total() > most:
+            while not pinned and total() > most and (builds := [r for r in rows if r["role"] == "build"]):
+                worst = min(builds, key=lambda r: r["score"] or 0)
+                if total() - length(worst) < least:
+                    over = total() - most
+                    if over < length(worst):
+                        worst["end_ms"] -= over
+                    break
+                rows.remove(worst)
+            if (now := total()) > most:
+                for r in rows:
+                    new = max(floor, length(r) * most // now)
+                    cut = max(0, length(r) - new)
+                    head = {"payoff": cut, "build": cut // 2}.get(r["role"], 0)
+                    r["start_ms"] += head
+                    r["end_ms"] -= cut - head
+        elif rows:
+            missing = lambda: least - total()
+            known = lambda x: x is not None and x == x
+            last, first = rows[-1], rows[0]
+            if missing() > 0 and known(last["cand_end"]):
+                last["end_ms"] += max(0, min(missing(), int(last["cand_end"]) - last["end_ms"]))
+            if missing() > 0 and known(first["cand_start"]):
+                first["start_ms"] = max(0, first["start_ms"] - max(0, min(missing(), first["start_ms"] - int(first["cand_start"]))))
+        return [r | {"fits": least <= total() <= most} for r in rows]
+
+    for c in ("cand_start", "cand_end"):
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("long"))
+    return _fold(df, by, (key,), scan, _schema(df, [*by, key, "role", "start_ms", "end_ms", "score"], "fits boolean"))
 
 
 def push_apart(df: DataFrame, by: Sequence[str], key: str, total: str, gap: int = 50, least: int = 300) -> DataFrame:
@@ -254,10 +315,12 @@ def boundary_aliases(df: DataFrame, by: Sequence[str], chunk: str, key: str, sha
 
     def scan(rows: list[dict]) -> list[dict]:
         rows = [r | {"alias_of": None} for r in rows]
-        present = sorted({r[chunk] for r in rows})
-        for one, two in zip(present, present[1:], strict=False):
-            for a in (r for r in rows if r[chunk] == one):
-                for b in (r for r in rows if r[chunk] == two):
+        present: dict[int, list[dict]] = {}
+        for r in rows:
+            present.setdefault(r["_place"], []).append(r)
+        for place in sorted(present):
+            for a in present[place]:
+                for b in present.get(place + 1, []):
                     both = min(a["end_ms"], b["end_ms"]) - max(a["start_ms"], b["start_ms"])
                     shorter = min(a["end_ms"] - a["start_ms"], b["end_ms"] - b["start_ms"])
                     if both > 0 and (both >= share * shorter or both >= least):
@@ -265,7 +328,10 @@ def boundary_aliases(df: DataFrame, by: Sequence[str], chunk: str, key: str, sha
                         a["alias_of"] = b[key]
         return [r | {"alias_of": -1 if r["alias_of"] is None else r["alias_of"]} for r in rows]
 
-    return _fold(df, by, (chunk, key), scan, _schema(df, [*by, chunk, key, "start_ms", "end_ms"], "alias_of long"))
+    # Widening stays within an island of overlap; a chunk's place among the source's is told to each.
+    placed = df.withColumn("_place", F.dense_rank().over(Window.partitionBy(*by).orderBy(chunk)))
+    parted, island = _split(placed, by, key)
+    return _fold(parted, island, (chunk, key), scan, _schema(df, [*by, chunk, key, "start_ms", "end_ms"], "alias_of long"))
 
 
 def trim_beats(df: DataFrame, by: Sequence[str], clip: str, beat: str, least: int, most: int) -> DataFrame:

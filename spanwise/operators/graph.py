@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def components(nodes: DataFrame, edges: DataFrame, key: str, a: str = "a", b: str = "b", every: int = 4) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
     """nodes with `root`, the smallest key of the component: labels spread over edges, and every round also
     jump to their label's label, so long chains take few rounds. Lineage is cut by checkpoint()."""
     spark = nodes.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanwise-"))
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct().checkpoint()
     labels = nodes.select(F.col(key).alias("u"), F.col(key).alias("label")).distinct()
     while True:
@@ -26,6 +26,15 @@ def components(nodes: DataFrame, edges: DataFrame, key: str, a: str = "a", b: st
             return nodes.join(labels.select(F.col("u").alias(key), F.col("label").alias("root")), key)
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one in local mode, where none is set."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spanwise-")
+
+
 def numbered(df: DataFrame, by: list[str], root: str, at: str) -> DataFrame:
     """df with `sequence_id`, from 0: components of a source by their first moment, ties by root."""
     first = F.min(at).over(Window.partitionBy(*by, root))

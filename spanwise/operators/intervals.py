@@ -151,6 +151,36 @@ def subtract(clips: DataFrame, drops: DataFrame, by: Sequence[str], key: str) ->
     return gaps.unionByName(tail).unionByName(whole).where("end_ms > start_ms")
 
 
+def kept_intervals(clips: DataFrame, drops: DataFrame, segments: DataFrame, by: Sequence[str], key: str, least: int = 3000) -> DataFrame:
+    """What drops (by, r_start, r_end) leave of each clip, cut at sentences: an inner start moves to the next segment's
+    start, an inner end to the last segment's end, as far as the piece allows. Pieces under `least` go; if all do, the
+    longest stays, and a clip of which nothing is left stays whole. Rows: by, key, start_ms, end_ms."""
+    keys = [*by, key]
+    parts = subtract(clips, drops, by, key).withColumnsRenamed({"start_ms": "a", "end_ms": "b"})
+    parts = parts.join(clips.select(*keys, F.col("start_ms").alias("c0"), F.col("end_ms").alias("c1")), keys)
+    spoken = segments.select(*by, F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    heard = overlap_join(clips.select(*keys, "start_ms", "end_ms"), spoken, by).select(*keys, F.col("r_start").alias("s"), F.col("r_end").alias("e"))
+    near = parts.join(heard, keys, "left").groupBy(*keys, "a", "b", "c0", "c1").agg(
+        F.min(F.when((F.col("s") >= F.col("a")) & (F.col("s") < F.col("b")), F.col("s"))).alias("head"), F.max(F.when(F.col("e") <= F.col("b"), F.col("e"))).alias("tail")
+    )
+    start = F.when((F.col("a") != F.col("c0")) & F.col("head").isNotNull(), F.col("head")).otherwise(F.col("a"))
+    near = near.withColumn("na", start)
+    end = F.when((F.col("b") != F.col("c1")) & (F.col("tail") > F.col("na")), F.col("tail")).otherwise(F.col("b"))
+    cut = near.select(*keys, F.col("na").alias("start_ms"), end.alias("end_ms")).where("end_ms > start_ms").withColumn("_len", F.col("end_ms") - F.col("start_ms"))
+    w = Window.partitionBy(*keys)
+    best = F.row_number().over(w.orderBy(F.col("_len").desc(), "start_ms"))
+    chosen = cut.withColumns({"_top": F.max("_len").over(w), "_n": best}).where((F.col("_len") >= least) | ((F.col("_top") < least) & (F.col("_n") == 1)))
+    whole = clips.join(cut.select(*keys).distinct(), keys, "left_anti").select(*keys, "start_ms", "end_ms")
+    return chosen.select(*keys, "start_ms", "end_ms").unionByName(whole)
+
+
+def clip_beats(clips: DataFrame, beats: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """Beats (by, r_start, r_end, ..) cut to the clips that they overlap, numbered by their start."""
+    met = overlap_join(clips.select(*by, key, "start_ms", "end_ms"), beats, by)
+    cut = met.withColumns({"start_ms": F.greatest("start_ms", "r_start"), "end_ms": F.least("end_ms", "r_end")})
+    return cut.withColumn("beat_idx", F.row_number().over(Window.partitionBy(*by, key).orderBy("start_ms", "r_start", "r_end")) - 1)
+
+
 def fill_gaps(clips: DataFrame, by: Sequence[str], order: Sequence[str], widest: int, shared: Column | None = None) -> DataFrame:
     """A clip's end moves to the next clip's start if that lies up to `widest` ahead and `shared` holds."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -190,6 +220,16 @@ def chunks(lengths: DataFrame, by: Sequence[str], total: str, size: int, lap: in
     return numbered.select(*by, "chunk_index", start.alias("r_start"), F.least(start + size, F.col(total)).alias("r_end"))
 
 
+def last_cluster(hits: DataFrame, by: Sequence[str], start: str, end: str, within: int, least: int) -> DataFrame:
+    """Looking back: the end of the last hit of each source that has at least `least` hits which start within `within`
+    before its end, itself included."""
+    cell = lambda c: F.floor(c / within)
+    ends = hits.select(*by, F.col(end).alias("_e")).distinct()
+    dealt = ends.withColumn("_cell", F.explode(F.array(cell(F.col("_e")), cell(F.col("_e")) - 1)))
+    met = dealt.join(hits.select(*by, F.col(start).alias("_s"), cell(F.col(start)).alias("_cell")), [*by, "_cell"]).where((F.col("_s") >= F.col("_e") - within) & (F.col("_s") <= F.col("_e")))
+    return met.groupBy(*by, "_e").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).groupBy(*by).agg(F.max("_e").alias(end))
+
+
 def clusters(hits: DataFrame, by: Sequence[str], at: str, within: int, least: int) -> DataFrame:
     """The first hit of each source that has at least `least` hits within `within` after it, itself included."""
     ahead = F.count("*").over(Window.partitionBy(*by).orderBy(at).rangeBetween(0, within))
@@ -210,3 +250,35 @@ def snap(times: DataFrame, boundaries: DataFrame, by: Sequence[str], key: str, a
     met = a.join(boundaries.withColumn("_cell", cell(F.col(point))), [*by, "_cell"]).where(F.abs(F.col(at) - F.col(point)) <= within)
     best = met.groupBy(*by, key).agg(F.min(F.struct(F.abs(F.col(at) - F.col(point)).alias("d"), F.col(point).alias("p"))).alias("_best"))
     return times.join(best, [*by, key], "left").withColumn(at, F.coalesce(F.col("_best.p"), F.col(at))).drop("_best")
+
+
+def around(times: DataFrame, segments: DataFrame, by: Sequence[str], key: str, at: str) -> DataFrame:
+    """times with end_before, the largest segment end at or before each, and start_after, the smallest start at or after
+    it, however far: one pass over both in order of time, in both directions."""
+    marks = times.select(*by, F.col(at).alias("_t"), F.lit(None).cast("long").alias("_s"), F.lit(None).cast("long").alias("_e"), F.col(key).alias("_k"), F.lit(True).alias("_asks"))
+    given = lambda c, s, e: segments.select(*by, F.col(c).alias("_t"), s.alias("_s"), e.alias("_e"), F.lit(None).cast(times.schema[key].dataType).alias("_k"), F.lit(False).alias("_asks"))
+    none = F.lit(None).cast("long")
+    every = marks.unionByName(given("end_ms", none, F.col("end_ms"))).unionByName(given("start_ms", F.col("start_ms"), none))
+    # At one time segments come before the times that ask, whichever way is looked.
+    back = Window.partitionBy(*by).orderBy("_t", "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    on = Window.partitionBy(*by).orderBy(F.col("_t").desc(), "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = every.withColumns({"end_before": F.max("_e").over(back), "start_after": F.min("_s").over(on)}).where("_asks")
+    return times.join(found.select(*by, F.col("_k").alias(key), "end_before", "start_after"), [*by, key])
+
+
+def boundaries(scenes_: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, at): every start and end, each once."""
+    return scenes_.select(*by, F.col("start_ms").alias("at")).union(scenes_.select(*by, F.col("end_ms").alias("at"))).distinct()
+
+
+def appearances(clips: DataFrame, seen: DataFrame, by: Sequence[str], key: str) -> DataFrame:
+    """Where each character (seen: by, character, r_start, r_end) appears in a clip, from the clip's start on."""
+    met = overlap_join(clips.select(*by, key, "start_ms", "end_ms"), seen, by)
+    return met.select(*by, key, "character", (F.greatest("start_ms", "r_start") - F.col("start_ms")).alias("from_ms"), (F.least("end_ms", "r_end") - F.col("start_ms")).alias("to_ms"))
+
+
+def distinct_rounded(rows: DataFrame, keys: Sequence[str], start: str = "start_ms", end: str = "end_ms", order: str = "seg_idx") -> DataFrame:
+    """One row of those equal in keys and in times to a hundredth of a second, the first in order."""
+    cell = [F.floor((F.col(c) + 5) / 10) for c in (start, end)]
+    place = F.row_number().over(Window.partitionBy(*keys, *cell).orderBy(order))
+    return rows.withColumn("_n", place).where("_n = 1").drop("_n")

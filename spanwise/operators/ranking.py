@@ -42,3 +42,28 @@ def runs(df: DataFrame, by: Sequence[str], value: Column, order: str) -> DataFra
     new = F.when(F.row_number().over(w) == 1, 1).when(before.eqNullSafe(value), 0).otherwise(1)
     marked = df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
     return marked.withColumn("run_rows", F.count("*").over(Window.partitionBy(*by, "run")))
+
+
+def first_middle_last(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Rows at positions 0, n/2 and n - 1 of each group."""
+    w = Window.partitionBy(*by)
+    numbered = df.withColumns({"_n": F.count("*").over(w), "place": F.row_number().over(w.orderBy(order)) - 1})
+    return numbered.where(F.col("place").isin(F.lit(0), F.floor(F.col("_n") / 2), F.col("_n") - 1)).drop("_n")
+
+
+def speaker(faces: DataFrame, by: Sequence[str], face: str, last: str | None = None) -> DataFrame:
+    """Each frame's likely speaker: 0.3 of area, centre and motion each (0 to 1), and 0.1 for the last frame's speaker."""
+    held = F.when(F.col(face) == F.col(last), 0.1).otherwise(0.0) if last else F.lit(0.0)
+    score = 0.3 * F.col("area") + 0.3 * F.col("centre") + 0.3 * F.col("motion") + held
+    best = faces.withColumn("_score", score).groupBy(*by).agg(F.max(F.struct(F.col("_score").alias("score"), (-F.col(face)).alias("f"))).alias("b"))
+    return best.select(*by, (-F.col("b.f")).alias(face), F.col("b.score").alias("score"))
+
+
+def preferred(files: DataFrame, by: Sequence[str], path: str, lang: str, wanted: str, fallback: str = "ko") -> DataFrame:
+    """One file a group: in the wanted language, else a variant of it, else the fallback's, else a variant of that, else any."""
+    tag = F.lower(F.coalesce(lang, F.lit("")))
+    rank = F.lit(4)
+    for i, name in ((3, f"{fallback}-"), (1, f"{wanted}-")):
+        rank = F.when(tag.startswith(name), i).otherwise(rank)
+    rank = F.when(tag == wanted, 0).when((tag == fallback) & (rank > 1), 2).otherwise(rank)
+    return files.groupBy(*by).agg(F.min(F.struct(rank.alias("rank"), F.col(path).alias("p"))).alias("b")).select(*by, F.col("b.p").alias(path))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import transcripts
 from ..operators import checks, clips, documents, quotes, ranking
-from ..sources import subtitles
 from .catalogue import BY, LONG, MARKS, query
 from .views import CANDIDATES, SEGMENTS, candidates, segments, table
 
@@ -221,11 +220,13 @@ def segments_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.read_segments(documents.write_segments(segments(spark, sf_dir), "source_id"), "source_id")
 
 
-@query(f"with {SEGMENTS} select source_id, count(*) as clips, cast(sum(end_ms - start_ms) as bigint) as total_ms from segments group by 1")
+@query(f"""with {SEGMENTS} select source_id, count(*) as clips, cast(sum(end_ms - start_ms) as bigint) as total_ms,
+  string_agg(seg_idx || speaker || start_ms || '-' || end_ms, ' ' order by seg_idx) as timeline from segments group by 1""")
 def edit_plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = documents.edit_plan(segments(spark, sf_dir).withColumnRenamed("speaker", "role"), "source_id", "seg_idx")
-    read = F.from_json("plan", "clips long, total_ms long")
-    return plan.select("source_id", read["clips"].alias("clips"), read["total_ms"].alias("total_ms"))
+    read = F.from_json("plan", "clips long, total_ms long, timeline array<struct<seg_idx:long,role:string,start_ms:long,end_ms:long>>")
+    line = F.transform(read["timeline"], lambda c: F.concat(c["seg_idx"].cast("string"), c["role"], c["start_ms"].cast("string"), F.lit("-"), c["end_ms"].cast("string")))
+    return plan.select("source_id", read["clips"].alias("clips"), read["total_ms"].alias("total_ms"), F.array_join(line, " ").alias("timeline"))
 
 
 @query(f"""with {CANDIDATES}, k as (select source_id, cand_idx, case when cand_idx % 4 <> 0 then cast(cand_idx as bigint) end as candidate_index, kind from candidates where end_ms > start_ms),
@@ -255,9 +256,10 @@ def override_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", documents.override_reason(F.get(given, (F.col("event_id") % 5).cast("int"))).alias("reason"))
 
 
-@query("select event_type, cast(sum(case when event_id % 3 = 0 then 0 else 7 end) as bigint) as plain_s, cast(sum(case when event_id % 3 = 0 then 7 else 0 end) as bigint) as flagged_s, cast(sum(case when event_id % 3 = 0 then 35 else 14 end) as bigint) as cost from events group by 1")
+@query("""with r as (select event_type, cast(floor(value) as bigint) as s, value > 100 as flag from events)
+select event_type, cast(sum(case when flag then 0 else s end) as bigint) as plain_s, cast(sum(case when flag then s else 0 end) as bigint) as flagged_s, cast(sum(case when flag then 5 * s else 2 * s end) as bigint) as cost from r group by 1""")
 def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_type", F.lit(7).cast(LONG).alias("s"), (F.col("event_id") % 3 == 0).alias("flag"))
+    rows = table(spark, sf_dir, "events").select("event_type", F.floor("value").cast(LONG).alias("s"), (F.col("value") > 100).alias("flag"))
     return documents.usage(rows, ["event_type"], "s", "flag", 2, 5)
 
 
@@ -269,11 +271,12 @@ def score_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {CANDIDATES}, s as (select kind, end_ms - start_ms as total_ms, (end_ms - start_ms) // (2 + cand_idx % 4) as silent_ms from candidates where end_ms > start_ms)
-select kind, count(*) as files, cast(floor(cast(sum(silent_ms) as bigint)::double / cast(sum(total_ms) as bigint) * 1000) as bigint) as weighted from s group by 1""")
+select kind, count(*) as files, cast(floor(cast(sum(silent_ms) as bigint)::double / cast(sum(total_ms) as bigint) * 1000) as bigint) as weighted,
+  cast(sum(silent_ms * 1000 // total_ms) // count(*) as bigint) as mean from s group by 1""")
 def silence_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.col("end_ms") - F.col("start_ms")
     files = candidates(spark, sf_dir).select("kind", total.alias("total_ms"), F.expr("(end_ms - start_ms) div (2 + cand_idx % 4)").alias("silent_ms"))
-    return documents.silence_ratio(files, "kind").select("kind", "files", F.col("weighted").cast(LONG).alias("weighted"))
+    return documents.silence_ratio(files, "kind").select("kind", "files", F.col("weighted").cast(LONG).alias("weighted"), F.col("mean").cast(LONG).alias("mean"))
 
 
 # Transcripts and subtitles.
@@ -303,20 +306,6 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.split_sentences(timed, BY, "word_idx")
 
 
-@query(f"with {SEGMENTS} select source_id, count(*) as cues, cast(min(start_ms) as bigint) as first_ms, cast(max(end_ms) as bigint) as last_ms from segments group by 1")
-def srt_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Brackets would be dropped by the reader: a text that is nothing but one leaves no cue.
-    named = segments(spark, sf_dir).select(F.concat(F.col("source_id").cast("string"), F.lit(".srt")).alias("path"), "seg_idx", "start_ms", "end_ms", F.concat(F.lit("said "), F.regexp_replace("text", r"\s+", " ")).alias("text"))
-    read = subtitles.parse(subtitles.as_srt(named))
-    out = read.groupBy("path").agg(F.count("*").alias("cues"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"))
-    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast(LONG).alias("source_id"), "cues", "first_ms", "last_ms")
-
-
-@query()
-def doc_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.credits(segments(spark, sf_dir), BY, ["the", "you"], 30_000, 3)
-
-
 #: Turns claim what they and the next turn say, odd ones a minute too late.
 CLAIMS = f"""{SEGMENTS}, n as (select *, {MARKS.format("text")} as n from segments),
 line as (select *, coalesce(sum(length(n)) over (partition by source_id order by start_ms, seg_idx rows between unbounded preceding and 1 preceding), 0) as off from n where n <> ''),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import edits  # noqa: F401  (adds its queries to the catalogue)
+from .plans import edits, more  # noqa: F401  (add their queries to the catalogue)
 from .plans.catalogue import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -67,7 +67,7 @@ def vtt(files: DataFrame) -> DataFrame:
 def ass(files: DataFrame) -> DataFrame:
     events = F.regexp_extract(F.regexp_replace("value", "\r", ""), r"(?i)\[Events\]\n((?:(?!\n\[)[\s\S])*)", 1)
     lines = files.select("path", F.posexplode(F.split(events, "\n")).alias("_at", "line")).where(F.col("line").startswith("Dialogue:"))
-    fields = F.split(F.substring("line", 10, 1 << 20), ",", 10)
+    fields = F.split(F.regexp_replace("line", "^Dialogue:", ""), ",", 10)
     time = lambda i: [F.regexp_extract(F.get(fields, F.lit(i)), r"(\d+):(\d+):(\d+)\.(\d+)", k) for k in (1, 2, 3, 4)]
     text = _clean(F.replace(F.replace(F.get(fields, F.lit(9)), F.lit("\\N"), F.lit(" ")), F.lit("\\n"), F.lit(" ")))
     timed = lines.where(F.size(fields) == 10).select("path", "_at", _ms(*time(1), 10).alias("start_ms"), _ms(*time(2), 10).alias("end_ms"), text.alias("text"))
@@ -110,7 +110,25 @@ def cue_key(text: Column, voice: Column, speed: Column, target_ms: Column) -> Co
     return F.sha1(F.concat_ws("\0", text, voice, speed, F.format_string("%.2f", target_ms / 1000)))
 
 
+def cached_cues(cues: DataFrame, cache: DataFrame) -> DataFrame:
+    """cues (text, voice, speed, target_ms) with their key, and the file of the cache (key, file) that has it."""
+    keyed = cues.withColumn("key", cue_key(F.col("text"), F.col("voice"), F.col("speed"), F.col("target_ms")))
+    return keyed.join(cache.select("key", "file"), "key", "left")
+
+
 def salvage_json(answer: Column) -> Column:
-    """An answer without its code fence, from the first brace or bracket on."""
-    bare = F.regexp_replace(answer, r"(?s)^\s*```[A-Za-z]*\s*|\s*```\s*$", "")
-    return F.regexp_extract(bare, r"(?s)[\[{].*", 0)
+    """struct(value, lost): the first complete JSON value of an answer, without its code fence, and how many characters
+    behind it are left out. A value of brackets that never close is null."""
+    bare = F.trim(F.regexp_replace(answer, r"(?s)^\s*```[A-Za-z]*\s*|\s*```\s*$", ""))
+    start = F.regexp_extract(bare, r"(?s)[\[{].*", 0)
+    # Strings first, so that brackets in them do not count; what is left is brackets and other text.
+    parts = F.regexp_extract_all(start, F.lit(r'"(?:[^"\\]|\\.)*"|[\[\]{}]|[^"\[\]{}]+|"'), F.lit(0))
+
+    def step(state: Column, part: Column) -> Column:
+        depth = state["depth"] + F.when(part.isin("[", "{"), 1).when(part.isin("]", "}"), -1).otherwise(0)
+        size = state["size"] + F.length(part)
+        return F.when(state["done"], state).otherwise(F.struct(depth.alias("depth"), size.alias("size"), (depth == 0).alias("done")))
+
+    found = F.aggregate(parts, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(False).alias("done")), step)
+    whole = lambda f: F.struct(F.when(f["done"], F.left(start, f["size"])).alias("value"), F.when(f["done"], F.length(start) - f["size"]).alias("lost"))
+    return F.transform(F.array(found), whole)[0]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from spanwise.operators import clips, folds, quotes
 from spanwise.functions import text as tx
-from pyspark.sql import functions as F
+from spanwise.functions import transcripts
+from spanwise.operators import clips, folds, intervals, quotes
+from spanwise.sources import stages, subtitles
 
 SEGS = "source_id long, seg_idx long, start_ms long, end_ms long, text string"
 CLIP = "source_id long, clip_idx long, start_ms long, end_ms long, visual_essential boolean, known boolean, essential boolean, description string"
@@ -167,3 +169,82 @@ def test_wrap_is_greedy(spark):
                 line = w
         want += [line] if line else []
         assert spark.createDataFrame([(text,)], "t string").select(tx.wrap(F.col("t"), width)).first()[0] == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ("에스케이텔레콤 에서 일했다", "SK텔레콤 에서 일했다"), ("씨티오 출신", "CTO 출신"), ("엔씨소프트 대표", "NC소프트 대표"), ("아이티 업계 흐름", "IT업계 흐름"),
+    ("삼십년 만이다", "30년 만이다"), ("삼십년을 버텼다", "30년을 버텼다"), ("이십사시간 영업", "24시간 영업"), ("십년대", "10년대"),
+    ("아이티 는 카리브해 국가다", None), ("아이티오 회사", None), ("만원짜리 물건", None), ("삼십 이라고 했다", None), ("에스케이텔레콤이", None), ("", None), (" a  b ", None),
+])
+def test_notation(spark, text, want):
+    r = spark.createDataFrame([(text,)], "t string").select(transcripts.restore_notation(F.col("t")).alias("r")).first().r
+    assert r.text == (text if want is None else want) and bool(r.used) == (want is not None)
+
+
+def test_notation_is_counted(spark):
+    df = spark.createDataFrame([("씨티오 와 씨티오",), (None,)], "t string").select(transcripts.restore_notation(F.col("t"))["used"].alias("used"))
+    assert {tuple(r) for r in transcripts.rules_used(df).collect()} == {("씨티오→CTO", 2)}
+
+
+def test_kept_intervals_of_dropped_beats(spark):
+    clip = spark.createDataFrame([(1, 0, 0, 30_000), (1, 1, 50_000, 60_000), (2, 0, 0, 5000)], "source_id long, clip long, start_ms long, end_ms long")
+    none = spark.createDataFrame([], "source_id long, start_ms long, end_ms long")
+    drop = lambda *rows: spark.createDataFrame(list(rows), "source_id long, r_start long, r_end long")
+    cut = lambda drops, segs=none: {tuple(r) for r in intervals.kept_intervals(clip, drops, segs, ["source_id"], "clip").collect()}
+    rest = {(1, 1, 50_000, 60_000), (2, 0, 0, 5000)}
+    assert cut(drop((1, 10_000, 20_000))) == {(1, 0, 0, 10_000), (1, 0, 20_000, 30_000)} | rest
+    assert cut(spark.createDataFrame([], "source_id long, r_start long, r_end long")) == {(1, 0, 0, 30_000)} | rest
+    # Inner edges go to sentences; short pieces go, the longest stays when all are short; nothing left: the whole clip.
+    said = spark.createDataFrame([(1, 1000, 8000), (1, 22_000, 29_000)], "source_id long, start_ms long, end_ms long")
+    assert cut(drop((1, 10_000, 20_000)), said) == {(1, 0, 0, 8000), (1, 0, 22_000, 30_000)} | rest
+    assert cut(drop((2, 1000, 3500))) == {(1, 0, 0, 30_000), (1, 1, 50_000, 60_000), (2, 0, 3500, 5000)}
+    assert cut(drop((2, 0, 9000))) == {(1, 0, 0, 30_000)} | rest
+
+
+def test_salvaged_json(spark):
+    rows = [('```json\n{"a": 1}\n```', '{"a": 1}', 0), ('Here: {"a": "}"} and more', '{"a": "}"}', 9), ('{"a":1}{"b":2}', '{"a":1}', 7), ("[1, [2]] tail", "[1, [2]]", 5), ('{"a": [1', None, None), ("none", None, None), (None, None, None)]
+    df = spark.createDataFrame([(r[0],) for r in rows], "t string").select(subtitles.salvage_json(F.col("t")).alias("s"))
+    assert [(r.s.value, r.s.lost) if r.s else (None, None) for r in df.collect()] == [r[1:] for r in rows]
+
+
+def test_subtitle_readers(spark):
+    files = [
+        ("a.srt", "1\n00:00:01,500 --> 00:00:02,000\n(Anna) <i>hi</i>\nthere [door]\n\n2\nbad\n\n3\n00:00:03,000 --> 00:00:04,000\n[only]\n"),
+        ("b.vtt", "WEBVTT\n\n01:02.500 --> 01:03.000 align:start\n<v Bob>hello\n\n00:01:04.000 --> 00:01:05.000\nplain"),
+        ("c.ass", "[Events]\nDialogue: 0,0:00:01.50,0:00:02.00,D,,0,0,0,,one, two\\Nthree\n\n[Fonts]\nDialogue: 0,0:00:09.00,0:00:10.00,D,,0,0,0,,no\n"),
+        ("d.smi", '<SYNC Start=1000><P Class="KRCC">first<SYNC Start=2500><P Class=kim>second<br>line<SYNC Start=4000><P Class=KRCC>&nbsp;'),
+    ]
+    got = {(r.path, r.seg_idx, r.start_ms, r.end_ms, r.text) for r in subtitles.parse(spark.createDataFrame(files, "path string, value string")).collect()}
+    assert got == {
+        ("a.srt", 0, 1500, 2000, "Anna: hi there"), ("b.vtt", 0, 62_500, 63_000, "Bob: hello"), ("b.vtt", 1, 64_000, 65_000, "plain"), ("c.ass", 0, 1500, 2000, "one, two three"),
+        ("d.smi", 0, 1000, 2500, "first"), ("d.smi", 1, 2500, 4000, "kim: second line"),
+    }
+    with pytest.raises(Exception, match="no reader"):
+        subtitles.parse(spark.createDataFrame([("a.txt", "x")], "path string, value string")).collect()
+
+
+def test_stages_are_resumed(spark, tmp_path):
+    ran = []
+    stage = lambda name, n: (name, lambda df: ran.append(name) or df.withColumn("x", F.col("x") + n))
+    three = [stage("one", 1), stage("two", 10), stage("three", 100)]
+    first = spark.range(3).select(F.col("id").alias("x"))
+    assert sorted(r.x for r in stages.run(spark, first, three, str(tmp_path)).collect()) == [111, 112, 113] and ran == ["one", "two", "three"]
+    assert sorted(r.x for r in stages.run(spark, first, three, str(tmp_path), "three").collect()) == [111, 112, 113] and ran[3:] == ["three"]
+
+
+def test_streams(spark, tmp_path):
+    from spanwise.streaming import events
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = events.read(spark, f"{tmp_path}/in", rows.schema)
+    for name, out in (("sessions", events.session_counts(stream)), ("windows", events.window_values(stream))):
+        q = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/{name}").start()
+        q.awaitTermination(120)
+    batch = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    whole = batch.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("event_type", F.col("w.start").alias("start"), "n")
+    got = {tuple(r) for r in spark.table("windows").select("event_type", "start", "n").collect()}
+    # Windows that the watermark has not passed stay open.
+    late = {tuple(r) for r in whole.collect()} - got
+    assert got and got <= {tuple(r) for r in whole.collect()} and len(late) < 10
+    assert spark.table("sessions").agg(F.sum("n")).first()[0] > 900
