@@ -13,7 +13,8 @@ exact weighted Jaccard similarity. Verified links form classes by alternating la
 steps. Members of one bucket that are in different classes still are then compared with each other:
 every pair is examined, unless the triangle inequality (the distance is a metric) or the weights rule a
 link out. In buckets of up to SMALL members these are rows, at most SMALL a member; larger buckets are
-compared in square blocks of bounded size that return links only, so rows are members and blocks there.
+compared in square blocks of bounded size that return links only, so rows are members and blocks there,
+and the members of a bucket's largest class are sent to the blocks of the others alone.
 
 Texts that are equal are one node. Bucket minima and classes are aggregates joined back: no bucket's
 members are gathered or all paired.
@@ -226,9 +227,13 @@ def links(texts: DataFrame, heads: DataFrame, idf: np.ndarray, least: float = LE
     roots = components(good)
     now = near.join(roots, near["b"] == roots["id"], "left").select("key", "band", "b", "d", F.coalesce("root", "b").alias("root"))
     now = settle(now.join(signed.select(F.col("doc_id").alias("b"), "keys", "size"), "b"), "now")
-    sized = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks")
-    parts = now.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("key").agg(sized, F.sum("n").alias("n"), F.count("*").alias("roots"))
-    left = settle(now.join(parts.where("roots > 1").select("key", "n", "blocks"), "key").drop("size"), "left")
+    # A bucket's largest class needs no comparing within: its members meet those of the others only.
+    of_root = now.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    largest = F.max_by(F.struct("root", "n", "size"), F.struct("n", "root"))
+    parts = of_root.groupBy("key").agg(largest.alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("roots")).where("roots > 1")
+    sized = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("long")
+    parts = parts.select("key", "n", F.col("main.root").alias("main"), sized(F.col("main.n"), F.col("main.size")).alias("blocks"), sized(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("others"))
+    left = settle(now.join(parts, "key").drop("size"), "left")
 
     # Small buckets: at most SMALL pairs a member, each in its first common band only.
     pool = left.where(F.col("n") <= SMALL)
@@ -240,7 +245,11 @@ def links(texts: DataFrame, heads: DataFrame, idf: np.ndarray, least: float = LE
     good = good.unionByName(verify(pairs, "second").where(F.col("s") >= least).select("a", "b"))
 
     # Larger ones are compared in square blocks of bounded size; rows are members, not pairs.
-    left = left.where(F.col("n") > SMALL).withColumn("block", F.pmod(F.xxhash64("b", "key"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = F.xxhash64("b", "key")
+    inside = F.col("root") == F.col("main")
+    block = F.when(inside, F.col("others") + F.pmod(dealt, F.col("blocks"))).otherwise(F.pmod(dealt, F.col("others")))
+    met = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("blocks"))
+    left = left.where(F.col("n") > SMALL).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), met - 1)))
     left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "band", "b", "d", "root", "keys")
     tasks = left.join(texts.select(F.col("doc_id").alias("b"), "text"), "b").groupBy("key", "i", "j")
     more = tasks.applyInArrow(lambda group: compare_block(group, shared.value, least), "a long, b long")

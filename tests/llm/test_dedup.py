@@ -194,6 +194,24 @@ def test_near_dedup_chain_of_copies(spark):
     assert got == want
 
 
+def test_near_dedup_compares_large_buckets_in_blocks(spark, monkeypatch):
+    """The same classes when buckets are compared in blocks of two members."""
+    monkeypatch.setattr(near_dedup, "SMALL", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "FEW", 0)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(30):
+        words = list(base)
+        for j in range(k // 3):
+            words[(7 * j + k % 3) % 60] = f"n{j}{k % 3}"
+        rows.append((k, " ".join(words), None, None, None))
+    rows += corpus()[:60]
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    want = brute_classes(rows, near_dedup.word_idf(frame(spark, rows)))
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows)).collect()} == want
+
+
 def test_icws_estimates_weighted_jaccard():
     rng = np.random.default_rng(5)
     found = np.sort(rng.integers(0, 2**63, 400).astype(np.uint64))
