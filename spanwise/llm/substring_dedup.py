@@ -110,22 +110,23 @@ def removals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
             if len(starts):
                 _, one = b.windows(hashes, width, WORD_BASE)
                 _, two = b.windows(b.word_hashes(BYTE_BASE_2), width, WORD_BASE_2)
-                doc = b.word_doc()[starts]
+                one, two, doc = one[take], two[take], b.word_doc()[starts]
+                # A document's equal windows are one row.
+                order = np.lexsort((two, one, doc))
+                one, two, doc, starts = one[order], two[order], doc[order], starts[order]
+                new = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (doc[1:] != doc[:-1])])
+                at = pa.ListArray.from_arrays(pa.array(np.r_[new, len(starts)].astype(np.int32)), pa.array((starts - b.word_at[doc]).astype(np.int32)))
+                of = pa.array(doc[new])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(one[take].view(np.int64)),
-                        pa.array(two[take].view(np.int64)),
-                        part.column("doc_id").take(pa.array(doc)),
-                        part.column("tx").take(pa.array(doc)),
-                        pa.array((starts - b.word_at[doc]).astype(np.int32)),
-                    ],
+                    [pa.array(one[new].view(np.int64)), pa.array(two[new].view(np.int64)), part.column("doc_id").take(of), part.column("tx").take(of), at],
                     names=["h1", "h2", "doc_id", "tx", "at"],
                 )
 
-    windows = settle(suspects.mapInArrow(hash_windows, "h1 long, h2 long, doc_id long, tx long, at int"), "windows")
-    firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
-    later = windows.join(firsts, ["h1", "h2"]).where("doc_id > first")
-    return later.groupBy(*own).agg(F.collect_set("at").alias("at")).unionByName(copies.select(*own, F.lit(None).cast("array<int>").alias("at")))
+    windows = settle(suspects.mapInArrow(hash_windows, "h1 long, h2 long, doc_id long, tx long, at array<int>"), "windows")
+    firsts = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last")
+    firsts = settle(firsts, "firsts")
+    later = join_hot(windows, firsts.select("h1", "h2", "first"), ["h1", "h2"], firsts, "n", windows.count()).where("doc_id > first")
+    return later.groupBy(*own).agg(F.flatten(F.collect_list("at")).alias("at")).unionByName(copies.select(*own, F.lit(None).cast("array<int>").alias("at")))
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
