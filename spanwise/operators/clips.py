@@ -41,17 +41,37 @@ def restore_times(clips: DataFrame, candidates: DataFrame, aliases: DataFrame |
     return joined.withColumns(new).drop("_c", "_k", "_s", "_e", "_d")
 
 
+PIECE = "struct<start_ms:bigint,end_ms:bigint,chunk_index:bigint,candidate_index:bigint>"
+
+
 def storyline_clips(stories: DataFrame) -> DataFrame:
-    """Rows (variant_id, clip_idx, role, start_ms, end_ms) of storylines with structs hook, payoff and an
-    array build. A highlight is its own clip. A hook that overlaps the payoff is absorbed by it."""
-    one = lambda role, c: F.struct(F.lit(role).alias("role"), c["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"))
-    hook, payoff, build = F.col("hook"), F.col("payoff"), F.coalesce("build", F.array().cast("array<struct<start_ms:bigint,end_ms:bigint>>"))
-    meet = overlap(hook["start_ms"], hook["end_ms"], payoff["start_ms"], payoff["end_ms"]) > 0
-    lead = F.when(hook.isNotNull() & ~F.coalesce(meet, F.lit(False)), F.array(one("hook", hook))).otherwise(F.array().cast("array<struct<role:string,start_ms:bigint,end_ms:bigint>>"))
-    wide = F.struct(F.lit("payoff").alias("role"), F.when(meet, F.least(hook["start_ms"], payoff["start_ms"])).otherwise(payoff["start_ms"]).alias("start_ms"), F.when(meet, F.greatest(hook["end_ms"], payoff["end_ms"])).otherwise(payoff["end_ms"]).alias("end_ms"))
-    tail = F.when(payoff.isNotNull(), F.array(wide)).otherwise(F.array().cast("array<struct<role:string,start_ms:bigint,end_ms:bigint>>"))
-    all_ = F.concat(lead, F.transform(build, lambda b: one("build", b)), tail)
-    return stories.select("variant_id", F.posexplode(all_).alias("clip_idx", "c")).select("variant_id", "clip_idx", "c.role", "c.start_ms", "c.end_ms")
+    """Rows (variant_id, clip_idx, role, start_ms, end_ms) of storylines, one branch each: a highlight is a payoff alone; a
+    block is its hook and its pieces in order of time, the last of them the payoff; with a hook_preview that lies in the
+    hook and lasts a second, the preview is the hook, and the hook itself goes into a payoff that it overlaps, or is a
+    build before it, unless it is the preview's own candidate; else hook, builds and payoff stay as they are.
+
+    stories: variant_id, hook, payoff and an array build, and if they have them highlight, hook_preview and an array block,
+    structs of start_ms, end_ms, chunk_index and candidate_index (-1 for none)."""
+    for name, kind in (("highlight", PIECE), ("hook_preview", PIECE), ("block", f"array<{PIECE}>")):
+        if name not in stories.columns:
+            stories = stories.withColumn(name, F.lit(None).cast(kind))
+    none = F.array().cast("array<struct<role:string,start_ms:bigint,end_ms:bigint>>")
+    part = lambda role, start, end: F.struct(F.lit(role).alias("role"), start.cast("long").alias("start_ms"), end.cast("long").alias("end_ms"))
+    one = lambda role, c: F.when(c.isNotNull(), F.array(part(role, c["start_ms"], c["end_ms"]))).otherwise(none)
+    hook, preview, payoff = F.col("hook"), F.col("hook_preview"), F.col("payoff")
+    builds = F.coalesce(F.transform("build", lambda b: part("build", b["start_ms"], b["end_ms"])), none)
+    inside = (hook["start_ms"] <= preview["start_ms"]) & (preview["end_ms"] <= hook["end_ms"]) & (preview["end_ms"] - preview["start_ms"] >= 1000)
+    meet = F.coalesce((payoff["start_ms"] < hook["end_ms"]) & (hook["start_ms"] < payoff["end_ms"]), F.lit(False))
+    same = hook["chunk_index"].eqNullSafe(preview["chunk_index"]) & hook["candidate_index"].eqNullSafe(preview["candidate_index"])
+    wide = F.array(part("payoff", F.least(payoff["start_ms"], hook["start_ms"]), F.greatest(payoff["end_ms"], hook["end_ms"])))
+    previewed = F.concat(one("hook", preview), builds, F.when(meet, wide).otherwise(F.concat(F.when(same, none).otherwise(one("build", hook)), one("payoff", payoff))))
+    sorted_block = F.array_sort("block")  # by start
+    block = F.transform(sorted_block, lambda c, i: part("build", c["start_ms"], c["end_ms"]).withField("role", F.when(i == F.size("block") - 1, "payoff").otherwise("build")))
+    every = (
+        F.when(F.col("highlight").isNotNull(), one("payoff", F.col("highlight"))).when(F.col("block").isNotNull(), F.concat(one("hook", hook), block))
+        .when(F.coalesce(inside, F.lit(False)), previewed).otherwise(F.concat(one("hook", hook), builds, one("payoff", payoff)))
+    )
+    return stories.select("variant_id", F.posexplode(every).alias("clip_idx", "c")).select("variant_id", "clip_idx", "c.role", "c.start_ms", "c.end_ms")
 
 
 def flatten_pieces(clips: DataFrame) -> DataFrame:
@@ -294,6 +314,13 @@ def place_subtitles(subs: DataFrame, clips: DataFrame, by: Sequence[str], sub: s
     return placed, subs.join(placed.select(*by, sub), [*by, sub], "left_anti")
 
 
+def place_images(images: DataFrame, clips: DataFrame, by: Sequence[str], image: str, slop: int = 500, least: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(placed, orphans): images or texts (source_ms, dur_ms and more) on the edit axis by the rules of subtitles; their own
+    columns stay, and so does their order, which is their stacking."""
+    placed, orphans = place_subtitles(images, clips, by, image, slop, least)
+    return images.drop("source_ms", "dur_ms").join(placed, [*by, image]), orphans
+
+
 def flag_uncertain(rows: DataFrame, doubtful: DataFrame, by: Sequence[str], key: str, least: int = 50) -> DataFrame:
     """rows with `uncertain`: whether a doubtful span covers `least` of it."""
     met = overlap_join(rows, doubtful, by).where(overlap(F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end")) >= least)

@@ -44,25 +44,44 @@ def story(answer: Column) -> Column:
     )
 
 
-#: Keys an override document may have by its stamp; each version adds to the one before.
-CONTRACT = {"v1": ("schema", "title", "clips"), "v2": ("subtitles", "tts"), "v3": ("images", "texts")}
+#: The stamps of an override document, the keys that only the newest may have, and the roles of its clips.
+STAMPS = ("edit_overrides/v1", "edit_overrides/v2", "edit_overrides/v3")
+NEWEST_KEYS, ROLES = ("images", "texts"), ("hook", "build", "payoff")
 
 
 def override_reason(document: Column) -> Column:
-    """ok, or the first thing an override document breaks: its stamp, a key of a later version, its clips."""
-    stamp = F.get_json_object(document, "$.schema")
-    keys = F.coalesce(F.json_object_keys(document), F.array().cast("array<string>"))
-    allowed, known = F.array().cast("array<string>"), []
-    for version, more in CONTRACT.items():
-        known += more
-        allowed = F.when(stamp.endswith(version), F.array(*map(F.lit, known))).otherwise(allowed)
-    clips = F.from_json(F.get_json_object(document, "$.clips"), "array<struct<start_sec:double,end_sec:double>>")
-    bad = F.exists(clips, lambda c: c["start_sec"].isNull() | c["end_sec"].isNull() | (c["end_sec"] <= c["start_sec"]) | (c["start_sec"] < 0))
-    extra = F.array_except(keys, allowed)
-    return (
-        F.when(F.size(keys) == 0, "not an object").when(stamp.isNull() | (F.size(allowed) == 0), "unknown schema")
-        .when(F.size(extra) > 0, F.concat(F.lit("unknown key "), F.array_min(extra))).when(F.coalesce(bad, F.lit(False)), "bad clip").otherwise("ok")
-    )
+    """ok, or the first thing that an override document breaks: its stamp, its title, then its clips, subtitles, narration,
+    images and texts. Lists replace all there was, so an empty one is wrong, but for narration, where it means none."""
+    at = lambda path: F.get_json_object(document, path)
+    number = "start_sec:string,end_sec:string,source_time_sec:string,duration_sec:string,text:string,role:string,style:string"
+    rows = lambda key: F.from_json(at(f"$.{key}"), f"array<struct<{number}>>")
+    value = lambda c: c.try_cast("double")
+    has = lambda key: F.array_contains(F.json_object_keys(document), key)
+    newest = at("$.schema") == STAMPS[-1]
+
+    def any_of(key: str, bad) -> Column:
+        return F.coalesce(F.exists(rows(key), bad), F.lit(False))
+
+    no_list = lambda key: has(key) & (at(f"$.{key}") != "null") & ~F.coalesce(F.ltrim(at(f"$.{key}")).startswith("["), F.lit(False))
+    empty = lambda key: has(key) & (F.coalesce(F.size(rows(key)), F.lit(-1)) == 0)
+    turned = lambda r: ~F.coalesce((value(r["start_sec"]) >= 0) & (value(r["start_sec"]) < value(r["end_sec"])), F.lit(False))
+    blank = lambda r: F.trim(F.coalesce(r["text"], F.lit(""))) == ""
+    unplaced = lambda r: ~F.coalesce(value(r["source_time_sec"]) >= 0, F.lit(False))
+    endless = lambda r: r["duration_sec"].isNotNull() & ~F.coalesce(value(r["duration_sec"]) > 0, F.lit(False))
+    reason = F.when(F.json_object_keys(document).isNull(), "not an object").when(~F.coalesce(at("$.schema").isin(*STAMPS), F.lit(False)), "unknown schema")
+    reason = reason.when(F.trim(at("$.title.top_title")) == "", "title: blank").when(at("$.title.segments").isNotNull() & ~newest, "title: segments need the newest schema")
+    for key in ("clips", "subtitles", *NEWEST_KEYS):
+        if key in NEWEST_KEYS:
+            reason = reason.when(has(key) & ~newest, f"{key}: need the newest schema")
+        reason = reason.when(no_list(key) | empty(key), f"{key}: not a list with rows")
+        if key not in NEWEST_KEYS:
+            reason = reason.when(any_of(key, turned), f"{key}: times")
+    reason = reason.when(any_of("clips", lambda r: r["role"].isNotNull() & ~r["role"].isin(*ROLES)), "clips: role").when(any_of("subtitles", blank), "subtitles: blank")
+    reason = reason.when(any_of("subtitles", lambda r: r["source_time_sec"].isNotNull() | r["style"].isNotNull()) & ~newest, "subtitles: anchors need the newest schema")
+    reason = reason.when(no_list("tts"), "tts: not a list").when(any_of("tts", unplaced), "tts: time").when(any_of("tts", blank), "tts: blank").when(any_of("tts", endless), "tts: duration")
+    for key in NEWEST_KEYS:
+        reason = reason.when(any_of(key, lambda r: unplaced(r) | r["duration_sec"].isNull() | endless(r)), f"{key}: times")
+    return reason.when(any_of("texts", blank), "texts: blank").otherwise("ok")
 
 
 def apply_overrides(variants: DataFrame, override: DataFrame, key: str = "variant_id") -> DataFrame:

@@ -145,9 +145,12 @@ def clip_nearest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips.nearest_sample(c, samples, BY, "cand_idx", "end_ms", 7_200_000).select("source_id", "cand_idx", "t")
 
 
-@query()
+@query(f"""with {CANDIDATES}, n as (select *, row_number() over (partition by source_id order by start_ms) - 1 as i, count(*) over (partition by source_id) as n from candidates),
+t as (select * from n where i % (case when n > 40 then n // 40 + 1 else 1 end) = 0 or i = n - 1),
+k as (select *, lead(start_ms) over (partition by source_id order by start_ms) as t1, lead(score) over (partition by source_id order by start_ms) as v1 from t)
+select source_id, start_ms as t0, t1, score as v0, coalesce(cast(floor((v1 - score)::double / greatest(t1 - start_ms, 1) * 1000 * 1000000) as bigint), 0) as slope_micro from k""")
 def crop_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clips.crop_curve(candidates(spark, sf_dir), BY, "start_ms", "score", 40)
+    return clips.crop_curve(candidates(spark, sf_dir), BY, "start_ms", "score", 40).select("source_id", "t0", "t1", "v0", F.floor(F.col("slope") * 1_000_000).cast(LONG).alias("slope_micro"))
 
 
 #: Clips of four turns, every fifth a visual beat; turns of the assistant are narrated, and clips of an odd number
@@ -247,13 +250,16 @@ def story_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event.select("event_id", documents.story(answer).alias("s")).select("event_id", "s.*")
 
 
-@query("""select event_id, case event_id % 5 when 0 then 'ok' when 1 then 'unknown key images' when 2 then 'ok' when 3 then 'bad clip' else 'unknown schema' end as reason from events""")
+#: A document by event: its stamp by type, one clip of the event's value, a narration at its number's place.
+@query("""select event_id, case when event_type = 'error' then 'unknown schema' when floor(value) < 100 then 'clips: times'
+  when event_type = 'view' then 'images: need the newest schema' when event_type = 'click' then 'clips: role' when value > 300 then 'tts: blank' else 'ok' end as reason from events""")
 def override_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = F.array(*map(F.lit, (
-        '{"schema":"edit_v1","clips":[{"start_sec":1,"end_sec":2}]}', '{"schema":"edit_v2","images":[]}', '{"schema":"edit_v3","images":[],"tts":[]}',
-        '{"schema":"edit_v1","clips":[{"start_sec":3,"end_sec":2}]}', '{"title":"x"}',
-    )))
-    return table(spark, sf_dir, "events").select("event_id", documents.override_reason(F.get(given, (F.col("event_id") % 5).cast("int"))).alias("reason"))
+    stamp = F.when(F.col("event_type") == "error", "other").when(F.col("event_type") == "view", "edit_overrides/v2").otherwise("edit_overrides/v3")
+    clip = F.format_string('{"start_sec":100,"end_sec":%d.5,"role":"%s"}', F.floor("value"), F.when(F.col("event_type") == "click", "intro").otherwise("hook"))
+    cue = F.format_string('{"source_time_sec":%d,"text":"%s","duration_sec":2}', "event_id", F.when(F.col("value") > 300, " ").otherwise("said"))
+    images = F.when(F.col("event_type") == "view", ',"images":[{"source_time_sec":1,"duration_sec":2}]').otherwise("")
+    document = F.concat(F.lit('{"schema":"'), stamp, F.lit('","clips":['), clip, F.lit('],"tts":['), cue, F.lit("]"), images, F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", documents.override_reason(document).alias("reason"))
 
 
 @query("""with r as (select event_type, cast(floor(value) as bigint) as s, value > 100 as flag from events)

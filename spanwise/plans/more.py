@@ -283,19 +283,26 @@ def beat_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("cand_idx", "start_ms", "end_ms")
 
 
+#: A user's first sign-up is the hook, the last purchase the payoff, the last click a build; half the users have a preview.
 STORY = f"""{CANDIDATES}, g as (select source_id, min(case when kind = 'signup' then start_ms end) as h0, min(case when kind = 'signup' then start_ms end) + 50000000 as h1,
   max(case when kind = 'purchase' then start_ms end) as p0, max(case when kind = 'purchase' then start_ms end) + 40000000 as p1, max(case when kind = 'click' then start_ms end) as b0 from candidates group by 1),
-m as (select *, coalesce(h0 < p1 and h1 > p0, false) as meet from g),
-u as (select source_id, 0 as o, 'hook' as role, h0 as a, h1 as z from m where h0 is not null and not meet union all select source_id, 1, 'build', b0, b0 + 1000 from m where b0 is not null
-  union all select source_id, 2, 'payoff', case when meet then least(h0, p0) else p0 end, case when meet then greatest(h1, p1) else p1 end from m where p0 is not null)"""
+m as (select *, coalesce(h0 < p1 and p0 < h1, false) as meet, h0 is not null and source_id % 2 = 0 as shown from g),
+u as (select source_id, 0 as o, 'hook' as role, h0 as a, case when shown then h0 + 5000 else h1 end as z from m where h0 is not null
+  union all select source_id, 1, 'build', b0, b0 + 1000 from m where b0 is not null
+  union all select source_id, 2, 'build', h0, h1 from m where shown and not (meet and p0 is not null)
+  union all select source_id, 3, 'payoff', case when shown and meet then least(h0, p0) else p0 end, case when shown and meet then greatest(h1, p1) else p1 end from m where p0 is not null)"""
 
 
 @query(f"with {STORY} select source_id as variant_id, cast(row_number() over (partition by source_id order by o) - 1 as int) as clip_idx, role, cast(a as bigint) as start_ms, cast(z as bigint) as end_ms from u")
 def story_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda pick, kind: pick(F.when(F.col("kind") == kind, F.col("start_ms")))
     g = candidates(spark, sf_dir).groupBy("source_id").agg(of(F.min, "signup").alias("h"), of(F.max, "purchase").alias("p"), of(F.max, "click").alias("b"))
-    span = lambda c, n: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("start_ms"), (F.col(c) + n).alias("end_ms")))
-    told = g.select(F.col("source_id").alias("variant_id"), span("h", 50_000_000).alias("hook"), span("p", 40_000_000).alias("payoff"), F.filter(F.array(span("b", 1000)), lambda b: b.isNotNull()).alias("build"))
+
+    def span(c: str, length: int, index: int) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("start_ms"), (F.col(c) + length).alias("end_ms"), F.lit(0).cast(LONG).alias("chunk_index"), F.lit(index).cast(LONG).alias("candidate_index")))
+
+    preview = F.when(F.col("source_id") % 2 == 0, span("h", 5000, 1))
+    told = g.select(F.col("source_id").alias("variant_id"), span("h", 50_000_000, 0).alias("hook"), preview.alias("hook_preview"), span("p", 40_000_000, 2).alias("payoff"), F.filter(F.array(span("b", 1000, 3)), lambda b: b.isNotNull()).alias("build"))
     return clips.storyline_clips(told)
 
 
@@ -362,3 +369,17 @@ def editorial_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.when(F.col("event_type") == "view", "view").when(F.col("event_type") == "click", "avoid").otherwise("_note")
     document = F.concat(F.lit('{"'), key, F.lit('":[],"tone":"dry"}'))
     return table(spark, sf_dir, "events").select("event_id", checks.editorial_reason(document).alias("reason"))
+
+
+_IMAGES = f"""{SPEECH_CLIPS}, spans as (select *, coalesce(sum(end_ms - start_ms) over (partition by source_id order by clip_idx rows between unbounded preceding and 1 preceding), 0) as edit_start,
+  sum(end_ms - start_ms) over (partition by source_id) as total from clips where end_ms > start_ms),
+met as (select s.source_id, s.seg_idx, s.speaker, s.end_ms as t, c.start_ms as c0, c.end_ms as c1, c.edit_start, c.total,
+  row_number() over (partition by s.source_id, s.seg_idx order by case when c.start_ms <= s.end_ms and s.end_ms < c.end_ms then -1 else least(abs(s.end_ms - c.start_ms), abs(s.end_ms - c.end_ms)) end, c.clip_idx) as rn
+  from segments s join spans c on s.source_id = c.source_id and s.end_ms >= c.start_ms - 500 and s.end_ms <= c.end_ms + 500),
+put as (select *, edit_start + least(greatest(t - c0, 0), c1 - c0) as a from met where rn = 1)"""
+
+
+@query(f"with {_IMAGES} select source_id, seg_idx, speaker as file, cast(a as bigint) as edit_s, cast(least(a + 4000, total) as bigint) as edit_e from put where least(a + 4000, total) - a >= 100")
+def image_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = segments(spark, sf_dir).select("source_id", "seg_idx", F.col("speaker").alias("file"), F.col("end_ms").alias("source_ms"), F.lit(4000).cast(LONG).alias("dur_ms"))
+    return clips.place_images(images, _speech_clips(spark, sf_dir).where("end_ms > start_ms"), BY, "seg_idx")[0]
