@@ -36,7 +36,7 @@ from .textblock import all_blocks
 LENGTH, END, GROUP = 4096, 1, 20_000
 #: Tokens, documents, attention cost: what a sequence holds, and how much each counts in the score.
 CAPACITY = (LENGTH, LENGTH, LENGTH * LENGTH)
-SCALES = (1.0, 0.001, 0.001)
+SCALES = (1.0, 0.1, 0.1)
 KNOWN, KNOWN_CHARS = 800_000, 16_000_000  # words in a generation, and their characters
 
 

@@ -176,6 +176,20 @@ def test_early_end_of_the_search_changes_nothing():
         assert len(set(p.best_fit(lengths, capacity, scales)[0].tolist())) == brute_norm(lengths, capacity, scales)
 
 
+def test_pack_cuts_long_documents(spark):
+    """A document of some 14,000 tokens, among others: pieces of 4,096 but for the last, every id once."""
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["the", "engine", "stays", "naïve.", "x9", "日本"]) for _ in range(n)) for n in (9000, 30, 4095, 4096, 10)]
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)]).withColumns({c: F.lit(1) for c in ("piece", "start", "row", "part", "length")})
+    got = p.pack(docs).collect()
+    tokenizer = p.WordIds().tokenizer
+    for i, t in enumerate(texts):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length, r.ids_crc32) for r in own] == [(k, k * 4096, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+    assert max(r.piece for r in got) >= 2
+
+
 def test_pack_edges(spark):
     assert p.pack(frame(spark, empty=True)).count() == 0
     rows = [(None, None, None, None, None)] * 3 + [(1, "a b", None, None, None)]
