@@ -15,7 +15,8 @@ occurred before, and runs of zeros, become back-references; the rest gets optima
 
 Defined results: null bytes give null pixels; what is not a whole lossless WebP gives null pixels and a
 message; null texts are stored as 64 zero bytes, as empty ones; repeated rows are each converted; very
-long payloads take wider rows, up to 2**28 samples; an empty table gives none.
+long payloads are files of up to TILE bytes one behind the other, read again as one picture; an empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -611,6 +612,24 @@ def encode(payload: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
 
 
+#: Bytes of a payload in one file, so that memory does not follow a text: about 150 bytes are needed for each.
+TILE = 1 << 20
+
+
+def encode_all(payload: bytes) -> bytes:
+    """encode() of every TILE of the payload, one file behind the other; each says how long it is."""
+    return b"".join(encode(payload[at : at + TILE]) for at in range(0, max(1, len(payload)), TILE))
+
+
+def files(data: bytes) -> Iterator[bytes]:
+    """The files that stand one behind the other; what is no file behind the first one is left out."""
+    at = 0
+    while at == 0 or data[at : at + 4] == b"RIFF":
+        size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        yield data[at : at + size] if data[at + size : at + size + 4] == b"RIFF" else data[at:]
+        at += size
+
+
 def _put_table(w: Writer, table: np.ndarray) -> None:
     """A palette of opaque greys, each as its difference from the one before."""
     deltas = np.diff(table, prepend=0).tolist()
@@ -632,7 +651,8 @@ def _put_table(w: Writer, table: np.ndarray) -> None:
 
 
 def with_pixels(df: DataFrame, column: str) -> tuple[DataFrame, dict[str, str]]:
-    """df with width, height, pixels (RGBA bytes, row by row) and error of the WebP in a binary column; the new names."""
+    """df with width, height, pixels (RGBA bytes, row by row) and error of the WebP in a binary column; the new names.
+    Files one behind the other are one picture, below each other."""
     names = {c: fresh(df, c) for c in ("width", "height", "pixels", "error")}
     small_batches(df.sparkSession)
 
@@ -641,7 +661,10 @@ def with_pixels(df: DataFrame, column: str) -> tuple[DataFrame, dict[str, str]]:
             rows = []
             for data in part.column(column).to_pylist():
                 try:
-                    pixels = decode(data) if data is not None else None
+                    tiles = [decode(d) for d in files(data)] if data is not None else []
+                    if len({t.shape[1] for t in tiles}) > 1:
+                        raise Malformed("files of different widths")
+                    pixels = np.concatenate(tiles) if tiles else None
                     rows.append((None, None, None, None) if pixels is None else (pixels.shape[1], pixels.shape[0], pixels.tobytes(), None))
                 except Malformed as e:
                     rows.append((None, None, None, str(e)))
@@ -661,7 +684,7 @@ def stored(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in all_blocks(batches, text):
-            media = [encode(payload_of(t)) for t in part.column(text).cast(pa.binary()).to_pylist()]
+            media = [encode_all(payload_of(t)) for t in part.column(text).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], names=[*part.schema.names, name])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])), name
@@ -672,14 +695,13 @@ def payload_of(text: bytes | None) -> bytes:
     return text.ljust(max(64, -(-len(text) // 64) * 64), b"\0")
 
 
-def feature(samples: np.ndarray) -> str:
-    """Rows, mean, deviation and entropy of an image's samples."""
-    counts = np.bincount(samples.ravel(), minlength=256)
+def feature(rows: int, columns: int, counts: np.ndarray) -> str:
+    """Rows, mean, deviation and entropy of samples, from how often each value occurs."""
     p = counts / counts.sum()
     mean = float(p @ np.arange(256))
     deviation = float(np.sqrt(max(0.0, p @ np.arange(256) ** 2 - mean * mean)))
     some = p[p > 0]
-    return f"{samples.shape[0]}x{samples.shape[1]} mean={mean:.4f} dev={deviation:.4f} entropy={abs(float(some @ np.log2(some))):.4f}"
+    return f"{rows}x{columns} mean={mean:.4f} dev={deviation:.4f} entropy={abs(float(some @ np.log2(some))):.4f}"
 
 
 SHAPE = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -694,10 +716,17 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             rows = []
             for raw in part.column("text").cast(pa.binary()).to_pylist():
                 payload = payload_of(raw)
-                media = encode(payload)
-                samples = np.ascontiguousarray(decode(media)[..., 0])
-                back = samples.tobytes()[: len(payload)]
-                rows.append((len(raw or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
+                media = encode_all(payload)
+                whole, counts, rows_, back, left = hashlib.sha256(), np.zeros(256, np.int64), 0, b"", len(payload)
+                for tile in files(media):
+                    samples = np.ascontiguousarray(decode(tile)[..., 0])
+                    counts += np.bincount(samples.ravel(), minlength=256)
+                    rows_ += samples.shape[0]
+                    own = samples.tobytes()[:left]
+                    left -= len(own)
+                    whole.update(own)
+                    back = own
+                rows.append((len(raw or b""), len(payload) - left, whole.hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(rows_, samples.shape[1], counts)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             arrays = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=[c.split()[0] for c in SHAPE.split(", ")])

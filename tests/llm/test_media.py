@@ -1,3 +1,6 @@
+import hashlib
+import zlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -245,3 +248,25 @@ def test_columns(spark):
     out, names = m.with_pixels(bad, "b")
     assert sorted((r.pixels is None, r.error is None) for r in out.collect()) == [(True, False), (True, True)]
     assert m.digests(frame(spark, empty=True)).count() == 0
+
+
+def test_long_payloads_are_tiled(spark, monkeypatch):
+    text = "".join(chr(97 + i * i % 23) for i in range(10_000)) + "é"
+    whole = m.payload_of(text.encode())
+    monkeypatch.setattr(m, "TILE", 4096)
+    data = m.encode_all(whole)
+    assert [len(m.decode(f)) for f in m.files(data)] == [64, 64, len(whole) // 64 - 128]
+    assert b"".join(m.decode(f)[..., 0].tobytes() for f in m.files(data)) == whole
+    assert list(m.files(m.encode(b"x" * 64) + b"tail")) == [m.encode(b"x" * 64) + b"tail"]
+    monkeypatch.undo()
+    long = "0123456789abcde\n" * (1 << 17)  # two files, and one of 64 bytes
+    rows = [(1, long + "x", None, None, None), (2, None, None, None, None)]
+    got = {r.doc_id: r for r in m.digests(frame(spark, rows)).collect()}
+    payload = m.payload_of((long + "x").encode())
+    assert (got[1].n_bytes, got[1].payload_bytes, got[1].payload_sha256) == (len(long) + 1, len(payload), hashlib.sha256(payload).hexdigest())
+    assert got[1].tail_crc32 == zlib.crc32(payload[-64:]) and got[1].media_sha256 == hashlib.sha256(m.encode_all(payload)).hexdigest()
+    assert got[1].feature.startswith(f"{len(payload) // 64}x64 ") and got[2].payload_bytes == 64
+    media, name = m.stored(frame(spark, rows))
+    back, names = m.with_pixels(media, name)
+    r = back.where("doc_id = 1").first()
+    assert r[names["height"]] * 64 == len(payload) and bytes(r[names["pixels"]])[::4] == payload
