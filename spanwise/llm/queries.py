@@ -74,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLE: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.sql(),
     "op4_source_mixing": source_mixing.sql(),
     "op9_line_dedup": line_dedup.sql(),
 }

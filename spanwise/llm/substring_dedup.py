@@ -159,3 +159,26 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
             )
 
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<array<int>>, kept string")
+
+
+def sql(width: int = WIDTH) -> str:
+    """The query's rows by sorting every window as text."""
+    return f"""
+with split as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+windows as (
+  select doc_id, i, array_to_string(ws[i:i + {width - 1}], ' ') as w from (select doc_id, ws, unnest(range(1, len(ws) - {width - 2})) as i from split where len(ws) >= {width})),
+firsts as (
+  select w, min(doc_id) as first from windows group by w),
+gone as (
+  select distinct doc_id, unnest(range(i, i + {width})) as p from windows join firsts using (w) where doc_id > first),
+words as (
+  select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as p from split),
+marked as (
+  select w.doc_id, x, w.p, g.p is not null as cut, lag(g.p is not null, 1, false) over (partition by w.doc_id order by w.p) as before
+  from words w left join gone g on g.doc_id = w.doc_id and g.p = w.p),
+kept as (
+  select doc_id, count(*) as n_words, count(*) filter (where cut) as n_removed, count(*) filter (where cut and not before) as n_intervals,
+         string_agg(x, ' ' order by p) filter (where not cut) as left_over from marked group by doc_id)
+select s.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(left_over, '')) as kept_sha256, coalesce(n_intervals, 0)::bigint as n_intervals
+from split s left join kept using (doc_id)"""
