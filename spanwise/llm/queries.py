@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media_webp, near_dedup, pii, quality_rules, sequence_packing, source_mixing, substring_dedup, toxicity, url_filters
+from . import (
+    importance_resampling, line_dedup, media_webp, near_dedup, periodic_runs, pii, quality_rules, sequence_packing, simhash_trees, source_mixing,
+    substring_dedup, toxicity, url_filters,
+)
 from .common import settle, table
 
 
@@ -61,6 +64,26 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_trees.marked(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, name = periodic_runs.found(periodic_runs.planted(table(spark, sf_dir, "documents")))
+    out = out.select("doc_id", F.col(name).alias("r"), periodic_runs.longest(F.col(name)).alias("top"))
+    milli = F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("long")
+    return out.select(
+        "doc_id", F.size("r.starts").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", milli.alias("exponent_milli"),
+        "r.runs_sha256", F.sha2(F.col("r.collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -72,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_simhash_trees": op11_simhash_trees,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.sql(),
