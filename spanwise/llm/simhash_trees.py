@@ -36,7 +36,7 @@ from .textblock import Block, all_blocks
 SHINGLE, REACH = 3, 3
 #: Nodes that the upper trees are grown from; fewest of them in a leaf; members aimed at in a shard; rows
 #: of a shard that are asked together; members of a leaf inside a shard.
-SAMPLE, LEAST, SHARD, PART, LEAF = 1 << 15, 8, 4096, 200_000, 128
+SAMPLE, LEAST, SHARD, PART, LEAF = 1 << 15, 8, 256, 200_000, 128
 
 
 def fingerprints(block: Block, k: int = SHINGLE) -> np.ndarray:
