@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.intervals import clusters
+from ..operators.intervals import clusters, last_cluster
 
 #: Words to their usual notation, and what may follow a number between ten and ninety-nine.
 NOTATION = {
@@ -77,10 +77,49 @@ def count_literals(text: Column, literals: Sequence[str]) -> list[Column]:
     return [F.regexp_count(text, F.lit(rf"\Q{x}\E")).alias(f"n_{i}") for i, x in enumerate(literals)]
 
 
-def credits(segments: DataFrame, by: Sequence[str], patterns: Sequence[str], within: int = 30_000, least: int = 3) -> DataFrame:
-    """Where the first cluster of lines with a credit pattern starts in each source."""
+#: What credits say, and how long after the start and before the end of a source it is looked for.
+CREDIT_PATTERNS = (
+    "감독", "연출", "극본", "각본", "출연", "제작", "제공", "기획", "협찬", "조연출", "촬영", "편집", "음악", "미술", "조명", "동시녹음", "작가", "PD", "프로듀서",
+    "directed by", "produced by", "written by", "cast", "executive producer", "director", "screenplay", "cinematography", "editor", "music by", "CAST", "END", "CREDITS", "THE END",
+)
+SCAN_MS, CLUSTER_MS, LEAST_HITS = 120_000, 30_000, 3
+
+
+def credits(segments: DataFrame, lengths: DataFrame, by: Sequence[str], patterns: Sequence[str] = CREDIT_PATTERNS, scan: int = SCAN_MS, within: int = CLUSTER_MS, least: int = LEAST_HITS, order: str = "seg_idx") -> DataFrame:
+    """(by, intro_end, credits_start) of every source of lengths (by, duration_ms): lines with a credit pattern in the first `scan` give the
+    intro's end by clusters(), those in the last `scan` the credits' start by last_cluster(); else 0 and the duration."""
     hit = F.lower("text").rlike("|".join(rf"\Q{p.lower()}\E" for p in patterns))
-    return clusters(segments.where(hit).select(*by, "start_ms"), by, "start_ms", within, least)
+    hits = segments.where(hit).select(*by, order, "start_ms", "end_ms").join(lengths.select(*by, "duration_ms"), list(by))
+    first = hits.where((F.col("end_ms") > 0) & (F.col("start_ms") < F.least(F.lit(scan), F.col("duration_ms"))))
+    last = hits.where((F.col("end_ms") > F.greatest(F.lit(0), F.col("duration_ms") - scan)) & (F.col("start_ms") < F.col("duration_ms")))
+    intro = clusters(first, by, "start_ms", "end_ms", within, least).select(*by, F.col("end_ms").alias("_intro"))
+    outro = last_cluster(last, by, "start_ms", "end_ms", within, least, order).select(*by, F.col("start_ms").alias("_outro"))
+    joined = lengths.select(*by, "duration_ms").join(intro, list(by), "left").join(outro, list(by), "left")
+    return joined.select(*by, F.coalesce("_intro", F.lit(0)).cast("long").alias("intro_end"), F.coalesce("_outro", "duration_ms").cast("long").alias("credits_start"))
+
+
+def exclusion_zones(sources: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, intro_end, credits_start, method, confidence_pct) from what is set by hand, seen and read, the widest of them; what leaves nothing
+    between falls back to what is set by hand. sources: by, duration_ms, skip_intro, skip_credits (0 for none), seen_intro, seen_credits (null
+    for none), read_intro and read_credits of credits(). Null zones and method `impossible` where the skipped parts leave nothing."""
+    zero, total = F.lit(0), F.col("duration_ms")
+    set_start, set_end = F.col("skip_intro"), total - F.col("skip_credits")
+    seen_start, seen_end = F.when(F.col("seen_intro") > 0, F.col("seen_intro")), F.when(F.col("seen_credits") < total, F.col("seen_credits"))
+    start = F.greatest(set_start, F.coalesce(seen_start, zero), F.coalesce("read_intro", zero))
+    end = F.least(set_end, F.coalesce(seen_end, total), F.coalesce("read_credits", total))
+    sound = start < end
+    seen = sound & (seen_start.isNotNull() | seen_end.isNotNull())
+    read = sound & ((F.coalesce("read_intro", zero) > 0) | (F.coalesce("read_credits", total) < total))
+    by_hand = (F.col("skip_intro") > 0) | (F.col("skip_credits") > 0)
+    used = seen.cast("int") + read.cast("int") + by_hand.cast("int")
+    method = F.when(used == 0, "none").when(used > 1, "hybrid").when(seen, "video").when(read, "srt").otherwise("config")
+    sure = F.when(used == 0, 100).when(used > 1, F.when(seen, 90).otherwise(80)).when(seen, 85).when(read, 70).otherwise(100)
+    able = F.col("skip_intro") + F.col("skip_credits") < total
+    told = lambda c: F.when(able, c)
+    return sources.select(
+        *by, told(F.when(sound, start).otherwise(set_start)).cast("long").alias("intro_end"), told(F.when(sound, end).otherwise(set_end)).cast("long").alias("credits_start"),
+        F.when(able, method).otherwise("impossible").alias("method"), told(sure).cast("long").alias("confidence_pct"),
+    )
 
 
 def summary(rows: DataFrame, by: Sequence[str], order: str, most: int = 8, width: int = 100) -> DataFrame:

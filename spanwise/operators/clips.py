@@ -276,6 +276,14 @@ def timeline_reason(hook: Column, payoff: Column, build: Column, most: float = 0
     )
 
 
+def length_reason(total: Column, count: Column, least: int, most: int, fewest: Column) -> Column:
+    """ok, or what is wrong with a storyline's clips: none, too few of them, or a total that is too short or too long."""
+    return (
+        F.when(F.coalesce(count, F.lit(0)) == 0, "no clips").when(count < fewest, "too few")
+        .when(total < least, "too short").when(total > most, "too long").otherwise("ok")
+    )
+
+
 def place_cues(cues: DataFrame, clips: DataFrame, by: Sequence[str], cue: str, total: str = "total", tail: int = 500, least: int = 300) -> DataFrame:
     """Cues (source_ms, dur_ms, chunk_index, candidate_index) on the edit axis: in the piece that holds their
     time (one of the same candidate first), else at the next piece of their candidate, else near the end of

@@ -220,20 +220,23 @@ def chunks(lengths: DataFrame, by: Sequence[str], total: str, size: int, lap: in
     return numbered.select(*by, "chunk_index", start.alias("r_start"), F.least(start + size, F.col(total)).alias("r_end"))
 
 
-def last_cluster(hits: DataFrame, by: Sequence[str], start: str, end: str, within: int, least: int) -> DataFrame:
-    """Looking back: the end of the last hit of each source that has at least `least` hits which start within `within`
-    before its end, itself included."""
+def last_cluster(hits: DataFrame, by: Sequence[str], start: str, end: str, within: int, least: int, order: str | None = None) -> DataFrame:
+    """(by, start): looking back over hits in order of start (and `order`), the first whose window, the `within` before its
+    own end, holds the starts of `least` hits or more, gives the smallest start in that window: where credits begin."""
     cell = lambda c: F.floor(c / within)
-    ends = hits.select(*by, F.col(end).alias("_e")).distinct()
+    ends = hits.select(*by, F.struct(start, *([order] if order else []), end).alias("_hit"), F.col(end).alias("_e")).distinct()
     dealt = ends.withColumn("_cell", F.explode(F.array(cell(F.col("_e")), cell(F.col("_e")) - 1)))
     met = dealt.join(hits.select(*by, F.col(start).alias("_s"), cell(F.col(start)).alias("_cell")), [*by, "_cell"]).where((F.col("_s") >= F.col("_e") - within) & (F.col("_s") <= F.col("_e")))
-    return met.groupBy(*by, "_e").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).groupBy(*by).agg(F.max("_e").alias(end))
+    windows = met.groupBy(*by, "_hit").agg(F.count("*").alias("_n"), F.min("_s").alias("_first")).where(F.col("_n") >= least)
+    return windows.groupBy(*by).agg(F.max_by("_first", "_hit").alias(start))
 
 
-def clusters(hits: DataFrame, by: Sequence[str], at: str, within: int, least: int) -> DataFrame:
-    """The first hit of each source that has at least `least` hits within `within` after it, itself included."""
-    ahead = F.count("*").over(Window.partitionBy(*by).orderBy(at).rangeBetween(0, within))
-    return hits.withColumn("_n", ahead).where(F.col("_n") >= least).groupBy(*by).agg(F.min(at).alias(at))
+def clusters(hits: DataFrame, by: Sequence[str], start: str, end: str, within: int, least: int) -> DataFrame:
+    """(by, end): looking forward, the first hit with `least` hits or more that start within `within` from its own start on, itself
+    included, gives the largest end among those: where an intro is over."""
+    ahead = Window.partitionBy(*by).orderBy(start).rangeBetween(0, within)
+    windows = hits.withColumns({"_n": F.count("*").over(ahead), "_last": F.max(end).over(ahead)}).where(F.col("_n") >= least)
+    return windows.groupBy(*by).agg(F.min_by("_last", start).alias(end))
 
 
 def scenes(lengths: DataFrame, by: Sequence[str], total: str, parts: int = 12, least: int = 3000, most: int = 8000) -> DataFrame:

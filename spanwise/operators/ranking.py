@@ -67,3 +67,13 @@ def preferred(files: DataFrame, by: Sequence[str], path: str, lang: str, wanted:
         rank = F.when(tag.startswith(name), i).otherwise(rank)
     rank = F.when(tag == wanted, 0).when((tag == fallback) & (rank > 1), 2).otherwise(rank)
     return files.groupBy(*by).agg(F.min(F.struct(rank.alias("rank"), F.col(path).alias("p"))).alias("b")).select(*by, F.col("b.p").alias(path))
+
+
+def accept(ranked: DataFrame, by: Sequence[str], rank: str, score: str, valid: Column, most: int, floor: float = 0.4) -> DataFrame:
+    """ranked rows that are taken, with their place: going down the ranks, valid rows count until `most` are taken; a score under
+    the floor is passed over once one is taken. So the best valid row is taken whatever its score, and an invalid one opens no
+    floor: the rule needs the first valid rank only, no walk."""
+    some = ranked.where(valid)
+    first = F.min(rank).over(Window.partitionBy(*by))
+    able = some.withColumn("_first", first).where((F.col(rank) == F.col("_first")) | (F.col(score) >= floor)).drop("_first")
+    return able.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(rank))).where(F.col("place") <= most)

@@ -108,10 +108,10 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.sessions(candidates(spark, sf_dir), BY, "start_ms", 14_400_000, 60_000)
 
 
-@query(f"""with {CANDIDATES}, n as (select *, count(*) over (partition by source_id order by start_ms range between current row and 86400000 following) as n from candidates)
-select source_id, min(start_ms) as start_ms from n where n >= 3 group by source_id""")
+@query(f"""with {CANDIDATES}, seen as (select a.source_id, a.start_ms, count(*) as n, max(b.end_ms) as end_ms from candidates a join candidates b on a.source_id = b.source_id and b.start_ms between a.start_ms and a.start_ms + 86400000 group by a.source_id, a.cand_idx, a.start_ms)
+select source_id, arg_min(end_ms, start_ms) as end_ms from seen where n >= 3 group by source_id""")
 def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.clusters(candidates(spark, sf_dir).select("source_id", "start_ms"), BY, "start_ms", 86_400_000, 3)
+    return intervals.clusters(candidates(spark, sf_dir).select("source_id", "start_ms", "end_ms"), BY, "start_ms", "end_ms", 86_400_000, 3)
 
 
 @query(f"""with {CANDIDATES}, n as (select *, lead(start_ms) over (partition by source_id order by start_ms, cand_idx) as ahead,

@@ -69,17 +69,48 @@ def event_distinct_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.distinct_rounded(candidates(spark, sf_dir), ["kind", "score"], order="cand_idx").select("cand_idx")
 
 
-@query(f"""with {SEGMENTS}, hits as (select * from segments where contains(lower(text), 'the'))
-select a.source_id, max(a.end_ms) as end_ms from hits a where (select count(*) from hits b where b.source_id = a.source_id and b.start_ms between a.end_ms - 30000 and a.end_ms) >= 3 group by 1""")
+#: The rule read as it stands: per hit the others whose start lies in its window, then the last hit with enough of them.
+@query(f"""with {SEGMENTS}, hits as (select * from segments where contains(lower(text), 'the')),
+seen as (select a.source_id, a.seg_idx, a.start_ms as t, count(*) as n, min(b.start_ms) as start_ms from hits a join hits b on a.source_id = b.source_id and b.start_ms between a.end_ms - 30000 and a.end_ms group by 1, 2, 3)
+select source_id, arg_max(start_ms, (t, seg_idx)) as start_ms from seen where n >= 3 group by 1""")
 def conv_last_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = segments(spark, sf_dir).where(F.lower("text").contains("the"))
-    return intervals.last_cluster(hits, BY, "start_ms", "end_ms", 30_000, 3)
+    return intervals.last_cluster(hits, BY, "start_ms", "end_ms", 30_000, 3, "seg_idx")
 
 
-@query(f"""with {SEGMENTS}, n as (select source_id, start_ms, count(*) over (partition by source_id order by start_ms range between current row and 30000 following) as n
-  from segments where contains(lower(text), 'the') or contains(lower(text), 'you')) select source_id, min(start_ms) as start_ms from n where n >= 3 group by 1""")
+CREDITS = f"""{SEGMENTS}, lengths as (select source_id, max(end_ms) as total from segments group by 1),
+hits as (select s.*, total from segments s join lengths using (source_id) where contains(lower(text), 'the') or contains(lower(text), 'you')),
+first as (select * from hits where end_ms > 0 and start_ms < least(8000, total)), last as (select * from hits where end_ms > greatest(0, total - 8000) and start_ms < total),
+ahead as (select a.source_id, a.seg_idx, a.start_ms as t, max(b.end_ms) as z from first a join first b on a.source_id = b.source_id and b.start_ms between a.start_ms and a.start_ms + 3000 group by 1, 2, 3 having count(*) >= 2),
+back as (select a.source_id, a.seg_idx, a.start_ms as t, min(b.start_ms) as z from last a join last b on a.source_id = b.source_id and b.start_ms between a.end_ms - 3000 and a.end_ms group by 1, 2, 3 having count(*) >= 2),
+found as (select source_id, total, cast(coalesce((select arg_min(z, t) from ahead a where a.source_id = l.source_id), 0) as bigint) as intro_end,
+  cast(coalesce((select arg_max(z, (t, seg_idx)) from back b where b.source_id = l.source_id), total) as bigint) as credits_start from lengths l)"""
+
+
+def _credits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    s = segments(spark, sf_dir)
+    lengths = s.groupBy("source_id").agg(F.max("end_ms").alias("duration_ms"))
+    return lengths, transcripts.credits(s, lengths, BY, ["the", "you"], 8000, 3000, 2)
+
+
+@query(f"with {CREDITS} select source_id, intro_end, credits_start from found")
 def doc_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.credits(segments(spark, sf_dir), BY, ["the", "you"], 30_000, 3)
+    return _credits(spark, sf_dir)[1]
+
+
+@query(f"""with {CREDITS}, s as (select *, source_id % 3 * 500 as si, source_id % 4 * 700 as sc, case when source_id % 5 = 0 then source_id % 7 * 900 end as vi, case when source_id % 5 < 2 then total - source_id % 3 * 400 end as vc from found),
+u as (select *, greatest(si, coalesce(vi, 0), intro_end) as a, least(total - sc, coalesce(vc, total), credits_start) as z from s),
+v as (select *, a < z as sound, a < z and (coalesce(vi, 0) > 0 or coalesce(vc, total) < total) as seen, a < z and (intro_end > 0 or credits_start < total) as heard, si > 0 or sc > 0 as hand from u),
+w as (select *, cast(seen as int) + cast(heard as int) + cast(hand as int) as used from v)
+select source_id, case when si + sc < total then cast(case when sound then a else si end as bigint) end as intro_end, case when si + sc < total then cast(case when sound then z else total - sc end as bigint) end as credits_start,
+  case when si + sc >= total then 'impossible' when used = 0 then 'none' when used > 1 then 'hybrid' when seen then 'video' when heard then 'srt' else 'config' end as method,
+  case when si + sc < total then cast(case when used = 0 then 100 when used > 1 and seen then 90 when used > 1 then 80 when seen then 85 when heard then 70 else 100 end as bigint) end as confidence_pct from w""")
+def conv_exclusion_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths, found = _credits(spark, sf_dir)
+    n = F.col("source_id")
+    seen = {"skip_intro": n % 3 * 500, "skip_credits": n % 4 * 700, "seen_intro": F.when(n % 5 == 0, n % 7 * 900), "seen_credits": F.when(n % 5 < 2, F.col("duration_ms") - n % 3 * 400)}
+    read = found.withColumnsRenamed({"intro_end": "read_intro", "credits_start": "read_credits"})
+    return transcripts.exclusion_zones(lengths.withColumns(seen).join(read, "source_id"), BY)
 
 
 # Transcripts.
