@@ -155,9 +155,9 @@ def said(value: Column) -> Column:
     return F.when(_given(value), F.coalesce(_as(value, "string"), F.to_json(value)))
 
 
-def number(value: Column) -> Column:
-    """A value as a finite double, else null."""
-    kind = F.schema_of_variant(value)
+def number(value: Column, kind: Column | None = None) -> Column:
+    """A value as a finite double, else null. kind: its schema_of_variant, where that is known."""
+    kind = F.schema_of_variant(value) if kind is None else kind
     told = _as(value, "string")
     of = (
         F.when(kind == "BOOLEAN", _as(value, "boolean").cast("double")).when(kind == "STRING", F.when(told.rlike(_DECIMAL), F.trim(told).try_cast("double")))
@@ -209,44 +209,42 @@ def _apart(items: Column) -> Column:
 
 
 def _broken() -> Column:
-    """Whether a node breaks a rule."""
-    fields, key, allowed, item = F.col("fields"), F.col("rule.key"), F.col("rule.allowed"), F.col("item")
-    value = F.when(key == "", item).otherwise(F.try_element_at(fields, key))
-    items = F.size(_as(item, "array<variant>"))
-    other = F.try_element_at(fields, F.try_element_at(allowed, F.lit(1)))
+    """Whether a node breaks a rule; value, kind, number and text of the rule's key are columns."""
+    fields, allowed, item, newest = (F.col(c) for c in ("fields", "rule.allowed", "item", "newest"))
+    value, kind, num, text, size = (F.col(c) for c in ("value", "kind", "number", "text", "size"))
+    low, high = F.coalesce(F.col("rule.low"), F.lit(float("-inf"))), F.coalesce(F.col("rule.high"), F.lit(float("inf")))
     pattern = F.try_element_at(allowed, F.lit(1))
-    text, known = said(value), F.coalesce(F.array_contains(allowed, F.when(F.schema_of_variant(value) == "STRING", _as(value, "string"))), F.lit(False))
-    within = (number(value) >= F.coalesce(F.col("rule.low"), F.lit(float("-inf")))) & (number(value) <= F.coalesce(F.col("rule.high"), F.lit(float("inf"))))
-    present = F.coalesce(F.map_contains_key(fields, key), F.lit(False))
-    kind = F.schema_of_variant(value)
+    known = F.coalesce((kind == "STRING") & F.array_contains(allowed, text), F.lit(False))
+    present = F.coalesce(F.map_contains_key(fields, F.col("rule.key")), F.lit(False))
+    given = F.coalesce(kind != "VOID", F.lit(False))
     checks = {
-        "object": fields.isNull(),
-        "filled object": F.coalesce(F.size(fields), F.lit(0)) <= 0,
-        "known": F.size(F.array_except(F.map_keys(fields), allowed)) > 0,
-        "list": items.isNull() | (items < 0),
-        "filled list": items.isNull() | (items <= 0),
-        "most": items > F.col("rule.high"),
-        "apart": ~_apart(_as(item, "array<variant>")),
-        "newest": ~F.col("newest"),
-        "newest if given": _given(value) & ~F.col("newest"),
-        "number": number(value).isNull(),
-        "number or none": _given(value) & number(value).isNull(),
-        "range": number(value).isNotNull() & ~within,
-        "above": number(value) <= F.col("rule.low"),
-        "before": number(value) >= number(other),
+        "number": num.isNull(),
+        "number or none": given & num.isNull(),
+        "range": ~((num >= low) & (num <= high)),
+        "above": num <= low,
+        "before": num >= number(F.try_element_at(fields, pattern)),
         "text": ~present | text.rlike(_BLANK),
         "text or none": text.rlike(_BLANK),
         "filled text": ~_truthy(value) | text.rlike(_BLANK),
-        "longest": F.length(text) > F.col("rule.high"),
+        "longest": F.length(text) > high,
         "member": ~known,
         "member or absent": present & ~known,
-        "member or none": _given(value) & ~known,
-        "pattern": _given(value) & ~F.rlike(text, pattern),
+        "member or none": given & ~known,
+        "pattern": given & ~F.rlike(text, pattern),
         "no pattern": F.rlike(_stripped(text), pattern),
-        "integer or none": _given(value) & ~kind.isin("BIGINT", "BOOLEAN"),
+        "integer or none": given & ~kind.isin("BIGINT", "BOOLEAN"),
+        "newest if given": given & ~newest,
+        "known": F.size(F.array_except(F.map_keys(fields), allowed)) > 0,
+        "object": fields.isNull(),
+        "filled object": F.coalesce(F.size(fields), F.lit(0)) <= 0,
+        "newest": ~newest,
+        "list": size.isNull(),
+        "filled list": F.coalesce(size, F.lit(0)) == 0,
+        "most": size > high,
+        "apart": ~_apart(_as(item, "array<variant>")),
     }
     out = F.lit(False)
-    for name, broken in checks.items():
+    for name, broken in reversed(checks.items()):
         out = F.when(F.col("rule.check") == name, broken).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
@@ -256,8 +254,15 @@ def violations(docs: DataFrame, key: str, document: str = "document") -> DataFra
     spark = docs.sparkSession
     rules = spark.createDataFrame(RULES, RULE).select(F.struct("*").alias("rule"), F.col("section").alias("_section"))
     met = nodes(docs, key, document).join(F.broadcast(rules), F.col("section") == F.col("_section"))
-    judged = met.where(F.col("fields").isNotNull() | (F.col("rule.key") == ""))
-    return judged.where(_broken()).select(key, "section", "pos", F.col("rule.reason").alias("reason"), F.col("rule.stage").alias("stage"), F.col("rule.step").alias("step"))
+    met = met.where(F.col("fields").isNotNull() | (F.col("rule.key") == ""))
+    # What the checks ask of a value is found once, a step at a time, and the broken ones are exploded, not filtered: a filter
+    # would be pushed under these columns and find each of them anew.
+    met = met.withColumn("value", F.when(F.col("rule.key") == "", F.col("item")).otherwise(F.try_element_at("fields", F.col("rule.key"))))
+    met = met.withColumn("kind", F.schema_of_variant("value"))
+    own = F.when(F.col("rule.key") != "", F.col("value"))
+    met = met.withColumns({"number": number(own, F.col("kind")), "text": said(own), "size": F.when(F.col("rule.key") == "", F.size(_as(F.col("item"), "array<variant>")))})
+    told = F.struct(F.col("rule.reason").alias("reason"), F.col("rule.stage").alias("stage"), F.col("rule.step").alias("step"))
+    return met.select(key, "section", "pos", F.explode(F.when(_broken(), F.array(told))).alias("_told")).select(key, "section", "pos", "_told.reason", "_told.stage", "_told.step")
 
 
 def first_violation(docs: DataFrame, key: str, document: str = "document") -> DataFrame:
