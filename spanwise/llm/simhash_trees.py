@@ -192,7 +192,7 @@ def marked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     # Rows that share an id are one document, so their fingerprints are joined.
     several = own.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
     same = several.join(own, "doc_id").select("a", F.col("fp").alias("b")).where("a <> b")
-    roots = components(links(heads.select("fp"), reach).unionByName(same)).withColumnRenamed("id", "fp")
+    roots = components(settle(links(heads.select("fp"), reach), "links").unionByName(same)).withColumnRenamed("id", "fp")
     known = heads.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     known = settle(known, "known")
     least = known.groupBy("root").agg(F.min("head").alias("component_id"))
