@@ -1,16 +1,18 @@
 """Order-dependent scans: rows in order through a small state.
 
-Windows cannot express these (a kept row changes what later rows are compared with). Where a stretch of
-time without rows ends every influence, a source is split there first by a window and the results are
-numbered anew by another; so a busy source is many small groups. The others (diverse, smooth, fit_length, push_apart, trim_beats) run through a whole
-source, whose rows are one video's, not a corpus'.
+A kept row changes what later rows are compared with. Where a stretch of time without rows ends every influence, a source
+is split there first by a window and the results are numbered anew by another; so a busy source is many small
+groups. Others are no walks at heart and are windows here: which rows are new to a selection (diverse), and the prefix
+sums up to which clips or beats go (fit_length, trim_beats). What is a recurrence (smooth, follow, push_apart) is scanned in order, a
+batch of rows and one state at a time, so a source of any length needs no more memory than a batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,31 @@ def _fold(df: DataFrame, by: Sequence[str], order: Sequence[str], scan: Callable
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
+def _scan(df: DataFrame, by: Sequence[str], order: Sequence[str], begin: Callable[[], object], step: Callable, schema: str) -> DataFrame:
+    """Rows of each group in order through a state that begins anew with each: step(state, row) gives the next state and a row
+    or None. Groups are sorted within partitions and read batch by batch: no group is held."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    made = df.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        known: object = object()
+        state = None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                key = tuple(r[c] for c in by)
+                if key != known:
+                    known, state = key, begin()
+                state, row = step(state, r)
+                if row is not None:
+                    out.append({c: row[c] for c in columns})
+            yield pa.RecordBatch.from_pylist(out, schema=to_arrow_schema(made))
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
 def _schema(df: DataFrame, columns: Sequence[str], *more: str) -> str:
     kinds = dict(df.dtypes)
     return ", ".join([*(f"{c} {kinds[c]}" for c in columns), *more])
@@ -114,40 +141,70 @@ def cover_dedup(df: DataFrame, by: Sequence[str], key: str, least: int = 1500) -
 
 
 def diverse(df: DataFrame, by: Sequence[str], rank: str, group: str, phase: str, most: int) -> DataFrame:
-    """Best row first, then rows of a new group or a new non-empty phase, then the rest, up to `most`."""
-
-    def scan(rows: list[dict]) -> list[dict]:
-        chosen, skipped, groups, phases = [], [], set(), set()
-        for r in rows:
-            fresh = r[group] not in groups or (r[phase] and r[phase] not in phases)
-            if not chosen or (fresh and len(chosen) < most):
-                chosen.append(r)
-                groups.add(r[group])
-                phases.add(r[phase])
-            else:
-                skipped.append(r)
-        chosen = (chosen + skipped)[:most]
-        return [r | {"place": i} for i, r in enumerate(chosen)]
-
-    return _fold(df, by, (rank,), scan, _schema(df, [*by, rank, group, phase], "place int"))
+    """Best row first, then rows of a new group or a new non-empty phase, then the rest, up to `most`. A row that is passed over has
+    nothing new, so what is new to the chosen rows is what is new to all rows before: each group's and each phase's first."""
+    first = lambda c: F.row_number().over(Window.partitionBy(*by, c).orderBy(rank)) == 1
+    fresh = first(group) | (F.coalesce(F.col(phase).cast("string") != "", F.lit(False)) & first(phase))
+    placed = df.withColumn("_late", ~fresh).withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("_late", rank)) - 1)
+    return placed.where(F.col("place") < most).select(*by, rank, group, phase, F.col("place").cast("int").alias("place"))
 
 
 def smooth(df: DataFrame, by: Sequence[str], at: str, target: str, alpha: float = 0.12, zone: float = 0.05, sticky: int = 4, slow: float = 0.03) -> DataFrame:
     """Exponential smoothing with a dead zone of `zone`; the first `sticky` samples move slowly."""
 
-    def scan(rows: list[dict]) -> list[dict]:
-        x, left, out = 0.5, sticky, []
-        for r in rows:
-            goal = r[target]
-            if goal is not None and goal == goal:
-                if abs(goal - x) > zone:
-                    a = slow if left > 0 else alpha
-                    x = a * goal + (1 - a) * x
-                left -= 1
-            out.append(r | {"smooth": x})
-        return out
+    def step(state: tuple[float, int], r: dict) -> tuple[tuple[float, int], dict]:
+        x, left = state
+        goal = r[target]
+        if goal is not None and goal == goal:
+            if abs(goal - x) > zone:
+                a = slow if left > 0 else alpha
+                x = a * goal + (1 - a) * x
+            left -= 1
+        return (x, left), r | {"smooth": x}
+
+    return _scan(df, by, (at,), lambda: (0.5, sticky), step, _schema(df, [*by, at, target], "smooth double"))
+
+
+#: The shape of a portrait crop, and how much wider than the largest one in a frame it is drawn.
+PORTRAIT, WIDER = 9 / 16, 1.6
+
 
-    return _fold(df, by, (at,), scan, _schema(df, [*by, at, target], "smooth double"))
+def portrait_size(width: int, height: int) -> tuple[int, int]:
+    """Width and height of the usual portrait crop of a frame, within the frame."""
+    w, h = (int(height * PORTRAIT), height) if width / height > PORTRAIT else (width, int(width / PORTRAIT))
+    return min(int(w * WIDER), width), min(int(h * WIDER), height)
+
+
+def follow(df: DataFrame, by: Sequence[str], at: str, boxes: str, width: int, height: int, alpha: float = 0.18, margin: float = 0.10, widest: float = 0.7) -> DataFrame:
+    """A crop that follows several faces: (by, at, x_center, y_center, crop_w, crop_h) of each sample, whose boxes are structs of x, y, w and h.
+
+    Two faces or more are followed as their common box within the frame, widened by `margin` on each side; one that covers over
+    `widest` of the frame gives way to the largest face alone. Samples without faces hold the place and the size. Both move by
+    exponential smoothing from the frame's middle, and the crop holds the box in portrait shape, no smaller than portrait_size(), in the frame."""
+    least_w, least_h = portrait_size(width, height)
+    aspect = least_w / least_h if least_h else PORTRAIT
+
+    def goal(faces: list[dict], state: tuple) -> tuple:
+        alone = lambda b: (b["x"] + b["w"] / 2, b["y"] + b["h"] / 2, b["w"] * (1 + 2 * margin), b["h"] * (1 + 2 * margin))
+        if not faces:
+            return state
+        if len(faces) == 1:
+            return alone(faces[0])
+        left, right = max(0, min(b["x"] for b in faces)), min(width, max(b["x"] + b["w"] for b in faces))
+        top, bottom = max(0, min(b["y"] for b in faces)), min(height, max(b["y"] + b["h"] for b in faces))
+        across, down = (right - left) * margin, (bottom - top) * margin
+        left, right, top, bottom = max(0, left - across), min(width, right + across), max(0, top - down), min(height, bottom + down)
+        if (right - left) * (bottom - top) / (width * height) > widest:
+            return alone(max(faces, key=lambda b: b["w"] * b["h"]))
+        return (left + right) / 2, (top + bottom) / 2, right - left, bottom - top
+
+    def step(state: tuple, r: dict) -> tuple[tuple, dict]:
+        state = tuple(alpha * new + (1 - alpha) * old for new, old in zip(goal(r[boxes] or [], state), state, strict=True))
+        x, y, w, h = state
+        w, h = (int(w), int(w / aspect)) if w / max(h, 1) > aspect else (int(h * aspect), int(h))
+        return state, r | {"x_center": x, "y_center": y, "crop_w": min(max(w, least_w), width), "crop_h": min(max(h, least_h), height)}
+
+    return _scan(df, by, (at,), lambda: (width / 2, height / 2, width / 2, height / 2), step, _schema(df, [*by, at], "x_center double", "y_center double", "crop_w long", "crop_h long"))
 
 
 def pack_words(df: DataFrame, by: Sequence[str], order: str, gap: int = 500, most: int = 44, longest: int = 6000) -> DataFrame:
@@ -252,61 +309,61 @@ def fit_length(df: DataFrame, by: Sequence[str], key: str, least: int, most: int
     only cut if its loss would undershoot `least`), then all shrink in proportion: payoffs keep their end, builds their
     middle, others their start; none below `floor`. Under it, the last clip grows to its candidate's end (cand_end), then
     the first one to its candidate's start (cand_start, both null without a candidate), as far as is missing.
-    Columns role and score are read. fits: whether the total is in the band after that."""
-
-    def scan(rows: list[dict]) -> list[dict]:
-        rows = [dict(r) for r in rows]
-        length = lambda r: r["end_ms"] - r["start_ms"]
-        total = lambda: sum(map(length, rows))
-        if total() > most:
-            while not pinned and total() > most and (builds := [r for r in rows if r["role"] == "build"]):
-                worst = min(builds, key=lambda r: r["score"] or 0)
-                if total() - length(worst) < least:
-                    over = total() - most
-                    if over < length(worst):
-                        worst["end_ms"] -= over
-                    break
-                rows.remove(worst)
-            if (now := total()) > most:
-                for r in rows:
-                    new = max(floor, length(r) * most // now)
-                    cut = max(0, length(r) - new)
-                    head = {"payoff": cut, "build": cut // 2}.get(r["role"], 0)
-                    r["start_ms"] += head
-                    r["end_ms"] -= cut - head
-        elif rows:
-            missing = lambda: least - total()
-            known = lambda x: x is not None and x == x
-            last, first = rows[-1], rows[0]
-            if missing() > 0 and known(last["cand_end"]):
-                last["end_ms"] += max(0, min(missing(), int(last["cand_end"]) - last["end_ms"]))
-            if missing() > 0 and known(first["cand_start"]):
-                first["start_ms"] = max(0, first["start_ms"] - max(0, min(missing(), first["start_ms"] - int(first["cand_start"]))))
-        return [r | {"fits": least <= total() <= most} for r in rows]
+    Columns role and score are read. fits: whether the total is in the band after that.
 
+    Builds go in order of score, so what is gone before one is a prefix sum, and the first that may not go ends it."""
     for c in ("cand_start", "cand_end"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("long"))
-    return _fold(df, by, (key,), scan, _schema(df, [*by, key, "role", "start_ms", "end_ms", "score"], "fits boolean"))
+    whole = Window.partitionBy(*by)
+    length = F.col("end_ms") - F.col("start_ms")
+    build = F.col("role") == "build"
+    cheapest = whole.orderBy(F.when(build, 0).otherwise(1), F.coalesce("score", F.lit(0)), key)
+    before = F.coalesce(F.sum(length).over(cheapest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.withColumns({"_total": F.sum(length).over(whole), "_left": F.sum(length).over(whole) - before})
+    asked = build & F.lit(not pinned) & (F.col("_total") > most) & (F.col("_left") > most)
+    df = df.withColumn("_ends", asked & (F.col("_left") - length < least)).withColumn("_asked", asked)
+    df = df.withColumn("_ended", F.coalesce(F.sum(F.col("_ends").cast("int")).over(cheapest.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    kept = df.where(~(F.col("_asked") & (F.col("_ended") == 0)))
+    over = F.col("_left") - most
+    kept = kept.withColumn("end_ms", F.when(F.col("_ends") & (F.col("_ended") == 1) & (over < length), F.col("end_ms") - over).otherwise(F.col("end_ms")))
+    kept = kept.withColumns({"_now": F.sum(length).over(whole), "_first": F.min(key).over(whole) == F.col(key), "_last": F.max(key).over(whole) == F.col(key), "_length": length})
+    # Over the band still: all in proportion.
+    kept = kept.withColumn("_cut", F.when((F.col("_total") > most) & (F.col("_now") > most), F.greatest(F.lit(0), F.col("_length") - F.greatest(F.lit(floor), F.expr(f"_length * {most} div _now")))).otherwise(0))
+    head = F.when(F.col("role") == "payoff", F.col("_cut")).when(build, F.floor(F.col("_cut") / 2)).otherwise(0)
+    # Under it: the last one's end, then the first one's start.
+    missing = F.when(F.col("_total") <= most, F.greatest(least - F.col("_total"), F.lit(0))).otherwise(0)
+    ahead = F.when(F.col("_last"), F.greatest(F.lit(0), F.least(missing, F.coalesce(F.col("cand_end") - F.col("end_ms"), F.lit(0))))).otherwise(0)
+    kept = kept.withColumns({"_head": head, "_ahead": ahead, "_missing": missing})
+    short = F.col("_missing") - F.max("_ahead").over(whole)
+    back = F.when(F.col("_first"), F.greatest(F.lit(0), F.least(short, F.coalesce(F.col("start_ms") - F.col("cand_start"), F.lit(0))))).otherwise(0)
+    start = F.when(back > 0, F.greatest(F.lit(0), F.col("start_ms") - back)).otherwise(F.col("start_ms")) + F.col("_head")
+    fitted = kept.withColumns({"start_ms": start.cast("long"), "end_ms": (F.col("end_ms") - F.col("_cut") + F.col("_head") + F.col("_ahead")).cast("long")})
+    return fitted.withColumn("fits", F.sum(length).over(whole).between(least, most)).select(*by, key, "role", "start_ms", "end_ms", "score", "fits")
 
 
 def push_apart(df: DataFrame, by: Sequence[str], key: str, total: str, gap: int = 50, least: int = 300) -> DataFrame:
     """Cues in order of start; one that starts before the last resolved end moves `gap` behind it, is
-    clamped to the total, and goes if under `least` is left."""
+    clamped to the total, and goes if under `least` is left.
 
-    def scan(rows: list[dict]) -> list[dict]:
-        out, end = [], None
-        for r in rows:
-            s, e = r["start_ms"], r["end_ms"]
-            if end is not None and s < end:
-                s, e = end + gap, end + gap + (e - s)
-            e = min(e, r[total])
-            if e - s >= least:
-                out.append(r | {"start_ms": s, "end_ms": e})
-                end = e
-        return out
+    No cue is resolved to an end after the latest that pushing alone could give, a prefix maximum; where the next cue starts behind that,
+    nothing before it matters, and a source is split there."""
+    in_order = Window.partitionBy(*by).orderBy("start_ms", key)
+    length = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
+    pushed = F.coalesce(F.sum(length + gap).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df_ = df.withColumn("_pushed", pushed)
+    reach = F.max(F.col("start_ms") - F.col("_pushed")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_pushed") + length
+    df_ = df_.withColumn("_reach", reach).withColumn("_fresh", F.coalesce(F.lag("_reach").over(in_order) <= F.col("start_ms"), F.lit(True)))
+    df_ = df_.withColumn("_stretch", F.sum(F.col("_fresh").cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def step(end: int | None, r: dict) -> tuple[int | None, dict | None]:
+        s, e = r["start_ms"], r["end_ms"]
+        if end is not None and s < end:
+            s, e = end + gap, end + gap + (e - s)
+        e = min(e, r[total])
+        return (e, r | {"start_ms": s, "end_ms": e}) if e - s >= least else (end, None)
 
-    return _fold(df, by, ("start_ms", key), scan, _schema(df, [*by, key, "start_ms", "end_ms"]))
+    return _scan(df_, [*by, "_stretch"], ("start_ms", key), lambda: None, step, _schema(df, [*by, key, "start_ms", "end_ms"]))
 
 
 def boundary_aliases(df: DataFrame, by: Sequence[str], chunk: str, key: str, share: float = 0.5, least: int = 1500) -> DataFrame:
@@ -337,26 +394,18 @@ def boundary_aliases(df: DataFrame, by: Sequence[str], chunk: str, key: str, sha
 def trim_beats(df: DataFrame, by: Sequence[str], clip: str, beat: str, least: int, most: int) -> DataFrame:
     """Beats to drop so that a source's clips last at most `most`: droppable before supporting ones, never
     core or protected ones or a clip's last; it stops where the cut would pass total - `least`.
-    Columns importance, protected and times are read. Rows: by, clip, beat, dropped."""
-
-    def scan(rows: list[dict]) -> list[dict]:
-        length = lambda r: r["end_ms"] - r["start_ms"]
-        total = sum(map(length, rows))
-        must, ceiling, gone, removed = total - most, total - least, set(), 0
-        left: dict = {}
-        for r in rows:
-            left[r[clip]] = left.get(r[clip], 0) + 1
-        rank = {"droppable": 0, "supporting": 1}
-        for r in sorted((r for r in rows if r["importance"] in rank), key=lambda r: rank[r["importance"]]) if must > 0 else []:
-            if removed >= must:
-                break
-            if r["protected"] or left[r[clip]] == 1:
-                continue
-            if removed + length(r) > ceiling:
-                break
-            removed += length(r)
-            left[r[clip]] -= 1
-            gone.add((r[clip], r[beat]))
-        return [r | {"dropped": (r[clip], r[beat]) in gone} for r in rows]
-
-    return _fold(df, by, (clip, beat), scan, _schema(df, [*by, clip, beat], "dropped boolean"))
+    Columns importance, protected and times are read. Rows: by, clip, beat, dropped.
+
+    Of a clip's n beats the first n - 1 that may go can go, whatever else does, so the cut is a prefix of those in order."""
+    whole, of_clip = Window.partitionBy(*by), Window.partitionBy(*by, clip)
+    length = F.col("end_ms") - F.col("start_ms")
+    grade = F.when(F.col("importance") == "droppable", 0).when(F.col("importance") == "supporting", 1)
+    df = df.withColumns({"_total": F.sum(length).over(whole), "_beats": F.count("*").over(of_clip), "_grade": F.when(~F.col("protected"), grade)})
+    able = F.col("_grade").isNotNull() & (F.row_number().over(of_clip.orderBy(F.col("_grade").asc_nulls_last(), beat)) < F.col("_beats"))
+    df = df.withColumn("_able", able)
+    in_order = whole.orderBy(F.when(F.col("_able"), 0).otherwise(1), F.col("_grade").asc_nulls_last(), clip, beat)
+    before = F.coalesce(F.sum(F.when(F.col("_able"), length)).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    df = df.withColumn("_before", before)
+    stops = (F.col("_before") >= F.col("_total") - most) | (F.col("_before") + length > F.col("_total") - least)
+    df = df.withColumn("_stopped", F.max(stops).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.select(*by, clip, beat, (F.col("_able") & ~F.col("_stopped")).alias("dropped"))

@@ -166,24 +166,44 @@ def event_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.cover_dedup(candidates(spark, sf_dir), BY, "cand_idx")
 
 
-@query()
+@query(f"""with {CANDIDATES}, r as (select source_id, kind, start_ms // 864000000 as chunk, row_number() over (partition by source_id order by score desc, cand_idx) as rank from candidates),
+f as (select *, rank = min(rank) over (partition by source_id, chunk) or (kind <> '' and rank = min(rank) over (partition by source_id, kind)) as fresh from r),
+p as (select *, row_number() over (partition by source_id order by case when fresh then 0 else 1 end, rank) - 1 as place from f)
+select source_id, rank, chunk, kind, cast(place as int) as place from p where place < 5""")
 def event_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = ranking.top(candidates(spark, sf_dir), BY, [F.col("score").desc(), F.col("cand_idx")], 1 << 30, "rank")
     return folds.diverse(ranked.withColumn("chunk", F.floor(F.col("start_ms") / (240 * intervals.HOUR)).cast(LONG)), BY, "rank", "chunk", "kind", 5)
 
 
-@query()
+@query(f"""with recursive {CANDIDATES}, r as (select source_id, cand_idx, score / 1000::double as x, row_number() over (partition by source_id order by cand_idx) as n from candidates),
+walk as (select source_id, n, cand_idx, x, case when abs(x - 0.5::double) > 0.05::double then 0.03::double * x + (1 - 0.03::double) * 0.5::double else 0.5::double end as smooth from r where n = 1
+  union all select r.source_id, r.n, r.cand_idx, r.x, case when abs(r.x - w.smooth) > 0.05::double then case when r.n <= 4 then 0.03::double * r.x + (1 - 0.03::double) * w.smooth else 0.12::double * r.x + (1 - 0.12::double) * w.smooth end else w.smooth end
+  from walk w join r on r.source_id = w.source_id and r.n = w.n + 1)
+select source_id, cand_idx, x, smooth from walk""")
 def event_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.smooth(candidates(spark, sf_dir).withColumn("x", F.col("score") / 1000).select("source_id", "cand_idx", "x"), BY, "cand_idx", "x")
 
 
-@query()
+@query(f"""with recursive {CANDIDATES}, t as (select *, case cand_idx % 5 when 0 then 'hook' when 4 then 'payoff' else 'build' end as role, end_ms - start_ms as len, sum(end_ms - start_ms) over (partition by source_id) as total from candidates),
+b as (select *, row_number() over (partition by source_id order by score, cand_idx) as n from t where role = 'build' and total > 540000000),
+walk as (select source_id, n, cand_idx, len, total as rest, total - len >= 360000000 as goes from b where n = 1
+  union all select b.source_id, b.n, b.cand_idx, b.len, w.rest - w.len, w.rest - w.len - b.len >= 360000000 from walk w join b on b.source_id = w.source_id and b.n = w.n + 1 where w.goes and w.rest - w.len > 540000000),
+k as (select t.*, case when w.goes is false and w.rest - 540000000 < t.len then w.rest - 540000000 else 0 end as trim from t left join walk w on t.source_id = w.source_id and t.cand_idx = w.cand_idx where w.goes is null or not w.goes),
+s as (select *, sum(len - trim) over (partition by source_id) as rest from k),
+c as (select *, case when total > 540000000 and rest > 540000000 then greatest(0, len - trim - greatest(3000, (len - trim) * 540000000 // cast(rest as bigint))) else 0 end as cut from s),
+h as (select *, case role when 'payoff' then cut when 'build' then cut // 2 else 0 end as head from c)
+select source_id, cand_idx, role, cast(start_ms + head as bigint) as start_ms, cast(end_ms - trim - cut + head as bigint) as end_ms, score, sum(len - trim - cut) over (partition by source_id) between 360000000 and 540000000 as fits from h""")
 def event_fit_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("cand_idx") % 5 == 0, "hook").when(F.col("cand_idx") % 5 == 4, "payoff").otherwise("build")
     return folds.fit_length(candidates(spark, sf_dir).withColumn("role", role), BY, "cand_idx", 100 * intervals.HOUR, 150 * intervals.HOUR)
 
 
-@query()
+@query(f"""with recursive {CANDIDATES}, r as (select source_id, cand_idx, start_ms as s, end_ms as e, max(end_ms) over (partition by source_id) as total, row_number() over (partition by source_id order by start_ms, cand_idx) as n from candidates),
+walk as (select source_id, n, cand_idx, s as a, least(e, total) as z, least(e, total) - s >= 300 as stays, case when least(e, total) - s >= 300 then least(e, total) end as upto from r where n = 1
+  union all select source_id, n, cand_idx, a, z, z - a >= 300, case when z - a >= 300 then z else upto end from (
+    select r.source_id, r.n, r.cand_idx, w.upto, case when r.s < w.upto then w.upto + 50 else r.s end as a, least(case when r.s < w.upto then w.upto + 50 + r.e - r.s else r.e end, r.total) as z
+    from walk w join r on r.source_id = w.source_id and r.n = w.n + 1))
+select source_id, cand_idx, a as start_ms, z as end_ms from walk where stays""")
 def event_push_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
     return folds.push_apart(c.withColumn("total", F.max("end_ms").over(Window.partitionBy("source_id"))), BY, "cand_idx", "total")
@@ -194,7 +214,13 @@ def event_boundary_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.boundary_aliases(candidates(spark, sf_dir).withColumn("chunk", F.floor(F.col("start_ms") / (240 * intervals.HOUR)).cast(LONG)), BY, "chunk", "cand_idx")
 
 
-@query()
+@query(f"""with recursive {CANDIDATES}, t as (select source_id, cast(cand_idx // 1000 as bigint) as clip, cand_idx, end_ms - start_ms as len, case kind when 'purchase' then 'core' when 'view' then 'droppable' else 'supporting' end as grade, cand_idx % 11 = 0 as safe from candidates),
+q as (select *, sum(len) over (partition by source_id) as total, count(*) over (partition by source_id, clip) as beats,
+  case when grade <> 'core' and not safe then row_number() over (partition by source_id, clip order by grade = 'core' or safe, grade, cand_idx) end as turn from t),
+u as (select *, row_number() over (partition by source_id order by grade, clip, cand_idx) as n from q where turn < beats),
+walk as (select source_id, n, cand_idx, len, cast(0 as bigint) as gone, total > 540000000 and len <= total - 360000000 as goes from u where n = 1
+  union all select u.source_id, u.n, u.cand_idx, u.len, cast(w.gone + w.len as bigint), w.gone + w.len < u.total - 540000000 and w.gone + w.len + u.len <= u.total - 360000000 from walk w join u on u.source_id = w.source_id and u.n = w.n + 1 where w.goes)
+select t.source_id, t.clip, t.cand_idx, coalesce(w.goes, false) as dropped from t left join walk w on w.source_id = t.source_id and w.cand_idx = t.cand_idx""")
 def event_trim_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("kind") == "purchase", "core").when(F.col("kind") == "view", "droppable").otherwise("supporting")
     beats = candidates(spark, sf_dir).withColumns({"clip": F.floor(F.col("cand_idx") / 1000).cast(LONG), "importance": kind, "protected": F.col("cand_idx") % 11 == 0})
