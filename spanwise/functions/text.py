@@ -98,3 +98,38 @@ def clock(ms: Column) -> Column:
 
 def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", " "), r"[ \t\r\n]+", " "))
+
+
+#: Names of colours that a subtitle may be given in.
+COLOURS = {"white": "FFFFFF", "black": "000000", "yellow": "FFFF00", "red": "FF0000", "green": "00FF00", "blue": "0000FF", "skyblue": "87CEEB", "pink": "FF69B4"}
+
+
+def any_colour(value: Column) -> Column:
+    """&H00BBGGRR of a name, of #RRGGBB or RRGGBB; a value that starts with &H stays; null where it is none of these."""
+    bare = F.trim(F.coalesce(value, F.lit("")))
+    named = F.try_element_at(F.create_map(*(F.lit(x) for pair in COLOURS.items() for x in pair)), F.lower(bare))
+    digits = F.regexp_extract(F.coalesce(named, bare), r"^#*([0-9A-Fa-f]{6})$", 1)
+    return F.when(F.lower(bare).startswith("&h"), bare).when(digits != "", subtitle_colour(F.concat(F.lit("#"), digits)))
+
+
+def balanced_wrap(text: Column, width: int = 15, most: int = 2) -> Column:
+    r"""The text in at most `most` lines, joined by \N: filled to `width` characters, or, if that takes more lines, to an even share of
+    the text and two more, of which the first `most` lines are taken."""
+    words = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    even = F.greatest(F.lit(width), F.floor((F.length(text) + most - 1) / most) + 2).cast("string")
+    pattern = F.concat(F.lit("([^\\n]{1,"), even, F.lit("}|[^ ]+)(?: |$)"))
+    lines = wrap(words, width)
+    again = F.slice(F.regexp_extract_all(words, pattern, F.lit(1)), 1, most)
+    return F.array_join(F.when(F.size(lines) > most, again).otherwise(lines), "\\N")
+
+
+def frame_rate(rate: Column) -> Column:
+    """Frames a second of `a/b`; 30 where it is no such fraction or b is 0."""
+    parts = F.split(rate, "/", -1)
+    a, b = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double")
+    return F.when((F.size(parts) == 2) & (b != 0) & a.isNotNull(), a / b).otherwise(30.0)
+
+
+def escape_drawtext(text: Column) -> Column:
+    """Text for a drawtext filter: backslashes, colons and brackets escaped, an apostrophe as the typographic one."""
+    return F.replace(F.regexp_replace(text, r"([\\:\[\]])", r"\\$1"), F.lit("'"), F.lit("’"))
