@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import contracts, edits, more, writers  # noqa: F401  (add their queries to the catalogue)
+from .plans import contracts, edits, more, registry, writers  # noqa: F401  (add their queries to the catalogue)
 from .plans.catalogue import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
