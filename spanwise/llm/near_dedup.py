@@ -213,7 +213,8 @@ def links(texts: DataFrame, heads: DataFrame, idf: np.ndarray, least: float = LE
     # Signed where they lie, without a shuffle of texts; copies of a head's text are left out after that.
     signed = settle(texts.mapInArrow(sign, "doc_id long, keys array<long>, size long").join(heads, "doc_id", "left_semi"), "bands")
     member = signed.select(F.col("doc_id").alias("b"), F.posexplode("keys").alias("band", "key"))
-    leader = member.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    # Written before the join, so that both sides of it are dealt plainly and a hot key's rows can be split.
+    leader = settle(member.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a"), "leaders")
     inside = settle(member.join(leader, "key"), "inside")
     # Texts that share a bucket are all that is read from here on.
     met = settle(inside.select(F.col("b").alias("doc_id")).distinct(), "met")
@@ -233,7 +234,7 @@ def links(texts: DataFrame, heads: DataFrame, idf: np.ndarray, least: float = LE
     parts = of_root.groupBy("key").agg(largest.alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("roots")).where("roots > 1")
     sized = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("long")
     parts = parts.select("key", "n", F.col("main.root").alias("main"), sized(F.col("main.n"), F.col("main.size")).alias("blocks"), sized(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size")).alias("others"))
-    left = settle(now.join(parts, "key").drop("size"), "left")
+    left = settle(now.join(settle(parts, "parts"), "key").drop("size"), "left")
 
     # Small buckets: at most SMALL pairs a member, each in its first common band only.
     pool = left.where(F.col("n") <= SMALL)
