@@ -14,9 +14,9 @@ and blue constant; with at most 16 different samples a palette packs several int
 occurred before, and runs of zeros, become back-references; the rest gets optimal prefix codes.
 
 Defined results: null bytes give null pixels; what is not a whole lossless WebP gives null pixels and a
-message; null texts are stored as 64 zero bytes, as empty ones; repeated rows are each converted; very
-long payloads are files of up to TILE bytes one behind the other, read again as one picture; an empty
-table gives none.
+message; null texts are stored as 64 zero bytes, as empty ones; repeated rows are each converted; long
+payloads are one file too, of up to 2**28 samples, written by CHUNK samples and read by WINDOW bytes, so that
+a task needs some forty bytes of memory for each of a text (a longer text is an error); an empty table gives none.
 """
 
 from __future__ import annotations
@@ -159,13 +159,19 @@ def _distance(code: int, width: int) -> int:
     return max(1, x + y * width)
 
 
+#: Bytes of a stream whose bit positions are looked up together: each takes some 200 bytes of memory.
+WINDOW = 1 << 18
+
+
 class _Walk:
-    """Bulk decoding of one code from any bit position of a stream."""
+    """Bulk decoding of one code from any bit position of a window of a stream, which begins where the stream is read."""
 
     def __init__(self, bits: Bits, code: Code):
         at = bits.at >> 3
-        data = np.frombuffer(bits.data, np.uint8)[at:]
+        data = np.frombuffer(bits.data, np.uint8)[at : at + WINDOW + 4]
         n = len(data)
+        # Symbols that start behind the window are left to the next one; behind the last window there are none.
+        self.limit = 8 * WINDOW if at + n < len(bits.data) else 8 * n + 1
         wide = np.zeros(n + 4, np.uint32)
         wide[:n] = data
         window = wide[:-2] | wide[1:-1] << np.uint32(8)
@@ -174,6 +180,7 @@ class _Walk:
         self.base, self.last = 8 * at, 8 * n
         self.symbols = code.symbols.astype(np.int16).take(entries)
         steps = np.where(code.symbols < GREENS, code.sizes, 0).astype(np.int32).take(entries)
+        steps[self.limit :] = 0
         to = np.arange(len(steps), dtype=np.int32)
         to += steps
         np.minimum(to, len(to) - 1, out=to)
@@ -183,6 +190,9 @@ class _Walk:
         self.jumps = memoryview(self.next4)
         self.steps = steps
 
+    def covers(self, at: int) -> bool:
+        return at - self.base < self.limit
+
     def literals(self, at: int, most: int) -> tuple[np.ndarray, int]:
         """Literals from bit `at` on, up to `most` or the next other symbol; the bit after them."""
         i, jumps, places = at - self.base, self.jumps, []
@@ -261,11 +271,15 @@ def _simple_pixels(bits: Bits, group: list[Code], width: int, total: int) -> np.
     green = np.empty(total, np.uint8)
     at, walk = 0, _Walk(bits, group[0])
     while at < total:
+        if not walk.covers(bits.at):
+            walk = _Walk(bits, group[0])
         found, bits.at = walk.literals(bits.at, total - at)
         green[at : at + len(found)] = found
         at += len(found)
         if at == total:
             break
+        if not walk.covers(bits.at):
+            continue
         s = group[0].read(bits)
         if s < GREENS:
             raise Malformed("the stream ends early")
@@ -552,30 +566,48 @@ def _stream(w: Writer, green: np.ndarray, refs: list[tuple[int, int, int]], alph
     put_code(w, {0: 1})
     put_code(w, {alpha: 1})
     far_codes, far_sizes = put_code(w, distances)
-    kept = green[literal]
-    values, lengths = codes[kept], sizes[kept]
-    if coded:
-        places = np.cumsum(literal)
-        at, more, more_n = [], [], []
-        for p, (a, av, an), (b, bv, bn) in coded:
-            here = int(places[p - 1]) if p else 0
-            at += [here] * 4
-            more += [int(codes[GREENS + a]), av, int(far_codes[b]), bv]
-            more_n += [int(sizes[GREENS + a]), an, int(far_sizes[b]), bn]
-        values, lengths = np.insert(values, at, more), np.insert(lengths, at, more_n)
+    out = bytearray((w.value & ((1 << (w.size & ~31)) - 1)).to_bytes((w.size & ~31) >> 3, "little"))
+    w.value, w.size = w.value >> (w.size & ~31), w.size & 31
+    ref = 0
+    for first in range(0, len(green), CHUNK):
+        own = literal[first : first + CHUNK]
+        kept = green[first : first + CHUNK][own]
+        values, lengths = codes[kept], sizes[kept]
+        if ref < len(coded) and coded[ref][0] < first + CHUNK:
+            places = np.cumsum(own)
+            at, more, more_n = [], [], []
+            while ref < len(coded) and coded[ref][0] < first + CHUNK:
+                p, (a, av, an), (b, bv, bn) = coded[ref]
+                here = int(places[p - first - 1]) if p > first else 0
+                at += [here] * 4
+                more += [int(codes[GREENS + a]), av, int(far_codes[b]), bv]
+                more_n += [int(sizes[GREENS + a]), an, int(far_sizes[b]), bn]
+                ref += 1
+            values, lengths = np.insert(values, at, more), np.insert(lengths, at, more_n)
+        out += _packed(w, values, lengths)
+    return bytes(out + w.value.to_bytes((w.size + 7) >> 3, "little"))
+
+
+#: Samples whose codes are put together at a time.
+CHUNK = 1 << 18
+
+
+def _packed(w: Writer, values: np.ndarray, lengths: np.ndarray) -> bytes:
+    """Whole bytes of what w holds (up to 31 bits) and values of these lengths behind it; the rest stays in w."""
     bit = np.cumsum(lengths)
-    start = bit - lengths + (w.size & 31)
-    total = (w.size & 31) + (int(bit[-1]) if len(bit) else 0)
+    start = bit - lengths + w.size
+    total = w.size + (int(bit[-1]) if len(bit) else 0)
     word, shift = start >> 5, start & 31
     shifted = values << shift
     count = (total + 31 >> 5) + 2
     low = np.bincount(word, weights=shifted & 0xFFFFFFFF, minlength=count)
     low[1:] += np.bincount(word, weights=shifted >> 32, minlength=count)[:-1]
     whole = low.astype(np.uint64)
-    head = w.size >> 5
-    whole[0] |= np.uint64(w.value >> (32 * head))
-    body = (w.value & ((1 << (32 * head)) - 1)).to_bytes(4 * head, "little") + whole.astype("<u4").tobytes()
-    return body[: (32 * head + total + 7) >> 3]
+    whole[0] |= np.uint64(w.value)
+    body = whole.astype("<u4").tobytes()
+    w.size = total & 7
+    w.value = body[total >> 3] & ((1 << w.size) - 1)
+    return body[: total >> 3]
 
 
 def encode(payload: bytes) -> bytes:
@@ -612,24 +644,6 @@ def encode(payload: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
 
 
-#: Bytes of a payload in one file, so that memory does not follow a text: about 150 bytes are needed for each.
-TILE = 1 << 20
-
-
-def encode_all(payload: bytes) -> bytes:
-    """encode() of every TILE of the payload, one file behind the other; each says how long it is."""
-    return b"".join(encode(payload[at : at + TILE]) for at in range(0, max(1, len(payload)), TILE))
-
-
-def files(data: bytes) -> Iterator[bytes]:
-    """The files that stand one behind the other; what is no file behind the first one is left out."""
-    at = 0
-    while at == 0 or data[at : at + 4] == b"RIFF":
-        size = 8 + int.from_bytes(data[at + 4 : at + 8], "little")
-        yield data[at : at + size] if data[at + size : at + size + 4] == b"RIFF" else data[at:]
-        at += size
-
-
 def _put_table(w: Writer, table: np.ndarray) -> None:
     """A palette of opaque greys, each as its difference from the one before."""
     deltas = np.diff(table, prepend=0).tolist()
@@ -651,8 +665,7 @@ def _put_table(w: Writer, table: np.ndarray) -> None:
 
 
 def with_pixels(df: DataFrame, column: str) -> tuple[DataFrame, dict[str, str]]:
-    """df with width, height, pixels (RGBA bytes, row by row) and error of the WebP in a binary column; the new names.
-    Files one behind the other are one picture, below each other."""
+    """df with width, height, pixels (RGBA bytes, row by row) and error of the WebP in a binary column; the new names."""
     names = {c: fresh(df, c) for c in ("width", "height", "pixels", "error")}
     small_batches(df.sparkSession)
 
@@ -661,10 +674,7 @@ def with_pixels(df: DataFrame, column: str) -> tuple[DataFrame, dict[str, str]]:
             rows = []
             for data in part.column(column).to_pylist():
                 try:
-                    tiles = [decode(d) for d in files(data)] if data is not None else []
-                    if len({t.shape[1] for t in tiles}) > 1:
-                        raise Malformed("files of different widths")
-                    pixels = np.concatenate(tiles) if tiles else None
+                    pixels = decode(data) if data is not None else None
                     rows.append((None, None, None, None) if pixels is None else (pixels.shape[1], pixels.shape[0], pixels.tobytes(), None))
                 except Malformed as e:
                     rows.append((None, None, None, str(e)))
@@ -684,7 +694,7 @@ def stored(df: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in all_blocks(batches, text):
-            media = [encode_all(payload_of(t)) for t in part.column(text).cast(pa.binary()).to_pylist()]
+            media = [encode(payload_of(t)) for t in part.column(text).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], names=[*part.schema.names, name])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())])), name
@@ -716,17 +726,12 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             rows = []
             for raw in part.column("text").cast(pa.binary()).to_pylist():
                 payload = payload_of(raw)
-                media = encode_all(payload)
-                whole, counts, rows_, back, left = hashlib.sha256(), np.zeros(256, np.int64), 0, b"", len(payload)
-                for tile in files(media):
-                    samples = np.ascontiguousarray(decode(tile)[..., 0])
-                    counts += np.bincount(samples.ravel(), minlength=256)
-                    rows_ += samples.shape[0]
-                    own = samples.tobytes()[:left]
-                    left -= len(own)
-                    whole.update(own)
-                    back = own
-                rows.append((len(raw or b""), len(payload) - left, whole.hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(rows_, samples.shape[1], counts)))
+                media = encode(payload)
+                pixels = decode(media)
+                samples = np.ascontiguousarray(pixels[..., 0])
+                back = samples.tobytes()[: len(payload)]
+                told = feature(*samples.shape, np.bincount(samples.ravel(), minlength=256))
+                rows.append((len(raw or b""), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), told))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             arrays = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *arrays], names=[c.split()[0] for c in SHAPE.split(", ")])

@@ -250,23 +250,47 @@ def test_columns(spark):
     assert m.digests(frame(spark, empty=True)).count() == 0
 
 
-def test_long_payloads_are_tiled(spark, monkeypatch):
-    text = "".join(chr(97 + i * i % 23) for i in range(10_000)) + "é"
-    whole = m.payload_of(text.encode())
-    monkeypatch.setattr(m, "TILE", 4096)
-    data = m.encode_all(whole)
-    assert [len(m.decode(f)) for f in m.files(data)] == [64, 64, len(whole) // 64 - 128]
-    assert b"".join(m.decode(f)[..., 0].tobytes() for f in m.files(data)) == whole
-    assert list(m.files(m.encode(b"x" * 64) + b"tail")) == [m.encode(b"x" * 64) + b"tail"]
-    monkeypatch.undo()
-    long = "0123456789abcde\n" * (1 << 17)  # two files, and one of 64 bytes
-    rows = [(1, long + "x", None, None, None), (2, None, None, None, None)]
+def test_windows_and_chunks(monkeypatch):
+    """Streams that are written and read in many small pieces are the ones written and read in one."""
+    rng = np.random.default_rng(7)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9)).astype(np.uint8)) for _ in range(60)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 60, n)) for n in (1, 40, 900, 3000)]
+    line = b"a line that comes again and again and again"
+    texts += [b"\n".join([line, t[:300], line, line]) * 3 for t in texts] + [bytes(rng.integers(0, 256, 5000).astype(np.uint8)), b"ab" * 3000]
+    whole = [m.encode(m.payload_of(t)) for t in texts]
+    for window, chunk in ((5, 64), (64, 7), (1000, 1000), (1 << 18, 1)):
+        monkeypatch.setattr(m, "WINDOW", window)
+        monkeypatch.setattr(m, "CHUNK", chunk)
+        for t, data in zip(texts, whole):
+            assert m.encode(m.payload_of(t)) == data
+            assert m.decode(data)[..., 0].tobytes().startswith(m.payload_of(t))
+    monkeypatch.setattr(m, "WINDOW", 64)
+    for bad in (whole[3][:-20], whole[3][:20] + b"\x00" + whole[3][21:]):
+        with pytest.raises(m.Malformed):
+            m.decode(bad)
+
+
+def test_long_payloads_are_one_file(spark):
+    import tracemalloc
+
+    long = "0123456789abcde\n" * (1 << 17) + "".join(chr(97 + i * i % 23) for i in range(100_000)) + "é"
+    rows = [(1, long, None, None, None), (2, None, None, None, None)]
     got = {r.doc_id: r for r in m.digests(frame(spark, rows)).collect()}
-    payload = m.payload_of((long + "x").encode())
-    assert (got[1].n_bytes, got[1].payload_bytes, got[1].payload_sha256) == (len(long) + 1, len(payload), hashlib.sha256(payload).hexdigest())
-    assert got[1].tail_crc32 == zlib.crc32(payload[-64:]) and got[1].media_sha256 == hashlib.sha256(m.encode_all(payload)).hexdigest()
-    assert got[1].feature.startswith(f"{len(payload) // 64}x64 ") and got[2].payload_bytes == 64
+    raw = long.encode()
+    payload = m.payload_of(raw)
+    data = m.encode(payload)
+    assert data[:4] == b"RIFF" and int.from_bytes(data[4:8], "little") + 8 == len(data)
+    assert (got[1].n_bytes, got[1].payload_bytes, got[1].payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+    assert got[1].tail_crc32 == zlib.crc32(payload[-64:]) and (got[1].media_bytes, got[1].media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+    assert got[1].feature.startswith(f"{-(-len(payload) // 192)}x192 ") and got[2].payload_bytes == 64
     media, name = m.stored(frame(spark, rows))
     back, names = m.with_pixels(media, name)
     r = back.where("doc_id = 1").first()
-    assert r[names["height"]] * 64 == len(payload) and bytes(r[names["pixels"]])[::4] == payload
+    assert r[names["width"]] == 192 and bytes(r[names["pixels"]])[::4][: len(payload)] == payload
+
+    rng = np.random.default_rng(3)
+    ten = m.payload_of(b"".join(bytes(rng.integers(32, 123, n).astype(np.uint8)) + b"\n" for n in rng.integers(1, 200, 100_000)))
+    tracemalloc.start()
+    assert m.decode(m.encode(ten))[..., 0].tobytes().startswith(ten)
+    assert tracemalloc.get_traced_memory()[1] < 45 * len(ten) + (128 << 20)
+    tracemalloc.stop()
