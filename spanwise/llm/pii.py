@@ -3,7 +3,8 @@
 Four kinds are found by pattern (email, ip, card, phone) with their positions, in SQL: a text is split
 at a pattern, and running lengths of the pieces and the matches give code point offsets.
 
-On top of that, information-theoretic sanitisation. A protected entity is a value found above. The
+On top of that, information-theoretic sanitisation. A protected entity is a value found above. A
+term is a word without what is neither letter nor digit, lowered, of any length. The
 distinct terms of every text that mentions it are counted with it over the whole corpus (a repeated text
 counts once, so copies prove nothing). An entity's information is -log2 p(entity); a term reveals as much
 of it as their pointwise mutual information says, with one added to the counts of entity and term, so that
@@ -50,15 +51,17 @@ def _sum(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
 
-def _before(lengths: Column, blocks: Column, i: Column) -> Column:
-    """Sum of the first i lengths, from sums of whole blocks and the rest: linear for a text in all."""
+def _before(lengths: Column, sums: Column, i: Column) -> Column:
+    """Sum of the first i lengths: of the whole blocks before i, and of less than a block's lengths."""
     whole = (i / _BLOCK).cast("int")
-    return _sum(F.slice(blocks, F.lit(1), whole)) + _sum(F.slice(lengths, whole * _BLOCK + 1, i - whole * _BLOCK))
+    return F.get(sums, whole) + _sum(F.slice(lengths, whole * _BLOCK + 1, i - whole * _BLOCK))
 
 
 def _blocks(lengths: Column) -> Column:
+    """Sums of the lengths before each block, and of all of them."""
     numbers = F.sequence(F.lit(0), F.greatest((F.size(lengths) - 1) / _BLOCK, F.lit(0)).cast("int"))
-    return F.transform(numbers, lambda b: _sum(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
+    own = F.transform(numbers, lambda b: _sum(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
+    return F.aggregate(own, F.array(F.lit(0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
 
 
 def _matches(text: Column, pattern: str, wanted=lambda value: F.lit(True)) -> Column:
@@ -124,9 +127,9 @@ def _term(word: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """Hashes of the distinct terms of a text."""
+    """Hashes of the distinct terms of a text: its words' letters and digits, lowered, however few they are."""
     words = F.transform(F.split(F.coalesce(text, F.lit("")), BLANKS), _term)
-    return F.array_distinct(F.transform(F.filter(words, lambda w: F.length(w) > 2), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 def _keys(text: str) -> list[Column]:

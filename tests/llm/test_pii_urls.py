@@ -64,7 +64,7 @@ def test_base_spans_of_any_text(spark, texts):
 def test_disclosing_terms(spark):
     """A rare name beside the same address in several texts discloses it; common words do not."""
     rows = [(i, f"report {i} filed today by Zoltan at boss@corp.example for the team number {i}", None, None, None) for i in range(5)]
-    rows += [(100 + i, f"report about the team number {i} filed today for nobody at all", None, None, None) for i in range(200)]
+    rows += [(100 + i, f"report about the team number {i} filed today by us at work for nobody at all", None, None, None) for i in range(200)]
     rows += [(400 + i, "the lone Quixote wrote from one@copy.example today", None, None, None) for i in range(9)]
     out = {r.doc_id: r for r in pii.report(frame(spark, rows)).select("doc_id", pii.written(F.col("all")).alias("s")).collect()}
     at = rows[0][1].index("Zoltan")
@@ -84,6 +84,17 @@ def test_disclosing_terms_of_one_text(spark):
     assert clean[1] == "the team asked <TERM> about nobody" and clean[100] == rows[2][1]
 
 
+def test_terms_of_any_length(spark):
+    """Names of one or two letters disclose as longer ones do."""
+    filler = "report about the team number filed today for nobody at all"
+    for name in ("zq", "Q", "李", "王芳", "zqw"):
+        rows = [(i, f"{filler} {name} wrote from one@far.example, take {i}", None, None, None) for i in range(12)]
+        rows += [(100 + i, f"{filler} x{i}", None, None, None) for i in range(2000)]
+        out = {r.doc_id: r.s for r in pii.report(frame(spark, rows)).select("doc_id", pii.written(F.col("all")).alias("s")).collect()}
+        at = len(filler) + 1
+        assert f"term:{at}:{at + len(name)}" in out[0] and out[100] == ""
+
+
 def test_copies_do_not_hide_a_term(spark):
     """A text with a telling term may have any number of copies."""
     rows = [(i, f"report {min(i, 4)} filed today by Zoltan at boss@corp.example", None, None, None) for i in range(200)]
@@ -98,7 +109,7 @@ def brute_all(rows, threshold=0.75):
     term = lambda w: "".join(c for c in w if c.isalnum()).lower()
     words = lambda t: [(m.start(), m.end(), term(m[0])) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
     texts = {t for _, t, *_ in rows}
-    terms = {t: {w for _, _, w in words(t) if len(w) > 2} for t in texts}
+    terms = {t: {w for _, _, w in words(t) if w} for t in texts}
     mentions = {}
     for t in texts:
         for kind, pattern in PATTERNS.items():
