@@ -1,8 +1,8 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
 Rules name a host (with all its subdomains) and a path prefix; the longest that fits decides. URLs
-that a rule decides are the labelled ones: trees are fitted on a bounded sample of them (MAX_TRAIN
-rows, chosen by hash) and give every other URL a probability of being blocked. Features are computed
+that a rule decides are the labelled ones: trees are fitted on a bounded sample of them (about MAX_TRAIN
+different URLs, chosen by hash and weighted by their rows) and give every other URL a probability of being blocked. Features are computed
 in SQL from the text of the URL alone: lengths, depth, shares of digits and marks, entropy of its
 characters, parameter counts, and for its host suffixes the blocked share among all labelled URLs. That
 table has one row a suffix, and is joined; only the trees' fit uses the sample.
@@ -108,9 +108,11 @@ def judge(df: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] =
         score = F.when(F.col(names["rule"]).isNull(), 1.0 if rest == "block" else 0.0)
         return base.withColumns({names["verdict"]: F.coalesce(by_rule, F.lit(rest)), names["score"]: score}), names
 
-    # Every URL's place in the hash order is fixed, so the sample does not depend on how the table is cut.
+    # Every URL's place in the hash order is fixed, so the sample does not depend on how the table is cut. A URL is one row of
+    # it, weighted by how often it occurs, so that a very common one does not fill it.
     chosen = F.pmod(F.xxhash64("url", F.lit(7)), F.lit(total)) < max_train
-    sample = settle(labelled.where(chosen).select("*", *(c.alias(k) for k, c in features(F.col("url"), F.col("host"), F.col("path")).items())), "urls")
+    once = labelled.where(chosen).groupBy("url", "host", "path", "ruled", "label").agg(F.count("*").cast("double").alias("weight"))
+    sample = settle(once.select("*", *(c.alias(k) for k, c in features(F.col("url"), F.col("host"), F.col("path")).items())), "urls")
     overall = ones / total
     suffixes = {}
     for name, suffix in _suffixes(F.col("host")).items():
@@ -125,8 +127,8 @@ def judge(df: DataFrame, url: str = "url", rules: tuple[tuple[str, str], ...] =
 
     inputs = [*features(F.col("url"), F.col("host"), F.col("path")), *(f"{n}_rate" for n in suffixes)]
     vectors = VectorAssembler(inputCols=inputs, outputCol="features")
-    trainable = vectors.transform(with_suffixes(sample, F.col("host"))).select("label", "features")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(trainable)
+    trainable = vectors.transform(with_suffixes(sample, F.col("host"))).select("label", "features", "weight")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, weightCol="weight").fit(trainable)
 
     # The trees see only URLs that no rule decides; a URL's features depend on nothing else.
     rest = base.where(F.col(names["rule"]).isNull())

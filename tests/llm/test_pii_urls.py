@@ -214,6 +214,16 @@ def test_url_suffixes_of_all_labelled(spark, monkeypatch):
     assert [df.count() for what, df in made if what == "suffixes"] == [2, 200]
 
 
+def test_a_common_url_is_one_row_of_the_sample(spark, monkeypatch):
+    rows = [(i, "http://same.com/en/1" if i % 2 else f"http://h{i}.example.net/de/{i % 200}") for i in range(1200)]
+    made, settle = [], url_filters.settle
+    monkeypatch.setattr(url_filters, "settle", lambda df, what: made.append((what, settle(df, what))) or made[-1][1])
+    out, _ = url_filters.judge(spark.createDataFrame(rows, "page_id long, url string"))
+    sample = next(df for what, df in made if what == "urls")
+    assert sample.where("host = 'same.com'").select("url", "weight").collect() == [("http://same.com/en/1", 600.0)]
+    assert {r.verdict for r in out.where("host = 'same.com'").collect()} == {"block"}
+
+
 def test_url_edges(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filters.judge(empty)[0].count() == 0
