@@ -16,12 +16,21 @@ def clip_reason(start: Column, end: Column, total: Column, least: int) -> Column
     )
 
 
+def fate(start: Column, end: Column, total: Column, slack: int = 3000, least: int = 200) -> Column:
+    """What becomes of a clip: ok, moved (a start below 0, or an end up to `slack` past the total, null or 0 for an unknown one), or why it goes."""
+    known = F.when(total > 0, total)
+    first, last = F.greatest(start, F.lit(0)), F.least(end, F.coalesce(known, end))
+    return (
+        F.when(start.isNull() | end.isNull(), "no times").when(end > known + slack, "past end").when(first >= known, "starts past end")
+        .when(last - first < least, "too short").when((first != start) | (last != end), "moved").otherwise("ok")
+    )
+
+
 def sanitise(df: DataFrame, total: Column, slack: int = 3000, least: int = 200) -> DataFrame:
-    """Clips with possible times: starts below 0 become 0, ends up to `slack` past the total are clamped,
+    """Clips with possible times by fate(): starts below 0 become 0, ends up to `slack` past the total are clamped,
     what is farther off, starts past the total or lasts under `least` goes."""
-    good = df.where(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull() & (F.col("end_ms") <= total + slack) & (F.col("start_ms") < total))
-    moved = good.withColumn("start_ms", F.greatest("start_ms", F.lit(0))).withColumn("end_ms", F.least("end_ms", total))
-    return moved.where(F.col("end_ms") - F.col("start_ms") >= least)
+    good = df.where(fate(F.col("start_ms"), F.col("end_ms"), total, slack, least).isin("ok", "moved"))
+    return good.withColumns({"start_ms": F.greatest("start_ms", F.lit(0)), "end_ms": F.least("end_ms", F.coalesce(F.when(total > 0, total), F.col("end_ms")))})
 
 
 def windows(df: DataFrame, by: Sequence[str], order: Sequence[str], most: int) -> DataFrame:

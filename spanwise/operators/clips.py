@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .channels import last_wins
-from .intervals import HOUR, absorb_short, edit_axis, overlap, overlap_join, union
+from .intervals import HOUR, absorb_short, edit_axis, overlap, overlap_join, remap, union
 
 KEY = ("chunk_index", "candidate_index")
 
@@ -329,6 +329,28 @@ def place_images(images: DataFrame, clips: DataFrame, by: Sequence[str], image:
     return images.drop("source_ms", "dur_ms").join(placed, [*by, image]), orphans
 
 
+def subtitled(clips: DataFrame, segments: DataFrame, by: Sequence[str], order: str = "seg_idx", least: int = 50) -> DataFrame:
+    """(by, clip_idx, order, start_ms, end_ms, text) on the edit axis: of clips that keep their sound what is said in them, parts of
+    `least` at least; of muted ones their own subtitle (order null), if it is not blank, for all of the clip. Clips of no length give none.
+
+    clips: by, clip_idx, start_ms, end_ms, use_original_audio, subtitle."""
+    axis = edit_axis(clips.where("end_ms > start_ms"), by, ["clip_idx"])
+    heard = axis.where("use_original_audio").select(*by, "clip_idx", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "edit_start")
+    said = remap(segments.select(*by, order, "start_ms", "end_ms", "text"), heard, by, least)
+    said = said.select(*by, "clip_idx", order, F.col("edit_s").alias("start_ms"), F.col("edit_e").alias("end_ms"), F.trim("text").alias("text"))
+    muted = axis.where("not use_original_audio and trim(subtitle) <> ''")
+    own = muted.select(*by, "clip_idx", F.lit(None).cast(segments.schema[order].dataType).alias(order), F.col("edit_start").alias("start_ms"), (F.col("edit_start") + F.col("end_ms") - F.col("start_ms")).alias("end_ms"), F.trim("subtitle").alias("text"))
+    return said.unionByName(own)
+
+
+def uncertain_on_axis(rows: DataFrame, doubtful: DataFrame, clips: DataFrame, by: Sequence[str], key: str, least: int = 50) -> DataFrame:
+    """rows on the edit axis with `uncertain`: whether a doubtful span of the source (by, r_start, r_end), seen through the clips, covers `least` of one."""
+    axis = edit_axis(clips.where("end_ms > start_ms"), by, ["clip_idx"]).select(*by, "clip_idx", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), "edit_start")
+    spans = doubtful.select(*by, F.col("r_start").alias("start_ms"), F.col("r_end").alias("end_ms"))
+    seen = remap(spans, axis, by, least).select(*by, F.col("edit_s").alias("r_start"), F.col("edit_e").alias("r_end"))
+    return flag_uncertain(rows, seen, by, key, least)
+
+
 def flag_uncertain(rows: DataFrame, doubtful: DataFrame, by: Sequence[str], key: str, least: int = 50) -> DataFrame:
     """rows with `uncertain`: whether a doubtful span covers `least` of it."""
     met = overlap_join(rows, doubtful, by).where(overlap(F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end")) >= least)

@@ -9,6 +9,7 @@ batch of rows and one state at a time, so a source of any length needs no more m
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -207,6 +208,36 @@ def follow(df: DataFrame, by: Sequence[str], at: str, boxes: str, width: int, he
     return _scan(df, by, (at,), lambda: (width / 2, height / 2, width / 2, height / 2), step, _schema(df, [*by, at], "x_center double", "y_center double", "crop_w long", "crop_h long"))
 
 
+def follow_speaker(df: DataFrame, by: Sequence[str], at: str, faces: str, width: int, height: int, alpha: float = 0.12, zone: float = 0.05, sticky: int = 0, slow: float = 0.03) -> DataFrame:
+    """A crop that follows the likely speaker: (by, at, face, score, x_center, y_center) of each sample, whose faces are structs of x, y, w, h and
+    motion (0 to 1). A face scores 0.3 of its share of the frame, its nearness to the middle and its motion each, and 0.1 of its nearness to where
+    the crop is; the first of the best is followed (face is its number; null without faces) by smoothing with a dead zone of each axis."""
+    middle, diagonal = (width / 2, height / 2), math.sqrt(width * width + height * height)
+
+    def distance(a: tuple[float, float], b: tuple[float, float]) -> float:
+        return math.sqrt((a[0] - b[0]) * (a[0] - b[0]) + (a[1] - b[1]) * (a[1] - b[1]))
+
+    def step(state: tuple[float, float, int], r: dict) -> tuple[tuple, dict]:
+        x, y, left = state
+        best, face = -1.0, None
+        for i, f in enumerate(r[faces] or []):
+            centre = (f["x"] + f["w"] / 2, f["y"] + f["h"] / 2)
+            near = 1 - distance(centre, middle) / (diagonal / 2)
+            score = 0.3 * (f["w"] * f["h"] / (width * height)) + 0.3 * near + 0.3 * f["motion"] + 0.1 * (1 - min(distance(centre, (x, y)) / diagonal, 1.0))
+            if score > best:
+                best, face, goal = score, i, centre
+        if face is not None:
+            a = slow if left > 0 else alpha
+            left = max(left - 1, 0)
+            if abs(goal[0] - x) > width * zone:
+                x = a * goal[0] + (1 - a) * x
+            if abs(goal[1] - y) > height * zone:
+                y = a * goal[1] + (1 - a) * y
+        return (x, y, left), r | {"face": face, "score": None if face is None else best, "x_center": x, "y_center": y}
+
+    return _scan(df, by, (at,), lambda: (*middle, sticky), step, _schema(df, [*by, at], "face int", "score double", "x_center double", "y_center double"))
+
+
 def pack_words(df: DataFrame, by: Sequence[str], order: str, gap: int = 500, most: int = 44, longest: int = 6000) -> DataFrame:
     """Words to cues: a new one at a gap, at `most` characters, at `longest`, or after a sentence."""
 

@@ -255,6 +255,21 @@ def snap(times: DataFrame, boundaries: DataFrame, by: Sequence[str], key: str, a
     return times.join(best, [*by, key], "left").withColumn(at, F.coalesce(F.col("_best.p"), F.col(at))).drop("_best")
 
 
+def snap_clips(clips: DataFrame, boundaries: DataFrame, by: Sequence[str], key: str, point: str, within: int, least: int = 200) -> DataFrame:
+    """Clips with both ends moved to their nearest boundaries up to `within` away; a clip of which `least` or less would be left
+    stays as it is."""
+    kept = clips.withColumns({"_start": F.col("start_ms"), "_end": F.col("end_ms")})
+    moved = snap(snap(kept, boundaries, by, key, "start_ms", point, within), boundaries, by, key, "end_ms", point, within)
+    good = F.col("end_ms") - F.col("start_ms") > least
+    ends = {"start_ms": F.when(good, F.col("start_ms")).otherwise(F.col("_start")), "end_ms": F.when(good, F.col("end_ms")).otherwise(F.col("_end"))}
+    return moved.withColumns(ends).select(*clips.columns)
+
+
+def touched(segments: DataFrame, clips: DataFrame, by: Sequence[str], order: str = "seg_idx") -> DataFrame:
+    """Segments that any clip (by, r_start, r_end) overlaps, one of those equal in text and in times to a hundredth of a second."""
+    return distinct_rounded(overlap_join(segments, clips, by, how="left_semi"), [*by, "text"], order=order)
+
+
 def around(times: DataFrame, segments: DataFrame, by: Sequence[str], key: str, at: str) -> DataFrame:
     """times with end_before, the largest segment end at or before each, and start_after, the smallest start at or after
     it, however far: one pass over both in order of time, in both directions."""

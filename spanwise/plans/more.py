@@ -223,7 +223,8 @@ def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", subtitles.salvage_json(answer).alias("s")).select("event_id", "s.*")
 
 
-@query()
+@query("""with c as (select conv_id, turn, sha1(concat_ws(chr(0), text, role, 'normal', printf('%.2f', length(text) * 10 / 1000))) as key from conversations)
+select conv_id, turn, key, file from c left join (select key, min(conv_id || '.mp3') as file from c where turn = 1 group by 1) using (key)""")
 def cue_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     cues = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.col("role").alias("voice"), F.lit("normal").alias("speed"), (F.length("text") * 10).alias("target_ms"))
     key = subtitles.cue_key(F.col("text"), F.col("voice"), F.col("speed"), F.col("target_ms"))
