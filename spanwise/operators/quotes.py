@@ -1,8 +1,8 @@
 """Quotes in long texts: every place where a passage stands, in documents or in transcripts of many segments.
 
 A passage is searched by the ten characters it starts with: texts give their ten-character grams with the place,
-these meet the passages' heads in an equi-join, and only what meets is compared in full. Texts do not travel with
-their grams. Transcripts are searched as one text a source, in overlapping blocks, so that no source is one row.
+these meet the passages' heads in an equi-join, and only what meets is compared in full, with a piece of its text. Texts do
+not travel with their grams. Transcripts are searched as one text a source, in overlapping blocks, so that no source is one row.
 """
 
 from __future__ import annotations
@@ -34,8 +34,13 @@ def occurrences(texts: DataFrame, needles: DataFrame, ids: Sequence[str], on: Se
     heads = wanted.select(*on, "head").distinct()
     if heads.count() <= FEW:
         grams = grams.join(F.broadcast(heads), [*on, "head"], "left_semi")
-    met = grams.join(wanted, [*on, "head"]).join(texts.select(*ids, "n"), list(ids))
-    return met.where(F.substring("n", F.col("at") + 1, F.length("needle")) == F.col("needle")).drop("n", "head")
+    met = grams.join(wanted, [*on, "head"]).withColumn("_piece", F.floor(F.col("at") / BLOCK).cast("int"))
+    # A hit meets the piece of its text that it lies in, not the text: a piece is BLOCK characters and the longest passage.
+    longest = wanted.agg(F.coalesce(F.max(F.length("needle")), F.lit(0))).first()[0]
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("n") - 1) / BLOCK).cast("int")), lambda b: F.substring("n", b * BLOCK + 1, F.lit(BLOCK + longest)))
+    pieces = texts.where(F.length("n") >= HEAD).select(*ids, F.posexplode(cut).alias("_piece", "_text"))
+    found = met.join(pieces, [*ids, "_piece"])
+    return found.where(F.substring("_text", (F.col("at") - F.col("_piece") * BLOCK + 1).cast("int"), F.length("needle")) == F.col("needle")).drop("_text", "_piece", "head")
 
 
 def timeline(segments: DataFrame, by: Sequence[str]) -> DataFrame:
