@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, small_batches
-from .spans import Gapless, crc32
+from .spans import CRC_POLYNOMIAL, Gapless, crc32
 from .textblock import Block, all_blocks
 
 BUCKETS, GRAM, SEED, FEWEST, PERCENT = 10_000, 1, 2024, 20, 10
@@ -118,3 +118,24 @@ def resampled(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text:
     """(doc_id, n_words, n_features, weight, score, rank) of every row of docs; rank says what is drawn towards the target."""
     gain = gains(counted(docs, text, gram), counted(target, target_text, gram))
     return drawn(settle(scored(weighed(docs, gain, doc_id, text, gram), seed), "weights"))
+
+
+def sql(size: int = BUCKETS, seed: int = SEED, fewest: int = FEWEST, percent: int = PERCENT) -> str:
+    """The same over single words, with CRC-32 bit by bit in lists, for tables documents and benchmark."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with tab as (select list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c % 2 = 1 then xor(c // 2, {CRC_POLYNOMIAL}) else c // 2 end)) as t),
+d as (select row_number() over () as r, doc_id, {words} as w from documents),
+b as (select {words} as w from benchmark),
+of_docs as (select r, unnest(w) as w from d), of_target as (select unnest(w) as w from b),
+known as (select w, hex(encode(w)) as x from (select w from of_docs union select w from of_target)),
+hashed as (select w, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: cast('0x' || x[2 * i + 1 : 2 * i + 2] as bigint))), lambda c, z: xor(c // 256, t[xor(c % 256, z) + 1])), 4294967295) % {size} as k from known, tab),
+s as (select k, count(*) as s from of_docs join hashed using (w) group by 1), t as (select k, count(*) as t from of_target join hashed using (w) group by 1),
+totals as (select (select coalesce(sum(s), 0) from s)::double as ss, (select coalesce(sum(t), 0) from t)::double as tt),
+gain as (select k, cast(floor(1000 * ln((coalesce(t, 0)::double + 1) * (ss + {size}) / ((s::double + 1) * (tt + {size})))) as bigint) as g from s left join t using (k), totals),
+weights as (select r, count(*) as n, cast(floor(sum(g)::double / count(*)) as bigint) as weight from of_docs join hashed using (w) join gain using (k) group by 1),
+scored as (select d.r, doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight,
+  coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || left(sha256('{seed}:' || doc_id), 8) as bigint) + 0.5) / 4294967296.0::double))) as bigint) as score from d left join weights w on d.r = w.r),
+able as (select r, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_features >= {fewest} and score is not null)
+select doc_id, cast(n_features as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score, cast(case when rank <= {percent} * n // 100 then rank end as bigint) as rank from scored left join able using (r)"""

@@ -103,4 +103,5 @@ ORACLE: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.sql(),
     "op4_source_mixing": source_mixing.sql(),
     "op9_line_dedup": line_dedup.sql(),
+    "op13_importance_resampling": importance_resampling.sql(),
 }
