@@ -156,7 +156,15 @@ def event_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.snap(c.select("source_id", "cand_idx", "end_ms"), points, BY, "cand_idx", "end_ms", "p", 3_600_000)
 
 
-@query()
+@query(f"""with recursive {CANDIDATES}, r as (select source_id, cand_idx, start_ms, end_ms, score, row_number() over (partition by source_id order by start_ms, end_ms, cand_idx) as n, count(*) over (partition by source_id) as total from candidates),
+x as (select source_id, n, total, struct_pack(k := cand_idx, s := start_ms, e := end_ms, c := score) as x from r),
+walk as (select source_id, n, total, [x] as kept from x where n = 1
+  union all select source_id, n, total, case when pos is null then list_append(kept, x) when x.c > kept[pos].c then list_concat(list_append(kept[1:pos - 1], x), kept[pos + 1:]) else kept end from (
+    select x.source_id, x.n, x.total, w.kept, x.x, nullif(list_position(list_transform(w.kept, lambda k: x.x.e > x.x.s and k.e > k.s and
+      greatest(0, least(x.x.e, k.e) - greatest(x.x.s, k.s))::double / (x.x.e - x.x.s + k.e - k.s - greatest(0, least(x.x.e, k.e) - greatest(x.x.s, k.s))) >= 0.3::double), true), 0) as pos
+    from walk w join x on x.source_id = w.source_id and x.n = w.n + 1)),
+ends as (select source_id, unnest(kept) as k, unnest(range(len(kept))) as slot from walk where n = total)
+select source_id, k.k as cand_idx, k.s as start_ms, k.e as end_ms, k.c as score, cast(slot as int) as slot from ends""")
 def event_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.greedy_dedup(candidates(spark, sf_dir), BY, "cand_idx", 0.3)
 
@@ -347,7 +355,13 @@ def conv_pack_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.pack_segments(segments(spark, sf_dir), BY, most=400, gap=500)
 
 
-@query()
+@query(f"""with recursive {SEGMENTS}, w as (select source_id, seg_idx, start_ms, unnest(string_split(text, ' ')) as word, unnest(range(len(string_split(text, ' ')))) as i from segments),
+r as (select source_id, trim(word) as word, start_ms + i * 60 as s, start_ms + i * 60 + 50 as e, row_number() over (partition by source_id order by seg_idx * 100000 + i) as n from w where trim(word) <> ''),
+walk as (select source_id, n, cast(1 as bigint) as cue, s, e, word as text, cast(1 as bigint) as words, right(word, 1) in ('.', '!', '?', '…') as closed from r where n = 1
+  union all select source_id, n, case when fresh then cue + 1 else cue end, case when fresh then s else os end, case when fresh then e else greatest(oe, e) end, case when fresh then word else otext || ' ' || word end, case when fresh then 1 else owords + 1 end, right(word, 1) in ('.', '!', '?', '…') from (
+    select r.*, w.cue, w.s as os, w.e as oe, w.text as otext, w.words as owords, w.closed or r.s - w.e >= 500 or r.e - w.s > 6000 or length(w.text) + 1 + length(r.word) > 44 as fresh from walk w join r on r.source_id = w.source_id and r.n = w.n + 1)),
+last as (select source_id, cue, arg_max(s, n) as s, arg_max(e, n) as e, arg_max(text, n) as text, arg_max(words, n) as words from walk group by 1, 2)
+select source_id, cast(s as bigint) as start_ms, cast(e as bigint) as end_ms, text, cast(words as int) as words, cast(row_number() over (partition by source_id order by cue) - 1 as int) as cue_idx from last where e > s""")
 def conv_pack_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = segments(spark, sf_dir).select("source_id", "start_ms", F.posexplode(F.split("text", " ")).alias("i", "text"), "seg_idx")
     timed = words.select("source_id", (F.col("seg_idx") * 100_000 + F.col("i")).alias("word_idx"), (F.col("start_ms") + F.col("i") * 60).alias("start_ms"), (F.col("start_ms") + F.col("i") * 60 + 50).alias("end_ms"), "text")
