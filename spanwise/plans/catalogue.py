@@ -397,7 +397,11 @@ def doc_script_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", letters.alias("letters"), c["latin"].alias("latin"), c["native"].alias("native"))
 
 
-@query()
+#: A stretch of n characters stands three times in a row where 2 n characters on end equal those n later.
+@query(r"""with d as (select doc_id, string_split(trim(regexp_replace(text, '[\t\n\x0b\f\r \x85\p{Z}]+', ' ', 'g')), '') as c from documents),
+n as (select doc_id, c, unnest(range(2, 21)) as n from d),
+e as (select doc_id, contains(array_to_string(list_transform(range(1, len(c) - n + 1), lambda i: case when c[i] = c[i + n] then 'y' else 'n' end), ''), repeat('y', 2 * n)) as again from n)
+select doc_id, coalesce(bool_or(again), false) as repeats from e group by 1""")
 def doc_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.repeats(F.col("text")).alias("repeats"))
 
