@@ -21,14 +21,14 @@ def lookup(candidates: DataFrame, order: str) -> DataFrame:
     return last_wins(candidates.where("chunk_index >= 0 and candidate_index >= 0"), KEY, order)
 
 
-def restore_times(clips: DataFrame, candidates: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Clips with times and description of their candidate; aliases (chunk_index, candidate_index, to_chunk,
+def restore_times(clips: DataFrame, candidates: DataFrame, aliases: DataFrame | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """Clips with times, description and the columns `carried` of their candidate; aliases (chunk_index, candidate_index, to_chunk,
     to_candidate) redirect once. Clips without a candidate stay as they are."""
     if aliases is not None:
         clips = clips.join(aliases, list(KEY), "left").withColumns({"_c": F.coalesce("to_chunk", "chunk_index"), "_k": F.coalesce("to_candidate", "candidate_index")}).drop("to_chunk", "to_candidate")
     else:
         clips = clips.withColumns({"_c": F.col("chunk_index"), "_k": F.col("candidate_index")})
-    known = candidates.select(F.col("chunk_index").alias("_c"), F.col("candidate_index").alias("_k"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), F.col("description").alias("_d"))
+    known = candidates.select(F.col("chunk_index").alias("_c"), F.col("candidate_index").alias("_k"), F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), F.col("description").alias("_d"), *(F.col(c).alias(f"_of_{c}") for c in carried))
     joined = clips.join(known, ["_c", "_k"], "left")
     hit = F.col("_s").isNotNull()
     new = {
@@ -38,7 +38,8 @@ def restore_times(clips: DataFrame, candidates: DataFrame, aliases: DataFrame |
         "end_ms": F.coalesce("_e", "end_ms"),
         "description": F.coalesce(F.when(F.col("_d") != "", F.col("_d")), "description"),
     }
-    return joined.withColumns(new).drop("_c", "_k", "_s", "_e", "_d")
+    new |= {c: F.when(hit, F.col(f"_of_{c}")).otherwise(F.col(c)) for c in carried}
+    return joined.withColumns(new).drop("_c", "_k", "_s", "_e", "_d", *(f"_of_{c}" for c in carried))
 
 
 PIECE = "struct<start_ms:bigint,end_ms:bigint,chunk_index:bigint,candidate_index:bigint>"
@@ -382,3 +383,18 @@ def nearest_sample(clips: DataFrame, samples: DataFrame, by: Sequence[str], key:
     met = a.join(samples.withColumn("_cell", cell(F.col("t"))), [*by, "_cell"]).where(F.abs(F.col("t") - F.col(at)) <= most)
     best = met.groupBy(*by, key).agg(F.min(F.struct(F.abs(F.col("t") - F.col(at)).alias("d"), "t", "x", "y")).alias("s"))
     return clips.join(best.select(*by, key, "s.t", "s.x", "s.y"), [*by, key], "left")
+
+
+def find_in_index(asks: DataFrame, appearances: DataFrame, by: Sequence[str], key: str, width: int, height: int, beside: int = 1000, most: int = 3000) -> DataFrame:
+    """asks (by, key, character, at_ms) with x and y, the place in a frame of the character's nearest sample, at most `most` away, of an
+    appearance that lasts at the time or ends or begins `beside` from it; the first of equally near ones. Null where there is none.
+
+    appearances: by, appearance_idx, character, start_ms, end_ms, samples (an array of structs t_ms, x and y, shares of the frame)."""
+    cell = lambda c: F.floor(c / most)
+    shown = appearances.select(*by, "character", "appearance_idx", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), F.posexplode("samples").alias("_i", "_p"))
+    shown = shown.withColumn("_cell", cell(F.col("_p.t_ms")))
+    dealt = asks.select(*by, key, "character", "at_ms", F.explode(F.array(*(cell(F.col("at_ms")) + d for d in (-1, 0, 1)))).alias("_cell"))
+    away = F.abs(F.col("_p.t_ms") - F.col("at_ms"))
+    met = dealt.join(shown, [*by, "character", "_cell"]).where((away <= most) & F.col("at_ms").between(F.col("_s") - beside, F.col("_e") + beside))
+    best = met.groupBy(*by, key).agg(F.min(F.struct(away.alias("away"), F.col("appearance_idx").alias("a"), F.col("_i").alias("i"), F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))).alias("_b"))
+    return asks.join(best, [*by, key], "left").withColumns({"x": F.col("_b.x") * width, "y": F.col("_b.y") * height}).drop("_b")

@@ -39,6 +39,15 @@ def coverage(df: DataFrame, by: Sequence[str], start: str = "start_ms", end: str
     return union(df, by, start, end).groupBy(*by).agg(F.count("*").alias("pieces"), F.sum(F.col(end) - F.col(start)).alias("covered_ms"))
 
 
+def widened(df: DataFrame, extension: str = "context_extension") -> DataFrame:
+    """df with times widened to the extension (a struct of needed, start_ms and end_ms) where one is needed; it never narrows."""
+    ext = F.col(extension)
+    needed = F.coalesce(ext["needed"], F.lit(False))
+    start = F.when(needed, F.least("start_ms", F.coalesce(ext["start_ms"], F.col("start_ms")))).otherwise(F.col("start_ms"))
+    end = F.when(needed, F.greatest("end_ms", F.coalesce(ext["end_ms"], F.col("end_ms")))).otherwise(F.col("end_ms"))
+    return df.withColumns({"start_ms": start, "end_ms": end})
+
+
 def overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Length that [a, b) and [c, d) share, 0 if none."""
     return F.greatest(F.lit(0), F.least(b, d) - F.greatest(a, c))
