@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import contracts, edges, edits, more, registry, replies, writers  # noqa: F401  (add their queries to the catalogue)
+from .plans import contracts, edges, edits, injected, more, registry, replies, writers  # noqa: F401  (add their queries to the catalogue)
 from .plans.catalogue import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
