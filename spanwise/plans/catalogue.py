@@ -169,7 +169,14 @@ def event_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.greedy_dedup(candidates(spark, sf_dir), BY, "cand_idx", 0.3)
 
 
-@query()
+@query(f"""with recursive {CANDIDATES}, r as (select source_id, cand_idx, start_ms as s, end_ms as e, row_number() over (partition by source_id order by cand_idx) as n,
+  exists (select 1 from candidates x where x.source_id = c.source_id and x.cand_idx > c.cand_idx and x.start_ms <= c.start_ms and c.end_ms <= x.end_ms and x.end_ms - x.start_ms > c.end_ms - c.start_ms) as inside from candidates c),
+walk as (select source_id, cast(0 as bigint) as n, cast(null as bigint) as k, cast(null as bigint) as a, cast(null as bigint) as z, cast([] as struct(a bigint, z bigint)[]) as done from r group by 1
+  union all select source_id, n, cand_idx, case when inside then s else piece.a end, case when inside then e else piece.z end, case when inside or piece is null then done else list_sort(list_append(done, struct_pack(a := piece.a, z := piece.z))) end from (
+    select *, list_filter([best], lambda b: b.z - b.a >= 1500)[1] as piece from (
+      select *, list_sort(list_transform(list_filter(list_transform(range(len(met) + 1), lambda i: struct_pack(l := cast(0 as bigint), i := i, a := case when i = 0 then s else met[i].z end, z := case when i = len(met) then e else met[i + 1].a end)), lambda p: p.z > p.a), lambda p: struct_pack(l := p.a - p.z, i := p.i, a := p.a, z := p.z)))[1] as best from (
+        select r.*, w.done, list_filter(w.done, lambda d: d.z > r.s and d.a < r.e) as met from walk w join r on r.source_id = w.source_id and r.n = w.n + 1))))
+select source_id, k as cand_idx, a as start_ms, z as end_ms, cast(row_number() over (partition by source_id order by k) - 1 as int) as new_idx from walk where a is not null""")
 def event_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.cover_dedup(candidates(spark, sf_dir), BY, "cand_idx")
 
@@ -217,7 +224,15 @@ def event_push_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.push_apart(c.withColumn("total", F.max("end_ms").over(Window.partitionBy("source_id"))), BY, "cand_idx", "total")
 
 
-@query()
+@query(f"""with recursive {CANDIDATES}, c as (select source_id, start_ms // 864000000 as chunk, cand_idx, start_ms as s, end_ms as e from candidates),
+r as (select *, dense_rank() over (partition by source_id order by chunk) as place, row_number() over (partition by source_id order by chunk, cand_idx) as i from c),
+pairs as (select a.source_id, a.i as ai, b.i as bi, b.cand_idx as bk, row_number() over (partition by a.source_id order by a.place, a.cand_idx, b.cand_idx) as n from r a join r b on a.source_id = b.source_id and b.place = a.place + 1),
+walk as (select source_id, cast(0 as bigint) as n, list(struct_pack(s := s, e := e) order by i) as t, list(cast(-1 as bigint) order by i) as alias from r group by 1
+  union all select source_id, n, case when one then list_concat(list_append(t[1:bi - 1], struct_pack(s := least(t[ai].s, t[bi].s), e := greatest(t[ai].e, t[bi].e))), t[bi + 1:]) else t end, case when one then list_concat(list_append(alias[1:ai - 1], bk), alias[ai + 1:]) else alias end from (
+    select *, shared > 0 and (shared >= 0.5::double * least(t[ai].e - t[ai].s, t[bi].e - t[bi].s) or shared >= 1500) as one from (
+      select p.source_id, p.n, p.ai, p.bi, cast(p.bk as bigint) as bk, w.t, w.alias, least(w.t[p.ai].e, w.t[p.bi].e) - greatest(w.t[p.ai].s, w.t[p.bi].s) as shared from walk w join pairs p on p.source_id = w.source_id and p.n = w.n + 1))),
+ends as (select source_id, arg_max(t, n) as t, arg_max(alias, n) as alias from walk group by 1)
+select r.source_id, r.chunk, r.cand_idx, t[i].s as start_ms, t[i].e as end_ms, alias[i] as alias_of from r join ends using (source_id)""")
 def event_boundary_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.boundary_aliases(candidates(spark, sf_dir).withColumn("chunk", F.floor(F.col("start_ms") / (240 * intervals.HOUR)).cast(LONG)), BY, "chunk", "cand_idx")
 
