@@ -125,6 +125,12 @@ def crossing(ext: Extensions, low: np.ndarray, middle: np.ndarray, high: np.ndar
     yield m - q - behind, m + ahead, q
 
 
+def _smallest(found: np.ndarray) -> np.ndarray:
+    """Each stretch (start, end) once, with its smallest period: multiples of a run's period give the same stretch."""
+    found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+    return found[np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1)]] if len(found) else found
+
+
 def runs(ids: np.ndarray, first: np.ndarray, last: np.ndarray, least: int = LEAST, direct: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and smallest period of every run inside the segments [first, last) of word ids, by start and period."""
     ext = Extensions(ids, direct)
@@ -134,14 +140,12 @@ def runs(ids: np.ndarray, first: np.ndarray, last: np.ndarray, least: int = LEAS
         middle = (low + high) // 2
         for start, end, q in crossing(ext, low, middle, high, first[segment], last[segment]):
             use = end - start >= np.maximum(least, 2 * q)
-            found.append(np.stack([start[use], end[use], q[use]], axis=1))
+            found.append(_smallest(np.stack([start[use], end[use], q[use]], axis=1)))
         low, high, segment = np.r_[low, middle], np.r_[middle, high], np.r_[segment, segment]
         use = high - low >= least
         low, high, segment = low[use], high[use], segment[use]
     every = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    every = every[np.lexsort((every[:, 2], every[:, 1], every[:, 0]))]
-    # Multiples of a run's period give the same stretch; the smallest comes first.
-    every = every[np.r_[True, (every[1:, :2] != every[:-1, :2]).any(axis=1)]] if len(every) else every
+    every = _smallest(every)
     every = every[np.lexsort((every[:, 2], every[:, 0]))]
     if not direct:
         wrong = [s for s, e, q in every.tolist() if not np.array_equal(ids[s : e - q], ids[s + q : e])]
