@@ -365,7 +365,29 @@ def conv_run_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "run_rows", fate.alias("fate"))
 
 
-@query()
+_SQUEEZED = r"trim(regexp_replace(text, '[\t\n\x0b\f\r \x85\p{Z}]+', ' ', 'g'))"
+
+
+@query(rf"""with recursive {SEGMENTS}, said as (select source_id, seg_idx, start_ms as s, end_ms as e, trim(replace(coalesce(text, ''), E'\n', ' ')) as text from segments),
+meant as (select *, avg(length(text)) over (partition by source_id) as mean, string_split({_SQUEEZED}, '') as c from said where text <> ''),
+calm as (select * from meant where not (length(text) > 5 * mean and length(text) > 80) and not list_bool_or(list_transform(range(2, 21), lambda n:
+  contains(array_to_string(list_transform(range(1, len(c) - n + 1), lambda i: case when c[i] = c[i + n] then 'y' else 'n' end), ''), repeat('y', 2 * n))))),
+once as (select * from (select *, row_number() over (partition by source_id, text, (s + 5) // 10, (e + 5) // 10 order by seg_idx) as k from calm) where k = 1),
+same as (select source_id, text, s, e, row_number() over (partition by source_id, text order by s, e, seg_idx) as n from once),
+merged as (select source_id, text, n, [struct_pack(s := s, e := e)] as kept from same where n = 1
+  union all select source_id, text, n, case when pos is null then list_append(kept, x) else list_concat(list_append(kept[1:pos - 1], struct_pack(s := least(kept[pos].s, x.s), e := greatest(kept[pos].e, x.e))), kept[pos + 1:]) end from (
+    select r.source_id, r.text, r.n, m.kept, struct_pack(s := r.s, e := r.e) as x, nullif(list_position(list_transform(m.kept, lambda k: k.s < r.e and r.s < k.e), true), 0) as pos
+    from merged m join same r on r.source_id = m.source_id and r.text = m.text and r.n = m.n + 1)),
+left_ as (select source_id, text, unnest(arg_max(kept, n)) as k from merged group by 1, 2),
+runs as (select *, row_number() over (partition by source_id order by k.s, k.e, text) - row_number() over (partition by source_id, text order by k.s, k.e) as run from left_),
+sized as (select source_id, text, run, k.s as s, k.e as e, count(*) over (partition by source_id, text, run) as size, row_number() over (partition by source_id, text, run order by k.s, k.e) as nth, last(k.e) over (partition by source_id, text, run order by k.s, k.e rows between unbounded preceding and unbounded following) as z from runs),
+quiet as (select source_id, text, s, case when size > 2 then z else e end as e from sized where size <= 2 or size <= 4 and nth = 1),
+r as (select *, row_number() over (partition by source_id order by s, e, text) as n from quiet),
+walk as (select source_id, n, cast(1 as bigint) as cue, s, e, text from r where n = 1
+  union all select source_id, n, case when joins then cue else cue + 1 end, case when joins then os else s end, case when joins then greatest(oe, e) else e end, case when joins then otext || ' ' || text else text end from (
+    select r.*, w.cue, w.s as os, w.e as oe, w.text as otext, greatest(0, r.s - w.e) <= 500 and length(w.text) + 1 + length(r.text) <= case when regexp_matches(w.text, '[.!?…"」』)다요죠네까야어지군니오]$') then 400 else 520 end
+      and (w.e - w.s < 600 or greatest(r.e, w.e) - w.s <= 6000) as joins from walk w join r on r.source_id = w.source_id and r.n = w.n + 1))
+select source_id, cast(arg_max(s, n) as bigint) as start_ms, cast(arg_max(e, n) as bigint) as end_ms, arg_max(text, n) as text, cast(cue - 1 as int) as cue_idx from walk group by source_id, cue""")
 def conv_pack_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.pack_segments(segments(spark, sf_dir), BY, most=400, gap=500)
 
