@@ -37,7 +37,7 @@ LENGTH, END, GROUP = 4096, 1, 20_000
 #: Tokens, documents, attention cost: what a sequence holds, and how much each counts in the score.
 CAPACITY = (LENGTH, LENGTH, LENGTH * LENGTH)
 SCALES = (1.0, 0.1, 0.1)
-KNOWN, KNOWN_CHARS = 200_000, 4_000_000  # words in a generation, and their characters: some 80 MB for a worker's two
+KNOWN, KNOWN_CHARS = 400_000, 8_000_000  # words in a generation, and their characters: some 160 MB for a worker's two
 
 
 def word_file() -> str:
