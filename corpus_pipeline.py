@@ -40,8 +40,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places in sequences."""
-    return sequence_packing.pack(docs)
+    """Pieces of at most 4096 tokens and their places in sequences. Workers keep fewer words than when packing is all they do."""
+    return sequence_packing.pack(docs, known=200_000)
 
 
 STAGES = [

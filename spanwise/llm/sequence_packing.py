@@ -37,7 +37,7 @@ LENGTH, END, GROUP = 4096, 1, 20_000
 #: Tokens, documents, attention cost: what a sequence holds, and how much each counts in the score.
 CAPACITY = (LENGTH, LENGTH, LENGTH * LENGTH)
 SCALES = (1.0, 0.1, 0.1)
-KNOWN, KNOWN_CHARS = 400_000, 8_000_000  # words in a generation, and their characters: some 160 MB for a worker's two
+KNOWN, KNOWN_CHARS = 800_000, 16_000_000  # words in a generation, and their characters: some 320 MB for a worker's two
 
 
 def word_file() -> str:
@@ -66,6 +66,7 @@ class WordIds:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.chars = 0  # of the young generation's words
+        self.most = KNOWN  # words in a generation
 
     def _one_by_one(self, parts: list[str]) -> dict[str, bytes]:
         got = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
@@ -88,7 +89,7 @@ class WordIds:
 
     def learn(self, words: set[str]) -> None:
         """Make words known; they stand in the young generation afterwards."""
-        if len(self.young) > KNOWN or self.chars > KNOWN_CHARS:
+        if len(self.young) > self.most or self.chars * KNOWN > KNOWN_CHARS * self.most:
             self.young, self.old, self.chars = {}, self.young, 0
         self.chars += sum(map(len, words))
         young, old, split = self.young, self.old, []
@@ -131,13 +132,15 @@ def word_ids(tokenizer: str | None) -> WordIds:
     return _loaded[tokenizer]
 
 
-def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, row): whole texts, cut only where longer than a sequence."""
+def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, tokenizer: str | None = None, known: int = KNOWN) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, row): whole texts, cut only where longer than a sequence. known: words that a
+    worker keeps of a generation, between tasks too; it changes memory and time only."""
     small_batches(docs.sparkSession)
     last, step = np.array([end], "<u4").tobytes(), 4 * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
+        words.most = known
         row = TaskContext.get().partitionId() << 33
         for part in all_blocks(batches):
             out: dict[str, list[int]] = {"doc": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
@@ -217,10 +220,10 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, ...] = CAPACITY, scales:
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END, tokenizer: str | None = None,
-         capacity: tuple[int, ...] | None = None, scales: tuple[float, ...] = SCALES, score: str = "norm", group: int = GROUP) -> DataFrame:
+         capacity: tuple[int, ...] | None = None, scales: tuple[float, ...] = SCALES, score: str = "norm", group: int = GROUP, known: int = KNOWN) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     limits = capacity or (length, length, length * length)
-    cut = settle(pieces(docs, doc_id, text, length, end, tokenizer), "pieces")
+    cut = settle(pieces(docs, doc_id, text, length, end, tokenizer, known), "pieces")
     groups = max(1, -(-cut.where(F.col("length") < length).count() // group))
     dealt = cut.withColumn("part", F.when(F.col("length") < length, F.pmod(F.xxhash64("row"), F.lit(groups))))
 
