@@ -34,9 +34,9 @@ def transcribe(chunks: DataFrame, transcriber: Callable[[str], list[dict]], by:
     return chunks.select(*by, path, start).mapInPandas(run, shape)
 
 
-def shorten(text: Column, target: Column, shortener: Callable[[str, int], str] | None = None) -> Column:
-    """Texts longer than `target` characters by shortener(text, target); cut and closed with a point where there is none,
-    or it raises, or gives nothing new. Shorter texts stay."""
+def shorten(text: Column, target: Column, shortener: Callable[[str, int], str] | None = None, blanks: str | None = None) -> Column:
+    """Texts longer than `target` characters by shortener(text, target), without `blanks` (all white space) at the ends; cut and
+    closed with a point where there is none, or it raises, or gives nothing new. Shorter texts stay."""
 
     def cut(text: str, most: int) -> str:
         return text[:most].rstrip("., \t\n") + "."
@@ -49,10 +49,11 @@ def shorten(text: Column, target: Column, shortener: Callable[[str, int], str] |
                 out.append(t)
                 continue
             try:
-                new = (shortener(t, int(most)) or "").strip() if shortener else ""
+                told = (shortener(t, int(most)) or "") if shortener else ""
+                new = told.strip(blanks)
             except Exception:  # noqa: BLE001
-                new = ""
-            out.append(new if new and new != t else cut(t, int(most)))
+                told = new = ""
+            out.append(new if new and t not in (told, new) else cut(t, int(most)))
         return pd.Series(out, dtype=object)
 
     return run(text, target)

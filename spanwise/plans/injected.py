@@ -40,7 +40,7 @@ def _half(text: str, target: int) -> str:
 @query(f"""with {SEGMENTS}, t as (select source_id, seg_idx, text, 10 + seg_idx % 30 as most from segments)
 select source_id, seg_idx, case when length(text) <= most then text when length(text) % 3 = 1 and trim(left(text, most // 2)) <> '' then trim(left(text, most // 2)) else rtrim(left(text, most), E'., \\t\\n') || '.' end as text from t""")
 def hook_shorten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments(spark, sf_dir).select("source_id", "seg_idx", hooks.shorten(F.col("text"), 10 + F.col("seg_idx") % 30, _half).alias("text"))
+    return segments(spark, sf_dir).select("source_id", "seg_idx", hooks.shorten(F.col("text"), 10 + F.col("seg_idx") % 30, _half, " ").alias("text"))
 
 
 def _chain(rows: list[dict]) -> list[dict]:

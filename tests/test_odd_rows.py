@@ -33,3 +33,10 @@ def turns(texts: list[str]) -> str:
 def test_iou_pairs_with_moments_of_no_length(spark, tmp_path):
     # The second lies within the first without a length; the third touches the first's start, the fourth has the second's time.
     agrees(spark, tmp_path, "event_iou_pairs", events=events("(1, 1000, 'view', 0.01), (2, 3000, 'view', 0), (3, 1000, 'view', 0), (4, 3000, 'view', 0), (5, 4000, 'click', 0.02)"))
+
+
+def test_shorten_with_blanks_at_the_ends(spark, tmp_path):
+    # Turn i may keep 10 + i characters, half of them by the shortener: a line break or a tab there stays, a blank does not, and a text
+    # that the shortener gives back is cut, even one with blanks around it.
+    texts = ["Abcd\nefghijklmno", "Abcd efghij klmno", "abcde\tghi klmnop", " bcd\nefghijklmnopq\n", "\n\n\n\n\n\n\n\n\nijklmno", "          klmnop", "\nab., cdefghijklmn ", "short"]
+    agrees(spark, tmp_path, "hook_shorten", conversations=turns(texts + [f" {'a b' * k}\n" for k in range(8, 16)]))
