@@ -43,10 +43,11 @@ def escapes_language(text: Column, share: float = 0.5) -> Column:
     return (total > 0) & (c["foreign"] >= share * total)
 
 
-def error_rate(reference: Column, other: Column) -> Column:
-    """Edit distance of normalised texts over the reference's length; null for an empty reference."""
+def error_rate(reference: Column, other: Column, per: int = 1) -> Column:
+    """Edit distance of normalised texts over the reference's length, times `per`; null for an empty reference. Multiplied before
+    it is divided, so that a whole number of edits per `per` characters is whole."""
     a, b = normalise(reference), normalise(other)
-    return F.when(F.length(a) > 0, F.levenshtein(a, b) / F.length(a))
+    return F.when(F.length(a) > 0, F.levenshtein(a, b) * F.lit(per).cast("long") / F.length(a))
 
 
 def cut_title(text: Column, most: int = 20) -> Column:

@@ -40,3 +40,8 @@ def test_shorten_with_blanks_at_the_ends(spark, tmp_path):
     # that the shortener gives back is cut, even one with blanks around it.
     texts = ["Abcd\nefghijklmno", "Abcd efghij klmno", "abcde\tghi klmnop", " bcd\nefghijklmnopq\n", "\n\n\n\n\n\n\n\n\nijklmno", "          klmnop", "\nab., cdefghijklmn ", "short"]
     agrees(spark, tmp_path, "hook_shorten", conversations=turns(texts + [f" {'a b' * k}\n" for k in range(8, 16)]))
+
+
+def test_error_rate_of_whole_thousandths(spark, tmp_path):
+    # 8 of 1 is 8000; 203 edits of 25 characters are 8120, of which 203 / 25 * 1000 falls short.
+    agrees(spark, tmp_path, "turn_error_rate", conversations=turns(["a" * 25, "b" * 203, "", "ab", "a" * 125, "b" * 289]))
