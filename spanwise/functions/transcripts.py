@@ -26,23 +26,32 @@ def restore_notation(text: Column, rules: dict[str, str] | None = None) -> Colum
     longest = lambda words: "|".join(sorted(words, key=len, reverse=True))
     number = f"^([{DIGITS}]?)십([{DIGITS}]?)({longest(UNITS)})({longest(PARTICLES)})?$"
 
-    def step(tokens: Column, state: Column, i: Column) -> Column:
-        token = F.get(tokens, i)
+    sizes: dict[int, dict[str, str]] = {}
+    for old, new in rules.items():
+        sizes.setdefault(len(old.split(" ")), {})[old] = new
+    hit = lambda new, n, old: F.struct(new.alias("new"), F.lit(n).alias("n"), F.array(F.concat_ws("→", old, new)).alias("used"))
+
+    def found(tokens: Column, token: Column, i: Column) -> Column:
         digit = lambda k: F.instr(F.lit(DIGITS), F.regexp_extract(token, number, k))
         tens = F.when(F.regexp_extract(token, number, 1) == "", 1).otherwise(digit(1))
         ones = F.when(F.regexp_extract(token, number, 2) == "", 0).otherwise(digit(2))
         figures = F.concat((tens * 10 + ones).cast("string"), F.regexp_extract(token, number, 3), F.regexp_extract(token, number, 4))
-        hit = lambda new, n, old: F.struct(new.alias("new"), F.lit(n).alias("n"), F.array(F.concat_ws("→", old, new)).alias("used"))
-        chosen = F.when(token.rlike(number), hit(figures, 1, token)).otherwise(F.struct(token.alias("new"), F.lit(1).alias("n"), F.array().cast("array<string>").alias("used")))
-        for old, new in sorted(rules.items(), key=lambda r: len(r[0].split(" "))):  # those of more tokens are asked first
-            size = len(old.split(" "))
-            chosen = F.when(F.array_join(F.slice(tokens, i + 1, size), " ") == old, hit(F.lit(new), size, F.lit(old))).otherwise(chosen)
-        grown = F.struct(F.concat(state["out"], F.array(chosen["new"])).alias("out"), (i + chosen["n"]).alias("next"), F.concat(state["used"], chosen["used"]).alias("used"))
-        return F.when(i < state["next"], state).otherwise(grown)
-
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("out"), F.lit(0).alias("next"), none.alias("used"))
-    scanned = lambda tokens: F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, lambda state, i: step(tokens, state, i), lambda w: F.struct(F.array_join(w["out"], " ").alias("text"), w["used"].alias("used")))
+        chosen = F.when(token.contains("십") & token.rlike(number), hit(figures, 1, token)).otherwise(F.struct(token.alias("new"), F.lit(1).alias("n"), F.array().cast("array<string>").alias("used")))
+        for size, known in sorted(sizes.items()):  # rules of more tokens are asked first
+            said = token if size == 1 else F.array_join(F.slice(tokens, i + 1, size), " ")
+            table = F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+            chosen = F.when(said.isin(*known), hit(F.try_element_at(table, said), size, said)).otherwise(chosen)
+        return chosen
+
+    def scanned(tokens: Column) -> Column:
+        # What stands at a token is found once, by itself; where a rule may take several tokens, a walk leaves out those taken.
+        hits = F.transform(tokens, lambda token, i: found(tokens, token, i))
+        if max(sizes, default=1) > 1:
+            start = F.struct(F.array().cast("array<struct<new:string,n:int,used:array<string>>>").alias("kept"), F.lit(0).alias("left"))
+            walk = lambda state, h: F.when(state["left"] > 0, F.struct(state["kept"].alias("kept"), (state["left"] - 1).alias("left"))).otherwise(F.struct(F.concat(state["kept"], F.array(h)).alias("kept"), (h["n"] - 1).alias("left")))
+            hits = F.aggregate(hits, start, walk, lambda state: state["kept"])
+        return F.transform(F.array(hits), lambda w: F.struct(F.array_join(w["new"], " ").alias("text"), F.flatten(w["used"]).alias("used")))[0]
+
     return F.when(text.isNotNull(), F.transform(F.array(F.split(text, " ", -1)), scanned)[0])
 
 
