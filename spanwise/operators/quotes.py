@@ -1,7 +1,7 @@
 """Quotes in long texts: every place where a passage stands, in documents or in transcripts of many segments.
 
-A passage is searched by the ten characters it starts with: texts give their ten-character grams with the place,
-these meet the passages' heads in an equi-join, and only what meets is compared in full, with a piece of its text. Texts do
+A passage is searched by a gram of it: texts give grams of ten or forty characters with the place, side by side where
+passages are long enough, these meet the passages' grams in an equi-join, and only what meets is compared in full, with a piece of its text. Texts do
 not travel with their grams. Transcripts are searched as one text a source, in overlapping blocks, so that no source is one row.
 """
 
@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.text import normalise
 
 HEAD, SHARE, BLOCK = 10, 0.6, 4096
-#: Up to so many passages go to every executor; more are joined by a shuffle.
+#: Grams of a text, as their length and how far apart they start. A passage of length + step - 1 characters or more holds one of them whole
+#: wherever it stands, and is asked for with each of `step` places where that one may start; short passages meet the grams of all places.
+GRAMS = ((HEAD, 1), (HEAD, HEAD), (40, 40))
+#: Up to so many grams of passages go to every executor; more are joined by a shuffle.
 FEW = 100_000
 
 
@@ -27,20 +30,36 @@ def needle(quote: Column, share: float = SHARE) -> Column:
 def occurrences(texts: DataFrame, needles: DataFrame, ids: Sequence[str], on: Sequence[str] = (), upto: Column | None = None) -> DataFrame:
     """needles (.., needle) with ids and `at`, from 0: all places, overlapping ones too, in texts (ids, n). `on` are columns
     of both that must agree; `upto`: how many first places of a text count (all)."""
-    # Normalised texts have no surrogate pairs, so a match of this pattern is a character further than the last.
-    every = F.regexp_extract_all("n", F.lit(rf"(?=(.{{{HEAD}}}))"), F.lit(1))
-    grams = texts.where(F.length("n") >= HEAD).select(*ids, F.posexplode(every if upto is None else F.slice(every, 1, upto)).alias("at", "head"))
-    wanted = needles.where(F.length("needle") >= HEAD).withColumn("head", F.left("needle", F.lit(HEAD)))
-    heads = wanted.select(*on, "head").distinct()
-    if heads.count() <= FEW:
-        grams = grams.join(F.broadcast(heads), [*on, "head"], "left_semi")
-    met = grams.join(wanted, [*on, "head"]).withColumn("_piece", F.floor(F.col("at") / BLOCK).cast("int"))
+    wanted = needles.where(F.length("needle") >= HEAD)
+    kind = F.lit(0)
+    for k, (size, step) in enumerate(GRAMS):
+        kind = F.when(F.length("needle") >= size + step - 1, k).otherwise(kind)
+    wanted = wanted.withColumn("_kind", kind)
+    told = wanted.groupBy("_kind").agg(F.count("*"), F.max(F.length("needle"))).collect()
+    longest = max((r[2] for r in told), default=0)
+    # The text is found once, before it is cut into grams or pieces: a generator keeps it from being found anew in each.
+    texts = texts.where(F.length("n") >= HEAD).select(*ids, F.explode(F.array("n")).alias("n"))
+    met = None
+    for k, n, _ in sorted(told) or [(0, 0, 0)]:
+        size, step = GRAMS[k]
+        own = wanted.where(F.col("_kind") == k).drop("_kind")
+        shifted = own.withColumn("_shift", F.explode(F.sequence(F.lit(0), F.lit(step - 1)))).withColumn("head", F.substring("needle", F.col("_shift") + 1, F.lit(size)))
+        # Normalised texts have no surrogate pairs, so a match of the first pattern is a character further than the last.
+        every = F.regexp_extract_all("n", F.lit(rf"(?=(.{{{size}}}))" if step == 1 else rf"(.{{{step}}})"), F.lit(1))
+        if upto is not None:
+            every = F.slice(every, 1, F.ceil((upto + step - 1) / step).cast("int"))
+        of = texts if not on else texts.join(own.select(*on).distinct(), list(on), "left_semi")
+        grams = of.select(*ids, F.posexplode(every).alias("at", "head"))
+        if n * step <= FEW:
+            grams = grams.join(F.broadcast(shifted.select(*on, "head").distinct()), [*on, "head"], "left_semi")
+        here = grams.join(shifted, [*on, "head"]).withColumn("at", F.col("at") * step - F.col("_shift")).where("at >= 0").drop("_shift", "head")
+        here = here if upto is None else here.where(F.col("at") < upto)
+        met = here if met is None else met.unionByName(here)
+    met = met.withColumn("_piece", F.floor(F.col("at") / BLOCK).cast("int"))
     # A hit meets the piece of its text that it lies in, not the text: a piece is BLOCK characters and the longest passage.
-    longest = wanted.agg(F.coalesce(F.max(F.length("needle")), F.lit(0))).first()[0]
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("n") - 1) / BLOCK).cast("int")), lambda b: F.substring("n", b * BLOCK + 1, F.lit(BLOCK + longest)))
-    pieces = texts.where(F.length("n") >= HEAD).select(*ids, F.posexplode(cut).alias("_piece", "_text"))
-    found = met.join(pieces, [*ids, "_piece"])
-    return found.where(F.substring("_text", (F.col("at") - F.col("_piece") * BLOCK + 1).cast("int"), F.length("needle")) == F.col("needle")).drop("_text", "_piece", "head")
+    found = met.join(texts.select(*ids, F.posexplode(cut).alias("_piece", "_text")), [*ids, "_piece"])
+    return found.where(F.substring("_text", (F.col("at") - F.col("_piece") * BLOCK + 1).cast("int"), F.length("needle")) == F.col("needle")).drop("_text", "_piece")
 
 
 def timeline(segments: DataFrame, by: Sequence[str]) -> DataFrame:

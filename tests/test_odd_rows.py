@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
+from spanwise.functions import transcripts
+from spanwise.operators import quotes
 from spanwise.queries import ORACLE, QUERIES
 
 from .test_queries import rows
@@ -45,3 +48,23 @@ def test_shorten_with_blanks_at_the_ends(spark, tmp_path):
 def test_error_rate_of_whole_thousandths(spark, tmp_path):
     # 8 of 1 is 8000; 203 edits of 25 characters are 8120, of which 203 / 25 * 1000 falls short.
     agrees(spark, tmp_path, "turn_error_rate", conversations=turns(["a" * 25, "b" * 203, "", "ab", "a" * 125, "b" * 289]))
+
+
+def test_passages_of_every_length_are_found_at_every_place(spark):
+    text = "".join(chr(97 + (i * i * 7 + i * 3 + i // 5) % 26) for i in range(9000)) + "z" * 130
+    needles = [(1000 * size + at, text[at : at + size]) for size in (10, 18, 19, 38, 39, 78, 79, 120) for at in (0, 1, 7, 39, 4090, 4096, 8999 - size, 9129 - size)]
+    texts = spark.createDataFrame([(1, text), (2, text[5:200]), (3, "short")], "doc_id long, n string")
+    got = quotes.occurrences(texts, spark.createDataFrame(needles, "k long, needle string"), ["doc_id"]).select("doc_id", "k", "at").collect()
+    want = [(d, k, at) for d, n in ((1, text), (2, text[5:200])) for k, x in needles for at in range(len(n)) if n.startswith(x, at)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_no_passages(spark):
+    texts = spark.createDataFrame([(1, "abcdefghijklmno")], "doc_id long, n string")
+    assert quotes.occurrences(texts, spark.createDataFrame([(1, "short")], "k long, needle string"), ["doc_id"]).collect() == []
+
+
+def test_notation_of_rules_of_several_tokens(spark):
+    df = spark.createDataFrame([("a b c a b a d",), ("b a",), (None,), ("",)], "text string")
+    got = [r.r for r in df.select(transcripts.restore_notation(F.col("text"), {"a": "1", "a b": "2", "b c": "3"}).alias("r")).collect()]
+    assert [None if r is None else (r.text, list(r.used)) for r in got] == [("2 c 2 1 d", ["a b→2", "a b→2", "a→1"]), ("b 1", ["a→1"]), None, ("", [])]
