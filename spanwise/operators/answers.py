@@ -61,24 +61,29 @@ def _parsed(docs: DataFrame, key: str, document: str) -> DataFrame:
     return parsed.withColumn("_fields", _as(F.col("_v"), _FIELDS))
 
 
-def story_reasons(docs: DataFrame, key: str, document: str = "document") -> DataFrame:
-    """(key, reason) of every answer with storylines: ok, or the first thing that it lacks."""
-    d = _parsed(docs, key, document).withColumn("_list", _story_list(F.col("_v"), F.col("_fields")))
+def _judged(docs: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, _v, _fields, _list, _reason) of answers with storylines. Each is found once: what passes a generator is not found anew where it is asked for."""
+    d = _parsed(docs, key, document).select(key, F.explode(F.array(F.struct("_v", "_fields"))).alias("_p")).select(key, "_p.*")
+    d = d.select(key, "_v", "_fields", F.explode(F.array(F.struct(_story_list(F.col("_v"), F.col("_fields")).alias("_list")))).alias("_p")).select(key, "_v", "_fields", "_p._list")
     lacking = F.transform("_list", _story_reason)
     first = F.try_element_at(F.filter(lacking, lambda r: r.isNotNull()), F.lit(1))
     reason = (
         F.when(F.col("_fields").isNull(), "no object").when(F.col("_list").isNull(), "no storylines").when(F.size("_list") == 0, "empty storylines")
         .when(~_has(F.col("_fields"), "title_txt") & ~_has(F.col("_fields"), "title_line1"), "no title").otherwise(F.coalesce(first, F.lit("ok")))
     )
-    return d.select(key, reason.alias("reason"))
+    return d.select(key, "_v", "_fields", "_list", F.explode(F.array(reason)).alias("_reason"))
+
+
+def story_reasons(docs: DataFrame, key: str, document: str = "document") -> DataFrame:
+    """(key, reason) of every answer with storylines: ok, or the first thing that it lacks."""
+    return _judged(docs, key, document).select(key, F.col("_reason").alias("reason"))
 
 
 def stories(docs: DataFrame, key: str, document: str = "document") -> DataFrame:
     """(key, story_idx, shorts_type, score, sequence_type, title_line1, title_line2, ending_hook, story) of the storylines of answers that
     story_reasons() finds ok; story is the rest, a variant. A storyline without a title has the answer's: a title in one line is cut in two at
     LINE letters. An unknown sequence of a storytelling is the first."""
-    ok = story_reasons(docs, key, document).where("reason = 'ok'").select(key)
-    d = _parsed(docs, key, document).join(ok, key, "left_semi").withColumn("_list", _story_list(F.col("_v"), F.col("_fields")))
+    d = _judged(docs, key, document).where("_reason = 'ok'")
     whole = F.coalesce(said(_at(F.col("_v"), "$.title_txt")), F.lit(""))
     cut = F.length(whole) > LINE
     one = F.when(_has(F.col("_fields"), "title_line1"), said(_at(F.col("_v"), "$.title_line1"))).otherwise(F.left(whole, F.lit(LINE)))

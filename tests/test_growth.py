@@ -22,3 +22,9 @@ def test_nearest_label_sorts_no_vectors(spark, tmp_path):
     con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
     found = QUERIES["vec_nearest_label"](spark, str(tmp_path)).select("vec_id", "label", "nearest")
     assert sorted(map(tuple, found.collect())) == sorted(con.execute(f"select vec_id, label, nearest from ({ORACLE['vec_nearest_label']})").fetchall())
+
+
+def test_stories_are_judged_without_a_join(spark):
+    """Answers are parsed and judged once, in the rows that are read."""
+    plan = _plan(QUERIES["story_rows"](spark, DATA))
+    assert "Join" not in plan and "Exchange" not in plan
