@@ -139,7 +139,7 @@ def _rules() -> list[tuple]:
 
 
 RULES = _rules()
-RULE = "section string, stage int, step int, key string, check string, low double, high double, allowed array<string>, reason string"
+SECTION = "_section string, keys array<string>, rules array<struct<stage: int, step: int, key: string, slot: int, check: string, low: double, high: double, allowed: array<string>, reason: string>>"
 
 
 def _as(value: Column, kind: str) -> Column:
@@ -155,15 +155,13 @@ def said(value: Column) -> Column:
     return F.when(_given(value), F.coalesce(_as(value, "string"), F.to_json(value)))
 
 
-def number(value: Column, kind: Column | None = None) -> Column:
-    """A value as a finite double, else null. kind: its schema_of_variant, where that is known."""
+def number(value: Column, kind: Column | None = None, text: Column | None = None) -> Column:
+    """A value as a finite double, else null. kind and text: its schema_of_variant and said(), where they are known."""
     kind = F.schema_of_variant(value) if kind is None else kind
-    told = _as(value, "string")
-    of = (
-        F.when(kind == "BOOLEAN", _as(value, "boolean").cast("double")).when(kind == "STRING", F.when(told.rlike(_DECIMAL), F.trim(told).try_cast("double")))
-        .otherwise(_as(value, "double"))
-    )
-    return F.when(_given(value) & (F.abs(of) < float("inf")), of)
+    text = said(value) if text is None else text
+    # A number's text is read, as each cast of a variant costs far more than one of a text.
+    of = F.when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0)).when((kind != "STRING") | text.rlike(_DECIMAL), F.trim(text).try_cast("double"))
+    return F.when(F.abs(of) < float("inf"), of)
 
 
 def _stripped(text: Column) -> Column:
@@ -208,14 +206,21 @@ def _apart(items: Column) -> Column:
     return ~F.coalesce(F.exists(met, lambda x: x), F.lit(False))
 
 
-def _broken() -> Column:
-    """Whether a node breaks a rule; value, kind, number and text of the rule's key are columns."""
-    fields, allowed, item, newest = (F.col(c) for c in ("fields", "rule.allowed", "item", "newest"))
-    value, kind, num, text, size = (F.col(c) for c in ("value", "kind", "number", "text", "size"))
-    low, high = F.coalesce(F.col("rule.low"), F.lit(float("-inf"))), F.coalesce(F.col("rule.high"), F.lit(float("inf")))
+def _facts(keys: Column, fields: Column) -> Column:
+    """What the checks ask of the values of keys, found once a node: struct(value, kind, number, text) for each key."""
+    kinds = F.transform(F.transform(keys, lambda k: F.try_element_at(fields, k)), lambda v: F.struct(v.alias("value"), F.schema_of_variant(v).alias("kind"), said(v).alias("text")))
+    return F.transform(kinds, lambda f: F.struct(f["value"].alias("value"), f["kind"].alias("kind"), number(f["value"], f["kind"], f["text"]).alias("number"), f["text"].alias("text")))
+
+
+def _broken(rule: Column) -> Column:
+    """Whether a node breaks a rule; its item, newest, fields, size and facts are columns."""
+    fields, item, newest, size, allowed = F.col("fields"), F.col("item"), F.col("newest"), F.col("size"), rule["allowed"]
+    fact = F.get(F.col("facts"), rule["slot"])
+    value, kind, num, text = fact["value"], fact["kind"], fact["number"], fact["text"]
+    low, high = F.coalesce(rule["low"], F.lit(float("-inf"))), F.coalesce(rule["high"], F.lit(float("inf")))
     pattern = F.try_element_at(allowed, F.lit(1))
     known = F.coalesce((kind == "STRING") & F.array_contains(allowed, text), F.lit(False))
-    present = F.coalesce(F.map_contains_key(fields, F.col("rule.key")), F.lit(False))
+    present = F.coalesce(F.map_contains_key(fields, rule["key"]), F.lit(False))
     given = F.coalesce(kind != "VOID", F.lit(False))
     checks = {
         "number": num.isNull(),
@@ -245,24 +250,24 @@ def _broken() -> Column:
     }
     out = F.lit(False)
     for name, broken in reversed(checks.items()):
-        out = F.when(F.col("rule.check") == name, broken).otherwise(out)
+        out = F.when(rule["check"] == name, broken).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
 def violations(docs: DataFrame, key: str, document: str = "document") -> DataFrame:
     """(key, section, pos, reason, stage, step) of every rule that a document breaks. Rules of an item's keys need an object."""
-    spark = docs.sparkSession
-    rules = spark.createDataFrame(RULES, RULE).select(F.struct("*").alias("rule"), F.col("section").alias("_section"))
-    met = nodes(docs, key, document).join(F.broadcast(rules), F.col("section") == F.col("_section"))
-    met = met.where(F.col("fields").isNotNull() | (F.col("rule.key") == ""))
-    # What the checks ask of a value is found once, a step at a time, and the broken ones are exploded, not filtered: a filter
-    # would be pushed under these columns and find each of them anew.
-    met = met.withColumn("value", F.when(F.col("rule.key") == "", F.col("item")).otherwise(F.try_element_at("fields", F.col("rule.key"))))
-    met = met.withColumn("kind", F.schema_of_variant("value"))
-    own = F.when(F.col("rule.key") != "", F.col("value"))
-    met = met.withColumns({"number": number(own, F.col("kind")), "text": said(own), "size": F.when(F.col("rule.key") == "", F.size(_as(F.col("item"), "array<variant>")))})
-    told = F.struct(F.col("rule.reason").alias("reason"), F.col("rule.stage").alias("stage"), F.col("rule.step").alias("step"))
-    return met.select(key, "section", "pos", F.explode(F.when(_broken(), F.array(told))).alias("_told")).select(key, "section", "pos", "_told.reason", "_told.stage", "_told.step")
+    # A row a section, with its keys and its rules: a node meets them at once and is no row a rule.
+    by: dict[str, tuple[list, list]] = {}
+    for section_, stage, step, name, check, low, high, allowed, reason in RULES:
+        keys, rules = by.setdefault(section_, ([], []))
+        if name and name not in keys:
+            keys.append(name)
+        rules.append((stage, step, name, keys.index(name) if name else -1, check, low, high, allowed, reason))
+    sections = docs.sparkSession.createDataFrame([(name, *told) for name, told in by.items()], SECTION)
+    met = nodes(docs, key, document).join(F.broadcast(sections), F.col("section") == F.col("_section"))
+    met = met.withColumns({"facts": _facts(F.col("keys"), F.col("fields")), "size": F.size(_as(F.col("item"), "array<variant>"))})
+    broken = F.filter("rules", lambda r: (F.col("fields").isNotNull() | (r["key"] == "")) & _broken(r))
+    return met.select(key, "section", "pos", F.explode(broken).alias("_told")).select(key, "section", "pos", "_told.reason", "_told.stage", "_told.step")
 
 
 def first_violation(docs: DataFrame, key: str, document: str = "document") -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import duckdb
+from pyspark.sql import functions as F
 
+from spanwise.operators import contract
 from spanwise.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -28,3 +30,12 @@ def test_stories_are_judged_without_a_join(spark):
     """Answers are parsed and judged once, in the rows that are read."""
     plan = _plan(QUERIES["story_rows"](spark, DATA))
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_a_node_meets_its_section_at_once(spark):
+    """No row a node and a rule: sections bring their rules as one row. Numbers read from text are those of the values."""
+    assert "rules#" in _plan(contract.violations(spark.createDataFrame([(1, "{}")], "k long, document string"), "k"))
+    told = '[1, 1.5, -2e3, 1e400, 12345678901234567890, 0.0000001, true, false, "1e3", " 2 ", "x", "", "1d", null, [1], {"a": 1}]'
+    items = spark.createDataFrame([(told,)], "v string").selectExpr("posexplode(try_variant_get(try_parse_json(v), '$', 'array<variant>')) as (i, v)")
+    found = [r[0] for r in items.select("i", contract.number(F.col("v")).alias("n")).orderBy("i").select("n").collect()]
+    assert found == [1.0, 1.5, -2000.0, None, 12345678901234567890.0, 1e-7, 1.0, 0.0, 1000.0, 2.0, None, None, None, None, None, None]
