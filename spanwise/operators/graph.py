@@ -14,16 +14,18 @@ def components(nodes: DataFrame, edges: DataFrame, key: str, a: str = "a", b: st
     spark = nodes.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(_shared(spark))
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct().checkpoint()
-    labels = nodes.select(F.col(key).alias("u"), F.col(key).alias("label")).distinct()
+    linked = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct().checkpoint()
+    # Only nodes with edges take part. Each has an edge to itself, which brings its own label to where its neighbours' meet.
+    labels = nodes.select(F.col(key).alias("u")).distinct().join(linked.select("u"), "u", "left_semi").select("u", F.col("u").alias("label")).checkpoint()
+    both = linked.unionByName(labels.select("u", F.col("u").alias("v")))
     while True:
-        near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("low"))
-        spread = labels.join(near, "u", "left").select("u", F.least("label", F.coalesce("low", "label")).alias("new"), F.col("label").alias("old"))
-        jump = spread.select(F.col("u").alias("new"), F.col("new").alias("far"))
-        now = spread.join(jump, "new", "left").select("u", F.least("new", F.coalesce("far", "new")).alias("label"), "old").checkpoint()
+        near = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("new"), F.max(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("old")).where("old is not null")
+        jump = near.select(F.col("u").alias("new"), F.col("new").alias("far"))
+        now = near.join(jump, "new", "left").select("u", F.least("new", F.coalesce("far", "new")).alias("label"), "old").checkpoint()
         labels = now.select("u", "label")
         if now.where("label <> old").isEmpty():
-            return nodes.join(labels.select(F.col("u").alias(key), F.col("label").alias("root")), key)
+            found = labels.select(F.col("u").alias(key), F.col("label").alias("_label"))
+            return nodes.where(F.col(key).isNotNull()).join(found, key, "left").withColumn("root", F.coalesce("_label", key)).drop("_label")
 
 
 def _shared(spark: SparkSession) -> str:

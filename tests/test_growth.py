@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import duckdb
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
-from spanwise.operators import contract
+from spanwise.operators import contract, graph
 from spanwise.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -39,3 +40,14 @@ def test_a_node_meets_its_section_at_once(spark):
     items = spark.createDataFrame([(told,)], "v string").selectExpr("posexplode(try_variant_get(try_parse_json(v), '$', 'array<variant>')) as (i, v)")
     found = [r[0] for r in items.select("i", contract.number(F.col("v")).alias("n")).orderBy("i").select("n").collect()]
     assert found == [1.0, 1.5, -2000.0, None, 12345678901234567890.0, 1e-7, 1.0, 0.0, 1000.0, 2.0, None, None, None, None, None, None]
+
+
+def test_components_spread_over_linked_nodes_only(spark, monkeypatch):
+    """Rows without edges take part in no round; edges to unknown rows link nothing."""
+    kept = []
+    whole = DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **b: kept.append(whole(self, *a, **b)) or kept[-1])
+    edges = spark.createDataFrame([(1, 2), (3, 2), (7, 7), (5, 1000), (1000, 6)], "a long, b long")
+    found = graph.components(spark.range(100), edges, "id")
+    assert {r["id"]: r["root"] for r in found.collect()} == {n: 1 if n in (2, 3) else n for n in range(100)}
+    assert max(df.count() for df in kept) <= 10
